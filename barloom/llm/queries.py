@@ -15,21 +15,49 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import text_media
+
+    return text_media(table(spark, sf_dir, "documents")).drop("error")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
     return shard_by_bytes(table(spark, sf_dir, "documents"), 16)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_tokens
 
     return pack_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_png_media": op2_media,
     "op5_karmarkar_karp_shards": op5_sharding,
+    "op7_simhash_gray_index": op7_simhash,
     "op8_karmarkar_karp_packing": op8_packing,
+    "op9_warc_normaliser": op9_warc,
+    "op10_site_style_tree": op10_html,
 }
 
 #: DuckDB SQL where it can express the whole result.
