@@ -15,6 +15,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import text_media
 
@@ -52,6 +58,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_adaptive_dimension_scan": op1_ann,
     "op2_png_media": op2_media,
     "op5_karmarkar_karp_shards": op5_sharding,
     "op7_simhash_gray_index": op7_simhash,
