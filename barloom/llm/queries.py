@@ -27,6 +27,13 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents")).drop("error")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
@@ -60,6 +67,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_dimension_scan": op1_ann,
     "op2_png_media": op2_media,
+    "op4_ordinal_toxicity": op4_toxicity,
     "op5_karmarkar_karp_shards": op5_sharding,
     "op7_simhash_gray_index": op7_simhash,
     "op8_karmarkar_karp_packing": op8_packing,
