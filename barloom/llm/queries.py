@@ -27,6 +27,12 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents")).drop("error")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_fst import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score
 
@@ -67,6 +73,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_dimension_scan": op1_ann,
     "op2_png_media": op2_media,
+    "op3_sentencepiece_transducer": op3_sentencepiece,
     "op4_ordinal_toxicity": op4_toxicity,
     "op5_karmarkar_karp_shards": op5_sharding,
     "op7_simhash_gray_index": op7_simhash,
