@@ -46,6 +46,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 16)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece_transducer": op3_sentencepiece,
     "op4_ordinal_toxicity": op4_toxicity,
     "op5_karmarkar_karp_shards": op5_sharding,
+    "op6_skip_chain_pii": op6_pii,
     "op7_simhash_gray_index": op7_simhash,
     "op8_karmarkar_karp_packing": op8_packing,
     "op9_warc_normaliser": op9_warc,

@@ -4,17 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.llm import pii, simhash, toxicity
 from barloom.llm.common import settle, table
 from barloom.llm.packing import pack_tokens
 from barloom.llm.queries import tokenizer_path
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, doesn't call toxic."""
+    return toxicity.keep_civil(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by fingerprints the document with the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind."""
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of each kept document, in sequences of at most 2048 tokens."""
     return pack_tokens(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("packing", packing)]
+STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_duplicates), ("pii", redact_pii), ("packing", pack)]
 
 #: Neither the fitted classifier nor the tokenizer can be told in SQL; tests/llm compares with brute force.
 ORACLE_SQL: str | None = None
