@@ -19,8 +19,8 @@ ROUNDS = 10
 #: Rotated dimensions per column block, and the test's factor: a candidate goes when its partial distance, scaled up, exceeds the bound by (1 + FACTOR / sqrt(dimensions seen)) squared.
 BLOCK = 16
 FACTOR = 2.1
-#: First bounds come from so many vectors of the sample, and from at most one in so many of all: well above the true k-th distance, so that probed lists hold enough below it.
-BOUND_SAMPLE, BOUND_SHARE = 1024, 16
+#: First bounds come from so many vectors of the sample, and from at most one in so many of all: above the true k-th distance, so that probed lists hold enough below it, and low enough that few candidates pass.
+BOUND_SAMPLE, BOUND_SHARE = SAMPLE, 4
 #: Share of a query's neighbours that unprobed lists may be expected to hold.
 MISS = 0.04
 #: Rows of a list, and queries of a list, that meet in one task.
@@ -173,8 +173,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, miss: float = MISS
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
                 q = matrix(part["v"], dim)
                 # the query itself may be in the sample, so one more than k
                 bound, lists = own.bounds(q, k + 1), own.probes(q, k + 1, miss)
