@@ -146,44 +146,77 @@ class Transducer:
         return tuple(self.bytes[b] for b in char.encode()) if self.byte_fallback else (self.unknown,)
 
     def path(self, segment: str) -> tuple[int, ...]:
-        """Output of the shortest path. States are positions (a BPE model's finite path into a position has one last piece, so it needs no more)."""
-        n, bpe, arcs, fits, ids = len(segment), self.model_type == BPE, self.arcs, self._fits, self.ids
-        weight, back, last = [0.0] + [INFINITE] * n, [0] * (n + 1), [-1] * (n + 1)
-        for start in range(n):
-            base = weight[start]
-            if base == INFINITE:
-                continue
-            before = last[start]
-            for end in range(start + 1, n + 1):
-                piece = arcs.get(segment[start:end])
+        """Output of the shortest path through the composition with ``segment``."""
+        best = self._merged(segment) if self.model_type == BPE else self._cheapest(segment)
+        out: list[int] = []
+        for start, piece in best:
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += self._fallback(segment[start])
+        return tuple(out)
+
+    def _merged(self, segment: str) -> list[tuple[int, int]]:
+        """The path of finite weight in a BPE model, depth first by longest pieces.
+
+        All weights are zero or infinite, so the first path through is the shortest. A prefix has one finite path, so a position from which none goes on is dead for good, and the search is linear.
+        """
+        n, get, fits, dead = len(segment), self.arcs.get, self._fits, bytearray(len(segment) + 1)
+        way: list[tuple[int, int]] = []
+        trail: list[tuple[int, int, list]] = []
+        at, before, choices = 0, -1, None
+        while at < n:
+            if choices is None:
+                choices, end = [], at + 1
+                piece = get(segment[at:end])
                 if piece is None:
-                    break
-                if piece < 0:
+                    choices.append((end, -1))
+                while piece is not None:
+                    if piece >= 0:
+                        choices.append((end, piece))
+                    elif end == at + 1:
+                        choices.append((end, -1))
+                    end += 1
+                    if end > n:
+                        break
+                    piece = get(segment[at:end])
+            while choices:
+                end, piece = choices.pop()
+                if dead[end]:
                     continue
-                if not bpe:
-                    total = base + self.cost[piece]
-                    if total >= weight[end]:
-                        continue
-                elif before >= 0:
+                if piece >= 0 and before >= 0:
                     fit = fits.get(key := before << 32 | piece)
                     if fit is None:
                         fit = fits[key] = self.fits(before, piece)
                     if not fit:
                         continue
-                    total = base
-                else:
-                    total = base
-                weight[end], back[end], last[end] = total, start, piece
-            if segment[start] not in ids:
-                total = base + (0.0 if bpe else self.unknown_cost)
-                if total < weight[start + 1]:
-                    weight[start + 1], back[start + 1], last[start + 1] = total, start, -1
-        out: list[tuple[int, ...]] = []
-        at = n
-        while at:
-            out.append((last[at],) if last[at] >= 0 else self._fallback(segment[at - 1]))
-            at = back[at]
-        return tuple(i for part in reversed(out) for i in part)
+                trail.append((at, before, choices))
+                way.append((at, piece))
+                at, before, choices = end, piece, None
+                break
+            else:
+                dead[at] = 1
+                at, before, choices = trail.pop()
+                way.pop()
+        return way
+
+    def _cheapest(self, segment: str) -> list[tuple[int, int]]:
+        """The least sum of costs in a unigram model, by one pass over positions in order."""
+        n, arcs = len(segment), self.arcs
+        weight, back = [0.0] + [INFINITE] * n, [(0, -1)] * (n + 1)
+        for start in range(n):
+            end = start + 1
+            while end <= n and (piece := arcs.get(segment[start:end])) is not None:
+                if piece >= 0 and (total := weight[start] + self.cost[piece]) < weight[end]:
+                    weight[end], back[end] = total, (start, piece)
+                end += 1
+            if segment[start] not in self.ids and (total := weight[start] + self.unknown_cost) < weight[start + 1]:
+                weight[start + 1], back[start + 1] = total, (start, -1)
+        way: list[tuple[int, int]] = []
+        while n:
+            way.append(back[n])
+            n = back[n][0]
+        return way[::-1]
 
     def encode(self, text: str) -> list[int]:
         if not text:
