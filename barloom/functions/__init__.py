@@ -1 +1 @@
-"""."""
+"""Column functions: exact decimals, the trading calendar, identifiers."""

@@ -1 +1 @@
-"""."""
+"""DataFrame operators on bars, archives, manifests, instruments, orders and portfolios."""

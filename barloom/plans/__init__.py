@@ -1 +1 @@
-"""."""
+"""What a set of requests needs done, and the driver that does it."""

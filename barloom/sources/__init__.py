@@ -1 +1 @@
-"""."""
+"""Raw archives, provider JSON, and the published store."""
