@@ -17,7 +17,9 @@ from .common import settle
 
 WORD = re.compile(r"\w+")
 #: Bounds of the fit: labelled documents (those with the smallest hash of their id), features, steps.
-FIT_DOCS, FIT_WORDS, STEPS = 10_000, 2_000, 300
+FIT_DOCS, FIT_WORDS, STEPS = 6_000, 2_000, 300
+#: Documents whose features a task holds at a time.
+SLICE = 32
 LEAST_DOCS = 5
 #: A word's features: itself, and its beginnings of these lengths (as "achlich-"), which tell words of one stem.
 STEMS = range(3, 9)
@@ -100,14 +102,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_words:
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     chosen = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(marked, "id")
     chosen = chosen.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(fit_docs)
-    chosen = chosen.groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))  # copies of a text count once
+    chosen = chosen.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))  # copies of a text count once
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counts = [Counter(f for w in WORD.findall((t or "").lower()) for f in features(w)) for t in pdf["text"]]
-            yield pd.DataFrame({"toxic": pdf["toxic"], "words": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]})
+            for at in range(0, len(pdf), SLICE):
+                part = pdf.iloc[at : at + SLICE]
+                counts = [Counter(f for w in WORD.findall((t or "").lower()) for f in features(w)) for t in part["text"]]
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "toxic": part["toxic"].to_numpy(), "words": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]})
 
-    bags = settle(chosen.select("toxic", "text").mapInPandas(words, "toxic int, words array<string>, counts array<int>"))
+    bags = settle(chosen.select(F.md5("text").alias("id"), "toxic", "text").mapInPandas(words, "id string, toxic int, words array<string>, counts array<int>"))
     size = dict(bags.groupBy("toxic").count().collect())
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
@@ -122,15 +126,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_words:
     if not len(best):
         return Ordinal()
     place = {w: i for i, w in enumerate(best["word"])}
-    shared = docs.sparkSession.sparkContext.broadcast(place)
-
-    def only_known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = shared.value
-        for pdf in batches:
-            kept = [[(at[w], n) for w, n in zip(ws, ns, strict=True) if w in at] for ws, ns in zip(pdf["words"], pdf["counts"], strict=True)]
-            yield pd.DataFrame({"toxic": pdf["toxic"], "cols": [[c for c, _ in k] for k in kept], "counts": [[int(n) for _, n in k] for k in kept]})
-
-    sample = bags.mapInPandas(only_known, "toxic int, cols array<int>, counts array<int>").toPandas()
+    places = docs.sparkSession.createDataFrame(list(place.items()), "word string, place int")
+    spread = bags.select("id", "toxic", F.explode(F.arrays_zip("words", "counts")).alias("f")).select("id", "toxic", F.col("f.words").alias("word"), F.col("f.counts").alias("n"))
+    held = spread.join(F.broadcast(places), "word").groupBy("id").agg(F.collect_list("place").alias("cols"), F.collect_list("n").alias("counts"))
+    sample = bags.select("id", "toxic").join(held, "id", "left").toPandas().sort_values("id")
+    for c in ("cols", "counts"):
+        sample[c] = [x if x is not None else [] for x in sample[c]]
     rows = np.repeat(np.arange(len(sample)), sample["cols"].map(len))
     cols = np.concatenate([np.asarray(x, dtype=np.int64) for x in sample["cols"]])
     counts = np.concatenate([np.asarray(x, dtype=np.int64) for x in sample["counts"]])
