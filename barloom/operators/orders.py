@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -132,7 +133,7 @@ def _filled_status(filled: Column, accepted: Column) -> Column:
     return F.when(filled > accepted, "overfilled").when(filled == accepted, "filled").otherwise("partially_filled")
 
 
-# The life of an order. One order's events are few, so its fold runs as a small piece of Python in its group.
+# The life of an order, folded from its events by a small piece of Python.
 
 EVENT_COLUMNS = ("seq", "kind", "event_id", "causation_id", "status", "account_id", "instrument_id", "side", "quantity", "limit_price", "stop_price", "fill_id", "broker_fill_id", "broker_order_id", "rejected")
 STATE_SCHEMA = "order_id string, status string, accepted_quantity long, filled_quantity long, limit_price long, stop_price long, pending_command string, broker_order_id string, applied long, refused long, last_refusal string"
@@ -249,27 +250,48 @@ class OrderState:
 
 
 def events_of(pdf: pd.DataFrame) -> list[dict]:
-    """Rows as dictionaries with None for nulls and plain ints, in the order of ``seq``."""
-    clean = pdf.sort_values("seq")[list(EVENT_COLUMNS)].astype(object)
-    rows = clean.where(clean.notna(), None).to_dict("records")
-    for r in rows:
-        for k in ("quantity", "limit_price", "stop_price", "seq"):
-            r[k] = None if r[k] is None else int(r[k])
-    return rows
+    """Rows as dictionaries with None for nulls and plain ints, in their order."""
+    columns = {c: pdf[c].tolist() for c in EVENT_COLUMNS}
+    for c in ("quantity", "limit_price", "stop_price"):
+        columns[c] = [int(v) if isinstance(v, str) else None for v in columns[c]]
+    return [dict(zip(columns, row, strict=True)) for row in zip(*columns.values(), strict=True)]
+
+
+def sendable(events: DataFrame) -> DataFrame:
+    """Events for Python: 64-bit columns with nulls travel as text, since pandas would make floats of them."""
+    return events.select("order_id", *[F.col(c).cast("string").alias(c) if c in ("quantity", "limit_price", "stop_price") else F.col(c) for c in EVENT_COLUMNS])
+
+
+def result_rows(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in STATE_SCHEMA.split(", ")])
+    return out.astype({c: "Int64" for c in ("accepted_quantity", "limit_price", "stop_price")})
+
+
+def result_row(order_id: str, state: OrderState, counts: list) -> tuple:
+    return (order_id, state.status or None, state.accepted, state.filled, state.limit_price, state.stop_price, state.pending or None, state.broker_order_id or None, *counts)
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """The state of each order after all its ``events`` (order_id, ``EVENT_COLUMNS``), and how many were applied and refused (with the last refusal's reason)."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state, applied, refused, last = OrderState(), 0, 0, None
-        for e in events_of(pdf):
-            why = state.apply(e)
-            applied, refused, last = applied + (not why), refused + bool(why), why or last
-        row = (key[0], state.status or None, state.accepted, state.filled, state.limit_price, state.stop_price, state.pending or None, state.broker_order_id or None, applied, refused, last)
-        out = pd.DataFrame([row], columns=[c.split()[0] for c in STATE_SCHEMA.split(", ")])
-        return out.astype({c: "Int64" for c in ("accepted_quantity", "limit_price", "stop_price")})
-
-    # 64-bit columns with nulls travel as text, since pandas would make floats of them
-    sent = events.select("order_id", *[F.col(c).cast("string").alias(c) if c in ("quantity", "limit_price", "stop_price") else F.col(c) for c in EVENT_COLUMNS])
-    return sent.groupBy("order_id").applyInPandas(run, STATE_SCHEMA)
+    """The state of each order after all its ``events`` (order_id, ``EVENT_COLUMNS``) by seq, and how many were applied and refused (with the last refusal's reason).
+
+    Events are dealt by order and sorted; a task goes through them once and holds one order's state, however many events it has.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        order_id, state, counts, done = None, OrderState(), [0, 0, None], []
+        for pdf in batches:
+            for own, e in zip(pdf["order_id"].tolist(), events_of(pdf), strict=True):
+                if own != order_id:
+                    if order_id is not None:
+                        done.append(result_row(order_id, state, counts))
+                    order_id, state, counts = own, OrderState(), [0, 0, None]
+                why = state.apply(e)
+                counts = [counts[0] + (not why), counts[1] + bool(why), why or counts[2]]
+            if done:
+                yield result_rows(done)
+                done = []
+        if order_id is not None:
+            yield result_rows([result_row(order_id, state, counts)])
+
+    ordered = sendable(events.where(F.col("order_id").isNotNull())).repartition("order_id").sortWithinPartitions("order_id", "seq")
+    return ordered.mapInPandas(run, STATE_SCHEMA)

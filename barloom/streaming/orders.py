@@ -7,12 +7,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.orders import EVENT_COLUMNS, STATE_SCHEMA, OrderState, events_of
-
-_NAMES = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
+from ..operators.orders import STATE_SCHEMA, OrderState, events_of, result_row, result_rows, sendable
 
 
 def _dump(state: OrderState, counts: list) -> str:
@@ -33,15 +30,13 @@ def order_states(events: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state, counts = _load(held.get[0]) if held.exists else (OrderState(), [0, 0, None])
-        for e in events_of(pd.concat(list(batches))):
+        for e in events_of(pd.concat(list(batches)).sort_values("seq")):
             why = state.apply(e)
             counts = [counts[0] + (not why), counts[1] + bool(why), why or counts[2]]
         held.update((_dump(state, counts),))
-        row = (key[0], state.status or None, state.accepted, state.filled, state.limit_price, state.stop_price, state.pending or None, state.broker_order_id or None, *counts)
-        yield pd.DataFrame([row], columns=_NAMES).astype({c: "Int64" for c in ("accepted_quantity", "limit_price", "stop_price")})
+        yield result_rows([result_row(key[0], state, counts)])
 
-    sent = events.select("order_id", *[F.col(c).cast("string").alias(c) if c in ("quantity", "limit_price", "stop_price") else F.col(c) for c in EVENT_COLUMNS])
-    return sent.groupBy("order_id").applyInPandasWithState(step, STATE_SCHEMA, "state string", "update", GroupStateTimeout.NoTimeout)
+    return sendable(events).groupBy("order_id").applyInPandasWithState(step, STATE_SCHEMA, "state string", "update", GroupStateTimeout.NoTimeout)
 
 
 def once(fills: DataFrame, late: str = "1 day") -> DataFrame:
