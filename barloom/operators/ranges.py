@@ -27,7 +27,7 @@ def merged(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 
 def first_uncovered(requests: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """The first part of each request [from_ts, to_ts) that no span [start_ts, end_ts) covers, or nulls: keys, hole_start, hole_end."""
-    clipped = requests.join(spans, keys, "left").select(*keys, "from_ts", "to_ts", F.greatest("start_ts", "from_ts").alias("s"), F.least("end_ts", "to_ts").alias("e"))
+    clipped = requests.join(spans, keys).select(*keys, "from_ts", "to_ts", F.greatest("start_ts", "from_ts").alias("s"), F.least("end_ts", "to_ts").alias("e"))
     inside = clipped.where(F.col("s") < F.col("e"))
     before = Window.partitionBy(*keys).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("e").over(before), F.col("from_ts"))

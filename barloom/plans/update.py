@@ -20,7 +20,7 @@ KEYS = ["provider", "symbol", "interval"]
 
 @dataclass
 class Update:
-    """actions: what was found to do; blocked: partitions with bad rows; left: actions still open afterwards (raw ones apart, empty when all went well)."""
+    """actions: what was found to do; blocked: partitions with bad rows; left: builds still open afterwards, apart from those that wait for raw files to grow (empty when all went well)."""
 
     actions: DataFrame
     blocked: DataFrame
@@ -117,5 +117,5 @@ def run(spark: SparkSession, archive: str, canonical: str, requests: DataFrame,
     todo = actions.where(F.col("kind") == planner.NORMALIZE)
     blocked = normalise_archive(spark, archive, canonical, now, todo)
     derive_weeks(spark, canonical, now)
-    after = find_actions(spark, archive, canonical, requests).where(F.col("kind") == planner.NORMALIZE)
+    after = find_actions(spark, archive, canonical, requests).where((F.col("kind") == planner.NORMALIZE) & ~F.col("reason").startswith("extend"))
     return Update(planner.ordered(actions, KEYS), blocked, after)

@@ -58,7 +58,7 @@ def parse_files(files: DataFrame) -> DataFrame:
     Fingerprint and lines come from one read of the bytes. A file is malformed where its header or comment is wrong, or some row is.
     """
     named = files.select("path", "content").withColumns(file_fields(F.col("path")))
-    text = F.decode(F.col("content"), F.lit("UTF-8"))
+    text = F.col("content").cast("string")
     numbered = F.transform(F.split(text, "\r?\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
     kept = F.filter(numbered, lambda x: ~x["line"].rlike(r"^\s*(#.*)?$"))
     comments = F.filter(numbered, lambda x: x["line"].startswith("#"))
