@@ -184,11 +184,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3, cap:
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = 3, cap: int = NODE_CAP) -> DataFrame:
     """The rows of ``docs`` that stay: of each component that with the smallest doc_id (nulls last), once, with its columns as they were."""
     columns = docs.columns
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
-    rows = settle(docs.select(F.col("doc_id").alias("_id"), row.alias("_row"), fingerprint_column("text", words).alias("fp")))
+    # two hashes of the whole row stand for it: plain keys, so that the join's dealing serves the last step as well
+    each = [F.col(f"`{c}`").cast("string") for c in columns]
+    named = {"_a": F.xxhash64(*each), "_b": F.xxhash64(F.lit("b"), *[F.coalesce(c, F.lit("")) for c in each])}
+    rows = settle(docs.select(F.col("doc_id").alias("_id"), *[v.alias(k) for k, v in named.items()], fingerprint_column("text", words).alias("fp")))
     found = rows.join(roots(rows.select("fp").distinct(), radius, cap), "fp", "left")
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("_id"), F.col("_row").alias("_row")))
-    kept = found.groupBy(F.coalesce("root", "fp").alias("root")).agg(first.alias("k")).select(F.col("k._id").alias("_id"), F.col("k._row").alias("_row"))
-    tagged = docs.withColumn("_row", row)
-    same = tagged["doc_id"].eqNullSafe(kept["_id"]) & (tagged["_row"] == kept["_row"])
-    return tagged.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_row"]).select(*[F.col(f"`{c}`") for c in columns])
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_a", "_b"))
+    kept = found.groupBy(F.coalesce("root", "fp").alias("root")).agg(first.alias("k")).select("k._a", "k._b").distinct()
+    return docs.withColumns(named).join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).select(*[F.col(f"`{c}`") for c in columns])

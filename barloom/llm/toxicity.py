@@ -100,8 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_words:
     Without toxic and other documents the model calls nothing toxic.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
-    chosen = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(marked, "id")
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(fit_docs)
+    ids = docs.select(F.col("doc_id").alias("id")).join(marked, "id").orderBy(F.xxhash64("id"), "id").limit(fit_docs).distinct()
+    # only so many ids are broadcast; texts of the others stay where they are
+    chosen = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "id")
     chosen = chosen.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))  # copies of a text count once
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
