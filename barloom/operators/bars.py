@@ -84,13 +84,13 @@ def spreads(prefix_bid: str = "bid_", prefix_ask: str = "ask_") -> dict[str, Col
     return {"avg_spread": quarter, "max_spread": F.greatest(*corners), "crossed": F.least(*corners) < 0}
 
 
-def classify_records(records: DataFrame, file_keys: list[str], interval: str) -> DataFrame:
+def classify_records(records: DataFrame, file_keys: list[str], interval: str | None = None) -> DataFrame:
     """Add outcome and reason to bid/ask ``records`` (file_keys, line_no, time, bid_o.., ask_o.., volume, complete), with their bid bar.
 
     Duplicates of any earlier row's time in the file and rows before the one just above come first, then crossed quotes, broken bars
-    and misaligned times; what is left is incomplete or accepted. A file is the unit of order, as is a month of one instrument: a bounded group.
+    and misaligned times; what is left is incomplete or accepted. Without ``interval`` the column of that name tells each row's. A file is the unit of order, as is a month of one instrument: a bounded group.
     """
-    unit, count = cal.INTERVALS[interval]
+    aligned = [F.when(F.lit(interval) == i if interval else F.col("interval") == i, cal.bar_start(F.col("time"), *cal.INTERVALS[i])) for i in ([interval] if interval else cal.INTERVALS)]
     in_file = Window.partitionBy(*file_keys).orderBy("line_no")
     seen = F.row_number().over(Window.partitionBy(*file_keys, "time").orderBy("line_no")) > 1
     bar = records.withColumns({"_dup": seen, "_before": F.lag("time").over(in_file)} | spreads())
@@ -98,7 +98,7 @@ def classify_records(records: DataFrame, file_keys: list[str], interval: str) ->
     bar = bar.withColumn("_rule", violation())
     reason = (
         F.when(F.col("_dup"), "duplicate").when(F.col("time") < F.col("_before"), "out_of_order").when(F.col("crossed"), "crossed").when(F.col("avg_spread").isNull() | F.col("max_spread").isNull(), "overflow")
-        .when(F.col("_rule").isNotNull(), F.col("_rule")).when(cal.bar_start(F.col("time"), unit, count) != F.col("time"), "misaligned").when(~F.col("complete"), "incomplete")
+        .when(F.col("_rule").isNotNull(), F.col("_rule")).when(F.coalesce(*aligned) != F.col("time"), "misaligned").when(~F.col("complete"), "incomplete")
     )
     outcome = F.when(F.col("reason").isNull(), ACCEPTED).when(F.col("reason") == "crossed", SUSPICIOUS).when(F.col("reason") == "incomplete", INCOMPLETE).otherwise(REJECTED)
     return bar.withColumn("reason", reason).withColumn("outcome", outcome).drop("_dup", "_before", "_rule", "crossed")
@@ -112,7 +112,7 @@ def gate(classified: DataFrame, file_keys: list[str]) -> DataFrame:
     return classified.groupBy(*file_keys).agg(*counts, (F.count_if(bad) > 0).alias("blocked"), F.concat_ws(",", offenders).alias("offenders"))
 
 
-def normalise(records: DataFrame, file_keys: list[str], interval: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def normalise(records: DataFrame, file_keys: list[str], interval: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(bars, gates, quarantine) of many files in one job: a file with a suspicious or rejected row gives no bars; incomplete rows are left out."""
     classified = classify_records(records, file_keys, interval)
     gates = gate(classified, file_keys)

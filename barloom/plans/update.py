@@ -46,23 +46,16 @@ def with_manifest(bars: DataFrame, fingerprints: DataFrame, built_at: Column, re
 def normalise_archive(spark: SparkSession, archive: str, canonical: str, now: Column, only: DataFrame | None = None) -> DataFrame:
     """Normalise the raw files under ``archive`` (those of ``only``: keys, year, month) and publish their bars and manifests; returns blocked partitions with offenders.
 
-    One job for all files of an interval; a blocked file publishes nothing and does not hold up others.
+    One job for all files; a blocked file publishes nothing and does not hold up others.
     """
     month = [*KEYS, "year", "month"]
-    files = raw.scan(spark, archive)
-    blocked = []
-    for interval in ("m1", "h1", "h4", "d1"):
-        wanted = files.where((F.col("interval") == interval) & (F.col("file_status") == "ok"))
-        wanted = wanted if only is None else wanted.join(only.select(*month), month, "left_semi")
-        records = raw.records(wanted)
-        bars, gates, _ = ops.normalise(records, month, interval)
-        good = wanted.join(gates.where("blocked"), month, "left_anti").select(*month, F.col("fingerprint").alias("raw_fingerprint"))
-        store.publish(bars, with_manifest(bars, good, now), canonical)
-        blocked.append(gates.where("blocked"))
-    out = blocked[0]
-    for b in blocked[1:]:
-        out = out.unionByName(b)
-    return out
+    files = raw.scan(spark, archive).where("file_status = 'ok'")
+    wanted = files if only is None else files.join(only.select(*month), month, "left_semi")
+    bars, gates, _ = ops.normalise(raw.records(wanted), month)
+    gates = store.settle(gates, f"{canonical}/plans")
+    good = wanted.join(gates.where("blocked"), month, "left_anti").select(*month, F.col("fingerprint").alias("raw_fingerprint"))
+    store.publish(bars, with_manifest(bars, good, now), canonical)
+    return gates.where("blocked")
 
 
 def derive_weeks(spark: SparkSession, canonical: str, now: Column) -> None:
