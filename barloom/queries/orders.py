@@ -80,6 +80,36 @@ def terms_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "error")
 
 
+def fill_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as fills with defects by rule, and the first rule that each breaks."""
+    k = F.col("k")
+    rows = _terms(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(k % 53 != 0, "f").alias("fill_id"), F.when(k % 59 == 0, "").otherwise("o").alias("order_id"), F.when(k % 61 != 0, "a").alias("account_id"), F.when(k % 67 != 0, "i").alias("instrument_id"), "side", "quantity",
+        (F.coalesce("limit_price", F.lit(1_000_000)) + F.when(k % 71 == 0, 1).otherwise(0)).cast("bigint").alias("price"), "tick_size", "quantity_increment",
+    )
+    return rows.withColumn("error", ops.fill_error()).where("error IS NOT NULL").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "error")
+
+
+def trade_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as trades with defects by rule."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(c % 7 != 0, c).alias("account_id"), F.when(c % 11 != 0, "i").alias("instrument_id"), F.when(k % 5 == 0, "flat").otherwise("long").alias("side"), F.when(k % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(k % 13 != 0, "f1"))).alias("entry_fill_ids"),
+        F.array(F.when(k % 17 == 0, "").otherwise("f2")).alias("exit_fill_ids"), F.when(k % 19 != 0, F.col("o_orderdate")).alias("opened_at"), (F.col("o_orderdate") + F.make_dt_interval((k % 9 - 1).cast("int"))).alias("closed_at"),
+    )
+    return rows.withColumn("error", ops.trade_error()).where("error IS NOT NULL").select("o_orderkey", "error")
+
+
+def command_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cancel and replace requests spelt out by orders' keys, with defects by rule."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(k % 2 == 0, "replace_request").otherwise("cancel_request").alias("kind"), F.when(k % 7 != 0, "o").alias("order_id"), F.when(k % 11 == 0, "").otherwise("e").alias("event_id"), F.when(k % 3 == 0, k % 5).cast("bigint").alias("new_quantity"),
+        F.when(k % 13 == 0, 5).cast("bigint").alias("new_limit_price"), F.when(k % 17 == 0, 5).cast("bigint").alias("new_stop_price"),
+    )
+    return rows.withColumn("error", ops.command_error()).where("error IS NOT NULL").select("o_orderkey", "error")
+
+
 def order_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order states spelt out by keys, and the first invariant that each breaks."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
@@ -149,7 +179,7 @@ def audited_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "fill_dedupe": fill_dedupe, "fill_running": fill_running, "order_fills": order_fills, "remaining_qty": remaining_qty, "fill_mismatches": fill_mismatches, "illegal_transitions": illegal_transitions, "terms_errors": terms_errors,
-    "order_invariants": order_invariants, "order_lifecycle": order_lifecycle, "causation_chain": causation_chain, "causation_orphans": causation_orphans, "causation_depths": causation_depths, "audited_partitions": audited_partitions,
+    "fill_errors": fill_errors, "trade_errors": trade_errors, "command_errors": command_errors, "order_invariants": order_invariants, "order_lifecycle": order_lifecycle, "causation_chain": causation_chain, "causation_orphans": causation_orphans, "causation_depths": causation_depths, "audited_partitions": audited_partitions,
 }
 
 _Q = "(CAST(floor(l_quantity + 0.5) AS BIGINT) * 100000000)"
@@ -165,6 +195,12 @@ t AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey
 _CHAIN = "chain AS (SELECT DISTINCT conv_id AS correlation_id, 'evt-' || conv_id || '-' || turn AS event_id, CASE WHEN turn > 0 THEN 'evt-' || conv_id || '-' || (turn - CASE WHEN conv_id % 5 = 0 THEN 2 ELSE 1 END) END AS causation_id, turn AS ts FROM conversations)"
 
 ORACLES = {
+    "fill_errors": f"""WITH {_TERMS}, u AS (SELECT *, l_orderkey * 7 + l_linenumber AS k FROM t), e AS (SELECT *, CASE WHEN k % 53 = 0 THEN 'fill_id' WHEN k % 59 = 0 THEN 'order_id' WHEN k % 61 = 0 THEN 'account_id' WHEN k % 67 = 0 THEN 'listing' WHEN hold THEN 'side' WHEN quantity <= 0 THEN 'quantity'
+  WHEN quantity % 100000000 <> 0 THEN 'quantity_grid' WHEN (coalesce(lim, 1000000) + CASE WHEN k % 71 = 0 THEN 1 ELSE 0 END) % 1000000 <> 0 THEN 'price_grid' END AS error FROM u) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, error FROM e WHERE error IS NOT NULL""",
+    "trade_errors": """WITH e AS (SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN 'account_id' WHEN o_custkey % 11 = 0 THEN 'listing' WHEN o_orderkey % 5 = 0 THEN 'side' WHEN o_orderkey % 6 = 0 THEN 'entries' WHEN o_orderkey % 13 = 0 THEN 'entry_id' WHEN o_orderkey % 17 = 0 THEN 'exit_id'
+  WHEN o_orderkey % 19 = 0 THEN 'opened_at' WHEN o_orderkey % 9 = 0 THEN 'closed_at' END AS error FROM orders) SELECT * FROM e WHERE error IS NOT NULL""",
+    "command_errors": """WITH c AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5 END AS q FROM orders), e AS (SELECT k AS o_orderkey, CASE WHEN k % 7 = 0 THEN 'order_id' WHEN k % 11 = 0 THEN 'event_id' WHEN k % 2 = 0 AND q IS NULL AND k % 13 <> 0 AND k % 17 <> 0 THEN 'nothing_to_replace'
+  WHEN k % 2 = 0 AND q <= 0 THEN 'quantity' END AS error FROM c) SELECT * FROM e WHERE error IS NOT NULL""",
     "fill_dedupe": f"WITH {_FILLS} SELECT order_id, 'f-' || order_id || '-' || n AS fill_id, quantity FROM fills",
     "fill_running": f"""WITH {_FILLS}, r AS (SELECT *, CAST(sum(quantity) OVER (PARTITION BY l_orderkey ORDER BY n) AS BIGINT) AS filled_after FROM fills) SELECT order_id, 'f-' || order_id || '-' || n AS fill_id, filled_after, {_STATUS('filled_after', 'accepted_quantity')} AS status_after FROM r JOIN accepted USING (l_orderkey)""",
     "order_fills": f"WITH {_FILLS}, s AS (SELECT l_orderkey, CAST(sum(quantity) AS BIGINT) AS f FROM fills GROUP BY 1) SELECT CAST(l_orderkey AS VARCHAR) AS order_id, accepted_quantity, f AS filled_quantity, {_STATUS('f', 'accepted_quantity')} AS status FROM s JOIN accepted USING (l_orderkey)",

@@ -168,6 +168,26 @@ def ready_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_text(cov.ready_weeks(weeks.drop("year", "month"), partitions, gaps, ["key"]), "bar_start", "bar_end")
 
 
+def week_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks that start in each month of orders, and how far they reach."""
+    months = table(spark, sf_dir, "orders").select(F.trunc("o_orderdate", "month").alias("m"), F.col("o_orderstatus").alias("key")).distinct()
+    spans = months.select("key", F.year("m").alias("year"), F.month("m").alias("month"), F.col("m").cast("timestamp_ntz").alias("start_ts"), F.add_months("m", 1).cast("timestamp_ntz").alias("end_ts"))
+    found = cal.week_spans(spans, ["key", "year", "month"])
+    return as_text(found, "bar_start", "bar_end", "coverage_end")
+
+
+def derive_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly partitions to derive: not current ones with all days there, and current ones whose lacking week has become ready."""
+    weeks, daily, gaps = _week_inputs(spark, sf_dir)
+    k = F.col("key") % 5
+    months = daily.select("key", "year", "month")
+    weekly = months.withColumn("status", F.when(k == 0, cov.MISSING).when(k == 1, cov.STALE).when(k == 2, cov.INVALID).otherwise(cov.CURRENT))
+    lacking = weeks.where(F.dayofmonth("bar_start") <= 14).select("key", "year", "month", F.col("bar_start").alias("gap_start"), F.col("bar_end").alias("gap_end"))
+    # of the daily gaps only those of one week count, so that some months are whole
+    some = gaps.where(F.dayofmonth("gap_start") > 20).where(F.col("key") % 3 == 0)
+    return planner.derive_actions(weekly, daily.withColumn("status", F.lit(cov.CURRENT)), some, lacking, ["key"])
+
+
 def fetch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From where to where each customer's orders of a month would be fetched again."""
     rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").alias("time"), "o_orderkey", F.trunc("o_orderdate", "month").alias("m"))
@@ -180,7 +200,7 @@ def fetch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "month_holes": month_holes, "span_union_gap": span_union_gap, "overlap_conflicts": overlap_conflicts, "bars_request": bars_request, "bars_request_status": bars_request_status, "manifest_check": manifest_check,
     "manifest_revision": manifest_revision, "stale_partitions": stale_partitions, "plan_actions": plan_actions, "skipped_actions": skipped_actions, "derived_staleness": derived_staleness, "extend_needed": extend_needed,
-    "ready_weeks": ready_weeks, "fetch_windows": fetch_windows,
+    "ready_weeks": ready_weeks, "week_spans": week_spans, "derive_actions": derive_actions, "fetch_windows": fetch_windows,
 }
 
 _SPANS = """requests AS (SELECT o_custkey, min(o_orderdate) AS from_ts, max(o_orderdate) + INTERVAL 40 DAY AS to_ts FROM orders GROUP BY 1),
@@ -242,6 +262,19 @@ SELECT DISTINCT symbol, slot FROM o WHERE status = 'open' UNION SELECT symbol, s
     "ready_weeks": f"""WITH {_WEEKS}, blocked AS (SELECT key, bar_start, bar_end FROM lacking UNION ALL SELECT key, bar_start, bar_end FROM closed_hit)
 SELECT key, {as_string('bar_start')} AS bar_start, {as_string('bar_end')} AS bar_end FROM weeks w WHERE NOT EXISTS (SELECT 1 FROM blocked g WHERE g.key = w.key AND g.bar_start < w.bar_end AND g.bar_end > w.bar_start)
 AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(generate_series(date_trunc('month', w.bar_start), w.bar_end - INTERVAL 1 MICROSECOND, INTERVAL 1 MONTH)) AS mm) x LEFT JOIN months q ON q.key = w.key AND q.year = year(x.mm) AND q.month = month(x.mm) WHERE q.key IS NULL OR (q.month = 12 AND q.key % 2 = 0))""",
+    "week_spans": f"""WITH m AS (SELECT DISTINCT o_orderstatus AS key, date_trunc('month', o_orderdate) AS m FROM orders), d AS (SELECT key, m, CAST(unnest(generate_series(CAST(m AS DATE) - 1, CAST(m AS DATE) + 32, INTERVAL 1 DAY)) AS DATE) AS d FROM m),
+w AS (SELECT key, m, {day_at('d')} AS bar_start, {day_at('(d + 7)')} AS bar_end FROM d WHERE dayofweek(d) = 0), i AS (SELECT * FROM w WHERE bar_start >= m AND bar_start < m + INTERVAL 1 MONTH)
+SELECT key, CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, {as_string('bar_start')} AS bar_start, {as_string('bar_end')} AS bar_end, {as_string('greatest(CAST(m + INTERVAL 1 MONTH AS TIMESTAMP), max(bar_end) OVER (PARTITION BY key, m))')} AS coverage_end FROM i""",
+    "derive_actions": f"""WITH {_WEEKS}, expected_months AS (SELECT DISTINCT key, CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month FROM months),
+flagged AS (SELECT key, year, month, bar_start, bar_end, 'missing' AS state FROM (SELECT e.*, r.time FROM expected e LEFT JOIN rows r ON r.key = e.key AND r.time = e.bar_start) WHERE time IS NULL AND bar_end <= TIMESTAMP '2024-02-01 00:00:00'),
+all_bars AS (SELECT s.key, s.year, s.month, s.bar_start, s.bar_end, f.bar_start IS NOT NULL AS bad, lag(f.bar_start IS NOT NULL) OVER (PARTITION BY s.key, s.year, s.month ORDER BY s.bar_start) AS before FROM (SELECT * FROM spine WHERE bar_start >= start_ts AND bar_start < end_ts) s LEFT JOIN flagged f ON f.key = s.key AND f.bar_start = s.bar_start),
+islands AS (SELECT *, sum(CASE WHEN bad AND NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY key, year, month ORDER BY bar_start) AS island FROM all_bars),
+gaps AS (SELECT key, year, month, min(bar_start) AS gap_start, max(bar_end) AS gap_end FROM islands WHERE bad GROUP BY key, year, month, island),
+few AS (SELECT * FROM gaps WHERE day(gap_start) > 20 AND key % 3 = 0),
+fresh AS (SELECT key, year, month, CASE key % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'stale: parent D1 revision changed' ELSE 'invalid: rebuild' END AS reason FROM expected_months m WHERE key % 5 < 3 AND NOT EXISTS (SELECT 1 FROM few g WHERE g.key = m.key AND g.year = m.year AND g.month = m.month)),
+ready AS (SELECT w.key, w.bar_start FROM weeks w WHERE day(w.bar_start) <= 14 AND w.key % 5 >= 3 AND NOT EXISTS (SELECT 1 FROM few g WHERE g.key = w.key AND g.gap_start < w.bar_end AND g.gap_end > w.bar_start)
+  AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(generate_series(date_trunc('month', w.bar_start), w.bar_end - INTERVAL 1 MICROSECOND, INTERVAL 1 MONTH)) AS mm) x LEFT JOIN expected_months q ON q.key = w.key AND q.year = year(x.mm) AND q.month = month(x.mm) WHERE q.key IS NULL))
+SELECT key, year, month, 'derive_canonical' AS kind, reason FROM fresh UNION ALL SELECT DISTINCT key, CAST(year(bar_start) AS INTEGER), CAST(month(bar_start) AS INTEGER), 'derive_canonical', 'gap: D1 input now available for a previously incomplete week' FROM ready""",
     "fetch_windows": f"""WITH l AS (SELECT o_custkey, date_trunc('month', o_orderdate) AS m, max(o_orderdate) AS last_time, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM orders GROUP BY ALL)
 SELECT o_custkey, {as_string('m')} AS month_start, {as_string('last_time')} AS fetch_from, k % 4 <> 0 AS from_exclusive, {as_string("least(CAST(m + INTERVAL 1 MONTH AS TIMESTAMP), TIMESTAMP '2001-07-20 00:00:00')")} AS fetch_to FROM l""",
 }

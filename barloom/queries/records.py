@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import calendar as cal
 from ..functions import decimals as dec
 from ..functions import identifiers as ids
 from ..operators import bars as ops
 from ..operators import inventory
-from ..sources import raw
+from ..sources import raw, store
 from .common import TICKS, as_string, as_text, bars_sql, half_even, table, text, ticks, units
 
 
@@ -81,6 +82,51 @@ def partition_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.withColumn("offenders", F.md5(F.col("offenders")))
 
 
+def normalised_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of the files that no suspicious or rejected record blocks; defects are thinned out so that some files pass."""
+    rows = _records(spark, sf_dir)
+    first = rows.groupBy(*_FILE, "time").agg(F.min("line_no").alias("line_no"))
+    once = rows.join(first, [*_FILE, "time", "line_no"]).where((F.col("ask_c") > F.col("bid_c")) & (F.col("bid_h") > F.col("bid_o")) & (F.minute("time") == 0))
+    in_order = once.withColumn("line_no", cal.seconds_between(F.col("time"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("bigint") + F.when(F.col("file") == 3, -2 * (F.col("line_no") % 2) * 10**9).otherwise(0))
+    bars, _, _ = ops.normalise(in_order, _FILE, "h1")
+    return as_text(bars, "time")
+
+
+def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw CSV files made of the records (a year a file), read back: status, fingerprint, and what was parsed."""
+    return _raw(spark, sf_dir).select("symbol", "year", "month", "file_status", "file_error", "fingerprint", F.size("lines").alias("lines"))
+
+
+def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = raw.records(_raw(spark, sf_dir).where(F.col("file_status") != "skipped"))
+    return as_text(found.select("symbol", "year", "month", "line_no", "time", "bid_o", "ask_c", "volume", "complete", "row_error"), "time")
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of orders by status and month: a line an order; bad prices, headers, comments and names by rule."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    price = dec.text_of(units("o_totalprice", 2))
+    stamp = F.concat(F.regexp_replace(text("o_orderdate"), " ", "T"), F.when(k % 3 == 0, "+00:00").otherwise("Z"))
+    bad = F.when(k % 911 == 0, F.lit("x")).otherwise(price)
+    line = F.concat_ws(",", stamp, price, price, price, price, bad, price, price, price, (k % 100).cast("string"), F.when(k % 5 == 0, "F").otherwise("true"))
+    symbol = F.when(F.col("o_orderstatus") == "O", "EURUSD").when(F.col("o_orderstatus") == "F", "XAUUSD").otherwise("GBPJPY")
+    month = F.date_format(F.trunc(F.col("o_orderdate"), "month"), "MM")
+    rows = o.select(symbol.alias("s"), F.year("o_orderdate").cast("string").alias("y"), month.alias("m"), F.struct(k.alias("k"), line.alias("line")).alias("l"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n")
+    files = rows.groupBy("s", "y", "m").agg(body.alias("body"))
+    path = F.concat(F.lit("root/"), F.concat_ws("/", "s", F.when(F.col("m") == "11", "1999").otherwise(F.col("y")), "m"), F.lit("/"), F.concat_ws("-", "s", "y", "m", F.when(F.col("m") == "12", "w1").otherwise("d")), F.lit(".csv"))
+    comment = F.concat(F.lit("# schema=raw-v1 source=x instrument="), F.col("s"), F.lit(" tf=d year="), F.when(F.col("m") == "10", "1900").otherwise(F.col("y")), F.lit(" month="), F.col("m"))
+    header = F.when(F.col("m") == "09", "time,price").otherwise(raw.HEADER)
+    return raw.parse_files(files.select(path.alias("path"), F.concat_ws("\n", comment, header, "body").cast("binary").alias("content")))
+
+
+def exported_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars as JSON texts."""
+    bars = as_text(ops.from_ticks(ticks(spark, sf_dir), ["symbol"], "d1"), "time")
+    return store.as_json(bars.select("time", "open", "high", "low", "close", "symbol"))
+
+
 def partition_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_text(inventory.partitions(_records(spark, sf_dir), _FILE), "first_time", "last_time")
 
@@ -138,7 +184,7 @@ def redact_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "decimal_ingest": decimal_ingest, "mul_half_even": mul_half_even, "div_half_even": div_half_even, "checked_arithmetic": checked_arithmetic, "grid_check": grid_check, "record_outcomes": record_outcomes,
-    "partition_gate": partition_gate, "partition_inventory": partition_inventory, "duplicate_times": duplicate_times, "candles_json": candles_json, "upsert_latest": upsert_latest, "id_audit": id_audit, "redact_props": redact_props,
+    "partition_gate": partition_gate, "normalised_bars": normalised_bars, "raw_files": raw_files, "raw_rows": raw_rows, "exported_rows": exported_rows, "partition_inventory": partition_inventory, "duplicate_times": duplicate_times, "candles_json": candles_json, "upsert_latest": upsert_latest, "id_audit": id_audit, "redact_props": redact_props,
 }
 
 _U = lambda c, p: f"(CAST(floor({c} * {10**p} + 0.5) AS BIGINT) * {10 ** (8 - p)})"
@@ -164,7 +210,22 @@ _RAW = f"""CASE {_K} % 11 WHEN 0 THEN {_PLAIN} || '000000001' WHEN 1 THEN {_PLAI
  WHEN 5 THEN '92233720' || {_PLAIN} WHEN 6 THEN '-0' WHEN 7 THEN '1.' ELSE {_PLAIN} END"""
 _ITEMS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 _TEXT = "regexp_replace(regexp_replace(CAST(CAST(exact AS DECIMAL(28, 8)) AS VARCHAR), '0+$', ''), '\\.$', '')"
+_RAW_FILES = f"""o AS (SELECT *, CASE o_orderstatus WHEN 'O' THEN 'EURUSD' WHEN 'F' THEN 'XAUUSD' ELSE 'GBPJPY' END AS s, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, o_orderkey AS k, {_U('o_totalprice', 2)} AS w FROM orders),
+t AS (SELECT *, regexp_replace(regexp_replace(CAST(w // 100000000 AS VARCHAR) || '.' || lpad(CAST((w % 100000000) // 1000000 AS VARCHAR), 2, '0'), '0+$', ''), '\\.$', '') AS p FROM o),
+l AS (SELECT *, row_number() OVER (PARTITION BY s, y, m ORDER BY k) + 2 AS line_no, replace({as_string('o_orderdate')}, ' ', 'T') || CASE WHEN k % 3 = 0 THEN '+00:00' ELSE 'Z' END || ',' || p || ',' || p || ',' || p || ',' || p || ',' || CASE WHEN k % 911 = 0 THEN 'x' ELSE p END || ',' || p || ',' || p || ',' || p || ',' || (k % 100) || ',' || CASE WHEN k % 5 = 0 THEN 'F' ELSE 'true' END AS line FROM t),
+files AS (SELECT s AS symbol, y AS year, m AS month, count(*) AS n, bool_or(k % 911 = 0) AS bad, string_agg(line, chr(10) ORDER BY k) AS body FROM l GROUP BY ALL),
+status AS (SELECT *, CASE WHEN symbol = 'XAUUSD' THEN 'out_of_scope' WHEN month = 12 THEN 'unsupported_interval' WHEN month = 11 AND year <> 1999 THEN 'layout' WHEN month = 9 THEN 'header' WHEN month = 10 THEN 'comment' WHEN bad THEN 'row' END AS file_error FROM files)"""
+
 ORACLES = {
+    "normalised_bars": f"""WITH {RECORDS}, f AS (SELECT *, row_number() OVER (PARTITION BY year, month, file, time ORDER BY line_no) AS rn FROM records), o AS (SELECT *, CAST({half_even(_SUM, '4')} AS BIGINT) AS avg_spread, greatest(ask_o - bid_o, ask_h - bid_h, ask_l - bid_l, ask_c - bid_c) AS max_spread FROM f WHERE rn = 1 AND ask_c > bid_c AND bid_h > bid_o AND minute(time) = 0),
+x AS (SELECT *, lag(time) OVER (PARTITION BY year, month, file ORDER BY CAST(epoch(time) AS BIGINT) - CASE WHEN file = 3 THEN 2000000000 * (line_no % 2) ELSE 0 END) AS before FROM o),
+g AS (SELECT year, month, file FROM x GROUP BY ALL HAVING bool_or(time < before OR least(ask_o - bid_o, ask_h - bid_h, ask_l - bid_l, ask_c - bid_c) < 0 OR bid_h < bid_l OR bid_o < bid_l OR bid_c < bid_l OR bid_c > bid_h OR avg_spread > max_spread))
+SELECT year, month, file, {as_string('time')} AS time, bid_o AS open, bid_h AS high, bid_l AS low, bid_c AS close, avg_spread, max_spread, volume AS ticks FROM x ANTI JOIN g USING (year, month, file) WHERE complete""",
+    "raw_files": f"""WITH {_RAW_FILES} SELECT symbol, year, month, CASE WHEN file_error IS NULL THEN 'ok' WHEN file_error IN ('out_of_scope', 'unsupported_interval', 'layout') THEN 'skipped' ELSE 'malformed' END AS file_status, file_error,
+  'sha256:' || sha256('# schema=raw-v1 source=x instrument=' || symbol || ' tf=d year=' || CASE WHEN month = 10 THEN '1900' ELSE CAST(year AS VARCHAR) END || ' month=' || lpad(CAST(month AS VARCHAR), 2, '0') || chr(10) || CASE WHEN month = 9 THEN 'time,price' ELSE '{raw.HEADER}' END || chr(10) || body) AS fingerprint,
+  CAST(n AS INTEGER) AS lines FROM status""",
+    "raw_rows": f"""WITH {_RAW_FILES} SELECT s AS symbol, y AS year, m AS month, CAST(line_no AS INTEGER) AS line_no, {as_string('o_orderdate')} AS time, w AS bid_o, w AS ask_c, k % 100 AS volume, k % 5 <> 0 AS complete, CASE WHEN k % 911 = 0 THEN 'price' END AS row_error FROM l WHERE s <> 'XAUUSD' AND m <> 12 AND (m <> 11 OR y = 1999)""",
+    "exported_rows": f"""WITH ticks AS ({TICKS}) SELECT '{{"time":"' || {as_string('time')} || '","open":' || open || ',"high":' || high || ',"low":' || low || ',"close":' || close || ',"symbol":"' || symbol || '"}}' AS value FROM ({bars_sql('d1')})""",
     "decimal_ingest": f"""WITH r AS (SELECT {_ITEMS}, {_RAW} AS raw FROM (SELECT *, {_U('l_extendedprice', 2)} AS w FROM lineitem)),
 e AS (SELECT *, regexp_full_match(raw, '[+-]?[0-9]+(\\.[0-9]+)?') AS good, TRY_CAST(regexp_replace(raw, '(\\.[0-9]{{8}})[0-9]*$', '\\1') AS DECIMAL(38, 8)) AS exact FROM r),
 f AS (SELECT *, CASE WHEN NOT good THEN 'syntax' WHEN regexp_matches(raw, '\\.[0-9]{{8}}[0-9]*[1-9]') THEN 'precision' WHEN exact IS NULL OR exact > 92233720368.54775807 OR exact < -92233720368.54775808 THEN 'range' WHEN exact < 0 THEN 'negative' END AS error FROM e)
