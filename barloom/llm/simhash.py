@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from .components import components
 
 BITS = 64
 RADIUS = 3
+#: Blocks of bits that the upper nodes' masks are made of.
+BLOCKS = 4
 #: More fingerprints than this in one upper node are compared by pairs of chunks, in tasks of their own.
 NODE_CAP = 8192
 LEAVES = 32
@@ -121,27 +123,31 @@ def _links(words: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray
     return (np.concatenate(a), np.concatenate(b)) if a else (words[:0], words[:0])
 
 
-def linked_fingerprints(words: DataFrame, radius: int = RADIUS, cap: int = NODE_CAP) -> DataFrame:
+def upper_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
+    """Masks of the index's upper nodes: every choice of ``blocks`` - ``radius`` of equal blocks of bits. Fingerprints within ``radius`` agree on at least one mask."""
+    edges = [round(BITS * i / blocks) for i in range(blocks + 1)]
+    parts = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
+    return [sum(c) for c in combinations(parts, blocks - radius)]
+
+
+def linked_fingerprints(words: DataFrame, radius: int = RADIUS, cap: int = NODE_CAP, blocks: int = BLOCKS) -> DataFrame:
     """``words`` (fp; distinct) to links (a, b) that connect all fingerprints at most ``radius`` bits apart.
 
-    The upper nodes of the index are (block, shared bits): fingerprints within ``radius`` agree on at least one of
-    ``radius`` + 1 equal blocks of bits, so each upper node is searched by itself. One with more than ``cap`` fingerprints is
-    dealt into chunks and searched by pairs of chunks; no pair is left out.
+    The upper nodes of the index are (mask, shared pattern); each is searched by itself. One with more than ``cap`` fingerprints is
+    dealt into chunks and searched by pairs of chunks; no pair is left out. With four blocks a mask has 16 bits, and a node about a
+    65,536th of all fingerprints; beyond some hundred million of them five (10 masks of about 26 bits) or six (20 of 32) make smaller nodes.
     """
-    blocks = radius + 1
-    width = BITS // blocks
-    # bits beyond the last block (64 less blocks x width) are only compared, never shared
-    keyed = words.select("fp", F.posexplode(F.array(*[F.shiftright(F.col("fp"), BITS - width * (k + 1)).bitwiseAND(F.lit((1 << width) - 1)) for k in range(blocks)])).alias("block", "bits"))
-    keyed = keyed.withColumn("node", F.col("block").cast("long") * F.lit(1 << width) + F.col("bits")).select("fp", "node")
-    large = keyed.groupBy("node").count().where(F.col("count") > cap).select("node", F.ceil(F.col("count") / cap).alias("chunks"))
-    keyed = keyed.join(large, "node", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))))
+    signed = [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in upper_masks(radius, blocks)]
+    keyed = words.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("mask", "pattern"))
+    node = ["mask", "pattern"]
+    large = keyed.groupBy(*node).count().where(F.col("count") > cap).select(*node, F.ceil(F.col("count") / cap).alias("chunks"))
+    keyed = keyed.join(large, node, "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1)).alias("other")
-    keyed = keyed.select("fp", "node", "own", other).select("fp", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    keyed = keyed.select("fp", *node, "own", other).select("fp", *node, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    columns = [*node, "i", "j"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: pd.DataFrame | None = None  # rows of the node that the next batch may go on with
-        columns = ["node", "i", "j"]
-
         def link(pdf: pd.DataFrame) -> pd.DataFrame:
             node = pdf.groupby(columns, sort=False).ngroup().to_numpy()
             a, b = _links(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64), node, radius)
@@ -158,7 +164,7 @@ def linked_fingerprints(words: DataFrame, radius: int = RADIUS, cap: int = NODE_
         if kept is not None and len(kept):
             yield link(kept)
 
-    return keyed.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInPandas(run, "a long, b long")
+    return keyed.repartition(*columns).sortWithinPartitions(*columns).mapInPandas(run, "a long, b long")
 
 
 def roots(words: DataFrame, radius: int = RADIUS, cap: int = NODE_CAP) -> DataFrame:

@@ -418,14 +418,25 @@ def test_near_duplicates(spark, cap):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({int(c) for _, _, c in want if c != "None"})
 
 
-def test_links_of_random_and_dense_fingerprints(spark):
+@pytest.mark.parametrize("blocks", [4, 5, 6])
+def test_masks_leave_no_near_pair_out(blocks):
+    masks = simhash.upper_masks(3, blocks)
+    rng = random.Random(blocks)
+    for _ in range(500):
+        flips = sum(1 << b for b in rng.sample(range(64), 3))
+        assert any(flips & m == 0 for m in masks)
+
+
+@pytest.mark.parametrize("blocks", [4, 5])
+def test_links_of_random_and_dense_fingerprints(spark, blocks):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 30, dtype=np.uint64)
     near = [int(b) ^ (1 << int(x)) ^ (1 << int(y)) for b in base for x, y in rng.integers(0, 64, (12, 2))]
     words = sorted({int(b) for b in base} | set(near) | {0, 2**64 - 1})
     signed = [(w - 2**64 if w >= 2**63 else w,) for w in words]
     want = brute_components([(s[0], w) for s, w in zip(signed, words, strict=True)])
-    got = {r.fp: r.root for r in simhash.roots(spark.createDataFrame(signed, "fp long")).collect()}
+    links = simhash.linked_fingerprints(spark.createDataFrame(signed, "fp long"), blocks=blocks)
+    got = {r.node: r.root for r in components.components(links).collect()}
     assert [got.get(s[0], s[0]) for s in signed] == want
 
 
