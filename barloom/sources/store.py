@@ -43,13 +43,17 @@ def settle(df: DataFrame, folder: str) -> DataFrame:
 
 
 def publish(bars: DataFrame, held: DataFrame, root: str) -> None:
-    """Check, then replace the partitions that ``bars`` and manifests ``held`` name. Manifests are written last: they make a month count."""
-    own = held.select(*_columns(MANIFESTS)).withColumn("error", manifests.manifest_error())
+    """Check, then replace the partitions that ``bars`` and manifests ``held`` name. Manifests are written last: they make a month count.
+
+    Both are settled under ``root``/staged first, so that checking and writing don't compute them again.
+    """
+    bars = settle(bars.select(*_columns(BARS)), f"{root}/staged")
+    own = settle(held.select(*_columns(MANIFESTS)).withColumn("error", manifests.manifest_error()), f"{root}/staged")
     bad = own.where("error IS NOT NULL").select("symbol", "interval", "year", "month", "error").limit(20).collect()
     broken = bars.withColumn("error", ops.violation()).where("error IS NOT NULL").select("symbol", "interval", "year", "month", "error").limit(20).collect()
     if bad or broken:
         raise ValueError(f"not published: manifests {bad}, bars {broken}")
-    _write(bars.select(*_columns(BARS)), f"{root}/bars")
+    _write(bars, f"{root}/bars")
     _write(own.drop("error"), f"{root}/manifests")
 
 

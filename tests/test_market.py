@@ -358,3 +358,28 @@ def test_manifest_revision_ignores_build_time(spark):
     df = spark.createDataFrame([(*fields.values(), "x"), (*fields.values(), "y")], [*fields, "built_at"])
     a, b = [r[0] for r in df.select(manifests.revision()).collect()]
     assert a == b and a.startswith("sha256:")
+
+
+def drained(stream, name, mode="append"):
+    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp()).start()
+    query.processAllAvailable()
+    query.stop()
+    return stream.sparkSession.table(name).collect()
+
+
+def test_streamed_fills_once_and_hourly_bars(spark):
+    from barloom.streaming import orders, records
+
+    folder = tempfile.mkdtemp(prefix="barloom-fills-")
+    schema = "broker_fill_id string, ts timestamp, quantity long"
+    for rows in ([("b1", at("2024-01-08 00:00:00"), 1), ("b2", at("2024-01-08 00:01:00"), 2)], [("b1", at("2024-01-08 00:02:00"), 1), ("b3", at("2024-01-08 00:03:00"), 3)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    got = drained(orders.once(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)), "fills_once")
+    assert sorted(r.broker_fill_id for r in got) == ["b1", "b2", "b3"]
+    ticks = tempfile.mkdtemp(prefix="barloom-ticks-")
+    schema = "symbol string, ts timestamp, seq long, price long, spread long"
+    rows = [("A", at("2024-01-08 00:00:01"), 1, 5, 1), ("A", at("2024-01-08 00:59:00"), 2, 9, 3), ("A", at("2024-01-08 01:10:00"), 3, 4, 2), ("A", at("2024-01-08 03:00:00"), 4, 4, 2)]
+    for r in rows:
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(ticks)
+    got = drained(records.bars(spark.readStream.schema(schema).parquet(ticks), ["symbol"], "h1"), "hour_bars", "update")
+    assert sorted((r.open, r.high, r.low, r.close, r.ticks) for r in got)[-1] == (5, 9, 5, 9, 2)
