@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import sample_by_hash, settle
 
-#: The index is fitted on at most so many distinct vectors (those with the smallest hash of their id); all vectors are indexed.
+#: The index is fitted on about so many distinct vectors (a sample by hash of their id); all vectors are indexed.
 SAMPLE = 20_000
 MOST_LISTS = 1024
 ROWS_PER_LIST = 256
@@ -159,7 +159,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, miss: float = MISS
     n, largest, dim = reps.agg(F.count("*"), F.max(norm), F.max(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    fitted = reps.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(sample).toPandas().sort_values("rep")
+    fitted = sample_by_hash(reps.select("rep", "v"), sample, "rep").toPandas().sort_values("rep")
     index = Index(matrix(fitted["v"], dim), float(largest), max(1, min(MOST_LISTS, len(fitted) // 8, n // ROWS_PER_LIST)), min(BOUND_SAMPLE, n // BOUND_SHARE))
     shared = spark.sparkContext.broadcast(index)
     vector = reps.schema["v"].dataType.simpleString()

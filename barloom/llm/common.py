@@ -34,6 +34,18 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def sample_by_hash(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """About ``n`` rows of ``df`` (all, if there are no more): those whose ``keys`` hash below n's share of all.
+
+    Rows are counted and filtered where they are, so nothing gathers in one task as a sorted limit over many partitions would; the limit of 2n only
+    matters where very many rows share their keys.
+    """
+    total = df.count()
+    if total <= n:
+        return df
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * n / total)).limit(2 * n)
+
+
 def number_within(df: DataFrame, key: str, key_count: int, order: list[str], out: str, rows_per_task: int = 50_000) -> DataFrame:
     """Add ``out``: gapless numbers from 0 within each value of ``key`` (an int from 0 to ``key_count`` - 1).
 

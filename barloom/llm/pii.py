@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import sample_by_hash, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # label 0 is none
@@ -26,7 +26,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 HINT = re.compile(r"[0-9@]")
 DIGITS = re.compile(r"[0-9]+")
 
-#: The field is fitted on at most so many documents with a digit or "@" (those with the smallest hash), and tokens of each.
+#: The field is fitted on about so many documents with a digit or "@" (a sample by hash), and at most so many tokens of each.
 FIT_DOCS, FIT_TOKENS, STEPS = 2_000, 64, 200
 SHAPES = 1 << 14
 ROUNDS = 12
@@ -257,9 +257,10 @@ def fit_field(tokens: pd.DataFrame, steps: int = STEPS) -> Field:
 
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_tokens: int = FIT_TOKENS) -> Field:
-    """Fit the field to the base spans of at most ``fit_docs`` documents; only token shapes and labels come to the driver."""
+    """Fit the field to the base spans of about ``fit_docs`` documents; only token shapes and labels come to the driver."""
     text = text_or_empty()
-    some = docs.select(text.alias("text")).where(text.rlike("[0-9@]")).orderBy(F.xxhash64("text"), F.length("text")).limit(fit_docs)
+    hinted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(text.rlike("[0-9@]"))
+    some = sample_by_hash(hinted, fit_docs, "doc_id", "text").select("text")
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

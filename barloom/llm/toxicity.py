@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import sample_by_hash, settle
 
 WORD = re.compile(r"\w+")
-#: Bounds of the fit: labelled documents (those with the smallest hash of their id), features, steps.
+#: Bounds of the fit: labelled documents (about; a sample by hash of the id), features, steps.
 FIT_DOCS, FIT_WORDS, STEPS = 6_000, 2_000, 300
 #: Documents whose features a task holds at a time.
 SLICE = 32
@@ -92,7 +92,7 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: n
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS) -> Ordinal:
-    """Fit on at most ``fit_docs`` labelled documents and ``fit_words`` features.
+    """Fit on about ``fit_docs`` labelled documents and ``fit_words`` features.
 
     ``labels`` (doc_id, toxic); a document with several labels is toxic if one says so; null labels don't count.
     Grades: 0 where not toxic; toxic documents get 1 to ``GRADES`` by thirds of how often they hold features that mark toxic
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_words:
     Without toxic and other documents the model calls nothing toxic.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
-    ids = docs.select(F.col("doc_id").alias("id")).join(marked, "id").orderBy(F.xxhash64("id"), "id").limit(fit_docs).distinct()
+    ids = sample_by_hash(docs.select(F.col("doc_id").alias("id")).join(marked, "id").distinct(), fit_docs, "id")
     # only so many ids are broadcast; texts of the others stay where they are
     chosen = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "id")
     chosen = chosen.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))  # copies of a text count once
