@@ -32,7 +32,8 @@ def depths(events: DataFrame, rounds: int = 64) -> DataFrame:
         above = state.select("correlation_id", F.col("event_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
         before = state
         state = before.join(above, ["correlation_id", "up"], "left").select("correlation_id", "event_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"))
-        state = state.checkpoint() if state.sparkSession.conf.get("spark.checkpoint.dir", None) else state
+        if state.sparkSession.sparkContext.getCheckpointDir():
+            state = state.checkpoint()
     return state.where("up IS NULL").drop("up")
 
 
