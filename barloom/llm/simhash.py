@@ -8,7 +8,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -21,19 +21,37 @@ BLOCKS = 4
 #: More fingerprints than this in one upper node are compared by pairs of chunks, in tasks of their own.
 NODE_CAP = 8192
 LEAVES = 32
+#: The pipeline's contract: word shingles of this length, linked from this Jaccard similarity on.
+SIMILAR_WORDS, SIMILAR = 5, 0.8
+#: Fingerprints propose candidates up to this radius, in so many blocks.
+WIDE_RADIUS, WIDE_BLOCKS = 6, 8
+#: Candidates that fingerprints can't reach: texts that agree on all minima of a band of shingle hashes. At Jaccard 0.8 some band agrees with a chance of 0.9996.
+BANDS, BAND_ROWS = 20, 5
+#: Within a bucket left with several components, each text is compared with so many next ones in order of fingerprints, in chunks of about so many; pairs with one text are dealt over tasks by so many.
+AHEAD, CHUNK, FAN = 8, 256, 512
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """SimHash of a text's word shingles, as an unsigned 64-bit int: lower-cased A-Z, words between ASCII spaces."""
+    hashes = shingle_hashes(text, words)
+    return fold(hashes) if len(hashes) else 0
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of a text's word shingles in order, repeats included; a text of fewer words is one shingle, one without words has none."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, dtype=">u8")
     whole = b" ".join(parts)
     ends = [e - 1 for e in accumulate(len(p) + 1 for p in parts)]
     starts = [0, *(e + 1 for e in ends[:-1])]
     last = ends[words - 1 :] or ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(whole[s:e], 42) for s, e in zip(starts, last)), dtype=">u8", count=len(last))  # noqa: B905
+    return np.fromiter((digest(whole[s:e], 42) for s, e in zip(starts, last)), dtype=">u8", count=len(last))  # noqa: B905
+
+
+def fold(hashes: np.ndarray) -> int:
+    """The majority of each bit."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
@@ -50,6 +68,41 @@ def fingerprint_column(text: str = "text", words: int = 3) -> Column:
     return of(F.col(text).cast("string"))
 
 
+_SEEDS = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One signed key for each band of minima over the distinct shingle hashes; texts without words share theirs."""
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 1 << 12):
+        part = hashes[at : at + (1 << 12)].astype(np.uint64)
+        least = np.minimum(least, ((part ^ _SEEDS[0]) * (_SEEDS[1] | np.uint64(1))).min(axis=1))
+    digest = xxhash.xxh64_intdigest
+    return [(x ^ (1 << 63)) - (1 << 63) for x in (digest(row.tobytes(), 42) for row in least.reshape(BANDS, BAND_ROWS))]
+
+
+def _sketch_column(text: str, words: int) -> Column:
+    """Struct (fp, bands) of a text column."""
+
+    @F.pandas_udf("fp long, bands array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        hashes = [shingle_hashes(t, words) for t in texts]
+        prints = np.array([fold(h) if len(h) else 0 for h in hashes], dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({"fp": prints, "bands": [band_keys(h) for h in hashes]})
+
+    return of(F.col(text).cast("string"))
+
+
+def _set_column(text: str, words: int) -> Column:
+    """The distinct shingle hashes of a text column."""
+
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words).astype(np.uint64)).view(np.int64) for t in texts], dtype=object)
+
+    return of(F.col(text).cast("string"))
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """The place of each 64-bit word in the Gray code sequence."""
     for shift in (1, 2, 4, 8, 16, 32):
@@ -187,14 +240,74 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3, cap:
     return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _row_keys(docs: DataFrame) -> dict[str, Column]:
+    # two hashes of the whole row stand for it: plain keys, so that the join's dealing serves the last step as well
+    each = [F.col(f"`{c}`").cast("string") for c in docs.columns]
+    return {"_a": F.xxhash64(*each), "_b": F.xxhash64(F.lit("b"), *[F.coalesce(c, F.lit("")) for c in each])}
+
+
+def _first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first (smallest _id, nulls last) in each root of ``found`` (root, _id, _a, _b)."""
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_a", "_b"))
+    kept = found.groupBy("root").agg(first.alias("k")).select("k._a", "k._b").distinct()
+    return _rows_of(docs, kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _rows_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    return docs.withColumns(_row_keys(docs)).join(keys, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"])
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = 3, cap: int = NODE_CAP) -> DataFrame:
     """The rows of ``docs`` that stay: of each component that with the smallest doc_id (nulls last), once, with its columns as they were."""
-    columns = docs.columns
-    # two hashes of the whole row stand for it: plain keys, so that the join's dealing serves the last step as well
-    each = [F.col(f"`{c}`").cast("string") for c in columns]
-    named = {"_a": F.xxhash64(*each), "_b": F.xxhash64(F.lit("b"), *[F.coalesce(c, F.lit("")) for c in each])}
-    rows = settle(docs.select(F.col("doc_id").alias("_id"), *[v.alias(k) for k, v in named.items()], fingerprint_column("text", words).alias("fp")))
+    rows = settle(docs.select(F.col("doc_id").alias("_id"), *[v.alias(k) for k, v in _row_keys(docs).items()], fingerprint_column("text", words).alias("fp")))
     found = rows.join(roots(rows.select("fp").distinct(), radius, cap), "fp", "left")
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_a", "_b"))
-    kept = found.groupBy(F.coalesce("root", "fp").alias("root")).agg(first.alias("k")).select("k._a", "k._b").distinct()
-    return docs.withColumns(named).join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).select(*[F.col(f"`{c}`") for c in columns])
+    return _first_of_each(docs, found.withColumn("root", F.coalesce("root", "fp")))
+
+
+def _confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame, least: float, words: int) -> DataFrame:
+    """The ``pairs`` (a, b: hashes of texts) whose sets of shingles have a Jaccard similarity of ``least`` or more. Only texts in a pair are shuffled."""
+    pairs = settle(pairs.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    used = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
+    chosen = settle(rows.join(used, "same", "left_semi").groupBy("same").agg(F.min(F.struct("_a", "_b")).alias("k")).select("k.*"))
+    sets = settle(_rows_of(docs, chosen).select(_same().alias("same"), _set_column("text", words).alias("s")))
+    fans = settle(pairs.groupBy("b").agg(F.ceil(F.count("*") / FAN).alias("fans")))
+    right = sets.withColumnRenamed("same", "b").withColumnRenamed("s", "t").join(fans, "b").withColumn("fan", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fans") - 1))).drop("fans")
+    left = pairs.join(fans, "b").withColumn("fan", F.pmod(F.xxhash64("a"), F.col("fans"))).drop("fans").join(sets.withColumnRenamed("same", "a"), "a")
+    both = left.join(right, ["b", "fan"]).withColumn("common", F.size(F.array_intersect("s", "t")))
+    union = F.size("s") + F.size("t") - F.col("common")
+    return settle(both.where(F.col("common") >= F.lit(least) * union - 1e-9).select("a", "b"))
+
+
+def _same() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def keep_similar(docs: DataFrame, least: float = SIMILAR, words: int = SIMILAR_WORDS, radius: int = WIDE_RADIUS, blocks: int = WIDE_BLOCKS, cap: int = NODE_CAP) -> DataFrame:
+    """The rows of ``docs`` that stay as in ``keep_one``, where texts are linked by a Jaccard similarity of ``least`` or more between their sets of word shingles.
+
+    Candidates are what the fingerprint index links within ``radius``, and what shares a band of minima, since 64 bits don't tell a
+    similarity of 0.8 apart from much less. All are confirmed exactly. Of each bucket, all texts are first compared with one of them; where
+    that leaves several components, with the ``AHEAD`` next ones by fingerprint too. So the number of pairs grows with the texts, not with the
+    square of a group. Texts without words are alike.
+    """
+    keys = [v.alias(k) for k, v in _row_keys(docs).items()]
+    rows = settle(docs.select(F.col("doc_id").alias("_id"), *keys, _same().alias("same"), _sketch_column("text", words).alias("s")).select("_id", "_a", "_b", "same", "s.*"))
+    keyed = rows.select("same", "fp", F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "value")).distinct()
+    bucket = ["band", "value"]
+    keyed = settle(keyed)
+    shared = settle(keyed.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("same").alias("one")).where(F.col("n") > 1))
+    members = settle(keyed.join(shared, bucket))
+    prints = settle(rows.groupBy("fp").agg(F.min("same").alias("same")))
+    links = settle(linked_fingerprints(prints.select("fp"), radius, cap, blocks).distinct())
+    near = links.join(prints.toDF("a", "sa"), "a").join(prints.toDF("b", "sb"), "b").select("sa", "sb")
+    sure = _confirmed(docs, rows, members.select("same", "one").union(near).toDF("a", "b"), least, words)
+    placed = members.join(components(sure).toDF("same", "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    # only buckets that hold several components go on
+    mixed = placed.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*bucket)
+    order = Window.partitionBy(*bucket, "chunk").orderBy("fp", "same")
+    open_ = placed.join(mixed, bucket).withColumn("chunk", F.pmod(F.xxhash64("same"), F.ceil(F.col("n") / CHUNK)))
+    ahead = F.array(*[F.lead(F.struct("same", "root"), k).over(order) for k in range(1, AHEAD + 1)])
+    more = open_.select("same", "root", ahead.alias("ahead")).select("same", "root", F.explode("ahead").alias("o"))
+    more = more.where("o IS NOT NULL AND o.root <> root").select("same", "o.same").toDF("a", "b")
+    linked = components(sure.union(_confirmed(docs, rows, more, least, words))).toDF("same", "root")
+    return _first_of_each(docs, rows.join(linked, "same", "left").withColumn("root", F.coalesce("root", "same")))

@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by fingerprints the document with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """Of each group linked by a Jaccard similarity of 0.8 or more between five-word shingles the document with the smallest doc_id."""
+    return simhash.keep_similar(docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

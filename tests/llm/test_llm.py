@@ -418,6 +418,53 @@ def test_near_duplicates(spark, cap):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({int(c) for _, _, c in want if c != "None"})
 
 
+def near_copies(seed=21, groups=80, n=200):
+    """Texts, and copies with words changed at the end and in the middle: similarities from 0.6 to 1, many next to 0.8."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        rows.append((10 * g, " ".join(base)))
+        for k in range(1, 4):
+            copy = list(base)
+            tail = rng.randint(0, 50)
+            copy[n - tail :] = [f"x{rng.randrange(5000)}" for _ in range(tail)]
+            if k == 3:
+                copy[rng.randrange(n // 2)] = "edit"
+            rows.append((10 * g + k, " ".join(copy)))
+    return rows
+
+
+def brute_similar(rows, least=0.8, words=5):
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[i : i + words]) for i in range(len(w) - words + 1)} or {" ".join(w)}
+
+    sets = {d: shingles(t) for d, t in rows}
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] & sets[b] or sets[a] == sets[b]]
+    pairs = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return pairs, {find(d) for d in sets}
+
+
+def test_similar_texts_are_found_from_their_jaccard_on(spark):
+    rows = near_copies() + [(9000, ""), (9001, None), (9002, "two words"), (9003, "Two  Words"), (9004, "  ")]
+    pairs, want = brute_similar(rows)
+    assert len(pairs) > 100
+    got = {r.doc_id for r in simhash.keep_similar(docs(spark, rows)).collect()}
+    assert got == want
+    assert simhash.keep_similar(docs(spark, rows).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("blocks", [4, 5, 6])
 def test_masks_leave_no_near_pair_out(blocks):
     masks = simhash.upper_masks(3, blocks)
