@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 from collections import Counter
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import sample_by_hash, settle
 
 WORD = re.compile(r"\w+")
-#: Bounds of the fit: labelled documents (about; a sample by hash of the id), features, steps.
+#: Bounds of the fit: labelled documents (about; each class sampled by hash of the id, up to half of them or what the other class leaves), features, steps.
 FIT_DOCS, FIT_WORDS, STEPS = 6_000, 2_000, 300
 #: Documents whose features a task holds at a time.
 SLICE = 32
@@ -26,6 +27,8 @@ STEMS = range(3, 9)
 RIDGE = 1e-5
 #: A feature enters the model if toxic documents hold it more often, with a signed root of the likelihood-ratio statistic of at least this. Labels are noisy, and weaker ones would only fit the noise.
 LEAST_MARK = 6.0
+#: With few toxic documents, holding half of them and no other document is enough, from this mark on and with two documents at least.
+FLOOR_MARK = 4.0
 #: Toxic documents are graded 1 to this by the number of marking features; others have grade 0.
 GRADES = 3
 
@@ -61,13 +64,14 @@ def value(count: int) -> float:
     return 1 + 0.5 * math.log(count)
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, size: int, levels: int = GRADES, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds that make the grades most likely, by Adam on the cumulative-link likelihood with a ridge.
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, size: int, levels: int = GRADES, steps: int = STEPS, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds that make the grades (each row counting its ``weight``) most likely, by Adam on the cumulative-link likelihood with a ridge.
 
     Thresholds are the first one and logarithms of the gaps between them, so they stay ordered.
     """
     n = len(grade)
-    share = np.array([np.clip((grade >= j).mean(), 1e-3, 1 - 1e-3) for j in range(1, levels + 1)])
+    weight = np.ones(n) if weight is None else weight * (n / weight.sum())
+    share = np.array([np.clip(np.average(grade >= j, weights=weight), 1e-3, 1 - 1e-3) for j in range(1, levels + 1)])
     start = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(levels))
     p = np.r_[np.zeros(size), start[0], np.log(np.maximum(np.diff(start), 1e-2))]
     mean, square = np.zeros_like(p), np.zeros_like(p)
@@ -79,7 +83,7 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: n
         i = np.arange(n)
         high, low = up[i, grade], up[i, grade + 1]  # P(y >= own), P(y >= own + 1)
         chance = np.maximum(high - low, 1e-12)
-        slope_high, slope_low = high * (1 - high) / chance, low * (1 - low) / chance
+        slope_high, slope_low = weight * high * (1 - high) / chance, weight * low * (1 - low) / chance
         g_score = slope_low - slope_high
         g_theta = np.zeros((n, levels + 2))
         g_theta[i, grade] += slope_high
@@ -94,13 +98,19 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: n
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS) -> Ordinal:
     """Fit on about ``fit_docs`` labelled documents and ``fit_words`` features.
 
+    Toxic and other documents are sampled each by their own bound, so rare toxic ones are all there; weights give each class its share of all labels back.
+
     ``labels`` (doc_id, toxic); a document with several labels is toxic if one says so; null labels don't count.
     Grades: 0 where not toxic; toxic documents get 1 to ``GRADES`` by thirds of how often they hold features that mark toxic
     documents. Equal texts in the sample count once. Features are counted in Spark; only the chosen ones' counts come to the driver.
-    Without toxic and other documents the model calls nothing toxic.
+    Without toxic and other documents the model calls nothing toxic; so it does, with a warning, where no feature tells them apart.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
-    ids = sample_by_hash(docs.select(F.col("doc_id").alias("id")).join(marked, "id").distinct(), fit_docs, "id")
+    labelled = settle(docs.select(F.col("doc_id").alias("id")).join(marked, "id").distinct().withColumn("toxic", (F.col("toxic") > 0).cast("int")))
+    every = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    bound = min(every.get(1, 0), max(fit_docs // 2, fit_docs - every.get(0, 0)))
+    ids = settle(sample_by_hash(labelled.where("toxic = 1"), bound, "id").union(sample_by_hash(labelled.where("toxic = 0"), fit_docs - bound, "id")))
+    share = {r["toxic"]: every[r["toxic"]] / r["count"] for r in ids.groupBy("toxic").count().collect()}
     # only so many ids are broadcast; texts of the others stay where they are
     chosen = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "id")
     chosen = chosen.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))  # copies of a text count once
@@ -117,14 +127,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_words:
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
         return Ordinal()
-    by_word = bags.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    least_docs = min(LEAST_DOCS, max(2, bad // 2))
     total = bad + good
+    half = -(-bad // 2)
+    mark = min(LEAST_MARK, max(FLOOR_MARK, root_ratio(half, 0, bad, good) - 1e-6))
+    by_word = bags.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where(F.col("n") >= least_docs)
     a, n = F.col("bad").cast("double"), F.col("n").cast("double")
     part = lambda seen, row, col: F.when(seen > 0, seen * F.log(seen * total / (row * col))).otherwise(0.0)
     ratio = part(a, n, F.lit(bad)) + part(n - a, n, F.lit(good)) + part(bad - a, total - n, F.lit(bad)) + part(good - (n - a), total - n, F.lit(good))
-    marks = by_word.withColumn("z", F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))).where((F.col("z") >= LEAST_MARK) & (a / bad > (n - a) / good))
+    marks = by_word.withColumn("z", F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))).where((F.col("z") >= mark) & (a / bad > (n - a) / good))
     best = marks.orderBy(F.desc("z"), "word").limit(fit_words).toPandas()
     if not len(best):
+        logging.getLogger(__name__).warning("no feature tells %d toxic documents from %d others; nothing will be called toxic", bad, good)
         return Ordinal()
     place = {w: i for i, w in enumerate(best["word"])}
     places = docs.sparkSession.createDataFrame(list(place.items()), "word string, place int")
@@ -137,20 +151,28 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_words:
     cols = np.concatenate([np.asarray(x, dtype=np.int64) for x in sample["cols"]])
     counts = np.concatenate([np.asarray(x, dtype=np.int64) for x in sample["counts"]])
     toxic = sample["toxic"].to_numpy() > 0
+    weight = np.where(toxic, share[1], share[0])
     found = np.bincount(rows, weights=counts, minlength=len(sample))
     some = found[toxic & (found > 0)]
     edges = np.quantile(some, np.arange(1, GRADES) / GRADES) if len(some) else np.zeros(0)
     grade = np.where(toxic, 1 + np.searchsorted(edges, found, side="left"), 0)
-    w, theta = fit_ordinal(rows, cols, 1 + 0.5 * np.log(counts), grade, len(place))
+    w, theta = fit_ordinal(rows, cols, 1 + 0.5 * np.log(counts), grade, len(place), weight=weight)
     up = 1 / (1 + np.exp(np.clip(theta[0] - np.bincount(rows, weights=(1 + 0.5 * np.log(counts)) * w[cols], minlength=len(sample)), -50, 50)))
-    return Ordinal({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-3}, theta, best_cut(up, toxic))
+    return Ordinal({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-3}, theta, best_cut(up, toxic, weight))
+
+
+def root_ratio(in_bad: int, in_good: int, bad: int, good: int) -> float:
+    """Root of the likelihood-ratio statistic of a feature that so many toxic and other documents hold."""
+    n, total = in_bad + in_good, bad + good
+    cells = ((in_bad, n, bad), (in_good, n, good), (bad - in_bad, total - n, bad), (good - in_good, total - n, good))
+    return math.sqrt(max(0.0, 2 * sum(seen * math.log(seen * total / (row * col)) for seen, row, col in cells if seen)))
 
 
-def best_cut(chance: np.ndarray, toxic: np.ndarray) -> float:
-    """The cut between neighbouring chances, 0.5 at most, that gives the largest F1 on the sample."""
+def best_cut(chance: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
+    """The cut between neighbouring chances, 0.5 at most, that gives the largest F1 on the weighted sample."""
     order = np.argsort(-chance, kind="stable")
-    ranked, hits = chance[order], np.cumsum(toxic[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + toxic.sum())
+    ranked, hits = chance[order], np.cumsum((toxic * weight)[order])
+    f1 = 2 * hits / (np.cumsum(weight[order]) + (toxic * weight).sum())
     f1[:-1][ranked[:-1] == ranked[1:]] = 0  # no cut within equal chances
     at = int(np.argmax(f1))
     below = ranked[at + 1] if at + 1 < len(ranked) else 0.0

@@ -251,6 +251,26 @@ def test_toxic_documents_are_held_out_well(spark):
     assert kept.columns == docs(spark, more).columns
 
 
+def test_rare_toxic_documents_are_all_in_the_sample(spark):
+    rng = random.Random(31)
+    rows = [(i, text(rng, 25) + (" nasty" if i % 250 == 0 else "")) for i in range(3000)]
+    labels = spark.createDataFrame([(i, int(i % 250 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, rows), labels, fit_docs=300)
+    assert "nasty" in model.weights
+    assert {r.doc_id for r in toxicity.score(docs(spark, rows), model).collect() if r.toxic} == set(range(0, 3000, 250))
+
+
+def test_few_labels_still_mark_words(spark, caplog):
+    rng = random.Random(32)
+    rows = [(i, text(rng, 25) + (" nasty" if i % 16 == 0 else "")) for i in range(80)]
+    label = lambda rule: spark.createDataFrame([(i, int(rule(i))) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, rows), label(lambda i: i % 8 == 0))
+    assert "nasty" in model.weights
+    assert {r.doc_id for r in toxicity.score(docs(spark, rows), model).collect() if r.toxic} >= set(range(0, 80, 16))
+    same = [(i, "same words in each of them " + str(i)) for i in range(80)]
+    assert toxicity.fit(docs(spark, same), label(lambda i: i % 8 == 0)).weights == {} and "no feature" in caplog.text
+
+
 def test_no_labels_means_nothing_is_toxic(spark):
     rows, _ = labelled(n=20)
     none = spark.createDataFrame([], "doc_id long, toxic int")
