@@ -43,8 +43,6 @@ LEAST_IMPORTANCE = 0.25
 SITE_PAGES = 20
 #: What all sites lose is broadcast up to this size; beyond it, the join by host deals each host over so many tasks.
 BROADCAST_BYTES, SALTS = 32 << 20, 64
-#: Levels below the root that enter the style tree.
-DEPTH = 8
 
 
 class Page:
@@ -90,7 +88,8 @@ class Page:
         parent = self._stack[-1] if self._stack else -1
         found = {k.lower(): (a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
         style = ".".join([tag, *sorted(found.get("class", "").split())]) + ("#" + found["id"] if found.get("id") else "")
-        path = style if parent < 0 else f"{self.nodes[parent][1]}>{style}"
+        # a hash stands for what is above, so that paths stay short at any depth
+        path = style if parent < 0 else f"{xxhash.xxh64_hexdigest(self.nodes[parent][1])}>{style}"
         if parent >= 0 and block:
             self.nodes[parent][6].append(style)
         furniture = self._furniture(tag, found)
@@ -143,7 +142,7 @@ class Page:
         """(path, content, presentation) of the style-tree elements: those that hold other blocks or bear a class or id, and aren't furniture by name."""
         rows = []
         for tag, path, parent, first, end, furniture, children in self.nodes:
-            if furniture or tag in INLINE or tag in ("html", "body") or path.count(">") > DEPTH or not (children or path.rpartition(">")[2] != tag):
+            if furniture or tag in INLINE or tag in ("html", "body") or not (children or path.rpartition(">")[2] != tag):
                 continue
             if not any(self.nodes[i][5] for i in self._above(parent)):
                 rows.append((path, xxhash.xxh64_intdigest(self.text(first, end)) >> 1, xxhash.xxh64_intdigest(" ".join(children)) >> 1))

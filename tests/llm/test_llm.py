@@ -649,6 +649,16 @@ def test_what_a_site_shares_goes(spark):
     assert html_extract.extract_text(pages(spark, [r[:3] for r in rows]).limit(0)).count() == 0
 
 
+def test_a_shared_block_falls_at_any_depth(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for i in range(40):
+        own = text(rng, 40)
+        rows.append((i, f"http://deep.example/{i}", "<html><body>" + "<div>" * 12 + "<div class='x'><p>Same on all pages</p></div><div class='y'><p>" + own + "</p></div>" + "</div>" * 12))
+        want[i] = own
+    assert {r.page_id: r.text for r in html_extract.extract_text(pages(spark, rows)).collect()} == want
+
+
 def test_articles_of_the_test_pages(spark):
     import os
 
