@@ -189,11 +189,14 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(h, *r) for h, source in zip(pdf["host"], pdf["html"], strict=True) for r in Page(source).tree_rows()]
-            yield pd.DataFrame(rows, columns=["host", "path", "content", "look"])
+            rows = [
+                (h, xxhash.xxh64_intdigest(source) >> 1, n, *r) for h, source in zip(pdf["host"], pdf["html"], strict=True) for n, r in enumerate(Page(source).tree_rows())
+            ]
+            yield pd.DataFrame(rows, columns=["host", "page", "n", "path", "content", "look"])
 
     source = pages.select(_host().alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    elements = settle(source.mapInPandas(run, "host string, path string, content long, look long"))
+    # copies of a page count once for its host; their elements are told apart by page and number, so no html is shuffled
+    elements = settle(source.mapInPandas(run, "host string, page long, n int, path string, content long, look long").distinct().drop("page", "n"))
 
     def entropies(keys: list[str]) -> DataFrame:
         def entropy(value: str) -> DataFrame:

@@ -659,6 +659,14 @@ def test_a_shared_block_falls_at_any_depth(spark):
     assert {r.page_id: r.text for r in html_extract.extract_text(pages(spark, rows)).collect()} == want
 
 
+def test_copies_of_a_page_count_once(spark):
+    rng = random.Random(6)
+    body = lambda own: f"<div class='top'><p>Welcome</p></div><div class='story'><p>{own}</p></div>"
+    rows = [(i, f"http://copies.example/{i}", body(text(rng, 40) if i < 100 else "the copy of one page")) for i in range(1100)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(pages(spark, rows)).collect()}
+    assert got[1099] == "the copy of one page" and all(len(got[i]) > 40 and "Welcome" not in got[i] for i in range(100))
+
+
 def test_articles_of_the_test_pages(spark):
     import os
 
