@@ -383,3 +383,9 @@ def test_streamed_fills_once_and_hourly_bars(spark):
         spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(ticks)
     got = drained(records.bars(spark.readStream.schema(schema).parquet(ticks), ["symbol"], "h1"), "hour_bars", "update")
     assert sorted((r.open, r.high, r.low, r.close, r.ticks) for r in got)[-1] == (5, 9, 5, 9, 2)
+
+
+def test_orphans_and_what_hangs_below_have_no_depth(spark):
+    rows = [(1, "a", None), (1, "b", "a"), (1, "c", "b"), (1, "x", "gone"), (1, "y", "x"), (1, "z", "y")]
+    df = spark.createDataFrame(rows, "correlation_id long, event_id string, causation_id string")
+    assert {(r.event_id, r.depth) for r in audit.depths(df).collect()} == {("a", 0), ("b", 1), ("c", 2)}
