@@ -17,162 +17,209 @@ from .common import settle
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-FURNITURE = frozenset("head nav footer aside form script style noscript template iframe svg math object canvas audio video map button select input textarea dialog menu noembed noframes title".split())
-MAIN = frozenset(["article", "main"])
+#: Never text of the page: scripts, styles, forms and their parts, embedded media.
+NO_TEXT = frozenset("head script style form noscript template iframe svg object canvas audio video map button select input textarea noembed noframes title".split())
+#: What a page itself declares as furniture, and words of class and id that tell of it outside an article.
+FURNITURE = frozenset("nav footer aside menu dialog".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar widget"
     " widgets footer masthead topbar cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing"
-    " social related recommended comment comments commentlist reply replies respond discussion disqus toolbar pager pagination copyright legal skip search searchbox form".split()
+    " social related recommended toolbar pager pagination copyright legal skip search searchbox form".split()
 )
-COMMENT_WORDS = frozenset("comment comments reply replies discussion disqus respond".split())
+#: Whole classes and ids that tell of an advert even within an article.
+ADVERTS = frozenset("ad ads advert adverts advertisement adsbygoogle sponsored".split())
+#: Readers' comments are as unlike each other as articles, so only their name tells: by its words outside an article, by the whole class or id within.
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies discussion disqus respond".split())
+COMMENTS = frozenset("comment comments commentlist comment-list replies respond disqus_thread".split())
+MAIN = frozenset(["article", "main"])
 #: An element of the first kind ends an open one of the second.
 ENDS = {t: ("p",) for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}
 ENDS |= {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Open elements that an implied or stray end does not reach beyond.
 FENCE = frozenset("article main section div nav aside footer header table ul ol body html form td th".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+REST = re.compile(r"((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
-#: Weight of a node's own presentation against its content, as in the composite importance of style trees.
+#: Kinds of elements: plain, plain by a class or id of its own within an article, bare within an article, furniture by words, furniture as declared.
+PLAIN, CLASSED, BARE, WORDED, DECLARED = range(5)
+#: What is expected of each kind before a site speaks, as importance of so many pages, and the least share this keeps however many pages a site has.
+PRIOR = {PLAIN: 0.8, CLASSED: 1.0, WORDED: 0.0, DECLARED: 0.0}
+PRIOR_PAGES = 10
+PRIOR_SHARE = {PLAIN: 0.0, CLASSED: 0.0, WORDED: 0.3, DECLARED: 0.5}
+#: Weight of a node's content against its own presentation, to the power of the number of presentations.
 GAMMA = 0.9
-#: Branches below this importance go. A site's own statistics count fully from about so many pages on.
-LEAST_IMPORTANCE = 0.25
-SITE_PAGES = 20
-#: What all sites lose is broadcast up to this size; beyond it, the join by host deals each host over so many tasks.
+#: Elements below this importance go.
+LEAST_IMPORTANCE = 0.6
+#: Plain elements from this importance on are not told page by page: they stay.
+SURE = 0.9
+#: Site trees are broadcast up to this size; beyond it, the join by host deals each host over so many tasks.
 BROADCAST_BYTES, SALTS = 32 << 20, 64
 
 
 class Page:
-    """A page's elements and text pieces: each element has its path of styles and its range of pieces."""
+    """A page's text pieces and elements. Each element has its path of styles (as a hash), its kind, and what text it has itself, inline elements included.
+
+    One pass over the source and constant work for each tag, at any depth.
+    """
 
     def __init__(self, source: str):
         self.pieces: list[str] = []
-        self.nodes: list[list] = []  # tag, path, parent, first piece, end, is furniture, children's styles
-        self._stack: list[int] = []
-        at = 0
+        self.owners: list[int] = []
+        self.paths: list[int] = []
+        self.kinds: list[int] = []
+        self.gone: list[bool] = []
+        self.looks: list[list[str]] = []
+        self._stack: list[tuple[str, int]] = []  # tag, element that owns text here
+        self._open: dict[str, list[int]] = {}  # places in the stack of each tag
+        self._fences: list[int] = []
+        self._main = 0
+        self._element("", {}, -1)
+        at, last, quoted = 0, source.rfind(">"), True
         while at < len(source):
-            m = TOKEN.search(source, at)
+            m = TAG.search(source, at) if at <= last else None
             if not m:
                 self._text(source[at:])
                 break
             self._text(source[at : m.start()])
             at = m.end()
-            tag = (m[2] or m[5] or "").lower()
-            if not tag:
+            if not m[2]:
                 continue
-            if m[1] or m[4]:
+            # quotes that never close are characters, from here to the end of the page
+            rest = REST.match(source, at) if quoted else None
+            if rest:
+                attributes, at = rest[1], rest.end()
+            else:
+                quoted = False
+                end = source.find(">", at)
+                if end < 0:
+                    self._text(source[m.start() :])
+                    break
+                attributes, at = source[at:end], end + 1
+            tag = m[2].lower()
+            if m[1]:
                 self._end(tag)
             else:
-                self._start(tag, m[3] or m[6] or "")
+                self._start(tag, attributes)
                 if tag in RAW:
                     end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
                     at = end.start() if end else len(source)
-        while self._stack:
-            self._pop()
+
+    def _owner(self) -> int:
+        return self._stack[-1][1] if self._stack else 0
 
     def _text(self, text: str) -> None:
         if text:
             self.pieces.append(entities.unescape(text) if "&" in text else text)
+            self.owners.append(self._owner())
+
+    def _break(self) -> None:
+        self.pieces.append("\n")
+        self.owners.append(self._owner())
 
     def _start(self, tag: str, attributes: str) -> None:
         for other in ENDS.get(tag, ()):
-            self._implied_end(other)
-        block = tag not in INLINE
-        if block:
-            self.pieces.append("\n")
-        if tag in VOID:
-            return
-        parent = self._stack[-1] if self._stack else -1
-        found = {k.lower(): (a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
-        style = ".".join([tag, *sorted(found.get("class", "").split())]) + ("#" + found["id"] if found.get("id") else "")
-        # a hash stands for what is above, so that paths stay short at any depth
-        path = style if parent < 0 else f"{xxhash.xxh64_hexdigest(self.nodes[parent][1])}>{style}"
-        if parent >= 0 and block:
-            self.nodes[parent][6].append(style)
-        furniture = self._furniture(tag, found)
-        self._stack.append(len(self.nodes))
-        self.nodes.append([tag, path, parent, len(self.pieces), 0, furniture, []])
-
-    def _furniture(self, tag: str, found: dict[str, str]) -> bool:
-        within = any(self.nodes[i][0] in MAIN for i in self._stack)
-        words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower())) if found else set()
-        if tag in ("html", "body"):
-            return False
-        if tag in MAIN:
-            return bool(words & COMMENT_WORDS)
-        style = found.get("style", "").replace(" ", "").lower()
-        return (
-            tag in FURNITURE or not within and (tag == "header" or "header" in words) or found.get("role", "").lower() in FURNITURE_ROLES
-            or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or bool(words & FURNITURE_WORDS)
-        )
-
-    def _pop(self) -> None:
-        node = self.nodes[self._stack.pop()]
-        node[4] = len(self.pieces)
-        if node[0] not in INLINE:
-            self.pieces.append("\n")
-
-    def _implied_end(self, tag: str) -> None:
-        for i in range(len(self._stack) - 1, -1, -1):
-            open_tag = self.nodes[self._stack[i]][0]
-            if open_tag == tag:
-                while len(self._stack) > i:
-                    self._pop()
+            at = self._open.get(other)
+            if at and (not self._fences or at[-1] >= self._fences[-1]):
+                self._pop_to(at[-1])
+        owner = self._owner()
+        self.looks[owner].append(tag)
+        if tag in INLINE:
+            if tag in VOID:
                 return
-            if open_tag in FENCE:
+        else:
+            self._break()
+            if tag in VOID:
                 return
+            found = {k.lower(): (a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
+            owner = self._element(tag, found, owner)
+        if tag in FENCE:
+            self._fences.append(len(self._stack))
+        self._open.setdefault(tag, []).append(len(self._stack))
+        self._stack.append((tag, owner))
+        self._main += tag in MAIN
+
+    def _element(self, tag: str, found: dict[str, str], parent: int) -> int:
+        """A new element below ``parent``; what is said of an element holds for all below it."""
+        classes = sorted(found.get("class", "").split())
+        style = ".".join([tag, *classes]) + ("#" + found["id"] if found.get("id") else "")
+        above = self.paths[parent] if parent >= 0 else 0
+        self.paths.append(xxhash.xxh64_intdigest(f"{above}>{style}") >> 1)
+        self.looks.append([])
+        self.kinds.append(self._kind(tag, found, self.kinds[parent] if parent >= 0 else PLAIN, bool(classes or found.get("id"))))
+        self.gone.append(parent >= 0 and self.gone[parent] or self._no_text(tag, found))
+        return len(self.paths) - 1
+
+    def _kind(self, tag: str, found: dict[str, str], above: int, named: bool) -> int:
+        if above == DECLARED or above == WORDED and tag not in MAIN:
+            return above
+        if tag in FURNITURE or tag == "header" and not self._main or found.get("role", "").lower() in FURNITURE_ROLES:
+            return DECLARED
+        whole, words = _names(found)
+        if tag not in MAIN and tag not in ("html", "body") and (whole & ADVERTS or not self._main and words & FURNITURE_WORDS | words & {"header"}):
+            return WORDED
+        if not self._main and tag not in MAIN:
+            return PLAIN
+        return CLASSED if above == CLASSED or named and tag not in MAIN else BARE
+
+    def _no_text(self, tag: str, found: dict[str, str]) -> bool:
+        style = found.get("style", "").replace(" ", "").lower()
+        if tag in NO_TEXT or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style:
+            return True
+        whole, words = _names(found)
+        return tag not in ("html", "body") and bool(whole & COMMENTS if self._main else words & COMMENT_WORDS)
+
+    def _pop_to(self, place: int) -> None:
+        while len(self._stack) > place:
+            tag, _ = self._stack.pop()
+            self._open[tag].pop()
+            if tag in FENCE:
+                self._fences.pop()
+            self._main -= tag in MAIN
+            if tag not in INLINE:
+                self._break()
 
     def _end(self, tag: str) -> None:
-        for i in range(len(self._stack) - 1, -1, -1):
-            open_tag = self.nodes[self._stack[i]][0]
-            if open_tag == tag:
-                while len(self._stack) > i:
-                    self._pop()
-                return
-            if open_tag in FENCE and tag not in FENCE:
-                return
+        at = self._open.get(tag)
+        if at and (tag in FENCE or not self._fences or at[-1] > self._fences[-1]):
+            self._pop_to(at[-1])
+
+    def nodes(self) -> list[tuple[int, int, int]]:
+        """(path, content, presentation) of each element with text of its own: hashes of that text and of its children's tags."""
+        own: dict[int, list[str]] = {}
+        for piece, owner in zip(self.pieces, self.owners, strict=True):
+            if not self.gone[owner]:
+                own.setdefault(owner, []).append(piece)
+        texts = ((i, " ".join("".join(parts).split())) for i, parts in own.items())
+        digest = xxhash.xxh64_intdigest
+        return [(self.paths[i], digest(f"{self.paths[i]} {t}") >> 1, digest(" ".join(self.looks[i])) >> 1) for i, t in texts if t]
+
+    def main_text(self, tree: dict[int, tuple[int, float]], least: float = LEAST_IMPORTANCE) -> str:
+        """The page's text less what is no text and elements whose importance is below ``least``; ``tree`` has (pages, importance) by path.
+
+        If nothing is left, what lies in an article or bears no name of furniture is.
+        """
+        stays = [not gone and (kind == BARE or importance(kind, *tree.get(path, (0, 1.0))) >= least) for path, kind, gone in zip(self.paths, self.kinds, self.gone, strict=True)]
+        text = self._joined(stays)
+        return text or self._joined([not gone and kind in (PLAIN, CLASSED, BARE) for kind, gone in zip(self.kinds, self.gone, strict=True)])
 
-    def text(self, first: int, end: int) -> str:
-        return " ".join("".join(self.pieces[first:end]).split())
+    def _joined(self, stays: list[bool]) -> str:
+        return " ".join("".join([p for p, o in zip(self.pieces, self.owners, strict=True) if stays[o] or p == "\n"]).split())
 
-    def tree_rows(self) -> list[tuple[str, int, int]]:
-        """(path, content, presentation) of the style-tree elements: those that hold other blocks or bear a class or id, and aren't furniture by name."""
-        rows = []
-        for tag, path, parent, first, end, furniture, children in self.nodes:
-            if furniture or tag in INLINE or tag in ("html", "body") or not (children or path.rpartition(">")[2] != tag):
-                continue
-            if not any(self.nodes[i][5] for i in self._above(parent)):
-                rows.append((path, xxhash.xxh64_intdigest(self.text(first, end)) >> 1, xxhash.xxh64_intdigest(" ".join(children)) >> 1))
-        return rows
 
-    def _above(self, i: int) -> Iterator[int]:
-        while i >= 0:
-            yield i
-            i = self.nodes[i][2]
+def _names(found: dict[str, str]) -> tuple[set[str], set[str]]:
+    """Whole classes and ids, and the words in them."""
+    names = f"{found.get('class', '')} {found.get('id', '')}".lower()
+    return set(names.split()), set(re.split(r"[^a-z]+", names)) if found else set()
 
-    def main_text(self, unimportant: set[str]) -> str:
-        """The text of the article or main elements (without any: of the page), less furniture and unimportant branches.
 
-        Within an article, a branch falls to its importance only if it bears a class or id.
-        """
-        drop = [False] * len(self.nodes)
-        within = [False] * len(self.nodes)
-        for i, (tag, path, parent, *_, furniture, _) in enumerate(self.nodes):
-            inside = parent >= 0 and within[parent]
-            within[i] = inside or tag in MAIN
-            fallen = path in unimportant and tag not in MAIN and (not inside or path.rpartition(">")[2] != tag)
-            drop[i] = furniture or fallen or parent >= 0 and drop[parent]
-        roots = [i for i, n in enumerate(self.nodes) if n[0] == "article" and not drop[i]] or [i for i, n in enumerate(self.nodes) if n[0] == "main" and not drop[i]]
-        keep = bytearray(len(self.pieces)) if roots else bytearray(b"\1") * len(self.pieces)
-        for i in roots:
-            keep[self.nodes[i][3] : self.nodes[i][4]] = b"\1" * (self.nodes[i][4] - self.nodes[i][3])
-        for i, n in enumerate(self.nodes):
-            if drop[i]:
-                keep[n[3] : n[4]] = b"\0" * (n[4] - n[3])
-        return " ".join("".join(p for p, k in zip(self.pieces, keep, strict=True) if k).split())
+def importance(kind: int, pages: int, seen: float) -> float:
+    """What a site's ``pages`` with such an element have shown (``seen``), drawn to what its kind lets expect."""
+    share = max(PRIOR_PAGES / (PRIOR_PAGES + pages), PRIOR_SHARE[kind])
+    return share * PRIOR[kind] + (1 - share) * seen
 
 
 def _host(url: str = "url"):
@@ -180,61 +227,76 @@ def _host(url: str = "url"):
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path and importance (0 to 1) of the style-tree elements of ``pages`` (url, html).
+    """host, path, pages and importance (0 to 1) of the elements with text on the pages (url, html) of each host.
 
-    Per host and path, over its m distinct pages: content is the entropy of the element's text, presentation that of its children's
-    styles, both to the base m. Importance is their mean, with weight ``GAMMA`` ** children on content. Hosts with few pages lean
-    on the tree of all hosts: n pages count n against ``SITE_PAGES``. All sums are grouped by host, path and value, so a host with very many pages is no hot key.
+    Pages merge by host and path; m of a host's distinct pages have the path. A text on k of them has entropy log k to the base m, or, if that is more, what it has
+    among the pages of all hosts. Content importance is 1 less the mean entropy of an element's texts. Presentation importance is the entropy of its children's tags.
+    Importance is content, raised by presentation where that is more, with weight 1 - ``GAMMA`` ** presentations.
+    Only hashes are shuffled, counted before they are; copies of a page count once for their host.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [
-                (h, xxhash.xxh64_intdigest(source) >> 1, n, *r) for h, source in zip(pdf["host"], pdf["html"], strict=True) for n, r in enumerate(Page(source).tree_rows())
-            ]
-            yield pd.DataFrame(rows, columns=["host", "page", "n", "path", "content", "look"])
+            rows = [(h, xxhash.xxh64_intdigest(source) >> 1, *map(list, zip(*Page(source).nodes(), strict=True))) for h, source in zip(pdf["host"], pdf["html"], strict=True)]
+            yield pd.DataFrame([r if len(r) == 5 else (*r, [], [], []) for r in rows], columns=["host", "page", "path", "content", "look"])
 
     source = pages.select(_host().alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    # copies of a page count once for its host; their elements are told apart by page and number, so no html is shuffled
-    elements = settle(source.mapInPandas(run, "host string, page long, n int, path string, content long, look long").distinct().drop("page", "n"))
-
-    def entropies(keys: list[str]) -> DataFrame:
-        def entropy(value: str) -> DataFrame:
-            by = elements.groupBy(*keys, value).agg(F.count("*").alias("c"))
-            total = by.groupBy(*keys).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log2("c")).alias("s"), F.count("*").alias("kinds"))
-            return total.select(*keys, "m", F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log2("m"))).otherwise(1.0).alias(value), F.col("kinds").alias(f"{value}_kinds"))
-
-        return entropy("content").join(entropy("look").drop("m"), keys)
-
-    def importance(looks: str, content: str, kinds: str):
-        weight = F.pow(F.lit(GAMMA), F.least(F.col(kinds), F.lit(10)))
-        return (1 - weight) * F.greatest(looks, content) + weight * F.col(content)
-
-    site = entropies(["host", "path"]).withColumn("own", importance("look", "content", "look_kinds")).select("host", "path", "m", "own")
-    every = entropies(["path"]).withColumn("all", importance("look", "content", "look_kinds")).select("path", "all")
-    share = F.col("m") / (F.col("m") + SITE_PAGES)
-    return site.join(every, "path").select("host", "path", (share * F.col("own") + (1 - share) * F.col("all")).alias("importance"))
+    parsed = source.mapInPandas(run, "host string, page long, path array<long>, content array<long>, look array<long>")
+    each = settle(parsed.dropDuplicates(["host", "page"]).select("host", F.arrays_zip("path", "content", "look").alias("e")))
+    node = F.col("e").getItem
+    key = ["host", "path"]
+
+    def counted(value: str) -> DataFrame:
+        """Pages of each host, path and value: within a page, like values count once."""
+        pairs = F.array_distinct(F.transform("e", lambda e: F.struct(e["path"].alias("path"), e[value].alias(value))))
+        return each.select("host", F.explode(pairs).alias("e")).select("host", "e.*").groupBy(*key, value).agg(F.count("*").alias("k"))
+
+    with_path = each.select("host", F.explode(F.array_distinct(F.transform("e", lambda e: e["path"]))).alias("path"))
+    own = with_path.groupBy(*key).agg(F.count("*").alias("m"))
+    held = settle(own.join(own.groupBy("path").agg(F.sum("m").alias("every")), "path"))
+    texts = settle(counted("content"))
+    # texts on one page only have no entropy: they aren't joined
+    repeated = texts.groupBy("content").agg(F.sum("k").alias("all")).where(F.col("all") > 1)
+    kinds = texts.join(repeated, "content").groupBy(*key, "k", "all").agg(F.sum("k").alias("n"))
+    entropy = F.greatest(*[F.when(of > 1, F.log(count) / F.log(of)).otherwise(0.0) for count, of in ((F.col("k"), F.col("m")), (F.col("all"), F.col("every")))])
+    shared = kinds.join(held, key).groupBy(*key).agg(F.sum(F.col("n") * entropy).alias("shared"))
+    total = texts.groupBy(*key).agg(F.sum("k").alias("n"))
+    looks = counted("look").groupBy(*key).agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.log("k")).alias("ks"), F.count("*").alias("kinds"))
+    look = F.when(F.col("s") > 1, 1 - F.col("ks") / (F.col("s") * F.log("s"))).otherwise(0.0)
+    content = 1 - F.coalesce("shared", F.lit(0.0)) / F.col("n")
+    weight = F.pow(F.lit(GAMMA), F.least(F.col("kinds"), F.lit(100)))
+    found = held.join(total, key).join(looks, key).join(shared, key, "left").select(*key, F.col("m").alias("pages"), content.alias("content"), look.alias("look"), weight.alias("w"))
+    return found.select(*key, "pages", ((1 - F.col("w")) * F.greatest("content", "look") + F.col("w") * F.col("content")).alias("importance"))
 
 
 def extract_text(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
+    """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html); other columns are left out.
 
     White space is what Unicode calls so. Null html gives an empty text, a null url the host "". Repeated rows stay repeated; page_id may be null. Text after the
-    last tag and unclosed elements are kept. An empty table gives no rows.
+    last tag and unclosed elements are kept; very long and deep pages take time in proportion. An empty table gives no rows.
     """
-    fallen = settle(style_tree(pages).where(F.col("importance") < least).groupBy("host").agg(F.collect_set("path").alias("paths")))
-    size = fallen.agg(F.sum(F.octet_length(F.concat_ws("", "paths")) + F.octet_length("host"))).first()[0] or 0
+    # paths that aren't told count as never repeated: right for plain elements, and for named ones seen on few pages
+    told = style_tree(pages).where((F.col("importance") < SURE) | (F.col("pages") > PRIOR_PAGES / 2))
+    trees = settle(told.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "importance")).alias("tree")))
+    size = trees.agg(F.sum(24 * F.size("tree") + F.octet_length("host"))).first()[0] or 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of: dict[str, dict] = {}
         for pdf in batches:
-            texts = [Page(source).main_text(set(() if paths is None else paths)) for source, paths in zip(pdf["html"], pdf["paths"], strict=True)]
+            texts = []
+            for host, source, tree in zip(pdf["host"], pdf["html"], pdf["tree"], strict=True):
+                if host not in of:
+                    if len(of) >= 256:
+                        of.clear()
+                    of[host] = {} if tree is None else {e["path"]: (e["pages"], e["importance"]) for e in tree}
+                texts.append(Page(source).main_text(of[host], least))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     rows = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), _host().alias("host"))
     if size <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(fallen), "host", "left")
+        joined = rows.join(F.broadcast(trees), "host", "left")
     else:  # a host with very many pages is dealt over SALTS tasks
-        salted = fallen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    found = joined.select("page_id", "url", "html", "paths").mapInPandas(run, "page_id string, url string, text string, n_chars long")
+    found = joined.select("page_id", "url", "html", "host", "tree").mapInPandas(run, "page_id string, url string, text string, n_chars long")
     return found.withColumn("page_id", F.col("page_id").cast("long"))
