@@ -18,6 +18,10 @@ from .common import settle, shared_dir
 #: Payloads below this are never deduplicated.
 LEAST_SHARED = 100
 ARCHIVE_BYTES = 64 << 20
+#: A task reads about so many bytes of archives back.
+SLICE_BYTES = 16 << 20
+#: Shared digests are broadcast up to so many (some 32 MB); beyond it those of at least ``HOT`` rows are, which are at most one in ``HOT`` of all rows, and the others are joined by digest.
+FEW, HOT = 400_000, 10_000
 READ_BYTES = 1 << 20
 LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
@@ -109,23 +113,31 @@ def _chunks(source) -> Iterator[bytes]:
         yield data
 
 
-def mark_revisits(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
+def mark_revisits(pages: DataFrame, least: int = LEAST_SHARED, few: int = FEW, hot: int = HOT) -> DataFrame:
     """``pages`` (page_id, url, html) with payload, digest, record_type and refers_to.
 
     Of equal payloads of at least ``least`` bytes the one with the smallest page_id is the response; a repeated row of that page is
-    a response as well. Rows without page_id revisit it too, and never are its response. Null html is an empty payload.
+    a response as well. Rows without page_id revisit it too, and never are its response. Null html is an empty payload. Digests are shuffled;
+    payloads are only where more than ``few`` digests are shared, and then no digest of ``hot`` or more rows.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
-    shared = (
+    shared = settle(
         rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .where((F.col("n") > 1) & F.col("first").isNotNull()).select(F.col("digest").alias("shared"), "first")
+        .where((F.col("n") > 1) & F.col("first").isNotNull())
     )
+    if shared.count() <= few:
+        joined = rows.join(F.broadcast(shared.drop("n")), "digest", "left")
+    else:
+        often = shared.where(F.col("n") >= hot).select("digest", F.col("first").alias("often"))
+        seldom = shared.where(F.col("n") < hot).select("digest", F.col("first").alias("seldom"))
+        dealt = rows.join(F.broadcast(often), "digest", "left")
+        # rows of hot digests need no join: they are dealt by page instead
+        own = F.when(F.col("often").isNull(), F.col("digest")).otherwise(F.concat_ws(" ", F.lit("page"), "page_id", "url"))
+        joined = dealt.withColumn("own", own).join(seldom.withColumnRenamed("digest", "own"), "own", "left").withColumn("first", F.coalesce("often", "seldom"))
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(shared, rows["digest"] == shared["shared"], "left").select(
-        "page_id", "url", "payload", "digest", F.when(other, "revisit").otherwise("response").alias("record_type"), F.when(other, F.col("first")).alias("refers_to")
-    )
+    return joined.select("page_id", "url", "payload", "digest", F.when(other, "revisit").otherwise("response").alias("record_type"), F.when(other, F.col("first")).alias("refers_to"))
 
 
 def write_archives(marked: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -188,42 +200,60 @@ def normalise(archives: DataFrame) -> DataFrame:
                 scheme = path.removesuffix(own)
                 yield pd.DataFrame({"archive": f"{scheme}{to}.warc.gz", "offset": offsets, "length": lengths})
 
-    return archives.mapInPandas(run, "archive string, offset long, length long")
+    # a task for each archive: a number of partitions that is asked for isn't coalesced
+    return archives.repartition(max(1, archives.count())).mapInPandas(run, "archive string, offset long, length long")
 
 
-def read_records(index: DataFrame) -> DataFrame:
-    """Read the records at ``index`` (archive, offset, length) back.
+def read_records(index: DataFrame, payloads: bool = True, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Read the records at ``index`` (archive, offset, length) back, archives in slices of about ``slice_bytes``.
 
-    Returns page_id, url, payload (of responses), payload_bytes, payload_digest (of a response: computed from the
-    bytes read; of a revisit: as its header says), record_type, refers_to.
+    Returns page_id, url, payload (of responses, if ``payloads``), payload_bytes, payload_digest (computed from the bytes read), named_digest (as the record's header says),
+    record_type, refers_to. Of a revisit payload_bytes and payload_digest are null: ``resolve`` finds them.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path, source = None, None
         for pdf in batches:
             rows = []
-            for archive, offset, length in pdf.sort_values(["archive", "offset"]).itertuples(index=False):
+            for archive, offset, length in pdf[["archive", "offset", "length"]].itertuples(index=False):
                 if archive != path:
                     system, own = _filesystem(archive)
                     path, source = archive, system.open_input_file(own)
                 fields, block = parse_record(gzip.decompress(source.read_at(length, offset)))
                 payload = block.partition(b"\r\n\r\n")[2]
                 whole = fields["warc-type"] == "response"
-                digest = hashlib.sha256(payload).hexdigest() if whole else fields["warc-payload-digest"].partition(":")[2]
-                size = len(payload) if whole else int(fields["x-payload-length"])
-                rows.append((fields.get("x-page-id"), fields.get("warc-target-uri"), payload if whole else None, size, digest, fields["warc-type"], fields.get("x-refers-to-page-id")))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    found = index.mapInPandas(run, "page_id string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string")
+                read = (payload if payloads else None, len(payload), hashlib.sha256(payload).hexdigest()) if whole else (None, None, None)
+                named = fields["warc-payload-digest"].partition(":")[2]
+                rows.append((fields.get("x-page-id"), fields.get("warc-target-uri"), *read, named, fields["warc-type"], fields.get("x-refers-to-page-id")))
+            found = pd.DataFrame(rows, columns=["page_id", "url", "payload", "payload_bytes", "payload_digest", "named_digest", "record_type", "refers_to"])
+            yield found.astype({"payload_bytes": "Int64"})
+
+    sliced = index.withColumn("slice", F.floor(F.col("offset") / slice_bytes))
+    slices = sliced.select("archive", "slice").distinct().count()
+    dealt = sliced.repartition(max(1, slices), "archive", "slice").sortWithinPartitions("archive", "offset")
+    found = dealt.mapInPandas(run, "page_id string, url string, payload binary, payload_bytes long, payload_digest string, named_digest string, record_type string, refers_to string")
     return found.withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")})
 
 
-def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write ``pages`` as archives, normalise them and read every record back (columns of ``read_records``).
+def resolve(records: DataFrame, responses: DataFrame) -> DataFrame:
+    """``records`` of ``read_records`` with payload_bytes and payload_digest of revisits as read from the response they refer to; null where there is none."""
+    named = F.col("named_digest")
+    wanted = records.where("record_type = 'revisit'").select("refers_to", named.alias("payload_digest")).distinct()
+    read = responses.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes")
+    # one row for each response that is referred to, however many revisits it has
+    found = settle(read.join(wanted, ["refers_to", "payload_digest"], "left_semi").distinct())
+    to = found.select("refers_to", F.col("payload_digest").alias("named_digest"), "payload_digest", "payload_bytes")
+    revisits = records.where("record_type = 'revisit'").drop("payload_digest", "payload_bytes").join(to, ["refers_to", "named_digest"], "left")
+    return records.where("record_type <> 'revisit'").unionByName(revisits).drop("named_digest")
+
+
+def archive_pages(pages: DataFrame, folder: str | None = None, payloads: bool = False) -> DataFrame:
+    """Write ``pages`` (page_id, url, html; other columns are left out) as archives, normalise them and read every record back: columns of ``read_records``, revisits resolved.
 
-    Null html is an empty payload, null urls read back as "urn:none", repeated rows stay repeated, an empty table writes nothing.
+    Null html is an empty payload, null urls read back as "urn:none", repeated rows stay repeated, very long pages are records like any other, an empty table writes nothing.
     """
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     archives = settle(write_archives(mark_revisits(pages), folder))
-    index = settle(normalise(archives.repartition("archive")))
-    return read_records(index)
+    index = settle(normalise(archives))
+    records = settle(read_records(index, False))
+    return resolve(read_records(index) if payloads else records, records)

@@ -589,7 +589,7 @@ def pages(spark, rows):
 def test_archives(spark):
     long, short = "<p>" + "y" * 200, "<p>short"
     rows = [(5, "http://a/", long), (3, "http://b/", long), (9, None, long), (1, "u", short), (2, "u", short), (4, "u", None), (6, "u", ""), (7, "u", "é" * 50), (8, "u", "é" * 50), (None, "u", long), (3, "http://b/", long), (10, "u v", "z" * 300_000)]
-    got = warc.archive_pages(pages(spark, rows), tempfile.mkdtemp(prefix="barloom-warc-")).collect()
+    got = warc.archive_pages(pages(spark, rows), tempfile.mkdtemp(prefix="barloom-warc-"), payloads=True).collect()
     assert len(got) == len(rows)
     want = []
     for i, _, h in rows:
@@ -603,6 +603,35 @@ def test_archives(spark):
     assert warc.archive_pages(pages(spark, rows).limit(0), tempfile.mkdtemp()).count() == 0
 
 
+def test_revisits_are_read_through_their_response(spark):
+    """Digest and size of a revisit come from the archived response: they are null once that is gone."""
+    from barloom.llm.common import settle
+
+    rows = [(i, "u", "same " * 50 if i < 8 else f"other {i} " * 30) for i in range(12)]
+    archives = settle(warc.write_archives(warc.mark_revisits(pages(spark, rows)), tempfile.mkdtemp(prefix="barloom-warc-")))
+    records = settle(warc.read_records(settle(warc.normalise(archives)), False))
+    assert {r.payload_bytes for r in warc.resolve(records, records).where("record_type = 'revisit'").collect()} == {250}
+    gone = warc.resolve(records, records.where("page_id <> 0")).where("record_type = 'revisit'").collect()
+    assert len(gone) == 7 and {r.payload_bytes for r in gone} == {None} == {r.payload_digest for r in gone}
+
+
+def test_many_shared_digests_are_joined_by_digest(spark):
+    rows = [(i, "u", f"{'hot' if i % 2 else i // 10} " * 80) for i in range(200)]
+    key = lambda r: (r.page_id, r.record_type, r.refers_to)
+    one = {key(r) for r in warc.mark_revisits(pages(spark, rows)).collect()}
+    assert one == {key(r) for r in warc.mark_revisits(pages(spark, rows), few=1, hot=20).collect()} and len(one) == 200
+
+
+def test_each_archive_has_its_task(spark):
+    from barloom.llm.common import settle
+
+    rows = [(i, "u", f"page {i} " * 100) for i in range(60)]
+    archives = settle(warc.write_archives(warc.mark_revisits(pages(spark, rows)).repartition(3), tempfile.mkdtemp(prefix="barloom-warc-"), archive_bytes=5000))
+    index = warc.normalise(archives)
+    assert archives.count() > 6 and index.rdd.getNumPartitions() == archives.count()
+    assert warc.read_records(settle(index), slice_bytes=500).rdd.getNumPartitions() > archives.count()
+
+
 def test_records_become_members(spark):
     folder = tempfile.mkdtemp(prefix="barloom-warc-")
     records = [warc.record("response", i, "u", b"x\r\n\r\ny" * i, "d", None) for i in range(20)]
