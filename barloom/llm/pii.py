@@ -201,7 +201,10 @@ def _numbers(text: str, base: list[Span]) -> list[tuple[Span, tuple[tuple, list[
 
 
 def graph_of(text: str, base: list[Span], failed: list[Span]) -> Graph:
-    """Mentions in order. Skips link each to the first and to the last earlier one that is the same, and likewise alike: so edges grow with mentions, and a label reaches any repeat over two."""
+    """Mentions in order. Skips link each to the one before that is the same, and to the first and last base span in the document that are the same or alike.
+
+    So edges grow with mentions, a label reaches any repeat over one edge, and, base spans being held, hardly a loop is left among the others.
+    """
     covered = sorted((s, e) for s, _, e in base)
     ends = list(accumulate((e for _, e in covered), max))
     free = lambda s, e: not (i := bisect_left(covered, (e,))) or ends[i - 1] <= s
@@ -237,20 +240,25 @@ def graph_of(text: str, base: list[Span], failed: list[Span]) -> Graph:
             i = group[i]
         return i
 
-    first: dict[tuple, int] = {}
+    bases: dict[tuple, list[int]] = {}  # first and last base span of each key
+    for i, place in enumerate(places):
+        if mentions[place][0]:
+            own, others = mentions[place][2]
+            for key in (own, *others):
+                bases[key] = [bases.get(key, [i])[0], i]
     last: dict[tuple, int] = {}
     for i, place in enumerate(places):
         if i and place[0] - places[i - 1][1] <= GAP:
             chain.append((i - 1, i))
-        own, others = mentions[place][2]
-        for keys, edges in (([own], same), (others, alike)):
-            for j in {side[key] for key in keys for side in (first, last) if key in side}:
-                if edges is same or mentions[places[j]][2][0] != own:
-                    edges.append((j, i))
-                    group[top(i)] = top(j)
-        for key in (own, *others):
-            first.setdefault(key, i)
-            last[key] = i
+        label, _, (own, others) = mentions[place]
+        twins = {last[own]} if own in last else set()
+        if not label:
+            twins.update(bases.get(own, ()))
+            alike += [(j, i) for j in {j for key in others for j in bases.get(key, ())} if mentions[places[j]][2][0] != own]
+        same += [(j, i) for j in twins]
+        last[own] = i
+    for j, i in same + alike:
+        group[top(i)] = top(j)
     held: dict[int, set[int]] = {}
     for i, place in enumerate(places):
         held.setdefault(top(i), set()).add(mentions[place][0])
