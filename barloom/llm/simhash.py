@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import uuid
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -16,19 +18,22 @@ from .components import components
 
 BITS = 64
 RADIUS = 3
-#: Blocks of bits that the upper nodes' masks are made of.
-BLOCKS = 4
+#: Fingerprints that an upper node should hold: masks get as many bits as that takes.
+NODE = 8192
 #: More fingerprints than this in one upper node are compared by pairs of chunks, in tasks of their own.
-NODE_CAP = 8192
-LEAVES = 32
+NODE_CAP = 32_768
+#: Children of a node of the Gray index, pairs of nodes compared at a time, and rows that a task takes.
+FAN, BATCH, TASK_ROWS = 4, 1 << 16, 1 << 16
 #: The pipeline's contract: word shingles of this length, linked from this Jaccard similarity on.
 SIMILAR_WORDS, SIMILAR = 5, 0.8
-#: Fingerprints propose candidates up to this radius, in so many blocks.
-WIDE_RADIUS, WIDE_BLOCKS = 6, 8
 #: Candidates that fingerprints can't reach: texts that agree on all minima of a band of shingle hashes. At Jaccard 0.8 some band agrees with a chance of 0.9996.
 BANDS, BAND_ROWS = 20, 5
-#: Within a bucket left with several components, each text is compared with so many next ones in order of fingerprints, in chunks of about so many; pairs with one text are dealt over tasks by so many.
-AHEAD, CHUNK, FAN = 8, 256, 512
+#: The share of all minima that a pair must have in common to be confirmed exactly: at Jaccard 0.8 a chance of 0.9999.
+LEAST_SHARE = 0.65
+#: Texts of a bucket that meet in one task; larger buckets are compared by pairs of chunks. Pairs with one text are dealt over tasks by so many.
+BUCKET_CAP, PAIRS = 4096, 512
+#: In buckets of so many texts or fewer all pairs are proposed at once.
+SMALL = 16
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -71,24 +76,30 @@ def fingerprint_column(text: str = "text", words: int = 3) -> Column:
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """One signed key for each band of minima over the distinct shingle hashes; texts without words share theirs."""
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of each of ``BANDS`` x ``BAND_ROWS`` permutations of the shingle hashes; texts without words share theirs."""
     least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
     for at in range(0, len(hashes), 1 << 12):
         part = hashes[at : at + (1 << 12)].astype(np.uint64)
         least = np.minimum(least, ((part ^ _SEEDS[0]) * (_SEEDS[1] | np.uint64(1))).min(axis=1))
+    return least
+
+
+def band_keys(least: np.ndarray) -> list[int]:
+    """One signed key for each band of minima."""
     digest = xxhash.xxh64_intdigest
     return [(x ^ (1 << 63)) - (1 << 63) for x in (digest(row.tobytes(), 42) for row in least.reshape(BANDS, BAND_ROWS))]
 
 
 def _sketch_column(text: str, words: int) -> Column:
-    """Struct (fp, bands) of a text column."""
+    """Struct (fp, bands, share) of a text column; ``share`` has a byte of each minimum."""
 
-    @F.pandas_udf("fp long, bands array<long>")
+    @F.pandas_udf("fp long, bands array<long>, share binary")
     def of(texts: pd.Series) -> pd.DataFrame:
         hashes = [shingle_hashes(t, words) for t in texts]
         prints = np.array([fold(h) if len(h) else 0 for h in hashes], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"fp": prints, "bands": [band_keys(h) for h in hashes]})
+        least = [minima(h) for h in hashes]
+        return pd.DataFrame({"fp": prints, "bands": [band_keys(m) for m in least], "share": [(m >> np.uint64(40)).astype(np.uint8).tobytes() for m in least]})
 
     return of(F.col(text).cast("string"))
 
@@ -110,20 +121,36 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> bool:
+    """Bring ``root`` (of each place, the least one of its component) up to date with links between ``i`` and ``j``; whether anything changed."""
+    changed = False
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return changed
+        changed = True
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
 class GrayIndex:
     """Fingerprints in Gray order under nodes that hold the bits on which all below them agree.
 
-    Level 0 has the fingerprints; each node of a higher level stands for ``LEAVES`` consecutive nodes of the level below, as
-    (mask of shared bits, pattern). Neighbours in Gray order differ in few bits, so masks are wide. A search drops a
-    node, with all below it, once the differences on its mask exceed the radius.
+    Level 0 has the fingerprints; each node of a higher level stands for ``FAN`` consecutive nodes of the level below, as
+    (mask of shared bits, pattern). Neighbours in Gray order differ in few bits, so masks are wide, and those of a node's children hold its
+    own: differences add up on the way down. A pair of nodes goes, with all pairs below it, once they exceed the radius.
     """
 
     def __init__(self, words: np.ndarray):
         self.words = words[np.argsort(gray_rank(words), kind="stable")]
         self.levels = [(np.full(len(words), ~np.uint64(0)), self.words)]
-        while len(self.levels[-1][0]) > LEAVES:
+        #: Pairs of fingerprints, and of nodes, that searches have compared.
+        self.compared = self.tested = 0
+        while len(self.levels[-1][0]) > FAN:
             mask, pattern = self.levels[-1]
-            at = np.arange(0, len(mask), LEAVES)
+            at = np.arange(0, len(mask), FAN)
             all_one = np.bitwise_and.reduceat(pattern & mask, at)
             all_zero = np.bitwise_and.reduceat(~pattern & mask, at)
             self.levels.append((all_one | all_zero, all_one))
@@ -133,91 +160,116 @@ class GrayIndex:
         mask, pattern = self.levels[-1]
         found = np.flatnonzero(np.bitwise_count((pattern ^ word) & mask) <= radius)
         for mask, pattern in self.levels[-2::-1]:
-            below = (found[:, None] * LEAVES + np.arange(LEAVES)).ravel()
+            below = (found[:, None] * FAN + np.arange(FAN)).ravel()
             below = below[below < len(mask)]
             found = below[np.bitwise_count((pattern[below] ^ word) & mask[below]) <= radius]
         return found
 
     def forest(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Links that join what is connected within ``radius`` (each fingerprint to one of its component), not all pairs."""
-        fresh = np.ones(len(self.words), dtype=bool)
-        child, root = [], []
-        for seed in range(len(self.words)):
-            if not fresh[seed]:
+        """Links that join what is connected within ``radius`` (each fingerprint to one of its component), not all pairs.
+
+        The index is searched with itself, from pairs of top nodes down, in batches; pairs of nodes whose fingerprints all are in one component already go too.
+        """
+        root = np.arange(len(self.words))
+        one: list[np.ndarray] | None = None
+        stack = [(len(self.levels) - 1, *np.triu_indices(len(self.levels[-1][0])))]
+        while stack:
+            level, a, b = stack.pop()
+            if len(a) > BATCH:
+                stack.append((level, a[BATCH:], b[BATCH:]))
+                a, b = a[:BATCH], b[:BATCH]
+            mask, pattern = self.levels[level]
+            if level == 0:
+                a, b = a[a != b], b[a != b]
+                self.compared += len(a)
+                hit = np.bitwise_count(pattern[a] ^ pattern[b]) <= radius
+                if _join(root, a[hit], b[hit]):
+                    one = None
                 continue
-            fresh[seed] = False
-            queue = [seed]
-            while queue:
-                got = self.near(self.words[queue.pop()], radius)
-                got = got[fresh[got]]
-                fresh[got] = False
-                queue += got.tolist()
-                child += got.tolist()
-                root += [seed] * len(got)
-        return self.words[child], self.words[root]
-
-
-def _links(words: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal ``node``: short runs by shifted comparison, long ones through a Gray index."""
-    start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-    size = np.diff(np.r_[start, len(node)])
-    a, b = [], []
-    run = np.repeat(np.arange(len(start)), size)
-    short = np.repeat(size <= LEAVES, size)
-    left, runs = words[short], run[short]
-    for step in range(1, int(size[size <= LEAVES].max(initial=1))):
-        hit = np.flatnonzero((runs[step:] == runs[:-step]) & (np.bitwise_count(left[step:] ^ left[:-step]) <= radius))
-        a.append(left[hit + step])
-        b.append(left[hit])
-    for i in np.flatnonzero(size > LEAVES):
-        x, y = GrayIndex(words[start[i] : start[i] + size[i]]).forest(radius)
-        a.append(x)
-        b.append(y)
-    return (np.concatenate(a), np.concatenate(b)) if a else (words[:0], words[:0])
-
-
-def upper_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
-    """Masks of the index's upper nodes: every choice of ``blocks`` - ``radius`` of equal blocks of bits. Fingerprints within ``radius`` agree on at least one mask."""
+            if one is None:
+                one = [self._one(root, k) for k in range(len(self.levels))]
+            self.tested += len(a)
+            keep = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= radius
+            keep &= (one[level][a] < 0) | (one[level][a] != one[level][b])
+            a, b = a[keep], b[keep]
+            step = np.arange(FAN)
+            below_a = np.repeat(a[:, None] * FAN + step, FAN, axis=1).ravel()
+            below_b = np.tile(b[:, None] * FAN + step, FAN).ravel()
+            keep = (below_a < len(self.levels[level - 1][0])) & (below_b < len(self.levels[level - 1][0])) & ((below_a <= below_b) | np.repeat(a != b, FAN * FAN))
+            stack.append((level - 1, below_a[keep], below_b[keep]))
+        child = np.flatnonzero(root != np.arange(len(root)))
+        return self.words[child], self.words[root[child]]
+
+    def _one(self, root: np.ndarray, level: int) -> np.ndarray:
+        """The component that all fingerprints below each node of ``level`` are in, or -1."""
+        at = np.arange(0, len(root), FAN**level)
+        least = np.minimum.reduceat(root, at)
+        return np.where(least == np.maximum.reduceat(root, at), least, -1)
+
+
+def upper_masks(radius: int = RADIUS, blocks: int = RADIUS + 1, bits: int = BITS) -> list[int]:
+    """Masks of the index's upper nodes: ``bits`` (at most all) of every choice of ``blocks`` - ``radius`` of equal blocks of bits.
+
+    Fingerprints within ``radius`` differ in at most ``radius`` blocks, so they agree on at least one mask.
+    """
     edges = [round(BITS * i / blocks) for i in range(blocks + 1)]
-    parts = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
-    return [sum(c) for c in combinations(parts, blocks - radius)]
+    each = -(-bits // (blocks - radius))
+    parts = [((1 << min(edges[i + 1], edges[i] + each)) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
+    return sorted({sum(c) for c in combinations(parts, blocks - radius)})
+
+
+def layout(n: int, radius: int = RADIUS, node: int = NODE) -> tuple[int, int]:
+    """Blocks, and bits of a mask, for upper nodes of about ``node`` of ``n`` fingerprints; up to ``node`` there is one upper node."""
+    bits, blocks = max(0, math.ceil(math.log2(max(1, n) / node))), radius + 1
+    while (blocks - radius) * (BITS // blocks) < bits and blocks < 2 * radius + 2:
+        blocks += 1
+    return blocks, bits
+
+
+def _grouped(batches: Iterator[pd.DataFrame], columns: list[str], use: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``use`` of rows with whole groups of ``columns``, and where these start, from batches sorted by them; holds one batch and one group."""
+    kept: pd.DataFrame | None = None  # rows of the group that the next batch may go on with
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
+        values = pdf[columns].to_numpy()
+        starts = np.r_[0, np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1]
+        kept = pdf.iloc[starts[-1] :]
+        if len(starts) > 1:
+            yield use(pdf.iloc[: starts[-1]], starts[:-1])
+    if kept is not None:
+        yield use(kept, np.zeros(1, dtype=np.int64))
+
+
+def _dealt(rows: DataFrame, key: str, group: list[str], cap: int) -> DataFrame:
+    """``rows`` with i and j: groups of more than ``cap`` rows are dealt by ``key`` into chunks, and meet as pairs of them. No pair of rows is left out."""
+    large = rows.groupBy(*group).count().where(F.col("count") > cap).select(*group, F.ceil(F.col("count") / cap).alias("chunks"))
+    dealt = rows.join(large, group, "left").withColumn("own", F.pmod(F.xxhash64(key), F.coalesce("chunks", F.lit(1))))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1)).alias("other")
+    return dealt.select(*rows.columns, "own", other).select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
-def linked_fingerprints(words: DataFrame, radius: int = RADIUS, cap: int = NODE_CAP, blocks: int = BLOCKS) -> DataFrame:
+def linked_fingerprints(words: DataFrame, radius: int = RADIUS, cap: int = NODE_CAP, node: int = NODE, task_rows: int = TASK_ROWS) -> DataFrame:
     """``words`` (fp; distinct) to links (a, b) that connect all fingerprints at most ``radius`` bits apart.
 
-    The upper nodes of the index are (mask, shared pattern); each is searched by itself. One with more than ``cap`` fingerprints is
-    dealt into chunks and searched by pairs of chunks; no pair is left out. With four blocks a mask has 16 bits, and a node about a
-    65,536th of all fingerprints; beyond some hundred million of them five (10 masks of about 26 bits) or six (20 of 32) make smaller nodes.
+    The upper nodes of the index are (mask, shared pattern), of about ``node`` fingerprints whatever their number; each is searched by a Gray index of its own.
+    One with more than ``cap`` is dealt into chunks and searched by pairs of chunks; no pair is left out.
     """
-    signed = [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in upper_masks(radius, blocks)]
+    total = words.count()
+    masks = upper_masks(radius, *layout(total, radius, node))
+    signed = [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in masks]
     keyed = words.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("mask", "pattern"))
-    node = ["mask", "pattern"]
-    large = keyed.groupBy(*node).count().where(F.col("count") > cap).select(*node, F.ceil(F.col("count") / cap).alias("chunks"))
-    keyed = keyed.join(large, node, "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1)).alias("other")
-    keyed = keyed.select("fp", *node, "own", other).select("fp", *node, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    columns = [*node, "i", "j"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: pd.DataFrame | None = None  # rows of the node that the next batch may go on with
-        def link(pdf: pd.DataFrame) -> pd.DataFrame:
-            node = pdf.groupby(columns, sort=False).ngroup().to_numpy()
-            a, b = _links(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64), node, radius)
-            return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-        for pdf in batches:
-            pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            last = (pdf[columns] == pdf[columns].iloc[-1]).all(axis=1).to_numpy()
-            kept, whole = pdf[last], pdf[~last]
-            if len(whole):
-                yield link(whole)
-        if kept is not None and len(kept):
-            yield link(kept)
+    columns = ["mask", "pattern", "i", "j"]
+    dealt = _dealt(keyed, "fp", columns[:2], cap)
+
+    def link(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        found = [GrayIndex(part).forest(radius) for part in np.split(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64), starts[1:])]
+        return pd.DataFrame({"a": np.concatenate([a for a, _ in found]).view(np.int64), "b": np.concatenate([b for _, b in found]).view(np.int64)})
 
-    return keyed.repartition(*columns).sortWithinPartitions(*columns).mapInPandas(run, "a long, b long")
+    # rows are few bytes and much work: a number of tasks that is asked for isn't coalesced
+    tasks = max(1, -(-total * len(masks) // task_rows))
+    return dealt.repartition(tasks, *columns).sortWithinPartitions(*columns).mapInPandas(lambda batches: _grouped(batches, columns, link), "a long, b long")
 
 
 def roots(words: DataFrame, radius: int = RADIUS, cap: int = NODE_CAP) -> DataFrame:
@@ -229,7 +281,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3, cap:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id (smallest doc_id reachable) of every row.
 
     Null and empty texts have fingerprint zero and are linked like any other. Repeated rows stay repeated. A null
-    doc_id counts only where its whole component has no other id (then component_id is null). An empty table gives no rows.
+    doc_id counts only where its whole component has no other id (then component_id is null). Very long texts are read whole; other columns are
+    left out. An empty table gives no rows.
     """
     rows = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column("text", words).alias("fp")))
     distinct = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -240,37 +293,51 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3, cap:
     return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _row_keys(docs: DataFrame) -> dict[str, Column]:
+def _row_keys(docs: DataFrame) -> list[Column]:
     # two hashes of the whole row stand for it: plain keys, so that the join's dealing serves the last step as well
     each = [F.col(f"`{c}`").cast("string") for c in docs.columns]
-    return {"_a": F.xxhash64(*each), "_b": F.xxhash64(F.lit("b"), *[F.coalesce(c, F.lit("")) for c in each])}
+    return [F.xxhash64(*each), F.xxhash64(F.lit("b"), *[F.coalesce(c, F.lit("")) for c in each])]
 
 
 def _first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` that come first (smallest _id, nulls last) in each root of ``found`` (root, _id, _a, _b)."""
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_a", "_b"))
-    kept = found.groupBy("root").agg(first.alias("k")).select("k._a", "k._b").distinct()
-    return _rows_of(docs, kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _rows_of(docs, found.groupBy("root").agg(first.alias("k")).select("k._a", "k._b").distinct())
 
 
 def _rows_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    return docs.withColumns(_row_keys(docs)).join(keys, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"])
+    """One row of ``docs`` for each of ``keys`` (pairs of row keys). Columns that are added for the join have names of their own."""
+    own = [f"key {uuid.uuid4().hex}" for _ in range(2)]
+    kept = docs.withColumns(dict(zip(own, _row_keys(docs), strict=True))).join(keys.toDF(*own), own, "left_semi").dropDuplicates(own)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _rows(docs: DataFrame, *more: Column) -> DataFrame:
+    a, b = _row_keys(docs)
+    return settle(docs.select(F.col("doc_id").alias("_id"), a.alias("_a"), b.alias("_b"), *more))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = 3, cap: int = NODE_CAP) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component that with the smallest doc_id (nulls last), once, with its columns as they were."""
-    rows = settle(docs.select(F.col("doc_id").alias("_id"), *[v.alias(k) for k, v in _row_keys(docs).items()], fingerprint_column("text", words).alias("fp")))
-    found = rows.join(roots(rows.select("fp").distinct(), radius, cap), "fp", "left")
+    """The rows of ``docs`` that stay: of each component that with the smallest doc_id (nulls last), once, with its columns as they were, whatever their names."""
+    rows = _rows(docs, fingerprint_column("text", words).alias("fp"))
+    found = rows.join(roots(settle(rows.select("fp").distinct()), radius, cap), "fp", "left")
     return _first_of_each(docs, found.withColumn("root", F.coalesce("root", "fp")))
 
 
+def _same() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.toDF("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def _confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame, least: float, words: int) -> DataFrame:
     """The ``pairs`` (a, b: hashes of texts) whose sets of shingles have a Jaccard similarity of ``least`` or more. Only texts in a pair are shuffled."""
-    pairs = settle(pairs.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     used = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
     chosen = settle(rows.join(used, "same", "left_semi").groupBy("same").agg(F.min(F.struct("_a", "_b")).alias("k")).select("k.*"))
     sets = settle(_rows_of(docs, chosen).select(_same().alias("same"), _set_column("text", words).alias("s")))
-    fans = settle(pairs.groupBy("b").agg(F.ceil(F.count("*") / FAN).alias("fans")))
+    fans = settle(pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).alias("fans")))
     right = sets.withColumnRenamed("same", "b").withColumnRenamed("s", "t").join(fans, "b").withColumn("fan", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fans") - 1))).drop("fans")
     left = pairs.join(fans, "b").withColumn("fan", F.pmod(F.xxhash64("a"), F.col("fans"))).drop("fans").join(sets.withColumnRenamed("same", "a"), "a")
     both = left.join(right, ["b", "fan"]).withColumn("common", F.size(F.array_intersect("s", "t")))
@@ -278,36 +345,95 @@ def _confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame, least: float,
     return settle(both.where(F.col("common") >= F.lit(least) * union - 1e-9).select("a", "b"))
 
 
-def _same() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-
+def _proposed(texts: DataFrame, linked: DataFrame, whole: bool, cap: int, least: float = LEAST_SHARE) -> DataFrame:
+    """Pairs (a, b) of ``texts`` (same, bands, share) that share a band and ``least`` of all minima, and that ``linked`` (same, root) doesn't connect.
 
-def keep_similar(docs: DataFrame, least: float = SIMILAR, words: int = SIMILAR_WORDS, radius: int = WIDE_RADIUS, blocks: int = WIDE_BLOCKS, cap: int = NODE_CAP) -> DataFrame:
+    With ``whole`` all of them; else, in buckets of more than ``SMALL``, so many that they connect all that all of them would, the most similar first. Only buckets with several components are compared.
+    """
+    bucket = ["band", "value"]
+    keyed = texts.select("same", F.posexplode("bands").alias("band", "value"))
+    crowded = keyed.groupBy(*bucket).count().where("count > 1").select(*bucket)
+    placed = settle(keyed.join(crowded, bucket).join(linked, "same", "left").withColumn("root", F.coalesce("root", "same")))
+    mixed = placed.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*bucket)
+    members = settle(placed.join(mixed, bucket).join(texts.select("same", "share"), "same"))
+    columns = [*bucket, "i", "j"]
+    step = max(1, (32 << 20) // (BANDS * BAND_ROWS * cap))
+
+    def pairs(own: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, cols, alike = [], [], []
+        for at in range(0, len(own), step):
+            score = (share[at : at + step, None, :] == share[None, at:, :]).mean(axis=2)
+            i, j = np.nonzero((score >= least) & (own[at : at + step, None] != own[None, at:]))
+            keep = j > i
+            rows.append(i[keep] + at)
+            cols.append(j[keep] + at)
+            alike.append(score[i[keep], j[keep]])
+        i, j, score = np.concatenate(rows), np.concatenate(cols), np.concatenate(alike)
+        if whole:
+            return i, j
+        root, kept = np.arange(own.max() + 1), []
+        for level in np.unique(score)[::-1]:
+            at = np.flatnonzero(score == level)
+            while True:  # one link of each component at a time
+                a, b = root[own[i[at]]], root[own[j[at]]]
+                apart = a != b
+                at, low, high = at[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+                if not len(at):
+                    break
+                first = np.unique(high, return_index=True)[1]
+                kept.append(at[first])
+                _join(root, low[first], high[first])
+        at = np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
+        return i[at], j[at]
+
+    def propose(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        same, own = pdf["same"].to_numpy(), np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
+        share = np.frombuffer(b"".join(pdf["share"]), dtype=np.uint8).reshape(len(pdf), -1)
+        size = np.diff(np.r_[starts, len(pdf)])
+        # all pairs of small buckets, by comparing rows a step apart
+        small = np.repeat(size <= SMALL, size)
+        run, at = np.repeat(np.arange(len(starts)), size)[small], np.flatnonzero(small)
+        a, b = [], []
+        for apart in range(1, min(SMALL, int(size[size <= SMALL].max(initial=1)))):
+            i = np.flatnonzero((run[apart:] == run[:-apart]) & (own[at[apart:]] != own[at[:-apart]]))
+            i = i[(share[at[i]] == share[at[i + apart]]).mean(axis=1) >= least]
+            a.append(at[i])
+            b.append(at[i + apart])
+        for k in np.flatnonzero(size > SMALL):
+            part = slice(starts[k], starts[k] + size[k])
+            i, j = pairs(np.unique(own[part], return_inverse=True)[1], share[part])
+            a.append(i + starts[k])
+            b.append(j + starts[k])
+        a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
+        return pd.DataFrame({"a": same[a], "b": same[b]})
+
+    dealt = _dealt(members, "same", bucket, cap)
+    tasks = max(1, -(-members.count() // TASK_ROWS))
+    found = dealt.repartition(tasks, *columns).sortWithinPartitions(*columns).mapInPandas(lambda batches: _grouped(batches, columns, propose), "a long, b long")
+    return settle(_ordered(found))
+
+
+def keep_similar(docs: DataFrame, least: float = SIMILAR, words: int = SIMILAR_WORDS, radius: int = RADIUS, cap: int = NODE_CAP, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """The rows of ``docs`` that stay as in ``keep_one``, where texts are linked by a Jaccard similarity of ``least`` or more between their sets of word shingles.
 
-    Candidates are what the fingerprint index links within ``radius``, and what shares a band of minima, since 64 bits don't tell a
-    similarity of 0.8 apart from much less. All are confirmed exactly. Of each bucket, all texts are first compared with one of them; where
-    that leaves several components, with the ``AHEAD`` next ones by fingerprint too. So the number of pairs grows with the texts, not with the
-    square of a group. Texts without words are alike.
+    First come the fingerprints that the index links. 64 bits don't tell a similarity of 0.8 apart from much less, so what shares a band of minima is a candidate as
+    well: the most similar pairs that connect each bucket, and then all pairs that these leave in different components. Every pair is confirmed exactly before it
+    links. Texts without words are alike.
     """
-    keys = [v.alias(k) for k, v in _row_keys(docs).items()]
-    rows = settle(docs.select(F.col("doc_id").alias("_id"), *keys, _same().alias("same"), _sketch_column("text", words).alias("s")).select("_id", "_a", "_b", "same", "s.*"))
-    keyed = rows.select("same", "fp", F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "value")).distinct()
-    bucket = ["band", "value"]
-    keyed = settle(keyed)
-    shared = settle(keyed.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("same").alias("one")).where(F.col("n") > 1))
-    members = settle(keyed.join(shared, bucket))
-    prints = settle(rows.groupBy("fp").agg(F.min("same").alias("same")))
-    links = settle(linked_fingerprints(prints.select("fp"), radius, cap, blocks).distinct())
+    rows = _rows(docs, _same().alias("same"), _sketch_column("text", words).alias("s"))
+    texts = settle(rows.select("same", "s.*").dropDuplicates(["same"]))
+    prints = settle(texts.groupBy("fp").agg(F.min("same").alias("least")))
+    links = linked_fingerprints(prints.select("fp"), radius, cap).distinct()
     near = links.join(prints.toDF("a", "sa"), "a").join(prints.toDF("b", "sb"), "b").select("sa", "sb")
-    sure = _confirmed(docs, rows, members.select("same", "one").union(near).toDF("a", "b"), least, words)
-    placed = members.join(components(sure).toDF("same", "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
-    # only buckets that hold several components go on
-    mixed = placed.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*bucket)
-    order = Window.partitionBy(*bucket, "chunk").orderBy("fp", "same")
-    open_ = placed.join(mixed, bucket).withColumn("chunk", F.pmod(F.xxhash64("same"), F.ceil(F.col("n") / CHUNK)))
-    ahead = F.array(*[F.lead(F.struct("same", "root"), k).over(order) for k in range(1, AHEAD + 1)])
-    more = open_.select("same", "root", ahead.alias("ahead")).select("same", "root", F.explode("ahead").alias("o"))
-    more = more.where("o IS NOT NULL AND o.root <> root").select("same", "o.same").toDF("a", "b")
-    linked = components(sure.union(_confirmed(docs, rows, more, least, words))).toDF("same", "root")
+    alike = texts.join(prints, "fp").select("same", "least")
+    tried = settle(_ordered(near.union(alike)))
+    sure = _confirmed(docs, rows, tried, least, words)
+    for whole in (False, True):
+        linked = components(sure).toDF("same", "root")
+        more = settle(_proposed(texts, linked, whole, bucket_cap).join(tried, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        tried = tried.union(more)
+        sure = sure.union(_confirmed(docs, rows, more, least, words))
+    linked = components(sure).toDF("same", "root")
     return _first_of_each(docs, rows.join(linked, "same", "left").withColumn("root", F.coalesce("root", "same")))

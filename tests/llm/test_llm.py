@@ -530,15 +530,15 @@ def test_masks_leave_no_near_pair_out(blocks):
         assert any(flips & m == 0 for m in masks)
 
 
-@pytest.mark.parametrize("blocks", [4, 5])
-def test_links_of_random_and_dense_fingerprints(spark, blocks):
+@pytest.mark.parametrize("node", [8192, 64, 1e-4])
+def test_links_of_random_and_dense_fingerprints(spark, node):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 30, dtype=np.uint64)
     near = [int(b) ^ (1 << int(x)) ^ (1 << int(y)) for b in base for x, y in rng.integers(0, 64, (12, 2))]
     words = sorted({int(b) for b in base} | set(near) | {0, 2**64 - 1})
     signed = [(w - 2**64 if w >= 2**63 else w,) for w in words]
     want = brute_components([(s[0], w) for s, w in zip(signed, words, strict=True)])
-    links = simhash.linked_fingerprints(spark.createDataFrame(signed, "fp long"), blocks=blocks)
+    links = simhash.linked_fingerprints(spark.createDataFrame(signed, "fp long"), node=node)
     got = {r.node: r.root for r in components.components(links).collect()}
     assert [got.get(s[0], s[0]) for s in signed] == want
 
@@ -555,6 +555,57 @@ def test_gray_index_drops_nothing():
     assert ranks.tolist() == list(range(200))
 
 
+def test_the_gray_index_links_and_prunes(monkeypatch):
+    """One component for each cluster, with a small part of all pairs compared; fingerprints of a dense cluster aren't compared pair by pair."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2**63, 8000, dtype=np.uint64)
+    near = words[:500, None] ^ (np.uint64(1) << rng.integers(0, 63, (500, 3), dtype=np.uint64))
+    words = np.unique(np.r_[words, near.ravel()])
+    index = simhash.GrayIndex(words)
+    a, b = index.forest(3)
+    apart = np.bitwise_count(index.words[:, None] ^ index.words[None, :]) <= 3
+    i, j = np.nonzero(apart)
+    root = np.arange(len(words))
+    simhash._join(root, i, j)
+    assert len(a) == len(words) - len(set(root.tolist())) and not set(a.tolist()) & set(b.tolist())
+    place = {int(w): r for w, r in zip(index.words, root, strict=True)}
+    assert all(place[int(x)] == place[int(y)] for x, y in zip(a, b, strict=True))
+    pairs = len(words) * (len(words) - 1) / 2
+    assert index.compared < 0.15 * pairs
+    dense = simhash.GrayIndex(np.arange(4096, dtype=np.uint64))
+    assert len(dense.forest(3)[0]) == 4095 and dense.compared < 0.1 * 4096 * 4095 / 2
+
+
+def test_links_come_from_the_gray_index(spark, monkeypatch):
+    rows = [(1, "a b c d"), (2, "A b  c d"), (3, "a b c d e f g")] + [(10 + i, text(random.Random(5), 300) + f" tail{i}") for i in range(4)]
+    assert len({r.component_id for r in simhash.near_duplicates(docs(spark, rows)).collect()}) < 6
+    words = np.array([1, 3], dtype=np.uint64)
+    assert len(simhash.GrayIndex(words).forest(3)[0]) == 1
+    masks, layouts = simhash.upper_masks(3, *simhash.layout(9000)), {simhash.layout(n)[0] for n in (10, 10**6, 10**9, 10**11)}
+    assert len(masks) == 4 and {bin(m).count("1") for m in masks} == {1} and simhash.upper_masks(3, *simhash.layout(8000)) == [0] and layouts == {4, 5}
+
+
+def test_buckets_in_chunks_and_clusters(spark):
+    """A cluster of copies of copies, in buckets over the cap: all that exact similarity connects is one group."""
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.randint(1, 3)):
+            copy[rng.randrange(120)] = f"x{rng.randrange(500)}"
+        rows.append((i, " ".join(copy)))
+    _, want = brute_similar(rows)
+    assert {r.doc_id for r in simhash.keep_similar(docs(spark, rows), bucket_cap=20).collect()} == want
+
+
+def test_callers_columns_keep_their_names(spark):
+    rows = docs(spark, [(1, "a b c"), (2, "a b c"), (3, "other words here")]).withColumns({"_a": F.lit("mine"), "_b": F.lit(7), "_id": F.lit(8), "same": F.lit(9)})
+    for kept in (simhash.keep_one(rows), simhash.keep_similar(rows)):
+        assert kept.columns == rows.columns
+        assert sorted((r.doc_id, r._a, r._b, r._id, r.same) for r in kept.collect()) == [(1, "mine", 7, 8, 9), (3, "mine", 7, 8, 9)]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (60, 50), (50, 60)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
