@@ -16,13 +16,14 @@ SAMPLE = 20_000
 MOST_LISTS = 1024
 ROWS_PER_LIST = 256
 ROUNDS = 10
-#: Rotated dimensions per column block, and the test's factor: a candidate goes when its partial distance, scaled up, exceeds the bound by (1 + FACTOR / sqrt(dimensions seen)) squared.
-BLOCK = 16
-FACTOR = 2.1
-#: First bounds come from so many vectors of the sample, and from at most one in so many of all: above the true k-th distance, so that probed lists hold enough below it, and low enough that few candidates pass.
-BOUND_SAMPLE, BOUND_SHARE = SAMPLE, 4
+#: Rotated dimensions per column block, and shares of the blocks after which candidates are tested.
+BLOCK, TESTS = 4, (0.3, 0.5, 0.7, 0.85, 1.0)
+#: A test abandons a candidate that would see so low a partial product with this chance, were it at the bound: about 2 %.
+QUANTILE = 2.05
+#: The bound is the level above which this many times k of all vectors are expected.
+BOUND_TIMES = 2.0
 #: Share of a query's neighbours that unprobed lists may be expected to hold.
-MISS = 0.04
+MISS = 0.02
 #: Rows of a list, and queries of a list, that meet in one task.
 CHUNK_ROWS, CHUNK_QUERIES = 4096, 2048
 
@@ -44,15 +45,15 @@ def _tail(z: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """What is fitted: norm bound, rotation, list centres with their sample counts and spreads, and a part of the sample for first bounds.
+    """What is fitted: norm bound, list centres with their sample counts and spreads, and the rotation to the main axes of what differs from the centres.
 
     With M the largest norm, a vector x becomes (x, sqrt(M^2 - |x|^2)) and a query (q, 0): then the nearest is the one with the largest inner product.
+    Lists are the nearest centres of these lifted vectors.
     """
 
-    def __init__(self, sample: np.ndarray, largest: float, lists: int, bounding: int, seed: int = 7):
+    def __init__(self, sample: np.ndarray, largest: float, lists: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.dim, self.largest, self.sample = sample.shape[1], largest, sample[rng.permutation(len(sample))[:bounding]]
-        self.rotation = np.linalg.qr(rng.standard_normal((self.dim + 1, self.dim + 1)))[0]
+        self.dim, self.largest = sample.shape[1], largest
         lifted = self.lift(sample)
         centres = lifted[rng.permutation(len(lifted))[:lists]]
         for _ in range(ROUNDS):
@@ -63,9 +64,14 @@ class Index:
             centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
         own = self.nearest_centre(lifted, centres)
         self.centres, self.count = centres, np.bincount(own, minlength=len(centres))
-        apart = ((lifted - centres[own]) ** 2).sum(axis=1)
-        overall = apart.mean() if len(apart) else 1.0
-        self.spread = np.sqrt((np.bincount(own, weights=apart, minlength=len(centres)) + overall) / (self.count + 1) / self.dim) + 1e-12
+        apart = sample - centres[own, : self.dim]
+        each = (apart**2).sum(axis=1)
+        overall = each.mean() if len(each) else 1.0
+        self.spread = np.sqrt((np.bincount(own, weights=each, minlength=len(centres)) + overall) / (self.count + 1) / self.dim) + 1e-12
+        scale, axes = np.linalg.eigh(apart.T @ apart / max(1, len(apart)))
+        self.rotation, self.scale = np.ascontiguousarray(axes[:, ::-1]), np.maximum(scale[::-1], 0) + 1e-12
+        #: Pairs that scans have begun with, and that were left after each test.
+        self.left = np.zeros(len(TESTS) + 1, dtype=np.int64)
 
     @staticmethod
     def nearest_centre(lifted: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -75,58 +81,69 @@ class Index:
     def lift(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(self.largest**2 - (x**2).sum(axis=1), 0))[:, None]])
 
-    def probes(self, q: np.ndarray, k: int, miss: float) -> list[np.ndarray]:
-        """The lists to probe for each query.
+    def probes(self, q: np.ndarray, k: float, miss: float) -> tuple[list[np.ndarray], np.ndarray]:
+        """The lists to probe for each query, and the level of inner products above which ``BOUND_TIMES`` k of all vectors are expected (``k`` as a share of all).
 
-        Inner products with a list's members are taken as normal around that with its centre. The level above which k of all are
-        expected is found by bisection; lists are probed by their expected number above it, until the rest holds less than ``miss`` of k.
+        Inner products with a list's members are taken as normal around that with its centre. Levels are found by bisection; lists are
+        probed by their expected number of the k nearest, until the rest holds less than ``miss`` of them.
         """
         middle = q @ self.centres[:, : self.dim].T
         scale = np.linalg.norm(q, axis=1)[:, None] * self.spread
         share = self.count / max(1, self.count.sum())
-        k_share = min(0.5, k / max(1, self.count.sum()))
-        low, high = (middle - 9 * scale).min(axis=1), (middle + 9 * scale).max(axis=1)
-        for _ in range(30):
-            level = (low + high) / 2
-            more = (_tail((level[:, None] - middle) / scale) * share).sum(axis=1) > k_share
-            low, high = np.where(more, level, low), np.where(more, high, level)
-        hits = _tail((low[:, None] - middle) / scale) * share
+
+        def level(of: float) -> np.ndarray:
+            low, high = (middle - 9 * scale).min(axis=1), (middle + 9 * scale).max(axis=1)
+            for _ in range(40):
+                at = (low + high) / 2
+                more = (_tail((at[:, None] - middle) / scale) * share).sum(axis=1) > of
+                low, high = np.where(more, at, low), np.where(more, high, at)
+            return low
+
+        hits = _tail((level(min(0.5, k))[:, None] - middle) / scale) * share
         order = np.argsort(-hits, axis=1, kind="stable")
         held = np.cumsum(np.take_along_axis(hits, order, axis=1), axis=1)
         n = (held < (1 - miss) * held[:, -1:]).sum(axis=1) + 1
-        return [o[:m] for o, m in zip(order, n, strict=True)]
-
-    def bounds(self, q: np.ndarray, k: int) -> np.ndarray:
-        """An upper bound of each query's k-th smallest squared distance: its k-th in the sample (infinite if that is smaller)."""
-        if len(self.sample) < k:
-            return np.full(len(q), np.inf)
-        best = np.partition(q @ self.sample.T, len(self.sample) - k, axis=1)[:, -k]
-        return self.distance(q, best)
-
-    def distance(self, q: np.ndarray, product: np.ndarray) -> np.ndarray:
-        return (q**2).sum(axis=1) + self.largest**2 - 2 * product
-
-    def columns(self, lifted: np.ndarray) -> list[np.ndarray]:
-        """Rotated vectors as column blocks."""
-        turned = (lifted @ self.rotation).astype(np.float32)
-        return [np.ascontiguousarray(turned[:, i : i + BLOCK]) for i in range(0, turned.shape[1], BLOCK)]
-
-    def scan(self, q: np.ndarray, x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, candidate) that no test along the column blocks abandons."""
-        blocks = list(zip(self.columns(np.hstack([q, np.zeros((len(q), 1))])), self.columns(self.lift(x)), strict=True))
-        limit = (bound * (1 + 1e-5) + 1e-6).astype(np.float32)
-        whole, seen, rows, cols, partial = self.dim + 1, 0, None, None, None
-        for qb, xb in blocks:
-            seen += qb.shape[1]
-            slack = np.float32(1.0 if seen == whole else (1 + FACTOR / np.sqrt(seen)) ** 2 * seen / whole)
+        return [o[:m] for o, m in zip(order, n, strict=True)], level(min(0.75, BOUND_TIMES * k))
+
+    def scan(self, q: np.ndarray, x: np.ndarray, bound: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, candidate) that no test abandons, for the members ``x`` of list ``own`` and bounds on the inner product.
+
+        Each query goes through the column blocks from the one that its products vary with most. With P the whole product, of mean m and variance V over the list's members, the part
+        P_d over the blocks so far (m_d, V_d) is normal given P: around m_d + (P - m) w, with variance V_d (1 - w), w = V_d / V. A test rejects that P is at the bound.
+        """
+        y, u = x @ self.rotation, q @ self.rotation
+        blocks = [slice(i, i + BLOCK) for i in range(0, self.dim, BLOCK)]
+        starts = np.arange(0, self.dim, BLOCK)
+        vary = np.add.reduceat(u**2 * self.scale, starts, axis=1)
+        mean = np.add.reduceat(u * (self.centres[own, : self.dim] @ self.rotation), starts, axis=1)
+        order = np.argsort(-vary, axis=1, kind="stable")
+        place = np.argsort(order, axis=1)
+        vary, mean = (np.cumsum(np.take_along_axis(v, order, axis=1), axis=1) for v in (vary, mean))
+        slack = 1e-6 * np.linalg.norm(q, axis=1) * self.largest
+        rows = cols = partial = None
+        begun = 0
+        self.left[0] += len(q) * len(x)
+        for k, share in enumerate(TESTS):
+            upto = len(blocks) if share == 1 else max(1, round(share * len(blocks)))
+            part, grown = vary[:, upto - 1], mean[:, upto - 1]
+            w = part / vary[:, -1]
+            least = bound - slack if upto == len(blocks) else grown + (bound - mean[:, -1]) * w - QUANTILE * np.sqrt(part * np.maximum(1 - w, 0))
+            due = (place >= begun) & (place < upto)  # blocks that come now, by query
             if rows is None:
-                grid = (qb**2).sum(axis=1)[:, None] + (xb**2).sum(axis=1)[None, :] - 2 * (qb @ xb.T)
-                rows, cols = np.nonzero(grid <= (limit * slack)[:, None])
+                grid = np.zeros((len(q), len(x)))
+                for b, block in enumerate(blocks):
+                    asking = np.flatnonzero(due[:, b])
+                    grid[asking] += u[asking, block] @ y[:, block].T
+                rows, cols = np.nonzero(grid >= least[:, None])
                 partial = grid[rows, cols]
             else:
-                partial += ((qb[rows] - xb[cols]) ** 2).sum(axis=1)
-                left = partial <= limit[rows] * slack
-                rows, cols, partial = rows[left], cols[left], partial[left]
+                for b, block in enumerate(blocks):
+                    at = np.flatnonzero(due[rows, b])
+                    partial[at] += np.einsum("ij,ij->i", u[rows[at], block], y[cols[at], block])
+                stay = partial >= least[rows]
+                rows, cols, partial = rows[stay], cols[stay], partial[stay]
+            self.left[k + 1] += len(rows)
+            begun = upto
         return rows, cols
 
 
@@ -145,7 +162,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, miss: float = MISS
     Returns query_id, rank (from 1), vec_id, score: the inner product in double precision on the original vectors,
     largest first, ties to the smaller vec_id; never the query's own vec_id. Equal vectors are searched once and keep their k + 1 smallest ids,
     which is all that ranks can reach. Rows without vec_id, or whose vector is null, zero or has null or non-finite
-    components, take no part; repeated rows count once; vectors shorter than others count as ending in zeros. Empty tables give no rows.
+    components, take no part; repeated rows count once; vectors shorter than others count as ending in zeros; other columns are left out. Empty tables give no rows.
+    Queries that bounds and probes leave with fewer than k start again over all lists without a bound.
     """
     spark = vectors.sparkSession
     whole = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
@@ -160,7 +178,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, miss: float = MISS
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fitted = sample_by_hash(reps.select("rep", "v"), sample, "rep").toPandas().sort_values("rep")
-    index = Index(matrix(fitted["v"], dim), float(largest), max(1, min(MOST_LISTS, len(fitted) // 8, n // ROWS_PER_LIST)), min(BOUND_SAMPLE, n // BOUND_SHARE))
+    index = Index(matrix(fitted["v"], dim), float(largest), max(1, min(MOST_LISTS, len(fitted) // 8, n // ROWS_PER_LIST)))
     shared = spark.sparkContext.broadcast(index)
     vector = reps.schema["v"].dataType.simpleString()
 
@@ -176,8 +194,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, miss: float = MISS
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 q = matrix(part["v"], dim)
-                # the query itself may be in the sample, so one more than k
-                bound, lists = own.bounds(q, k + 1), own.probes(q, k + 1, miss)
+                # the query itself is among the vectors, so one more than k
+                lists, bound = own.probes(q, (k + 1) / n, miss)
                 yield pd.DataFrame({"rep": part["rep"].to_numpy(), "v": part["v"].to_numpy(), "bound": bound, "list": lists}).explode("list").astype({"list": "int64"})
 
     members = settle(reps.select("rep", "v").mapInPandas(assign, f"rep long, v {vector}, list long"))
@@ -191,7 +209,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, miss: float = MISS
             for at in range(0, len(asking), 256):
                 part = asking.iloc[at : at + 256]
                 q = matrix(part["v"], dim)
-                rows, cols = own.scan(q, x, part["bound"].to_numpy())
+                rows, cols = own.scan(q, x, part["bound"].to_numpy(), int(part["list"].iloc[0]))
                 score = np.concatenate([np.einsum("ij,ij->i", q[rows[i : i + 65536]], x[cols[i : i + 65536]]) for i in range(0, len(rows), 65536)] or [np.zeros(0)])
                 best = _top(rows, score, ids[cols], k + 1)
                 out.append(pd.DataFrame({"asked": part["rep"].to_numpy()[rows[best]], "rep": ids[cols[best]], "score": score[best]}))
@@ -214,7 +232,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, miss: float = MISS
     short = settle(searched.join(enough, "rep", "left_anti"))
     if not short.isEmpty():
         lists = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(index.centres) - 1).cast("long")))
-        again = short.select("rep", "v", F.lit(float("inf")).alias("bound"), lists.alias("list"))
+        again = short.select("rep", "v", F.lit(float("-inf")).alias("bound"), lists.alias("list"))
         found = found.join(short.select(F.col("rep").alias("asked")), "asked", "left_anti").unionByName(scan(again))
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "rep")
     ranked = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
