@@ -22,6 +22,8 @@ FILL = 255
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Side of the grid that samples are averaged to, and of the low-frequency block that is hashed.
 GRID, LOW = 32, 8
+#: Images that would take more bytes than this are refused.
+MOST_BYTES = 1 << 30
 NONE, SUB, UP, AVERAGE, PAETH = range(5)
 
 
@@ -33,25 +35,42 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def encode_png(samples: np.ndarray, row_filter: int = NONE, level: int = 6) -> bytes:
-    """An 8-bit grey (h, w) or RGB (h, w, 3) image as PNG. ``row_filter`` is none, sub or up (0 to 2), for all rows."""
+def encode_png(samples: np.ndarray, level: int = 6, row_filters: np.ndarray | None = None) -> bytes:
+    """An 8-bit grey (h, w) or RGB (h, w, 3) image as PNG.
+
+    Each row gets the filter of ``row_filters`` (0 to 4), or of none, sub and up the one whose bytes, as signed numbers, have the least sum of sizes: these three are undone
+    for all rows at once.
+    """
     height, width = samples.shape[:2]
     depth = 1 if samples.ndim == 2 else samples.shape[2]
     rows = np.ascontiguousarray(samples).reshape(height, width * depth)
-    if row_filter == SUB:
-        rows = rows.copy()
-        rows[:, depth:] -= samples.reshape(height, -1)[:, :-depth]
-    elif row_filter == UP:
-        rows = rows.copy()
-        rows[1:] -= samples.reshape(height, -1)[:-1]
-    elif row_filter != NONE:
-        raise ValueError("rows are written with filter none, sub or up")
+    filtered = _filtered(rows, depth, UP if row_filters is None else PAETH)
+    kinds = np.abs(filtered.view(np.int8).astype(np.int16)).sum(axis=2).argmin(axis=0) if row_filters is None else row_filters
     lines = np.empty((height, width * depth + 1), dtype=np.uint8)
-    lines[:, 0], lines[:, 1:] = row_filter, rows
+    lines[:, 0], lines[:, 1:] = kinds, filtered[kinds, np.arange(height)]
     head = struct.pack(">IIBBBBB", width, height, 8, 0 if depth == 1 else 2, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
+def _filtered(rows: np.ndarray, depth: int, upto: int) -> np.ndarray:
+    """(filters, height, n): all rows under each row filter up to ``upto``."""
+    left, above = np.zeros_like(rows), np.zeros_like(rows)
+    left[:, depth:], above[1:] = rows[:, :-depth], rows[:-1]
+    plain = [rows, rows - left, rows - above]
+    if upto > UP:
+        corner = np.zeros_like(rows)
+        corner[1:, depth:] = rows[:-1, :-depth]
+        a, b, c = (x.astype(np.int16) for x in (left, above, corner))
+        plain += [rows - ((a + b) >> 1).astype(np.uint8), rows - _paeth(a, b, c)]
+    return np.stack(plain)
+
+
+def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of left, above and corner the one next to left + above - corner; ties in this order."""
+    da, db, dc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+    return np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c)).astype(np.uint8)
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """The samples of an 8-bit grey or RGB PNG without interlace; MediaError where a checksum, length or filter is wrong."""
     if data[:8] != SIGNATURE:
@@ -71,11 +90,15 @@ def decode_png(data: bytes) -> np.ndarray:
     if not ended or head is None or head[2] != 8 or head[3] not in (0, 2) or head[4:] != (0, 0, 0):
         raise MediaError("header or end")
     width, height, depth = head[0], head[1], 1 if head[3] == 0 else 3
+    size = height * (width * depth + 1)
+    if not width or not height or size > MOST_BYTES:
+        raise MediaError("size")
     try:
-        raw = zlib.decompress(b"".join(parts))
+        inflater = zlib.decompressobj()
+        raw = inflater.decompress(b"".join(parts), size + 1)  # never more than the header lets expect
     except zlib.error as e:
         raise MediaError(str(e)) from e
-    if len(raw) != height * (width * depth + 1):
+    if len(raw) != size or not inflater.eof:
         raise MediaError("length")
     lines = np.frombuffer(raw, dtype=np.uint8).reshape(height, width * depth + 1)
     out = _unfilter(lines[:, 0], lines[:, 1:], depth)
@@ -83,41 +106,46 @@ def decode_png(data: bytes) -> np.ndarray:
 
 
 def _unfilter(filters: np.ndarray, rows: np.ndarray, depth: int) -> np.ndarray:
-    """Undo the row filters: runs of rows with one filter at a time, and pixel by pixel only for average and Paeth."""
+    """Undo the row filters: runs of rows under none, sub and up at once, runs under average and Paeth along their diagonals."""
     height, n = rows.shape
+    if height and filters.max() > PAETH:
+        raise MediaError("filter")
     out = np.empty((height, n), dtype=np.uint8)
     above = np.zeros(n, dtype=np.uint8)
-    edges = [0, *(np.flatnonzero(filters[1:] != filters[:-1]) + 1).tolist(), height]
+    sums = filters <= UP
+    edges = [0, *(np.flatnonzero(sums[1:] != sums[:-1]) + 1).tolist(), height]
     for start, end in zip(edges[:-1], edges[1:], strict=True):
-        kind, block = filters[start] if height else 0, rows[start:end]
-        if kind == NONE:
-            out[start:end] = block
-        elif kind == SUB:
-            out[start:end] = np.cumsum(block.reshape(end - start, -1, depth), axis=1, dtype=np.uint8).reshape(end - start, n)
-        elif kind == UP:
-            out[start:end] = np.cumsum(np.vstack([above, block]), axis=0, dtype=np.uint8)[1:]
-        elif kind in (AVERAGE, PAETH):
-            for y in range(start, end):
-                out[y] = _unfilter_row(kind, rows[y].tolist(), (out[y - 1] if y else above).tolist(), depth)
-        else:
-            raise MediaError("filter")
+        undo = _undo_sums if sums[start] else _undo_diagonals
+        out[start:end] = undo(filters[start:end], rows[start:end], above, depth)
         above = out[end - 1]
     return out
 
 
-def _unfilter_row(kind: int, row: list[int], above: list[int], depth: int) -> list[int]:
-    left, corner = [0] * depth, [0] * depth
-    out = []
-    for i, value in enumerate(row):
-        a, b, c = left[i % depth], above[i], corner[i % depth]
-        if kind == AVERAGE:
-            value += (a + b) // 2
-        else:
-            da, db, dc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-            value += a if da <= db and da <= dc else b if db <= dc else c
-        left[i % depth], corner[i % depth] = value & 255, b
-        out.append(value & 255)
-    return out
+def _undo_sums(kinds: np.ndarray, rows: np.ndarray, above: np.ndarray, depth: int) -> np.ndarray:
+    """Rows under none, sub and up: sums along rows, then sums down from the last row that isn't under up."""
+    height, n = rows.shape
+    along = np.cumsum(rows.reshape(height, -1, depth), axis=1, dtype=np.uint8).reshape(height, n)
+    lines = np.vstack([above, np.where(kinds[:, None] == SUB, along, rows)])
+    down = np.cumsum(lines, axis=0, dtype=np.uint8)
+    first = np.maximum.accumulate(np.where(kinds != UP, np.arange(1, height + 1), 0))
+    return down[1:] - down[first] + lines[first]
+
+
+def _undo_diagonals(kinds: np.ndarray, rows: np.ndarray, above: np.ndarray, depth: int) -> np.ndarray:
+    """Rows under average and Paeth, a diagonal at once: pixel x of row y is on diagonal x + y, after its left, upper and corner neighbours."""
+    height, n = rows.shape
+    width = n // depth
+    done = np.zeros((height + 1, width + 1, depth), dtype=np.int16)
+    done[0, 1:] = above.reshape(width, depth)
+    source = rows.reshape(height, width, depth)
+    average = kinds == AVERAGE
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        a, b, c = done[y + 1, x], done[y, x + 1], done[y, x]
+        guess = np.where(average[y, None], (a + b) >> 1, _paeth(a, b, c))
+        done[y + 1, x + 1] = (source[y, x] + guess) & 255
+    return done[1:, 1:].reshape(height, n).astype(np.uint8)
 
 
 def _averages(samples: np.ndarray, cells: int) -> np.ndarray:
@@ -169,7 +197,7 @@ def read_media(stored: DataFrame) -> DataFrame:
     """Read the binary column ``media`` of ``stored`` back and describe it.
 
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last 32 bytes), media_bytes,
-    media_sha256, feature (the cosine hash of the samples as decoded) and error. A row whose image isn't whole, or is null, keeps its id and
+    media_sha256, feature (the cosine hash of the samples as decoded) and error; other columns are left out. An empty table gives no rows. A row whose image isn't whole, or is null, keeps its id and
     media columns and says why in ``error``; it never stops the job.
     """
 
@@ -200,5 +228,5 @@ def read_media(stored: DataFrame) -> DataFrame:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Store every text of ``docs`` (doc_id, text) as PNG and read it back. Repeated rows and null doc_ids are rows like any other; an empty table gives no rows."""
+    """Store every text of ``docs`` (doc_id, text) as PNG and read it back, very long ones whole. Other columns are left out. Repeated rows and null doc_ids are rows like any other; an empty table gives no rows."""
     return read_media(store_texts(docs))

@@ -125,10 +125,40 @@ def test_queries_left_with_too_few_start_again(spark):
 
 
 @pytest.mark.parametrize("shape", [(1, 24), (24, 24), (7, 5), (3, 4, 3), (1, 1)])
-@pytest.mark.parametrize("row_filter", [0, 1, 2])
+@pytest.mark.parametrize("row_filter", [None, 0, 1, 2, 3, 4, "mixed"])
 def test_png_round_trip(shape, row_filter):
-    x = np.random.default_rng(1).integers(0, 256, shape, dtype=np.uint8)
-    assert (media.decode_png(media.encode_png(x, row_filter)) == x).all()
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 256, shape, dtype=np.uint8)
+    kinds = None if row_filter is None else rng.integers(0, 5, shape[0]) if row_filter == "mixed" else np.full(shape[0], row_filter)
+    assert (media.decode_png(media.encode_png(x, row_filters=kinds)) == x).all()
+
+
+def test_stored_texts_need_unfiltering(monkeypatch):
+    """Texts are stored under filters that differ by row, so reading them without undoing these gives other bytes."""
+    payload = media.payload_of(text(random.Random(1), 200))[0]
+    x = np.frombuffer(payload, dtype=np.uint8).reshape(-1, media.WIDTH)
+    png = media.encode_png(x)
+    lines = np.frombuffer(zlib.decompress(png[41:-16]), dtype=np.uint8).reshape(len(x), -1)
+    assert len(set(lines[:, 0].tolist())) > 1 and (lines[:, 0] > 0).mean() > 0.5
+    assert media.decode_png(png).tobytes() == payload
+    monkeypatch.setattr(media, "_unfilter", lambda filters, rows, depth: rows)
+    assert media.decode_png(png).tobytes() != payload
+
+
+def test_cosine_hash_against_the_definition():
+    """Means of 32 x 32 cells by areas, the transform and the median, each told as a plain sum."""
+    x = np.random.default_rng(7).integers(0, 256, (41, 24), dtype=np.uint8)
+
+    def share(cell, i, n):  # how much of sample i lies in a cell
+        return max(0.0, min((cell + 1) * n / 32, i + 1) - max(cell * n / 32, i)) / (n / 32)
+
+    rows = np.array([[share(c, i, 41) for i in range(41)] for c in range(32)])
+    cols = np.array([[share(c, i, 24) for i in range(24)] for c in range(32)])
+    cells = rows @ x.astype(float) @ cols.T
+    wave = lambda k, i: np.cos(np.pi * k * (2 * i + 1) / 64)
+    low = [round(sum(cells[i, j] * wave(k, i) * wave(m, j) for i in range(32) for j in range(32)), 6) for k in range(8) for m in range(8)]
+    bits = "".join(str(int(v > np.median(low[1:]))) for v in low)
+    assert media.cosine_hash(x) == f"{int(bits, 2):016x}"
 
 
 def png_filter(kind, rows, depth):
@@ -175,8 +205,13 @@ def test_broken_media_is_told_not_raised(spark):
     good = media.encode_png(np.zeros((2, 24), dtype=np.uint8))
     bad = bytearray(good)
     bad[-20] ^= 1
-    df = spark.createDataFrame([("1", 1, good), ("2", 1, bytes(bad)), ("3", 1, b"zz"), ("4", 1, None), ("5", 1, good[:40])], "doc_id string, n_bytes long, media binary")
-    assert [r.error is None for r in media.read_media(df).orderBy("doc_id").collect()] == [True, False, False, False, False]
+
+    def sized(width, height, extra=0):
+        head = media._chunk(b"IHDR", width.to_bytes(4, "big") + height.to_bytes(4, "big") + bytes([8, 0, 0, 0, 0]))
+        return media.SIGNATURE + head + media._chunk(b"IDAT", zlib.compress(bytes(height * (width + 1) + extra))) + media._chunk(b"IEND", b"")
+
+    df = spark.createDataFrame([("1", 1, good), ("2", 1, bytes(bad)), ("3", 1, b"zz"), ("4", 1, None), ("5", 1, good[:40]), ("6", 1, sized(0, 24)), ("7", 1, sized(24, 0)), ("8", 1, sized(24, 2, 10**6))], "doc_id string, n_bytes long, media binary")
+    assert [r.error is None for r in media.read_media(df).orderBy("doc_id").collect()] == [True] + [False] * 7
 
 
 # 3
