@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .components import components
+from .components import components, join
 
 BITS = 64
 RADIUS = 3
@@ -121,20 +121,6 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> bool:
-    """Bring ``root`` (of each place, the least one of its component) up to date with links between ``i`` and ``j``; whether anything changed."""
-    changed = False
-    while True:
-        a, b = root[i], root[j]
-        apart = a != b
-        if not apart.any():
-            return changed
-        changed = True
-        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-        while (root[root] != root).any():
-            root[:] = root[root]
-
-
 class GrayIndex:
     """Fingerprints in Gray order under nodes that hold the bits on which all below them agree.
 
@@ -183,7 +169,7 @@ class GrayIndex:
                 a, b = a[a != b], b[a != b]
                 self.compared += len(a)
                 hit = np.bitwise_count(pattern[a] ^ pattern[b]) <= radius
-                if _join(root, a[hit], b[hit]):
+                if join(root, a[hit], b[hit]):
                     one = None
                 continue
             if one is None:
@@ -382,7 +368,7 @@ def _proposed(texts: DataFrame, linked: DataFrame, whole: bool, cap: int, least:
                     break
                 first = np.unique(high, return_index=True)[1]
                 kept.append(at[first])
-                _join(root, low[first], high[first])
+                join(root, low[first], high[first])
         at = np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
         return i[at], j[at]
 

@@ -623,7 +623,7 @@ def test_the_gray_index_links_and_prunes(monkeypatch):
     apart = np.bitwise_count(index.words[:, None] ^ index.words[None, :]) <= 3
     i, j = np.nonzero(apart)
     root = np.arange(len(words))
-    simhash._join(root, i, j)
+    components.join(root, i, j)
     assert len(a) == len(words) - len(set(root.tolist())) and not set(a.tolist()) & set(b.tolist())
     place = {int(w): r for w, r in zip(index.words, root, strict=True)}
     assert all(place[int(x)] == place[int(y)] for x, y in zip(a, b, strict=True))
@@ -663,11 +663,12 @@ def test_callers_columns_keep_their_names(spark):
         assert sorted((r.doc_id, r._a, r._b, r._id, r.same) for r in kept.collect()) == [(1, "mine", 7, 8, 9), (3, "mine", 7, 8, 9)]
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("task_edges", [1 << 20, 10])
+def test_components_of_a_long_chain(spark, task_edges):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (60, 50), (50, 60)], "a long, b long")
-    got = {r.node: r.root for r in components.components(edges).collect()}
+    got = {r.node: r.root for r in components.components(edges, task_edges).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {60: 50}
-    assert components.components(edges.limit(0)).count() == 0
+    assert components.components(edges.limit(0), task_edges).count() == 0
 
 
 # 8
