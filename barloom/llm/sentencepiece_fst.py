@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -52,20 +53,77 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+class Normaliser:
+    """The transducer of a model's normaliser: the rules of its character map (a double-array trie over bytes; of all that match, the longest), white space, and the space in front.
+
+    It is sequential: each input has one path, and composing with an input gives its output text, in which spaces are U+2581.
+    """
+
+    def __init__(self, charsmap: bytes, prefix: bool, squeeze: bool):
+        self.prefix, self.squeeze = prefix, squeeze
+        size = struct.unpack_from("<I", charsmap)[0] if charsmap else 0
+        self.units = struct.unpack_from(f"<{size // 4}I", charsmap, 4) if size else ()
+        self.outputs = charsmap[4 + size :]
+
+    #: Nothing but spaces changes: so the lexicon is composed with this normaliser once and for all.
+    @property
+    def plain(self) -> bool:
+        return not self.units and not self.squeeze
+
+    def _rule(self, data: bytes, at: int) -> tuple[bytes, int]:
+        """Output and input length of the arc taken at ``at``: that of the longest rule, or of one character."""
+        node, found, end = 0, None, at
+        if self.units:
+            node = self._below(self.units[0])
+            while end < len(data):
+                node ^= data[end]
+                unit = self.units[node] if node < len(self.units) else 0
+                if unit & 0x800000FF != data[end]:
+                    break
+                end += 1
+                node ^= self._below(unit)
+                if unit >> 8 & 1:
+                    found = (self.units[node] & 0x7FFFFFFF, end - at)
+        if found:
+            return self.outputs[found[0] : self.outputs.index(0, found[0])], found[1]
+        first = data[at]
+        n = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+        return data[at : at + n], n
+
+    @staticmethod
+    def _below(unit: int) -> int:
+        return unit >> 10 << ((unit & 512) >> 6)
+
+    def compose(self, text: str) -> str:
+        data, at, out = text.encode(), 0, bytearray()
+        spaced = self.squeeze
+        while at < len(data):
+            piece, n = self._rule(data, at)
+            at += n
+            if spaced:
+                piece = piece.lstrip(b" ")
+            out += piece
+            if piece and self.squeeze:
+                spaced = piece.endswith(b" ")
+        if self.squeeze:
+            out = out.rstrip(b" ")
+        return ((" " if self.prefix and out else "") + out.decode("utf-8", "replace")).replace(" ", SPACE)
+
+
 class Transducer:
-    """Normaliser, pieces and byte fallback of a model file, compiled once; ``encode`` composes them with an input.
+    """Normaliser, pieces and byte fallback of a model file, compiled to one weighted transducer from characters to piece ids; ``encode`` composes it with an input.
 
-    Normaliser: a space becomes U+2581, and one is put in front. Lexicon: an arc for each piece, with its cost; a
-    character in no piece has arcs for its UTF-8 bytes. In a BPE model the lexicon is composed with an acceptor of
-    neighbouring pieces, whose arcs weigh nothing where merging the pair's characters would give just this pair, and
-    infinity elsewhere; then the only path of finite weight is the one that merging finds. In a unigram model costs are
-    negated scores. Weights add along a path and the least is taken (the tropical semiring).
+    States are beginnings of pieces; an arc reads a character, an arc back to the start writes a piece and weighs its cost. The lexicon is composed with the normaliser, so a space
+    has the arcs of U+2581. A character in no piece has an arc that writes its bytes, compiled when first seen. In a BPE model the lexicon is
+    composed with an acceptor of neighbouring pieces, whose arcs weigh nothing where merging the pair's characters would give just this pair, and infinity elsewhere; lexicon
+    costs are zero, and the only path of finite weight is the one that merging finds. In a unigram model costs are negated scores. Weights add along a path and
+    the least is taken (the tropical semiring). Normalisers with a character map are composed with the input first.
     """
 
     def __init__(self, model: bytes):
         self.pieces: list[str] = []
         scores, kinds = [], []
-        self.model_type, self.byte_fallback, self.prefix, charsmap, squeeze = UNIGRAM, False, True, b"", True
+        trainer, rules = {}, {}
         for number, value in _fields(model):
             if number == 1:
                 piece = dict(_fields(value))
@@ -74,36 +132,46 @@ class Transducer:
                 kinds.append(piece.get(3, NORMAL))
             elif number == 2:
                 trainer = dict(_fields(value))
-                self.model_type, self.byte_fallback = trainer.get(3, UNIGRAM), bool(trainer.get(35, 0))
             elif number == 3:
                 rules = dict(_fields(value))
-                charsmap, self.prefix, squeeze = rules.get(2, b""), bool(rules.get(3, 1)), bool(rules.get(4, 1))
-        if charsmap or squeeze or self.model_type not in (UNIGRAM, BPE):
-            raise ValueError("only unigram and BPE models that normalise by identity and keep white space are compiled")
+        self.model_type, self.byte_fallback = trainer.get(3, UNIGRAM), bool(trainer.get(35, 0))
+        if self.model_type not in (UNIGRAM, BPE) or trainer.get(24, 0) or not rules.get(5, 1) or USER in kinds:
+            raise ValueError("only unigram and BPE models that mark spaces in front of words, without pieces of the user's own, are compiled")
+        self.normaliser = Normaliser(rules.get(2, b""), bool(rules.get(3, 1)), bool(rules.get(4, 1)))
         self.unknown = kinds.index(UNKNOWN)
         self.kinds = kinds
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == BYTE}
         self.of_byte = {i: b for b, i in self.bytes.items()}
-        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k in (NORMAL, USER)}
-        self.longest = max(map(len, self.ids), default=1)
+        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == NORMAL}
         self.cost = {self.ids[p]: -scores[self.ids[p]] for p in self.ids}
         self.unknown_cost = max(self.cost.values(), default=0.0) + UNKNOWN_COST
         chars = set("".join(self.ids))
         # no piece goes on over these places, so paths on either side are independent
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in chars)
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.cuts = None if inner else re.compile(rf"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        space = f" {SPACE}"
+        self.cuts = None if inner else re.compile(rf"[{alone}]|[{space}]*[^{space}{alone}]+|[{space}]+" if alone else rf"[{space}]*[^{space}]+|[{space}]+")
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[int, bool] = {}
         self._young: dict[str, tuple[int, ...]] = {}
         self._old: dict[str, tuple[int, ...]] = {}
-        #: The lexicon as a trie: each beginning of a piece, with the piece's id or -1. Pieces that merging never makes have no path.
-        self.arcs: dict[str, int] = {}
+        #: (state, character) to state, each as one number, and what is written where a piece ends: (piece, cost). State 0 is the start.
+        self.arcs: dict[int, int] = {}
+        self.finals: list[tuple[int, float] | None] = [None]
+        self.fallback: dict[str, tuple[int, ...]] = {}
         for text, i in self.ids.items():
+            # a piece that merging never makes has no path
             if self.model_type == UNIGRAM or self.halves(i) is not None:
-                for n in range(1, len(text)):
-                    self.arcs.setdefault(text[:n], -1)
-                self.arcs[text] = i
+                state = 0
+                for c in text:
+                    key = state << 21 | ord(c)
+                    if key not in self.arcs:
+                        self.arcs[key] = len(self.finals)
+                        self.finals.append(None)
+                    if c == SPACE:  # composed with the normaliser
+                        self.arcs[state << 21 | ord(" ")] = self.arcs[key]
+                    state = self.arcs[key]
+                self.finals[state] = (i, self.cost[i] if self.model_type == UNIGRAM else 0.0)
 
     # the acceptor of neighbouring pieces (BPE)
 
@@ -143,87 +211,62 @@ class Transducer:
     # composition with an input, and its shortest path
 
     def _fallback(self, char: str) -> tuple[int, ...]:
-        return tuple(self.bytes[b] for b in char.encode()) if self.byte_fallback else (self.unknown,)
+        """What the arc of a character in no piece writes."""
+        if char not in self.fallback:
+            self.fallback[char] = tuple(self.bytes[b] for b in char.encode()) if self.byte_fallback else (self.unknown,)
+        return self.fallback[char]
 
     def path(self, segment: str) -> tuple[int, ...]:
-        """Output of the shortest path through the composition with ``segment``."""
-        best = self._merged(segment) if self.model_type == BPE else self._cheapest(segment)
-        out: list[int] = []
-        for start, piece in best:
-            if piece >= 0:
-                out.append(piece)
-            else:
-                out += self._fallback(segment[start])
-        return tuple(out)
-
-    def _merged(self, segment: str) -> list[tuple[int, int]]:
-        """The path of finite weight in a BPE model, depth first by longest pieces.
-
-        All weights are zero or infinite, so the first path through is the shortest. A prefix has one finite path, so a position from which none goes on is dead for good, and the search is linear.
+        """Output of the shortest path through the composition with ``segment``.
+
+        The composition's states are a position and, in a BPE model, the acceptor's state: the piece before. Positions are in topological order, so one pass takes the least
+        weight of each state; arcs of infinite weight aren't there. The pieces of a beginning are those that merging gives it, so in a BPE model a position has one state.
         """
-        n, get, fits, dead = len(segment), self.arcs.get, self._fits, bytearray(len(segment) + 1)
-        way: list[tuple[int, int]] = []
-        trail: list[tuple[int, int, list]] = []
-        at, before, choices = 0, -1, None
-        while at < n:
-            if choices is None:
-                choices, end = [], at + 1
-                piece = get(segment[at:end])
-                if piece is None:
-                    choices.append((end, -1))
-                while piece is not None:
-                    if piece >= 0:
-                        choices.append((end, piece))
-                    elif end == at + 1:
-                        choices.append((end, -1))
-                    end += 1
-                    if end > n:
-                        break
-                    piece = get(segment[at:end])
-            while choices:
-                end, piece = choices.pop()
-                if dead[end]:
-                    continue
-                if piece >= 0 and before >= 0:
-                    fit = fits.get(key := before << 32 | piece)
-                    if fit is None:
-                        fit = fits[key] = self.fits(before, piece)
-                    if not fit:
-                        continue
-                trail.append((at, before, choices))
-                way.append((at, piece))
-                at, before, choices = end, piece, None
-                break
-            else:
-                dead[at] = 1
-                at, before, choices = trail.pop()
-                way.pop()
-        return way
-
-    def _cheapest(self, segment: str) -> list[tuple[int, int]]:
-        """The least sum of costs in a unigram model, by one pass over positions in order."""
-        n, arcs = len(segment), self.arcs
-        weight, back = [0.0] + [INFINITE] * n, [(0, -1)] * (n + 1)
+        n, arcs, finals, fits, bpe = len(segment), self.arcs, self.finals, self._fits, self.model_type == BPE
+        weight: list[float] = [0.0] + [INFINITE] * n
+        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
         for start in range(n):
-            end = start + 1
-            while end <= n and (piece := arcs.get(segment[start:end])) is not None:
-                if piece >= 0 and (total := weight[start] + self.cost[piece]) < weight[end]:
-                    weight[end], back[end] = total, (start, piece)
+            so_far = weight[start]
+            if so_far == INFINITE:
+                continue
+            before = back[start][1]
+            state, end = arcs.get(ord(segment[start])), start
+            if state is None or finals[state] is None:
+                total = so_far + self.unknown_cost
+                if total < weight[start + 1]:
+                    weight[start + 1], back[start + 1] = total, (start, -1)
+            while state is not None:
                 end += 1
-            if segment[start] not in self.ids and (total := weight[start] + self.unknown_cost) < weight[start + 1]:
-                weight[start + 1], back[start + 1] = total, (start, -1)
-        way: list[tuple[int, int]] = []
+                final = finals[state]
+                if final is not None:
+                    total = so_far + final[1]
+                    if total < weight[end]:
+                        piece = final[0]
+                        if not bpe or before < 0:
+                            fit = True
+                        elif (fit := fits.get(before << 32 | piece)) is None:
+                            fit = fits[before << 32 | piece] = self.fits(before, piece)
+                        if fit:
+                            weight[end], back[end] = total, (start, piece)
+                if end == n:
+                    break
+                state = arcs.get(state << 21 | ord(segment[end]))
+        out: list[tuple[int, ...]] = []
         while n:
-            way.append(back[n])
-            n = back[n][0]
-        return way[::-1]
+            start, piece = back[n]
+            out.append((piece,) if piece >= 0 else self._fallback(segment[start]))
+            n = start
+        return tuple(chain.from_iterable(reversed(out)))
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        normal = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+        if not self.normaliser.plain:
+            text = self.normaliser.compose(text)
+        elif self.normaliser.prefix:
+            text = " " + text
         young, old, out = self._young, self._old, []
-        for segment in self.cuts.findall(normal) if self.cuts else [normal]:
+        for segment in self.cuts.findall(text) if self.cuts else [text] if text else []:
             found = young.get(segment)
             if found is None:
                 found = old.get(segment)
@@ -253,7 +296,7 @@ class Transducer:
                 out.append(" ⁇ " if i == self.unknown else pieces[i])
         out.append(run.decode("utf-8", "replace"))
         text = "".join(out).replace(SPACE, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return text[1:] if self.normaliser.prefix and text.startswith(" ") else text
 
 
 @lru_cache(maxsize=2)
@@ -265,7 +308,7 @@ def compiled(path: str) -> Transducer:
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id and ids (array) of every row of ``docs`` (doc_id, text), by the model file at ``model`` (a path that all executors have).
 
-    Null and empty texts have no ids; null doc_ids and repeated rows are rows like any other; an empty table gives no rows.
+    Null and empty texts have no ids, very long ones are read whole; null doc_ids and repeated rows are rows like any other; other columns are left out; an empty table gives no rows.
     """
 
     @F.pandas_udf("array<int>")
@@ -288,7 +331,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """Encode every text and decode it again: doc_id, n_ids, n_byte_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256, lossless. Rows as in ``encode``."""
+    """Encode every text and decode it again: doc_id, n_ids, n_byte_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256, lossless. Rows as in ``encode``; an empty table gives no rows."""
 
     @F.pandas_udf("n_ids long, n_byte_ids long, ids_crc32 long, decoded_sha256 string, lossless boolean")
     def run(texts: pd.Series) -> pd.DataFrame:

@@ -236,20 +236,30 @@ def test_pieces_agree_with_the_library(library):
         assert own.decode(ids) == t or "▁" in t
 
 
-def test_unigram_path_has_the_least_cost():
-    """A small unigram model written by hand: the path found is the cheapest of all segmentations."""
+def proto(n, data):
+    """A field of bytes in a protocol-buffer message."""
+    size = len(data)
+    out = bytes([n << 3 | 2])
+    while True:
+        out += bytes([size & 127 | (size > 127) << 7])
+        size >>= 7
+        if not size:
+            return out + data
+
+
+def unigram(pieces, normaliser, more=b""):
+    import struct
 
-    def field(n, data):
-        return bytes([n << 3 | 2, len(data)]) + data
+    model = proto(1, proto(1, b"<unk>") + b"\x15" + struct.pack("<f", 0.0) + b"\x18\x02")
+    for p, s in pieces.items():
+        model += proto(1, proto(1, p.encode()) + b"\x15" + struct.pack("<f", s))
+    return model + more + proto(3, normaliser)
 
-    import struct
 
+def test_unigram_path_has_the_least_cost():
+    """A small unigram model written by hand: the path found is the cheapest of all segmentations."""
     pieces = {"▁": -2.0, "a": -3.0, "b": -3.1, "ab": -4.0, "▁a": -3.5, "▁ab": -9.0, "ba": -5.0, "aba": -6.5, "bb": -5.5}
-    model = field(1, field(1, b"<unk>") + b"\x15" + struct.pack("<f", 0.0) + b"\x18\x02")
-    for p, s in pieces.items():
-        model += field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s))
-    model += field(3, b"\x20\x00")
-    own = spf.Transducer(model)
+    own = spf.Transducer(unigram(pieces, b"\x20\x00"))
 
     def splits(t):
         if not t:
@@ -265,6 +275,41 @@ def test_unigram_path_has_the_least_cost():
         assert own.decode(own.encode(t)) == t
 
 
+def test_character_maps_and_squeezing_agree_with_the_library():
+    """Normalisers with a character map (the library's own), with and without squeezing and prefix, in a unigram model written by hand."""
+    import sentencepiece
+
+    normaliser = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    spec = next(v for n, v in spf._fields(normaliser.serialized_model_proto()) if n == 3)
+    charsmap = dict(spf._fields(spec))[2]
+    letters = "abcdefi1é▁"
+    pieces = {c: -3.0 - 0.1 * i for i, c in enumerate(letters)} | {"ab": -4.0, "▁a": -3.5, "▁ab": -4.2, "fi": -4.4, "cde": -6.0}
+    rng = random.Random(12)
+    texts = ["", " ", "  a  b ", "ﬁ ab", "Ａａ１", "e\u0301 é", "a\u3000b\tc\n", "①㍿ ab", "한국 ｱ", "\u00a0a\u200bb", "zz a zz"]
+    texts += ["".join(rng.choice("ab cdeﬁ\u0301é１ \tｱz\u3000") for _ in range(rng.randint(0, 25))) for _ in range(500)]
+    for squeeze, prefix in itertools.product((0, 1), repeat=2):
+        model = unigram(pieces, proto(2, charsmap) + bytes([0x18, prefix, 0x20, squeeze]))
+        theirs = sentencepiece.SentencePieceProcessor(model_proto=model)
+        own = spf.Transducer(model)
+        for t in texts:
+            assert own.encode(t) == theirs.encode(t), (t, squeeze, prefix)
+
+
+def test_the_shortest_path_gives_the_query_its_ids(monkeypatch):
+    own = spf.Transducer(open(P.path("piece_bpe_32k.model"), "rb").read())
+    seen = []
+    path = own.path
+    monkeypatch.setattr(own, "path", lambda segment: seen.append(segment) or path(segment))
+    own.encode("a few words 中")
+    assert seen == [" a", " few", " words", " 中"]
+    # with all neighbours allowed the weights of the acceptor are gone, and other paths are found
+    free = spf.Transducer(open(P.path("piece_bpe_32k.model"), "rb").read())
+    monkeypatch.setattr(free, "fits", lambda a, b: True)
+    rng = random.Random(1)
+    words = ["".join(rng.choice("etaoins") for _ in range(8)) for _ in range(50)]
+    assert any(free.encode(w) != own.encode(w) for w in words)
+
+
 def test_encoding_tables(spark, library):
     rows = corpus()
     path = P.path("piece_bpe_32k.model")
