@@ -27,20 +27,24 @@ SLACK = (4, 12)
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> ids of the byte-level BPE in a ``tokenizers`` JSON file, without special tokens of the template.
+    """text -> ids of a ``tokenizers`` JSON file, without special tokens of the template: those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``.
 
-    The ids are those of ``tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``; where
-    the file is a plain byte-level BPE, tiktoken computes the same ids four times as fast and is used.
+    Where the file says that it is a plain byte-level BPE, tiktoken computes the same ids four times as fast and is used; any other file is left to ``tokenizers``.
     """
     import json
 
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if not _plain_byte_level(spec):
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        return lambda text: own.encode(text, add_special_tokens=False).ids
+
     import public_tokenizers
     import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    points = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in points} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in points)}
+    letters = _letters()
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(letters[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
     encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
@@ -49,6 +53,32 @@ def encoder(path: str):
     return encoding.encode_ordinary
 
 
+def _letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level files: itself where it prints, else the next one from 256 on."""
+    points = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in points} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in points)}
+
+
+def _plain_byte_level(spec: dict) -> bool:
+    """Whether a file normalises nothing, cuts by the byte-level pattern, and merges pieces in the order of their ids."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = (
+        spec.get("normalizer") is None and not spec.get("truncation") and not spec.get("padding")
+        and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        and model.get("type", "BPE") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        and not any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
+    )
+    if not plain:
+        return False
+    vocab, letters = model["vocab"], _letters()
+    special = {t["content"] for t in spec["added_tokens"]}
+    if not set("".join(p for p in vocab if p not in special)) <= set(letters):
+        return False
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    return all(a < b for a, b in zip([0, *made], made, strict=False)) and len(made) + 256 == len(set(vocab) - special)
+
+
 def windows_of(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     """The window of each piece and the number of windows: as few as hold the tokens, one more whenever one overflows."""
     count = max(1, -(-int(lengths.sum()) // capacity))
@@ -83,7 +113,7 @@ def pack_tokens(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, windo
     A document is its ids and then id 1. Its full windows become sequences of their own; the rest is cut into
     pieces. Pieces meet in blocks of about ``windows`` windows, and each block is differenced into near-equal
     windows. Blocks form within a task, in the order of its rows, so nothing is shuffled and a task that runs again
-    gives the same rows. Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id (unique,
+    gives the same rows. Other columns are left out, very long texts are packed whole. Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id (unique,
     not gapless), offset (and ids, with ``with_ids``). A null or empty text is the single id 1; repeated rows and
     null doc_ids are documents like any other; an empty table gives no rows.
     """

@@ -732,6 +732,20 @@ def test_ids_are_the_tokenizers(tokenizer):
         assert list(encode(t)) == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_other_tokenizer_files_are_read_as_they_are():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    own, theirs = packing.encoder(path), Tokenizer.from_file(path)
+    for t in ("Hello  World", "it's 12 é中 x", "A\n\nb", ""):
+        assert list(own(t)) == theirs.encode(t, add_special_tokens=False).ids
+    import json
+
+    plain = json.load(open(P.path("byte_bpe_50k.json")))
+    assert packing._plain_byte_level(plain) and not packing._plain_byte_level(json.load(open(path)))
+    assert not packing._plain_byte_level(plain | {"normalizer": {"type": "NFC"}})
+
+
 def test_packing_is_whole_and_tight(spark, tokenizer):
     rows = corpus(n=200)
     got = packing.pack_tokens(docs(spark, rows).coalesce(1), P.path("byte_bpe_50k.json"), with_ids=True).collect()
