@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and there is only one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,15 +37,14 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def sample_by_hash(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """About ``n`` rows of ``df`` (all, if there are no more): those whose ``keys`` hash below n's share of all.
+    """About ``n`` rows of ``df`` (all, if there are no more), whose ``keys`` are unique: those whose hash lies below n's share of all.
 
-    Rows are counted and filtered where they are, so nothing gathers in one task as a sorted limit over many partitions would; the limit of 2n only
-    matters where very many rows share their keys.
+    Rows are counted and filtered where they are, so nothing gathers in one task as a limit over many partitions would.
     """
     total = df.count()
     if total <= n:
         return df
-    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * n / total)).limit(2 * n)
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * n / total))
 
 
 def number_within(df: DataFrame, key: str, key_count: int, order: list[str], out: str, rows_per_task: int = 50_000) -> DataFrame:

@@ -63,7 +63,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, per_block: int = GROUPS_PE
     Returns doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null). A null text has size 1 and
     goes with the empty ones. A null doc_id and repeated rows are rows like any other. Only doc_id, size, checksum and
     the text's SHA-256 are shuffled. A group of copies that is heavier than a shard's even share makes its shard
-    that heavy, since it is indivisible; the others stay near equal. An empty table gives no rows.
+    that heavy, since it is indivisible; the others stay near equal. Very long texts count like any; other columns are left out. An empty table gives no rows.
     """
     text = text_or_empty()
     rows = settle(

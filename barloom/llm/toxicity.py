@@ -194,10 +194,13 @@ def severity_column(model: Ordinal, spark, text: str = "text"):
 
 
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """doc_id, severity, grade, toxic of every row of ``docs`` (doc_id, text). A null text counts as empty; null doc_ids and repeated rows are rows like any other."""
+    """doc_id, severity, grade, toxic of every row of ``docs`` (doc_id, text); other columns are left out.
+
+    A null text counts as empty, very long ones are read whole; null doc_ids and repeated rows are rows like any other; an empty table gives no rows.
+    """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), severity_column(model, docs.sparkSession).alias("s")).select("doc_id", "s.*")
 
 
 def keep_civil(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """The rows of ``docs`` that aren't toxic, with their columns as they were."""
+    """The rows of ``docs`` that aren't toxic, with all their columns as they were, whatever their names; null texts stay; an empty table gives no rows."""
     return docs.where(severity_column(model, docs.sparkSession)["toxic"] == 0)

@@ -373,6 +373,43 @@ def test_few_labels_still_mark_words(spark, caplog):
     assert toxicity.fit(docs(spark, same), label(lambda i: i % 8 == 0)).weights == {} and "no feature" in caplog.text
 
 
+def test_ordinal_fit_against_the_likelihood():
+    """Weights and thresholds are where the penalised cumulative-link likelihood, told row by row, is flat in every direction."""
+    rng = np.random.default_rng(3)
+    n, size = 300, 4
+    x = (rng.random((n, size)) < 0.4) * rng.integers(1, 3, (n, size))
+    grade = np.clip(np.round(x @ [1.0, -0.5, 0.8, 0.0] + rng.logistic(0, 0.7, n)), 0, 3).astype(int)
+    weight = rng.random(n) + 0.5
+    rows, cols = np.nonzero(x)
+    w, theta = toxicity.fit_ordinal(rows, cols, x[rows, cols].astype(float), grade, size, steps=3000, weight=weight)
+    assert (np.diff(theta) > 0).all()
+    share = weight * n / weight.sum()
+
+    def loss(p):
+        total = 0.0
+        for i in range(n):
+            up = [1.0, *(1 / (1 + np.exp(t - x[i] @ p[:size])) for t in p[size:]), 0.0]
+            total -= share[i] * np.log(up[grade[i]] - up[grade[i] + 1])
+        return total / n + toxicity.RIDGE * (p[:size] ** 2).sum() / 2
+
+    p, step = np.r_[w, theta], 1e-4
+    for k in range(len(p)):
+        e = np.zeros(len(p))
+        e[k] = step
+        assert abs(loss(p + e) - loss(p - e)) / (2 * step) < 2e-3
+        assert loss(p) < loss(p + 1000 * e) and loss(p) < loss(p - 1000 * e)
+
+
+def test_severity_is_the_expected_grade(spark):
+    model = toxicity.Ordinal({"bad": 2.0}, np.array([1.0, 2.0, 3.0]), 0.5)
+    got = {r.doc_id: r for r in toxicity.score(docs(spark, [(1, "bad"), (2, "bad Bad, bad"), (3, ""), (4, None)]), model).collect()}
+    for i, count in ((1, 1), (2, 3), (3, 0), (4, 0)):
+        s = 2.0 * (1 + 0.5 * np.log(count)) if count else 0.0
+        up = 1 / (1 + np.exp(model.thresholds - s))
+        chance = np.r_[1, up] - np.r_[up, 0]
+        assert got[i].severity == pytest.approx((chance * np.arange(4)).sum()) and got[i].grade == chance.argmax() and got[i].toxic == (up[0] >= 0.5)
+
+
 def test_no_labels_means_nothing_is_toxic(spark):
     rows, _ = labelled(n=20)
     none = spark.createDataFrame([], "doc_id long, toxic int")
