@@ -99,6 +99,21 @@ def bar_end(ts: Column, unit: str, count: int = 1) -> Column:
     return F.least(plus_seconds(bar_start(ts, unit, count), F.lit(SECONDS[unit] * count)), day_end(ts))
 
 
+def contains(ts: Column, start: Column, end: Column) -> Column:
+    """Whether the half-open range [start, end) holds ``ts``."""
+    return (ts >= start) & (ts < end)
+
+
+def elapsed(end: Column, now: Column) -> Column:
+    """Whether a range that ends at ``end`` has passed at ``now``."""
+    return now >= end
+
+
+def duration(start: Column, end: Column) -> Column:
+    """Seconds from ``start`` to ``end``."""
+    return seconds_between(end, start)
+
+
 def standard_holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
     """date, kind ('full' or 'partial') and from_hour (New York, of partial closures) for each year: New Year's Day, Christmas and the day after; from 13:00 on the eves."""
     days = F.explode(

@@ -75,29 +75,46 @@ def on_grid(a: Column | str, step: Column | str | int) -> Column:
     return F.when(_col(step) > 0, _col(a) % _col(step) == 0).otherwise(F.lit(False))
 
 
-def parse_error(text: Column | str, signed: bool = True) -> Column:
-    """Why a text is no decimal of this kind, or null: syntax, precision (a digit other than zero past the 8th), range, negative."""
+def parsed(text: Column | str, signed: bool = True) -> Column:
+    """A strict decimal text ([+-]digits[.digits]) as a struct of error (syntax, precision: a digit other than zero past the 8th, range, negative; or null) and units (null with an error).
+
+    The text is looked at once: what both fields need is bound by a lambda, so no part of it is evaluated again for the other.
+    """
     t = _col(text)
-    past = F.regexp_extract(t, r"^[+-]?[0-9]+\.[0-9]{8}([0-9]*)$", 1)
-    exact = F.regexp_replace(t, r"(\.[0-9]{8})[0-9]*$", "$1").try_cast("decimal(38,8)")
-    units = (exact * F.lit(SCALE).cast("decimal(10,0)")).cast("decimal(38,0)")
-    broken = ~t.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$")
-    outside = units.isNull() | (units < F.lit(LEAST)) | (units > F.lit(MOST))
-    error = F.when(t.isNull() | broken, SYNTAX).when(past.rlike("[1-9]"), PRECISION).when(outside, RANGE)
-    return error if signed else error.when(units < 0, NEGATIVE)
+    point = F.instr(t, ".")
+    exact = F.when(point > 0, F.substr(t, F.lit(1), point + 8)).otherwise(t).try_cast("decimal(38,8)")
+    wide_units = (exact * F.lit(SCALE).cast("decimal(10,0)")).cast("decimal(38,0)")
+    good = F.coalesce(t.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), F.lit(False))
+    seen = F.struct(good.alias("good"), t.rlike(r"\.[0-9]{8}[0-9]*[1-9]").alias("deep"), F.when(good, wide_units).alias("units"))
+
+    def judge(v: Column) -> Column:
+        u = v["units"]
+        error = F.when(~v["good"], SYNTAX).when(v["deep"], PRECISION).when(u.isNull() | (u < F.lit(LEAST)) | (u > F.lit(MOST)), RANGE)
+        return F.struct((error if signed else error.when(u < 0, NEGATIVE)).alias("error"), u.alias("units"))
+
+    def close(v: Column) -> Column:
+        return F.struct(v["error"].alias("error"), F.when(v["error"].isNull(), v["units"].cast("bigint")).alias("units"))
+
+    return F.transform(F.transform(F.array(seen), judge), close)[0]
+
+
+def parse_error(text: Column | str, signed: bool = True) -> Column:
+    """Why a text is no decimal of this kind, or null."""
+    return parsed(text, signed)["error"]
 
 
 def parse(text: Column | str, signed: bool = True) -> Column:
-    """Units of a strict decimal text ([+-]digits[.digits]); null where ``parse_error`` has a reason."""
-    t = _col(text)
-    exact = F.regexp_replace(t, r"(\.[0-9]{8})[0-9]*$", "$1").try_cast("decimal(38,8)")
-    return F.when(parse_error(t, signed).isNull(), (exact * F.lit(SCALE).cast("decimal(10,0)")).cast("bigint"))
+    """Units of a strict decimal text; null where ``parse_error`` has a reason."""
+    return parsed(text, signed)["units"]
 
 
 def text_of(units: Column | str) -> Column:
     """Canonical text: no trailing zeros, and zero without a sign."""
-    exact = (wide(units).cast("decimal(28,8)") / F.lit(SCALE).cast("decimal(10,0)")).cast("decimal(28,8)").cast("string")
-    return F.regexp_replace(F.regexp_replace(exact, r"0+$", ""), r"\.$", "")
+    u = _col(units)
+    digits = F.translate(u.cast("string"), "-", "")
+    padded = F.when(F.length(digits) < 9, F.lpad(digits, 9, "0")).otherwise(digits)
+    tail = F.rtrim(F.right(padded, F.lit(8)), F.lit("0"))
+    return F.concat(F.when(u < 0, "-").otherwise(""), F.substr(padded, F.lit(1), F.length(padded) - 8), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""))
 
 
 def money(amount: Column | str, currency: Column | str) -> Column:
@@ -114,3 +131,21 @@ def money_add(a: Column, b: Column, sign_of_b: int = 1) -> Column:
 def money_convert(a: Column, to: Column | str, rate: Column | str) -> Column:
     converted = multiply(a["amount"], rate)
     return F.when(converted.isNotNull(), F.struct(converted.alias("amount"), (F.lit(to) if isinstance(to, str) else to).alias("currency")))
+
+
+def money_compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 for two amounts of one currency; null otherwise."""
+    return F.when(a["currency"] == b["currency"], F.when(a["amount"] < b["amount"], -1).when(a["amount"] > b["amount"], 1).otherwise(0))
+
+
+def money_negate(a: Column) -> Column:
+    return F.when(negate(a["amount"]).isNotNull(), F.struct(negate(a["amount"]).alias("amount"), a["currency"].alias("currency")))
+
+
+def money_absolute(a: Column) -> Column:
+    return F.when(absolute(a["amount"]).isNotNull(), F.struct(absolute(a["amount"]).alias("amount"), a["currency"].alias("currency")))
+
+
+def money_error(a: Column, b: Column) -> Column:
+    """Why two amounts can't be put together: a missing currency or amount, two currencies, or a sum beyond 64 bits; or null."""
+    return F.when(a.isNull() | b.isNull(), "missing").when(a["currency"] != b["currency"], "mismatch").when(F.try_add(a["amount"], b["amount"]).isNull(), RANGE)

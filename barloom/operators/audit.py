@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import settle
+
 AUDITED_PARTITIONS = 25
 
 
@@ -24,17 +26,15 @@ def depths(events: DataFrame, rounds: int = 64) -> DataFrame:
     """depth of each event below its chain's first (0). Chains double in length each round, so ``rounds`` is far beyond any; what a cycle holds has none,
     nor have orphans and what hangs below them: they are left out, as in a recursion from the first events down.
 
-    Each round is one equi-join on (correlation, event).
+    Each round is one equi-join on (correlation, event), settled in the shared folder.
     """
-    state = events.select("correlation_id", "event_id", F.col("causation_id").alias("up"), F.when(F.col("causation_id").isNull(), 0).otherwise(1).alias("depth"))
+    state = settle(events.select("correlation_id", "event_id", F.col("causation_id").alias("up"), F.when(F.col("causation_id").isNull(), 0).otherwise(1).alias("depth")))
     for _ in range(rounds):
         if state.where("up IS NOT NULL").isEmpty():
             break
         above = state.select("correlation_id", F.col("event_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.lit(True).alias("_is"))
-        before = state
-        state = before.join(above, ["correlation_id", "up"], "left").where("up IS NULL OR _is").select("correlation_id", "event_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"))
-        if state.sparkSession.sparkContext.getCheckpointDir():
-            state = state.checkpoint()
+        state = state.join(above, ["correlation_id", "up"], "left").where("up IS NULL OR _is").select("correlation_id", "event_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"))
+        state = settle(state)
     return state.where("up IS NULL").drop("up")
 
 

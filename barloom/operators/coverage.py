@@ -39,6 +39,17 @@ def interval_states(months: DataFrame, bars: DataFrame, keys: list[str], interva
     return expected.join(stored, [*keys, "bar_start"], "left").select(*keys, "year", "month", "bar_start", "bar_end", state.alias("state"))
 
 
+def week_states(months: DataFrame, bars: DataFrame, keys: list[str], now: Column) -> DataFrame:
+    """State of every week that starts in ``months`` (keys, year, month, start_ts, end_ts) against stored weekly ``bars`` (keys, time): in progress at ``now``, present or missing.
+
+    A week always holds a weekend, so what the calendar says within it doesn't count.
+    """
+    expected = cal.spine(months, [*keys, "year", "month"], "week")
+    stored = bars.select(*keys, F.col("time").alias("bar_start"), F.lit(True).alias("_here")).distinct()
+    state = F.when(~cal.elapsed(F.col("bar_end"), now), IN_PROGRESS).when(F.col("_here"), PRESENT).otherwise(MISSING)
+    return expected.join(stored, [*keys, "bar_start"], "left").select(*keys, "year", "month", "bar_start", "bar_end", state.alias("state"))
+
+
 def gaps(states: DataFrame, keys: list[str]) -> DataFrame:
     """Runs of contiguous bars in one state other than present and closed, within each key (with year and month: never across months)."""
     w = Window.partitionBy(*keys).orderBy("bar_start")

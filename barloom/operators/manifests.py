@@ -58,3 +58,9 @@ def key_mismatch(year: str = "year", month: str = "month") -> Column:
     start = F.make_date(year, month, F.lit(1)).cast("timestamp_ntz")
     end = F.add_months(F.make_date(year, month, F.lit(1)), 1).cast("timestamp_ntz")
     return ~((F.col("span_start") < end) & (F.col("span_end") > start))
+
+
+def instrument_mismatch(symbol: str = "symbol") -> Column:
+    """True where a manifest's instrument, less its kind, isn't spelled like the symbol it is filed under."""
+    plain = lambda c: F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
+    return plain(F.regexp_replace("instrument_id", "^[a-z]+:", "")) != plain(F.col(symbol))

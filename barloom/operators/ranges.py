@@ -25,15 +25,29 @@ def merged(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(F.struct(*values)).alias("v")).select(*keys, "v.*")
 
 
-def first_uncovered(requests: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """The first part of each request [from_ts, to_ts) that no span [start_ts, end_ts) covers, or nulls: keys, hole_start, hole_end."""
-    clipped = requests.join(spans, keys).select(*keys, "from_ts", "to_ts", F.greatest("start_ts", "from_ts").alias("s"), F.least("end_ts", "to_ts").alias("e"))
-    inside = clipped.where(F.col("s") < F.col("e"))
+def _each_month(spans: DataFrame, start: str, end: str) -> DataFrame:
+    """A row for each month that a half-open span touches."""
+    last = F.col(end) - F.expr("INTERVAL '0.000001' SECOND")
+    return spans.where(F.col(start) < F.col(end)).withColumn("_m", F.explode(F.sequence(F.trunc(start, "month"), F.trunc(last, "month"), F.expr("INTERVAL 1 MONTH"))))
+
+
+def first_uncovered(requests: DataFrame, spans: DataFrame, keys: list[str], on: list[str] | None = None) -> DataFrame:
+    """The first part of each request [from_ts, to_ts) that no span [start_ts, end_ts) covers, or nulls: keys, hole_start, hole_end.
+
+    Spans belong to all requests of the same ``keys``. With ``on`` they belong to all requests of those keys (some of ``keys``), of which there may be many: then both are
+    cut by month, so that a request only meets spans of its months.
+    """
+    if on:
+        asked, held = _each_month(requests.select(*keys, "from_ts", "to_ts"), "from_ts", "to_ts"), _each_month(spans.select(*on, "start_ts", "end_ts"), "start_ts", "end_ts")
+        met, first, after = asked.join(held, [*on, "_m"]), [F.col("_m").cast("timestamp_ntz")], [F.add_months("_m", 1).cast("timestamp_ntz")]
+    else:
+        met, first, after = requests.join(spans, keys), [], []
+    inside = met.select(*keys, "from_ts", "to_ts", F.greatest("start_ts", "from_ts", *first).alias("s"), F.least("end_ts", "to_ts", *after).alias("e")).where(F.col("s") < F.col("e"))
     before = Window.partitionBy(*keys).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("e").over(before), F.col("from_ts"))
-    holes = inside.withColumn("_r", reached).where(F.col("s") > F.col("_r")).groupBy(*keys).agg(F.min(F.struct(F.col("_r").alias("a"), F.col("s").alias("b"))).alias("h"))
-    tail = inside.groupBy(*keys).agg(F.max("e").alias("_end"))
-    joined = requests.select(*keys, "from_ts", "to_ts").join(holes, keys, "left").join(tail, keys, "left")
+    hole = F.when(F.col("s") > F.col("_r"), F.struct(F.col("_r").alias("a"), F.col("s").alias("b")))
+    found = inside.withColumn("_r", reached).groupBy(*keys).agg(F.min(hole).alias("h"), F.max("e").alias("_end"))
+    joined = requests.select(*keys, "from_ts", "to_ts").join(found, keys, "left")
     end = F.coalesce("_end", "from_ts")
     start = F.when(F.col("h").isNotNull(), F.col("h.a")).when(end < F.col("to_ts"), end)
     stop = F.when(F.col("h").isNotNull(), F.col("h.b")).when(end < F.col("to_ts"), F.col("to_ts"))
@@ -44,15 +58,17 @@ def bars_for(requests: DataFrame, bars: DataFrame, spans: DataFrame, request: st
     """(bars, status) of many requests at once: ``requests`` (request, keys, from_ts, to_ts).
 
     ``bars`` (keys, year, month, time, values) are pruned to the months touched; ``spans`` (keys, start_ts, end_ts) are what stored partitions vouch for. A request with a conflict or a hole gets
-    no bars; status says ok, conflict or hole and where. Bars come ordered by request and time.
+    no bars; status says ok, conflict or hole and where. ``position`` numbers a request's bars in order of time, from 1, and they lie in this order.
     """
     touched = months_of(requests, [request, *keys, "from_ts", "to_ts"])
     read = bars.join(touched, [*keys, "year", "month"]).where((F.col("time") >= F.col("from_ts")) & (F.col("time") < F.col("to_ts")))
     own = [request, *keys, "time"]
-    clash = conflicts(read, own, values).groupBy(request).agg(F.min("time").alias("conflict_at"))
+    each = read.groupBy(*own).agg(F.min(F.struct(*values)).alias("v"), F.max(F.struct(*values)).alias("_v"))
+    clash = each.where(F.col("v") != F.col("_v")).groupBy(request).agg(F.min("time").alias("conflict_at"))
     asked = requests.select(request, *keys, "from_ts", "to_ts")
-    hole = first_uncovered(asked, asked.select(request, *keys).join(spans, keys), [request, *keys])
+    hole = first_uncovered(asked, spans, [request, *keys], keys)
     status = asked.select(request).join(clash, request, "left").join(hole.select(request, "hole_start", "hole_end"), request, "left")
     status = status.withColumn("status", F.when(F.col("conflict_at").isNotNull(), "conflict").when(F.col("hole_start").isNotNull(), "hole").otherwise("ok"))
-    good = read.join(status.where("status = 'ok'").select(request), request, "left_semi")
-    return merged(good, own, values).orderBy(request, "time"), status
+    good = each.join(status.where("status = 'ok'").select(request), request, "left_semi")
+    place = F.row_number().over(Window.partitionBy(request).orderBy("time"))
+    return good.select(*own, "v.*", place.alias("position")), status

@@ -65,10 +65,19 @@ def derive_actions(weekly: DataFrame, daily: DataFrame, day_gaps: DataFrame, wee
     return fresh.unionByName(again.select(*month, F.lit(DERIVE).alias("kind"), F.lit("gap: D1 input now available for a previously incomplete week").alias("reason")))
 
 
+def staged(actions: DataFrame) -> DataFrame:
+    """Add stage: raw actions first (0), then builds, then derivations."""
+    return actions.withColumn("stage", F.coalesce(*[F.when(F.col("kind") == k, F.lit(s)) for k, s in STAGE.items()]))
+
+
 def ordered(actions: DataFrame, keys: list[str]) -> DataFrame:
-    """Raw actions first, then builds, then derivations, by month."""
-    stage = F.coalesce(*[F.when(F.col("kind") == k, F.lit(s)) for k, s in STAGE.items()])
-    return actions.withColumn("stage", stage).orderBy("stage", *keys, "year", "month", "kind")
+    """By stage, then by month."""
+    return staged(actions).orderBy("stage", *keys, "year", "month", "kind")
+
+
+def positions(actions: DataFrame, keys: list[str]) -> DataFrame:
+    """Add stage and position: the place of an action among those of its keys, from 1, in the order of ``ordered``."""
+    return staged(actions).withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("stage", "year", "month", "kind")))
 
 
 def skipped(actions: DataFrame, executed: tuple[str, ...]) -> DataFrame:

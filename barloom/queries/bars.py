@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..operators import bars as ops
 from ..operators import coverage as cov
-from .common import BAR_COLUMNS, TICKS, as_string, as_text, bar_start, bars_sql, day_at, local, resample_sql, session_date, table, ticks
+from .common import BAR_COLUMNS, TICKS, bucket_ticks, bucket_ticks_sql, as_string, as_text, bar_start, bars_sql, day_at, local, resample_sql, session_date, table, ticks
 
-SHARES = "symbol"
+#: Buckets of users in the coverage queries.
+BUCKETS = 10
 
 
 def bars_query(interval: str):
@@ -71,9 +72,8 @@ def holiday_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, sf_dir: str, interval: str) -> tuple[DataFrame, DataFrame]:
-    """(bars of the ticks of the first two users' kinds, months to cover): sparse, so that there are gaps."""
-    k = F.col("seq") % 17 < 3
-    bars = ops.from_ticks(ticks(spark, sf_dir).where(k), ["symbol"], interval)
+    """(bars of all ticks by type and bucket of users, months to cover): few ticks an hour each, so there are gaps."""
+    bars = ops.from_ticks(bucket_ticks(spark, sf_dir, BUCKETS), ["symbol"], interval)
     span = bars.groupBy("symbol").agg(F.min("time").alias("start_ts"), F.max("time").alias("end_ts"))
     return bars, cov.month_spans(span, ["symbol"])
 
@@ -158,7 +158,7 @@ def _spine(interval: str) -> str:
 def _states(interval: str, with_holidays: bool = True) -> str:
     at_start = status_sql("spine", "bar_start", "symbol, year, month, bar_start, bar_end", with_holidays)
     at_last = status_sql("(SELECT *, bar_end - INTERVAL 1 MICROSECOND AS bar_last FROM spine)", "bar_last", "symbol, bar_start", with_holidays)
-    return f"""WITH holidays AS ({HOLIDAYS}), ticks AS ({TICKS}), sparse AS (SELECT * FROM ticks WHERE seq % 17 < 3), bars AS ({bars_sql(interval, 'sparse')}),
+    return f"""WITH holidays AS ({HOLIDAYS}), sparse AS ({bucket_ticks_sql(BUCKETS)}), bars AS ({bars_sql(interval, 'sparse')}),
 months AS (SELECT symbol, CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, greatest(m, lo) AS start_ts, least(m + INTERVAL 1 MONTH, hi) AS end_ts FROM
   (SELECT symbol, lo, hi, unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi), INTERVAL 1 MONTH)) AS m FROM (SELECT symbol, min(time) AS lo, max(time) AS hi FROM bars GROUP BY symbol))),
 spine AS ({_spine(interval)}), at_start AS ({at_start}), at_last AS ({at_last}),

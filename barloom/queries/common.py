@@ -32,12 +32,23 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"), units("value", 4).alias("price"), (k * 1000).alias("spread"))
 
 
+def bucket_ticks(spark: SparkSession, sf_dir: str, buckets: int) -> DataFrame:
+    """Ticks of many six-letter symbols: the first three letters of the type, and the user's number modulo ``buckets``."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    symbol = F.concat(F.upper(F.substring("event_type", 1, 3)), F.lpad((F.col("user_id") % buckets).cast("string"), 3, "0"))
+    return table(spark, sf_dir, "events").select(symbol.alias("symbol"), "ts", F.col("event_id").alias("seq"), units("value", 4).alias("price"), (k * 1000).alias("spread"))
+
+
 # the same in DuckDB SQL
 
 TICKS = """SELECT event_type AS symbol, ts, event_id AS seq, CAST(floor(value * 10000 + 0.5) AS BIGINT) * 10000 AS price,
   CAST(json_extract_string(props, '$.k') AS BIGINT) * 1000 AS spread FROM events"""
 
 
+def bucket_ticks_sql(buckets: int) -> str:
+    return TICKS.replace("event_type AS symbol", f"upper(substr(event_type, 1, 3)) || lpad(CAST(user_id % {buckets} AS VARCHAR), 3, '0') AS symbol")
+
+
 def local(ts: str) -> str:
     return f"timezone('America/New_York', timezone('UTC', {ts}))"
 

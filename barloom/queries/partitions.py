@@ -10,6 +10,7 @@ from ..operators import bars as ops
 from ..operators import coverage as cov
 from ..operators import inventory, manifests, ranges
 from ..plans import planner
+from ..sources.shared import settle
 from .bars import HOLIDAYS, holidays, status_sql
 from .common import TICKS, as_string, as_text, bars_sql, day_at, session_date, table, text, ticks, units
 
@@ -40,27 +41,29 @@ def overlap_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_request(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Range queries on hourly bars, one per symbol and week; stored spans leave out a day of two symbols, and those requests get no bars."""
-    return _requests(spark, sf_dir)[0]
+    """Range queries on hourly bars, one for each symbol and week that it has; stored spans leave out a day of two symbols, and those requests get no bars."""
+    return as_text(_requests(spark, sf_dir)[0], "time")
 
 
 def bars_request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _requests(spark, sf_dir)[1]
+    return as_text(_requests(spark, sf_dir)[1], "conflict_at", "hole_start").select("request", "status", "conflict_at", "hole_start")
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    bars = ops.from_ticks(ticks(spark, sf_dir), ["symbol"], "h1").withColumns({"year": F.year("time"), "month": F.month("time")})
-    names = bars.select("symbol").distinct()
-    start = F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.col("d"), F.lit(0), F.lit(0), F.lit(0))
-    asked = names.select("symbol", F.explode(F.sequence(F.lit(1), F.lit(22), F.lit(7))).alias("d"))
-    requests = asked.select(F.concat_ws("-", "symbol", "d").alias("request"), "symbol", start.alias("from_ts"), (start + F.expr("INTERVAL 7 DAYS")).alias("to_ts"))
-    at = lambda s: F.lit(s).cast("timestamp_ntz")
+    bars = settle(ops.from_ticks(ticks(spark, sf_dir), ["symbol"], "h1").withColumns({"year": F.year("time"), "month": F.month("time")}))
+    first = F.trunc(F.min("time"), "week")
+    names = bars.groupBy("symbol").agg(first.cast("timestamp_ntz").alias("base"), F.max("time").alias("hi"))
+    week = F.explode(F.sequence(F.to_date("base"), F.to_date("hi"), F.expr("INTERVAL 7 DAYS"))).alias("d")
+    start = F.col("d").cast("timestamp_ntz")
+    requests = names.select("symbol", week).select(F.concat_ws("-", "symbol", F.col("d").cast("string")).alias("request"), "symbol", start.alias("from_ts"), (start + F.expr("INTERVAL 7 DAYS")).alias("to_ts"))
+    days = lambda n: F.col("base") + F.make_dt_interval(F.lit(n))
     cut = F.col("symbol").isin("click", "error")
-    spans = names.select("symbol", F.explode(F.array(F.struct(at("2024-01-01 00:00:00").alias("a"), F.when(cut, at("2024-01-10 00:00:00")).otherwise(at("2024-01-20 00:00:00")).alias("b")), F.struct(F.when(cut, at("2024-01-11 00:00:00")).otherwise(at("2024-01-18 00:00:00")).alias("a"), at("2024-02-01 00:00:00").alias("b")))).alias("x")).select("symbol", F.col("x.a").alias("start_ts"), F.col("x.b").alias("end_ts"))
+    parts = F.array(F.struct(F.col("base").alias("a"), F.when(cut, days(9)).otherwise(days(19)).alias("b")), F.struct(F.when(cut, days(10)).otherwise(days(17)).alias("a"), (F.col("hi") + F.expr("INTERVAL 8 DAYS")).alias("b")))
+    spans = names.select("symbol", F.explode(parts).alias("x")).select("symbol", F.col("x.a").alias("start_ts"), F.col("x.b").alias("end_ts"))
     # a copy of the view bars with one hour changed: its request conflicts
-    copy = bars.where(F.col("symbol") == "view").withColumn("close", F.col("close") + F.when((F.dayofmonth("time") == 3) & (F.hour("time") == 5), 1).otherwise(0))
-    got, status = ranges.bars_for(requests, bars.unionByName(copy), spans, "request", ["symbol"], ["open", "high", "low", "close"])
-    return as_text(got, "time"), as_text(status, "conflict_at", "hole_start").select("request", "status", "conflict_at", "hole_start")
+    odd = F.col("time") == F.col("base") + F.expr("INTERVAL '2 5' DAY TO HOUR")
+    copy = bars.where(F.col("symbol") == "view").join(names.select("symbol", "base"), "symbol").withColumn("close", F.col("close") + F.when(odd, 1).otherwise(0)).drop("base")
+    return ranges.bars_for(requests, bars.unionByName(copy), spans, "request", ["symbol"], ["open", "high", "low", "close"])
 
 
 def _manifests(bars: DataFrame) -> DataFrame:
@@ -119,7 +122,11 @@ def stale_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each month needs: download, repair, normalise, and extension of the last one of two keys."""
+    """What each month needs: download, repair, normalise, and extension of the last one of two keys; with the stage and the place in each key's order."""
+    return planner.positions(_actions(spark, sf_dir), ["key"])
+
+
+def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     months, held, raw, bad = _inputs(spark, sf_dir)
     status = cov.partition_status(months, held, raw, bad, ["key"]).join(raw.select("key", "year", "month", F.col("status").alias("raw_status")), ["key", "year", "month"], "left")
     extend = months.where("key IN ('O', 'F')").select("key").distinct()
@@ -127,7 +134,7 @@ def plan_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skipped_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planner.skipped(plan_actions(spark, sf_dir), (planner.NORMALIZE,)).groupBy("kind", "reason", "why").agg(F.count("*").alias("n"))
+    return planner.skipped(_actions(spark, sf_dir), (planner.NORMALIZE,)).groupBy("kind", "reason", "why").agg(F.count("*").alias("n"))
 
 
 def derived_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,9 +227,10 @@ _ACTIONS = f"""{_INPUTS}, ranked AS (SELECT *, key IN ('O', 'F') AND row_number(
 actions AS (SELECT key, year, month, 'download_raw' AS kind, 'missing' AS reason FROM ranked WHERE raw_status IS NULL UNION ALL SELECT key, year, month, 'repair_raw', 'raw partition ' || raw_status FROM ranked WHERE raw_status <> 'ok'
 UNION ALL SELECT key, year, month, 'download_raw', 'extend' FROM ranked WHERE raw_status = 'ok' AND grow
 UNION ALL SELECT key, year, month, 'normalize_canonical', CASE status WHEN 'missing' THEN 'missing' WHEN 'invalid' THEN 'invalid: rebuild' WHEN 'stale' THEN 'stale: raw fingerprint changed' ELSE 'extend: rebuild once raw catches up' END FROM ranked WHERE raw_status = 'ok' AND (status <> 'current' OR grow))"""
-_REQUESTS = f"""ticks AS ({TICKS}), bars AS ({bars_sql('h1')}), requests AS (SELECT symbol || '-' || d AS request, symbol, make_timestamp(2024, 1, d, 0, 0, 0) AS f, make_timestamp(2024, 1, d, 0, 0, 0) + INTERVAL 7 DAY AS t FROM (SELECT DISTINCT symbol FROM bars), (SELECT unnest(range(1, 23, 7)) AS d)),
-status AS (SELECT request, symbol, f, t, CASE WHEN symbol = 'view' AND f <= TIMESTAMP '2024-01-03 05:00:00' AND TIMESTAMP '2024-01-03 05:00:00' < t AND EXISTS (SELECT 1 FROM bars b WHERE b.symbol = 'view' AND b.time = TIMESTAMP '2024-01-03 05:00:00') THEN TIMESTAMP '2024-01-03 05:00:00' END AS conflict_at,
-  CASE WHEN symbol IN ('click', 'error') AND f < TIMESTAMP '2024-01-11 00:00:00' AND t > TIMESTAMP '2024-01-10 00:00:00' THEN greatest(f, TIMESTAMP '2024-01-10 00:00:00') END AS hole_start FROM requests),
+_REQUESTS = f"""ticks AS ({TICKS}), bars AS ({bars_sql('h1')}), names AS (SELECT symbol, CAST(date_trunc('week', min(time)) AS TIMESTAMP) AS base, max(time) AS hi FROM bars GROUP BY symbol),
+weeks AS (SELECT symbol, base, unnest(generate_series(base, CAST(CAST(hi AS DATE) AS TIMESTAMP), INTERVAL 7 DAY)) AS f FROM names), requests AS (SELECT symbol || '-' || strftime(f, '%Y-%m-%d') AS request, symbol, base, f, f + INTERVAL 7 DAY AS t FROM weeks),
+status AS (SELECT request, symbol, f, t, CASE WHEN symbol = 'view' AND f <= base + INTERVAL 53 HOUR AND base + INTERVAL 53 HOUR < t AND EXISTS (SELECT 1 FROM bars b WHERE b.symbol = 'view' AND b.time = base + INTERVAL 53 HOUR) THEN base + INTERVAL 53 HOUR END AS conflict_at,
+  CASE WHEN symbol IN ('click', 'error') AND f < base + INTERVAL 10 DAY AND t > base + INTERVAL 9 DAY THEN greatest(f, base + INTERVAL 9 DAY) END AS hole_start FROM requests),
 final AS (SELECT *, CASE WHEN conflict_at IS NOT NULL THEN 'conflict' WHEN hole_start IS NOT NULL THEN 'hole' ELSE 'ok' END AS status FROM status)"""
 _DAYS = "SELECT DISTINCT user_id % 40 AS key, " + day_at(session_date("ts")) + f" AS time FROM events WHERE dayofweek({session_date('ts')}) NOT IN (5, 6)"
 _WEEKS = f"""rows AS ({_DAYS}), span AS (SELECT key, min(time) AS lo, max(time) AS hi FROM rows GROUP BY key),
@@ -243,7 +251,7 @@ h AS (SELECT o_custkey, reached AS a, s AS b FROM g WHERE s > reached UNION ALL
 f AS (SELECT o_custkey, min((a, b)) AS x FROM h GROUP BY 1)
 SELECT r.o_custkey, {as_string('x[1]')} AS hole_start, {as_string('x[2]')} AS hole_end FROM requests r LEFT JOIN f USING (o_custkey)""",
     "overlap_conflicts": "SELECT o_orderkey, CAST(2 AS BIGINT) AS versions FROM orders WHERE o_orderkey % 14 = 0",
-    "bars_request": f"WITH {_REQUESTS} SELECT request, symbol, {as_string('time')} AS time, open, high, low, close FROM bars JOIN final USING (symbol) WHERE status = 'ok' AND time >= f AND time < t",
+    "bars_request": f"WITH {_REQUESTS} SELECT request, symbol, {as_string('time')} AS time, open, high, low, close, CAST(row_number() OVER (PARTITION BY request ORDER BY time) AS INTEGER) AS position FROM bars JOIN final USING (symbol) WHERE status = 'ok' AND time >= f AND time < t",
     "bars_request_status": f"WITH {_REQUESTS} SELECT request, status, {as_string('conflict_at')} AS conflict_at, {as_string('hole_start')} AS hole_start FROM final",
     "manifest_check": f"""WITH {_MANIFESTS} SELECT symbol, CAST(day AS VARCHAR) AS day, CASE WHEN provider = '' THEN 'provider' WHEN "interval" = 'h2' THEN 'interval' WHEN span_end <= span_start THEN 'span' WHEN basis = 'last' THEN 'basis' WHEN schema_version <= 0 THEN 'schema_version'
   WHEN {_D} = 8 THEN 'fingerprint' WHEN builder_version = '' THEN 'version' WHEN {_D} = 12 THEN 'built_at' WHEN bar_count < 0 THEN 'bar_count'
@@ -252,7 +260,7 @@ SELECT r.o_custkey, {as_string('x[1]')} AS hole_start, {as_string('x[2]')} AS ho
     "manifest_revision": f"""WITH {_MANIFESTS} SELECT symbol, CAST(day AS VARCHAR) AS day, 'sha256:' || sha256(concat_ws('|', 'r1', provider, instrument_id, "interval", {as_string('span_start')}, {as_string('span_end')}, basis, CAST(schema_version AS VARCHAR), raw_fingerprint, builder_version, '1', resampler_version, '1',
   CAST(bar_count AS VARCHAR), {as_string('first_bar')}, {as_string('last_bar')}, coalesce(parent_instrument, ''), coalesce(parent_interval, ''), coalesce(parent_revision, ''))) AS revision FROM manifests""",
     "stale_partitions": f"WITH {_INPUTS} SELECT key, year, month, status, incomplete_rows FROM status",
-    "plan_actions": f"WITH {_ACTIONS} SELECT * FROM actions",
+    "plan_actions": f"WITH {_ACTIONS}, s AS (SELECT *, CASE kind WHEN 'normalize_canonical' THEN 1 ELSE 0 END AS stage FROM actions) SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY stage, year, month, kind) AS INTEGER) AS position FROM s",
     "skipped_actions": f"WITH {_ACTIONS} SELECT kind, reason, CASE kind WHEN 'repair_raw' THEN 'needs an explicit repair' ELSE 'no download in this step' END AS why, count(*) AS n FROM actions WHERE kind <> 'normalize_canonical' GROUP BY kind, reason",
     "derived_staleness": f"""WITH {_INPUTS}, w AS (SELECT a.key, a.year, a.month, a.k, a.was, b.was AS next_was, CASE WHEN a.k % 13 <> 0 THEN a.now END AS own, CASE WHEN b.k % 13 <> 0 THEN b.now END AS nxt FROM m a LEFT JOIN m b ON b.key = a.key AND make_date(b.year, b.month, 1) = make_date(a.year, a.month, 1) + INTERVAL 1 MONTH)
 SELECT key, year, month, k % 2 = 0 AS crosses, CASE WHEN own IS NULL OR (k % 2 = 0 AND nxt IS NULL) THEN false WHEN k % 2 = 0 THEN own || '|' || nxt <> was || '|' || coalesce(CAST(next_was AS VARCHAR), '') ELSE own <> was END AS stale FROM w""",

@@ -24,7 +24,8 @@ def decimal_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 11 == 4, F.concat(F.lit("+"), plain)).when(k % 11 == 5, F.concat(F.lit("92233720"), plain)).when(k % 11 == 6, F.lit("-0")).when(k % 11 == 7, F.lit("1.")).otherwise(plain)
     )
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", raw_text.alias("raw"))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", dec.parse("raw", signed=False).alias("units"), dec.parse_error("raw", signed=False).alias("error"), dec.text_of(dec.parse("raw")).alias("canonical"))
+    read = rows.withColumns({"p": dec.parsed("raw", signed=False), "s": dec.parse("raw")})
+    return read.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p.units", "p.error", dec.text_of("s").alias("canonical"))
 
 
 _ITEM = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -150,9 +151,9 @@ def candles_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored rows (even orders) and fetched ones (every third, at another price) merged by order and line; fetched ones win."""
+    """Stored rows (all but every sixth order) and fetched ones (every third, at another price) merged by order and line; fetched ones win."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("seq"), units("l_extendedprice", 2).alias("price"))
-    stored = rows.where(F.col("l_orderkey") % 2 == 0)
+    stored = rows.where(F.col("l_orderkey") % 6 != 0)
     fetched = rows.where(F.col("l_orderkey") % 3 == 0).withColumn("price", F.col("price") + 1)
     keys = ["l_orderkey", "l_linenumber"]
     stored = stored.groupBy(*keys).agg(F.max("seq").alias("seq"), F.max("price").alias("price"))
@@ -244,7 +245,7 @@ FROM (SELECT o_orderkey, CAST({_U('o_totalprice', 2)} AS HUGEINT) * CASE WHEN o_
 SELECT symbol, {as_string('time')} AS time, open AS bid_o, high AS bid_h, low AS bid_l, close AS bid_c, CASE WHEN two THEN open + avg_spread END AS ask_o, CASE WHEN two THEN high + avg_spread END AS ask_h, CASE WHEN two THEN low + avg_spread END AS ask_l,
   CASE WHEN two THEN close + avg_spread END AS ask_c, ticks AS volume, ticks % 5 <> 0 AS complete, CASE WHEN NOT two THEN 'side' END AS row_error FROM c""",
     "upsert_latest": f"""WITH r AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey * 1000 + l_suppkey AS seq, {_U('l_extendedprice', 2)} AS price FROM lineitem),
-s AS (SELECT l_orderkey, l_linenumber, max(seq) AS seq, max(price) AS price, 0 AS prio FROM r WHERE l_orderkey % 2 = 0 GROUP BY ALL), f AS (SELECT l_orderkey, l_linenumber, seq, max(price + 1) AS price, 1 AS prio FROM r WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey, l_linenumber, seq)
+s AS (SELECT l_orderkey, l_linenumber, max(seq) AS seq, max(price) AS price, 0 AS prio FROM r WHERE l_orderkey % 6 <> 0 GROUP BY ALL), f AS (SELECT l_orderkey, l_linenumber, seq, max(price + 1) AS price, 1 AS prio FROM r WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey, l_linenumber, seq)
 SELECT l_orderkey, l_linenumber, seq, price FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY prio DESC, seq DESC) AS n FROM (SELECT * FROM s UNION ALL SELECT * FROM f)) WHERE n = 1""",
     "redact_props": """SELECT event_id, array_to_string(list_sort([CASE event_id % 3 WHEN 0 THEN 'Token=REDACTED' WHEN 1 THEN 'api_key=REDACTED' ELSE 'k=' || json_extract_string(props, '$.k') END, 'user=' || user_id]), ',') AS attributes FROM events""",
     "id_audit": """SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'prefix' WHEN o_orderkey % 17 = 0 THEN 'alphabet' WHEN o_orderkey % 19 = 0 THEN 'overflow' WHEN o_orderkey % 23 = 0 THEN 'length' WHEN o_orderkey % 29 = 0 THEN 'zero' END AS error,

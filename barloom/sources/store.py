@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bars as ops
 from ..operators import inventory, manifests
+from .shared import settle
 
 PARTITION = ["provider", "interval", "year", "month", "symbol"]
 BARS = "time timestamp_ntz, open bigint, high bigint, low bigint, close bigint, avg_spread bigint, max_spread bigint, ticks bigint, provider string, interval string, year int, month int, symbol string"
@@ -36,10 +35,18 @@ def read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
         return spark.createDataFrame([], ddl)
 
 
-def settle(df: DataFrame, folder: str) -> DataFrame:
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def publish_errors(bars: DataFrame, held: DataFrame) -> DataFrame:
+    """What keeps partitions from being published (partition keys, error), one row for each kind of error.
+
+    In a manifest: that its span or instrument isn't that of the key it is filed under (key), or the first rule that it breaks. In the bars: a broken rule, a time outside the manifest's span
+    (outside_span) or one that doesn't follow the one before (order). Between them: bars without manifest (manifest), or a count, first or last that isn't that of the bars.
+    """
+    of_manifest = held.select(*PARTITION, F.when(manifests.key_mismatch() | manifests.instrument_mismatch(), "key").otherwise(manifests.manifest_error()).alias("error"))
+    spans = held.select(*PARTITION, "span_start", "span_end")
+    of_bars = ops.set_violations(bars.join(spans, PARTITION), PARTITION, "time").select(*PARTITION, F.col("reason").alias("error"))
+    between = manifests.against_bars(held, bars, PARTITION).select(*PARTITION, F.col("mismatch").alias("error"))
+    alone = bars.select(*PARTITION).join(held.select(*PARTITION), PARTITION, "left_anti").withColumn("error", F.lit("manifest"))
+    return of_manifest.unionByName(of_bars).unionByName(between).unionByName(alone).where("error IS NOT NULL").distinct()
 
 
 def publish(bars: DataFrame, held: DataFrame, root: str) -> None:
@@ -48,13 +55,12 @@ def publish(bars: DataFrame, held: DataFrame, root: str) -> None:
     Both are settled under ``root``/staged first, so that checking and writing don't compute them again.
     """
     bars = settle(bars.select(*_columns(BARS)), f"{root}/staged")
-    own = settle(held.select(*_columns(MANIFESTS)).withColumn("error", manifests.manifest_error()), f"{root}/staged")
-    bad = own.where("error IS NOT NULL").select("symbol", "interval", "year", "month", "error").limit(20).collect()
-    broken = bars.withColumn("error", ops.violation()).where("error IS NOT NULL").select("symbol", "interval", "year", "month", "error").limit(20).collect()
-    if bad or broken:
-        raise ValueError(f"not published: manifests {bad}, bars {broken}")
+    held = settle(held.select(*_columns(MANIFESTS)), f"{root}/staged")
+    errors = publish_errors(bars, held).limit(20).collect()
+    if errors:
+        raise ValueError(f"not published: {errors}")
     _write(bars, f"{root}/bars")
-    _write(own.drop("error"), f"{root}/manifests")
+    _write(held, f"{root}/manifests")
 
 
 def load(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -62,12 +68,10 @@ def load(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def verify(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(manifests, errors): each stored month whose manifest is broken, whose revision isn't that of its fields, or whose bars it doesn't describe."""
+    """(manifests, errors): each stored month that ``publish_errors`` finds fault with, or whose revision isn't that of its fields (revision)."""
     bars, held = load(spark, root)
-    checked = manifests.against_bars(held, bars, PARTITION)
-    broken = bars.withColumn("_e", ops.violation()).where("_e IS NOT NULL").select(*PARTITION, F.col("_e").alias("error"))
-    error = F.coalesce(manifests.manifest_error(), F.when(F.col("revision") != manifests.revision(), "revision"), F.when(manifests.key_mismatch(), "span"), F.col("mismatch"))
-    return held, checked.select(*PARTITION, error.alias("error")).where("error IS NOT NULL").unionByName(broken)
+    wrong = held.where(~F.col("revision").eqNullSafe(manifests.revision())).select(*PARTITION, F.lit("revision").alias("error"))
+    return held, publish_errors(bars, held).unionByName(wrong)
 
 
 def write_raw(records: DataFrame, root: str, must_not_exist: bool = False) -> None:
