@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bars", "records", "partitions", "portfolio", "orders")
+MODULES = ("bars", "records", "partitions", "portfolio", "orders", "stored")
 
 
 def _modules():

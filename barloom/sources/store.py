@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..operators import bars as ops
@@ -86,6 +86,11 @@ def write_raw(records: DataFrame, root: str, must_not_exist: bool = False) -> No
     records.repartition(*PARTITION).sortWithinPartitions(*PARTITION, "time").write.partitionBy(*PARTITION).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(root)
 
 
+def in_file(file: str, row: str) -> WindowSpec:
+    """Rows of a written file, in the order in which they lie."""
+    return Window.partitionBy(file).orderBy(row)
+
+
 def upsert_raw(fetched: DataFrame, root: str) -> None:
     """Merge fetched records (with seq) into the stored partitions that they touch; fetched rows win, the last of several."""
     spark = fetched.sparkSession
