@@ -30,10 +30,8 @@ SIMILAR_WORDS, SIMILAR = 5, 0.8
 BANDS, BAND_ROWS = 20, 5
 #: The share of all minima that a pair must have in common to be confirmed exactly: at Jaccard 0.8 a chance of 0.9999.
 LEAST_SHARE = 0.65
-#: Texts of a bucket that meet in one task; larger buckets are compared by pairs of chunks. Pairs with one text are dealt over tasks by so many.
-BUCKET_CAP, PAIRS = 4096, 512
-#: In buckets of so many texts or fewer all pairs are proposed at once.
-SMALL = 16
+#: Texts of a bucket, and bytes of their shingles, that meet in one task; larger buckets are compared by pairs of chunks. Pairs with one text are dealt over tasks by so many.
+BUCKET_CAP, BUCKET_BYTES, PAIRS = 2048, 32 << 20, 512
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -105,11 +103,11 @@ def _sketch_column(text: str, words: int) -> Column:
 
 
 def _set_column(text: str, words: int) -> Column:
-    """The distinct shingle hashes of a text column."""
+    """The distinct shingle hashes of a text column, in order."""
 
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, words).astype(np.uint64)).view(np.int64) for t in texts], dtype=object)
+        return pd.Series([np.unique(shingle_hashes(t, words).astype(np.uint64).view(np.int64)) for t in texts], dtype=object)
 
     return of(F.col(text).cast("string"))
 
@@ -228,9 +226,9 @@ def _grouped(batches: Iterator[pd.DataFrame], columns: list[str], use: Callable[
         yield use(kept, np.zeros(1, dtype=np.int64))
 
 
-def _dealt(rows: DataFrame, key: str, group: list[str], cap: int) -> DataFrame:
-    """``rows`` with i and j: groups of more than ``cap`` rows are dealt by ``key`` into chunks, and meet as pairs of them. No pair of rows is left out."""
-    large = rows.groupBy(*group).count().where(F.col("count") > cap).select(*group, F.ceil(F.col("count") / cap).alias("chunks"))
+def _dealt(rows: DataFrame, key: str, group: list[str], parts: Column) -> DataFrame:
+    """``rows`` with i and j: groups are dealt by ``key`` into chunks, as many as the aggregate ``parts`` says (more than one), and meet as pairs of them. No pair of rows is left out."""
+    large = rows.groupBy(*group).agg(F.ceil(parts).alias("chunks")).where("chunks > 1")
     dealt = rows.join(large, group, "left").withColumn("own", F.pmod(F.xxhash64(key), F.coalesce("chunks", F.lit(1))))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1)).alias("other")
     return dealt.select(*rows.columns, "own", other).select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -247,7 +245,7 @@ def linked_fingerprints(words: DataFrame, radius: int = RADIUS, cap: int = NODE_
     signed = [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in masks]
     keyed = words.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("mask", "pattern"))
     columns = ["mask", "pattern", "i", "j"]
-    dealt = _dealt(keyed, "fp", columns[:2], cap)
+    dealt = _dealt(keyed, "fp", columns[:2], F.count("*") / cap)
 
     def link(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         found = [GrayIndex(part).forest(radius) for part in np.split(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64), starts[1:])]
@@ -318,108 +316,95 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.toDF("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame, least: float, words: int) -> DataFrame:
-    """The ``pairs`` (a, b: hashes of texts) whose sets of shingles have a Jaccard similarity of ``least`` or more. Only texts in a pair are shuffled."""
-    used = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
-    chosen = settle(rows.join(used, "same", "left_semi").groupBy("same").agg(F.min(F.struct("_a", "_b")).alias("k")).select("k.*"))
-    sets = settle(_rows_of(docs, chosen).select(_same().alias("same"), _set_column("text", words).alias("s")))
+def _confirmed(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` (a, b: hashes of texts) whose ``sets`` (same, s) of shingles have a Jaccard similarity of ``least`` or more."""
     fans = settle(pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).alias("fans")))
-    right = sets.withColumnRenamed("same", "b").withColumnRenamed("s", "t").join(fans, "b").withColumn("fan", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fans") - 1))).drop("fans")
-    left = pairs.join(fans, "b").withColumn("fan", F.pmod(F.xxhash64("a"), F.col("fans"))).drop("fans").join(sets.withColumnRenamed("same", "a"), "a")
+    right = sets.select(F.col("same").alias("b"), F.col("s").alias("t")).join(fans, "b").withColumn("fan", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fans") - 1))).drop("fans")
+    left = pairs.join(fans, "b").withColumn("fan", F.pmod(F.xxhash64("a"), F.col("fans"))).drop("fans").join(sets.select(F.col("same").alias("a"), "s"), "a")
     both = left.join(right, ["b", "fan"]).withColumn("common", F.size(F.array_intersect("s", "t")))
     union = F.size("s") + F.size("t") - F.col("common")
     return settle(both.where(F.col("common") >= F.lit(least) * union - 1e-9).select("a", "b"))
 
 
-def _proposed(texts: DataFrame, linked: DataFrame, whole: bool, cap: int, least: float = LEAST_SHARE) -> DataFrame:
-    """Pairs (a, b) of ``texts`` (same, bands, share) that share a band and ``least`` of all minima, and that ``linked`` (same, root) doesn't connect.
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets (sorted arrays) have a Jaccard similarity of ``least`` or more."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
+        return False
+    if not len(a):
+        return True
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return common >= least * (len(a) + len(b) - common) - 1e-9
+
 
-    With ``whole`` all of them; else, in buckets of more than ``SMALL``, so many that they connect all that all of them would, the most similar first. Only buckets with several components are compared.
+def links_within(own: np.ndarray, share: np.ndarray, sets: list[np.ndarray], least: float, step: int = 64) -> list[tuple[int, int]]:
+    """Pairs of similar texts that connect all that similar pairs connect, given that texts of the same ``own`` are connected already.
+
+    Candidates have ``LEAST_SHARE`` of the minima in common. Of each component the one most alike another is confirmed, then the next, until no candidate is left between two
+    components. So what is similar to one of its component isn't compared with all.
     """
+    root = np.arange(int(own.max()) + 1)
+    links: list[tuple[int, int]] = []
+    for at in range(0, len(own), step):
+        score = (share[at : at + step, None, :] == share[None, at:, :]).mean(axis=2)
+        i, j = np.nonzero((score >= LEAST_SHARE) & (root[own[at : at + step, None]] != root[own[None, at:]]))
+        i, j, score = i[j > i], j[j > i], score[i[j > i], j[j > i]]
+        order = np.argsort(-score, kind="stable")
+        i, j = i[order] + at, j[order] + at
+        while len(i):
+            a, b = root[own[i]], root[own[j]]
+            i, j, high = i[a != b], j[a != b], np.maximum(a, b)[a != b]
+            best = np.unique(high, return_index=True)[1]
+            good = [k for k in best.tolist() if similar(sets[i[k]], sets[j[k]], least)]
+            links += [(int(i[k]), int(j[k])) for k in good]
+            join(root, own[i[good]], own[j[good]])
+            i, j = np.delete(i, best), np.delete(j, best)
+    return links
+
+
+def _linked_in_buckets(held: DataFrame, texts: DataFrame, sets: DataFrame, linked: DataFrame, least: float, cap: int) -> DataFrame:
+    """Similar pairs (a, b) within buckets ``held`` (band, value, same) that hold several components of ``linked`` (same, root)."""
     bucket = ["band", "value"]
-    keyed = texts.select("same", F.posexplode("bands").alias("band", "value"))
-    crowded = keyed.groupBy(*bucket).count().where("count > 1").select(*bucket)
-    placed = settle(keyed.join(crowded, bucket).join(linked, "same", "left").withColumn("root", F.coalesce("root", "same")))
+    placed = settle(held.join(linked, "same", "left").withColumn("root", F.coalesce("root", "same")))
     mixed = placed.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*bucket)
-    members = settle(placed.join(mixed, bucket).join(texts.select("same", "share"), "same"))
+    members = settle(placed.join(mixed, bucket))
+    light = members.join(sets.select("same", (F.size("s") * 8 + 200).alias("bytes")), "same")
+    dealt = settle(_dealt(light, "same", bucket, F.greatest(F.count("*") / cap, F.sum("bytes") / BUCKET_BYTES)))
     columns = [*bucket, "i", "j"]
-    step = max(1, (32 << 20) // (BANDS * BAND_ROWS * cap))
-
-    def pairs(own: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows, cols, alike = [], [], []
-        for at in range(0, len(own), step):
-            score = (share[at : at + step, None, :] == share[None, at:, :]).mean(axis=2)
-            i, j = np.nonzero((score >= least) & (own[at : at + step, None] != own[None, at:]))
-            keep = j > i
-            rows.append(i[keep] + at)
-            cols.append(j[keep] + at)
-            alike.append(score[i[keep], j[keep]])
-        i, j, score = np.concatenate(rows), np.concatenate(cols), np.concatenate(alike)
-        if whole:
-            return i, j
-        root, kept = np.arange(own.max() + 1), []
-        for level in np.unique(score)[::-1]:
-            at = np.flatnonzero(score == level)
-            while True:  # one link of each component at a time
-                a, b = root[own[i[at]]], root[own[j[at]]]
-                apart = a != b
-                at, low, high = at[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
-                if not len(at):
-                    break
-                first = np.unique(high, return_index=True)[1]
-                kept.append(at[first])
-                join(root, low[first], high[first])
-        at = np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
-        return i[at], j[at]
-
-    def propose(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        same, own = pdf["same"].to_numpy(), np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
-        share = np.frombuffer(b"".join(pdf["share"]), dtype=np.uint8).reshape(len(pdf), -1)
-        size = np.diff(np.r_[starts, len(pdf)])
-        # all pairs of small buckets, by comparing rows a step apart
-        small = np.repeat(size <= SMALL, size)
-        run, at = np.repeat(np.arange(len(starts)), size)[small], np.flatnonzero(small)
-        a, b = [], []
-        for apart in range(1, min(SMALL, int(size[size <= SMALL].max(initial=1)))):
-            i = np.flatnonzero((run[apart:] == run[:-apart]) & (own[at[apart:]] != own[at[:-apart]]))
-            i = i[(share[at[i]] == share[at[i + apart]]).mean(axis=1) >= least]
-            a.append(at[i])
-            b.append(at[i + apart])
-        for k in np.flatnonzero(size > SMALL):
-            part = slice(starts[k], starts[k] + size[k])
-            i, j = pairs(np.unique(own[part], return_inverse=True)[1], share[part])
-            a.append(i + starts[k])
-            b.append(j + starts[k])
-        a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
-        return pd.DataFrame({"a": same[a], "b": same[b]})
-
-    dealt = _dealt(members, "same", bucket, cap)
-    tasks = max(1, -(-members.count() // TASK_ROWS))
-    found = dealt.repartition(tasks, *columns).sortWithinPartitions(*columns).mapInPandas(lambda batches: _grouped(batches, columns, propose), "a long, b long")
-    return settle(_ordered(found))
+
+    def link(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        same, root = pdf["same"].to_numpy(), pdf["root"].to_numpy()
+        share, s = np.frombuffer(b"".join(pdf["share"]), dtype=np.uint8).reshape(len(pdf), -1), pdf["s"].tolist()
+        found = []
+        for first, end in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)], strict=True):
+            own = np.unique(root[first:end], return_inverse=True)[1]
+            found += [(same[first + i], same[first + j]) for i, j in links_within(own, share[first:end], s[first:end], least)]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    tasks = max(1, -(-(light.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES))
+    whole = dealt.join(texts.select("same", "share"), "same").join(sets, "same")
+    return whole.repartition(tasks, *columns).sortWithinPartitions(*columns).mapInPandas(lambda batches: _grouped(batches, columns, link), "a long, b long")
 
 
 def keep_similar(docs: DataFrame, least: float = SIMILAR, words: int = SIMILAR_WORDS, radius: int = RADIUS, cap: int = NODE_CAP, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """The rows of ``docs`` that stay as in ``keep_one``, where texts are linked by a Jaccard similarity of ``least`` or more between their sets of word shingles.
 
-    First come the fingerprints that the index links. 64 bits don't tell a similarity of 0.8 apart from much less, so what shares a band of minima is a candidate as
-    well: the most similar pairs that connect each bucket, and then all pairs that these leave in different components. Every pair is confirmed exactly before it
-    links. Texts without words are alike.
+    First come the fingerprints that the index links. 64 bits don't tell a similarity of 0.8 apart from much less, so what shares a band of minima is compared as well, wherever
+    that could still connect two components. Every link is confirmed exactly. Only texts that have a candidate are shuffled for that. Texts without words are alike; null doc_ids, repeated
+    rows and very long texts are rows like any other; an empty table gives no rows.
     """
     rows = _rows(docs, _same().alias("same"), _sketch_column("text", words).alias("s"))
     texts = settle(rows.select("same", "s.*").dropDuplicates(["same"]))
     prints = settle(texts.groupBy("fp").agg(F.min("same").alias("least")))
     links = linked_fingerprints(prints.select("fp"), radius, cap).distinct()
     near = links.join(prints.toDF("a", "sa"), "a").join(prints.toDF("b", "sb"), "b").select("sa", "sb")
-    alike = texts.join(prints, "fp").select("same", "least")
-    tried = settle(_ordered(near.union(alike)))
-    sure = _confirmed(docs, rows, tried, least, words)
-    for whole in (False, True):
-        linked = components(sure).toDF("same", "root")
-        more = settle(_proposed(texts, linked, whole, bucket_cap).join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        tried = tried.union(more)
-        sure = sure.union(_confirmed(docs, rows, more, least, words))
-    linked = components(sure).toDF("same", "root")
+    pairs = settle(_ordered(near.union(texts.join(prints, "fp").select("same", "least"))))
+    bucket = ["band", "value"]
+    keyed = texts.select("same", F.posexplode("bands").alias(*bucket))
+    held = settle(keyed.join(keyed.groupBy(*bucket).count().where("count > 1").select(*bucket), bucket))
+    used = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).union(held.select("same")).distinct()
+    chosen = settle(rows.join(used, "same", "left_semi").groupBy("same").agg(F.min(F.struct("_a", "_b")).alias("k")).select("k.*"))
+    sets = settle(_rows_of(docs, chosen).select(_same().alias("same"), _set_column("text", words).alias("s")))
+    sure = _confirmed(sets, pairs, least)
+    more = settle(_linked_in_buckets(held, texts, sets, components(sure).toDF("same", "root"), least, bucket_cap))
+    linked = components(sure.union(more)).toDF("same", "root")
     return _first_of_each(docs, rows.join(linked, "same", "left").withColumn("root", F.coalesce("root", "same")))
