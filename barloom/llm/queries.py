@@ -89,5 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_site_style_tree": op10_html,
 }
 
-#: DuckDB SQL where it can express the whole result.
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL where it can express the whole result: what the archives give back is what was put in.
+ORACLES: dict[str, str] = {
+    "op9_warc_normaliser": """WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), f AS (SELECT payload, min(page_id) AS first FROM p WHERE strlen(payload) >= 100 GROUP BY payload)
+SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p LEFT JOIN f USING (payload)""",
+}

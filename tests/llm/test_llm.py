@@ -844,6 +844,21 @@ def test_archives(spark):
     assert warc.archive_pages(pages(spark, rows).limit(0), tempfile.mkdtemp()).count() == 0
 
 
+def test_archives_against_duckdb(spark):
+    import duckdb
+    import os
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    from barloom.llm.queries import ORACLES, QUERIES
+
+    duckdb.sql(f"create or replace temp view pages as select * from '{sf}/pages.parquet'")
+    want = duckdb.sql(ORACLES["op9_warc_normaliser"])
+    got = QUERIES["op9_warc_normaliser"](spark, sf).select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
+
+
 def test_revisits_are_read_through_their_response(spark):
     """Digest and size of a revisit come from the archived response: they are null once that is gone."""
     from barloom.llm.common import settle
