@@ -47,13 +47,15 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 #: Kinds of elements: plain, plain by a class or id of its own within an article, bare within an article, furniture by words, furniture as declared.
 PLAIN, CLASSED, BARE, WORDED, DECLARED = range(5)
 #: What is expected of each kind before a site speaks, as importance of so many pages, and the least share this keeps however many pages a site has.
-PRIOR = {PLAIN: 0.8, CLASSED: 1.0, WORDED: 0.0, DECLARED: 0.0}
+PRIOR = {PLAIN: 0.75, CLASSED: 1.0, WORDED: 0.0, DECLARED: 0.0}
 PRIOR_PAGES = 10
 PRIOR_SHARE = {PLAIN: 0.0, CLASSED: 0.0, WORDED: 0.3, DECLARED: 0.5}
 #: Weight of a node's content against its own presentation, to the power of the number of presentations.
 GAMMA = 0.9
 #: Elements below this importance go.
 LEAST_IMPORTANCE = 0.6
+#: Texts of so many words or fewer are taken apart where a word ends with, or is, punctuation: a notice with a date, or a footer with a page's number, then still shares its other parts.
+SHORT = 30
 #: Plain elements from this importance on are not told page by page: they stay.
 SURE = 0.9
 #: Site trees are broadcast up to this size; beyond it, the join by host deals each host over so many tasks.
@@ -187,15 +189,20 @@ class Page:
         if at and (tag in FENCE or not self._fences or at[-1] > self._fences[-1]):
             self._pop_to(at[-1])
 
-    def nodes(self) -> list[tuple[int, int, int]]:
-        """(path, content, presentation) of each element with text of its own: hashes of that text and of its children's tags."""
+    def nodes(self) -> list[tuple[int, int, int, int]]:
+        """(path, content, presentation, size) for each part of text that an element has of its own: hashes of the part and of the tags of its children, and the part's length."""
         own: dict[int, list[str]] = {}
         for piece, owner in zip(self.pieces, self.owners, strict=True):
             if not self.gone[owner]:
                 own.setdefault(owner, []).append(piece)
-        texts = ((i, " ".join("".join(parts).split())) for i, parts in own.items())
         digest = xxhash.xxh64_intdigest
-        return [(self.paths[i], digest(f"{self.paths[i]} {t}") >> 1, digest(" ".join(self.looks[i])) >> 1) for i, t in texts if t]
+        rows = []
+        for i, parts in own.items():
+            words = "".join(parts).split()
+            if words:
+                look = digest(" ".join(self.looks[i])) >> 1
+                rows += [(self.paths[i], digest(f"{self.paths[i]} {t}") >> 1, look, len(t)) for t in (_parts(words) if len(words) <= SHORT else [" ".join(words)])]
+        return rows
 
     def main_text(self, tree: dict[int, tuple[int, float]], least: float = LEAST_IMPORTANCE) -> str:
         """The page's text less what is no text and elements whose importance is below ``least``; ``tree`` has (pages, importance) by path.
@@ -210,6 +217,16 @@ class Page:
         return " ".join("".join([p for p, o in zip(self.pieces, self.owners, strict=True) if stays[o] or p == "\n"]).split())
 
 
+def _parts(words: list[str]) -> list[str]:
+    out, part = [], []
+    for word in words:
+        part.append(word)
+        if not word[-1].isalnum():
+            out.append(" ".join(part))
+            part = []
+    return [*out, " ".join(part)] if part else out
+
+
 def _names(found: dict[str, str]) -> tuple[set[str], set[str]]:
     """Whole classes and ids, and the words in them."""
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
@@ -229,8 +246,8 @@ def _host(url: str = "url"):
 def style_tree(pages: DataFrame) -> DataFrame:
     """host, path, pages and importance (0 to 1) of the elements with text on the pages (url, html) of each host.
 
-    Pages merge by host and path; m of a host's distinct pages have the path. A text on k of them has entropy log k to the base m, or, if that is more, what it has
-    among the pages of all hosts. Content importance is 1 less the mean entropy of an element's texts. Presentation importance is the entropy of its children's tags.
+    Pages merge by host and path; m of a host's distinct pages have the path. A part of text on k of them has entropy log k to the base m, or, if that is more, what it has
+    among the pages of all hosts. Content importance is 1 less the mean entropy of an element's parts, by their length. Presentation importance is the entropy of its children's tags.
     Importance is content, raised by presentation where that is more, with weight 1 - ``GAMMA`` ** presentations.
     Only hashes are shuffled, counted before they are; copies of a page count once for their host.
     """
@@ -238,29 +255,28 @@ def style_tree(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(h, xxhash.xxh64_intdigest(source) >> 1, *map(list, zip(*Page(source).nodes(), strict=True))) for h, source in zip(pdf["host"], pdf["html"], strict=True)]
-            yield pd.DataFrame([r if len(r) == 5 else (*r, [], [], []) for r in rows], columns=["host", "page", "path", "content", "look"])
+            yield pd.DataFrame([r if len(r) == 6 else (*r, [], [], [], []) for r in rows], columns=["host", "page", "path", "content", "look", "size"])
 
     source = pages.select(_host().alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    parsed = source.mapInPandas(run, "host string, page long, path array<long>, content array<long>, look array<long>")
-    each = settle(parsed.dropDuplicates(["host", "page"]).select("host", F.arrays_zip("path", "content", "look").alias("e")))
-    node = F.col("e").getItem
+    parsed = source.mapInPandas(run, "host string, page long, path array<long>, content array<long>, look array<long>, size array<int>")
+    each = settle(parsed.dropDuplicates(["host", "page"]).select("host", F.arrays_zip("path", "content", "look", "size").alias("e")))
     key = ["host", "path"]
 
-    def counted(value: str) -> DataFrame:
-        """Pages of each host, path and value: within a page, like values count once."""
-        pairs = F.array_distinct(F.transform("e", lambda e: F.struct(e["path"].alias("path"), e[value].alias(value))))
-        return each.select("host", F.explode(pairs).alias("e")).select("host", "e.*").groupBy(*key, value).agg(F.count("*").alias("k"))
+    def counted(*values: str) -> DataFrame:
+        """Pages of each host, path and values: within a page, like values count once."""
+        pairs = F.array_distinct(F.transform("e", lambda e: F.struct(*[e[c].alias(c) for c in ("path", *values)])))
+        return each.select("host", F.explode(pairs).alias("e")).select("host", "e.*").groupBy(*key, *values).agg(F.count("*").alias("k"))
 
     with_path = each.select("host", F.explode(F.array_distinct(F.transform("e", lambda e: e["path"]))).alias("path"))
     own = with_path.groupBy(*key).agg(F.count("*").alias("m"))
     held = settle(own.join(own.groupBy("path").agg(F.sum("m").alias("every")), "path"))
-    texts = settle(counted("content"))
-    # texts on one page only have no entropy: they aren't joined
+    texts = settle(counted("content", "size"))
+    # parts on one page only have no entropy: they aren't joined
     repeated = texts.groupBy("content").agg(F.sum("k").alias("all")).where(F.col("all") > 1)
-    kinds = texts.join(repeated, "content").groupBy(*key, "k", "all").agg(F.sum("k").alias("n"))
+    kinds = texts.join(repeated, "content").groupBy(*key, "k", "all").agg(F.sum(F.col("k") * F.col("size")).alias("n"))
     entropy = F.greatest(*[F.when(of > 1, F.log(count) / F.log(of)).otherwise(0.0) for count, of in ((F.col("k"), F.col("m")), (F.col("all"), F.col("every")))])
     shared = kinds.join(held, key).groupBy(*key).agg(F.sum(F.col("n") * entropy).alias("shared"))
-    total = texts.groupBy(*key).agg(F.sum("k").alias("n"))
+    total = texts.groupBy(*key).agg(F.sum(F.col("k") * F.col("size")).alias("n"))
     looks = counted("look").groupBy(*key).agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.log("k")).alias("ks"), F.count("*").alias("kinds"))
     look = F.when(F.col("s") > 1, 1 - F.col("ks") / (F.col("s") * F.log("s"))).otherwise(0.0)
     content = 1 - F.coalesce("shared", F.lit(0.0)) / F.col("n")

@@ -965,7 +965,7 @@ def test_only_the_tree_tells_unnamed_blocks(spark):
     rows, want = [], {}
     for i in range(240):
         own = [text(rng, 30) for _ in range(3)]
-        body = f"<div class='a'><div>{rng.choice(variants)}</div></div><div class='b'><div>{'</div><div>'.join(own)}</div></div><div class='c'><div>Imprint {i % 12}</div></div>"
+        body = f"<div class='a'><div>{rng.choice(variants)}</div></div><div class='b'><div>{'</div><div>'.join(own)}</div></div><div class='c'><div>Imprint of this site, page {i}</div></div>"
         rows.append((i, f"http://plain.example/{i}", body))
         want[i] = " ".join(own)
     table = pages(spark, rows)
@@ -983,7 +983,7 @@ def test_importance_against_brute_force(spark):
         sites.setdefault(url[7:16], []).append(re.search("<p>(.*?)</p>", source)[1])
     every = [t for ts in sites.values() for t in ts]
     entropy = lambda ts, t: np.log(ts.count(t)) / np.log(len(ts))
-    want = {h: 1 - np.mean([max(entropy(ts, t), entropy(every, t)) for t in ts]) for h, ts in sites.items()}
+    want = {h: 1 - np.average([max(entropy(ts, t), entropy(every, t)) for t in ts], weights=[len(t) for t in ts]) for h, ts in sites.items()}
     got = {(r.host, round(r.importance, 6)) for r in html_extract.style_tree(pages(spark, rows)).collect()}
     assert got == {(h, round(v, 6)) for h, v in want.items()} | {(h, 1.0) for h in want}
 
