@@ -57,12 +57,18 @@ def as_of_range(accounts: DataFrame) -> DataFrame:
 
 
 def exposure(positions: DataFrame) -> DataFrame:
-    """Positions (account_id, instrument_id, side, quantity) by instrument with all contributors, in order; nothing is netted."""
+    """Positions (account_id, instrument_id, side, quantity) as rows with contributors: how many there are of their instrument. Nothing is netted, and no instrument's positions are gathered."""
+    count = positions.groupBy("instrument_id").agg(F.count("*").alias("contributors"))
+    return positions.select("instrument_id", "account_id", "side", "quantity").join(count, "instrument_id")
+
+
+def contributors(positions: DataFrame) -> DataFrame:
+    """Per instrument all its contributors as one array, in order: for instruments that few accounts hold."""
     return positions.groupBy("instrument_id").agg(F.array_sort(F.collect_list(F.struct("account_id", "side", "quantity"))).alias("contributors"))
 
 
 def exposure_totals(positions: DataFrame) -> DataFrame:
-    """Per instrument and side: accounts and quantity. The form to use where an instrument may have very many contributors."""
+    """Per instrument and side: accounts and quantity. Partial sums are shuffled."""
     return positions.groupBy("instrument_id", "side").agg(F.count("*").alias("contributors"), dec.in_range(F.sum(dec.wide("quantity"))).alias("quantity"))
 
 

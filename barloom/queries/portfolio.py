@@ -144,10 +144,8 @@ def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contributors of each instrument, in order."""
-    found = pf.exposure(_positions(spark, sf_dir))
-    entry = F.transform("contributors", lambda c: F.concat_ws(":", c["account_id"], c["side"], c["quantity"]))
-    return found.select("instrument_id", F.size("contributors").alias("n"), F.array_join(entry, ",").alias("contributors"))
+    """Each position beside the number of those in its instrument."""
+    return pf.exposure(_positions(spark, sf_dir))
 
 
 def exposure_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +215,7 @@ SELECT k AS request_id, CASE WHEN ok THEN 'resolved' ELSE 'unknown' END AS statu
     "missing_currencies": f"WITH {_PF} SELECT portfolio_id, currency, min(account_id) AS first_account FROM each WHERE needs AND rate IS NULL GROUP BY ALL",
     "rates_used": f"WITH {_PF} SELECT DISTINCT portfolio_id, currency, rate FROM each WHERE needs AND rate IS NOT NULL AND portfolio_id NOT IN (SELECT portfolio_id FROM each WHERE needs AND rate IS NULL)",
     "asof_range": f"WITH {_PF} SELECT portfolio_id, strftime(min(as_of), '%Y-%m-%d %H:%M:%S') AS oldest, strftime(max(as_of), '%Y-%m-%d %H:%M:%S') AS newest FROM accounts GROUP BY 1",
-    "exposure": f"WITH {_POS} SELECT instrument_id, CAST(count(*) AS INTEGER) AS n, string_agg(account_id || ':' || side || ':' || quantity, ',' ORDER BY account_id, side, quantity) AS contributors FROM positions GROUP BY 1",
+    "exposure": f"WITH {_POS} SELECT instrument_id, account_id, side, quantity, count(*) OVER (PARTITION BY instrument_id) AS contributors FROM positions",
     "exposure_totals": f"WITH {_POS} SELECT instrument_id, side, count(*) AS contributors, CAST(sum(quantity) AS BIGINT) AS quantity FROM positions GROUP BY 1, 2",
     "position_errors": f"""WITH {_POS}, d AS (SELECT CASE WHEN z % 13 = 0 THEN 'flat' WHEN z % 17 = 0 THEN 'both' ELSE side END AS side, z % 11 <> 0 AS priced, CASE WHEN z % 19 = 0 THEN 0 ELSE quantity END AS quantity FROM (SELECT *, account_id + instrument_id * 3 AS z FROM positions)),
 e AS (SELECT CASE WHEN side = 'both' THEN 'side' WHEN side = 'flat' AND quantity <> 0 THEN 'flat_quantity' WHEN side = 'flat' AND priced THEN 'flat_price' WHEN side <> 'flat' AND quantity <= 0 THEN 'quantity' WHEN side <> 'flat' AND NOT priced THEN 'price' END AS error FROM d)

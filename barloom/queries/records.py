@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -55,12 +55,12 @@ def grid_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bid/ask hourly records: a file per ship month and part brand's hash, line items as rows, with defects by rule."""
+    """Bid/ask hourly records: a file per ship month and supplier, whose number of rows stays as it is in larger tables; line items as rows, with defects by rule."""
     b = units("l_extendedprice", 2)
     s = units("l_tax", 2) + 1000
     n = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     base = table(spark, sf_dir, "lineitem").select(
-        F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), (F.col("l_partkey") % 7).alias("file"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row"),
+        F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), F.col("l_suppkey").alias("file"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row"),
         (F.col("l_shipdate") + F.make_dt_interval(F.lit(0), (n % 24).cast("int"), F.when(n % 29 == 0, 30).otherwise(0))).alias("time"),
         b.alias("bid_o"), (b + F.when(n % 31 == 0, -5).otherwise(7000)).alias("bid_h"), (b - 9000).alias("bid_l"), (b + n % 1000).alias("bid_c"),
         (b + s).alias("ask_o"), (b + s + 7001).alias("ask_h"), (b + s - 9000).alias("ask_l"), (b + n % 1000 + F.when(n % 37 == 0, -3).otherwise(s + 2)).alias("ask_c"),
@@ -71,6 +71,12 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FILE = ["year", "month", "file"]
+#: Customers whose orders share an archive.
+_CUSTOMERS = 500
+
+
+def _archive() -> Column:
+    return F.regexp_extract("path", "root-([0-9]+)/", 1).alias("archive")
 
 
 def record_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,17 +100,17 @@ def normalised_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw CSV files made of the records (a year a file), read back: status, fingerprint, and what was parsed."""
-    return _raw(spark, sf_dir).select("symbol", "year", "month", "file_status", "file_error", "fingerprint", F.size("lines").alias("lines"))
+    """Raw CSV files made of orders, read back: status, fingerprint, and what was parsed."""
+    return _raw(spark, sf_dir).select(_archive(), "symbol", "year", "month", "file_status", "file_error", "fingerprint", F.size("lines").alias("lines"))
 
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = raw.records(_raw(spark, sf_dir).where(F.col("file_status") != "skipped"))
-    return as_text(found.select("symbol", "year", "month", "line_no", "time", "bid_o", "ask_c", "volume", "complete", "row_error"), "time")
+    return as_text(found.select(_archive(), "symbol", "year", "month", "line_no", "time", "bid_o", "ask_c", "volume", "complete", "row_error"), "time")
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of orders by status and month: a line an order; bad prices, headers, comments and names by rule."""
+    """Files of orders by status, month and some customers, so that files stay as small in larger tables: a line an order; bad prices, headers, comments and names by rule."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     price = dec.text_of(units("o_totalprice", 2))
@@ -113,10 +119,10 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws(",", stamp, price, price, price, price, bad, price, price, price, (k % 100).cast("string"), F.when(k % 5 == 0, "F").otherwise("true"))
     symbol = F.when(F.col("o_orderstatus") == "O", "EURUSD").when(F.col("o_orderstatus") == "F", "XAUUSD").otherwise("GBPJPY")
     month = F.date_format(F.trunc(F.col("o_orderdate"), "month"), "MM")
-    rows = o.select(symbol.alias("s"), F.year("o_orderdate").cast("string").alias("y"), month.alias("m"), F.struct(k.alias("k"), line.alias("line")).alias("l"))
+    rows = o.select(F.floor(F.col("o_custkey") / _CUSTOMERS).alias("r"), symbol.alias("s"), F.year("o_orderdate").cast("string").alias("y"), month.alias("m"), F.struct(k.alias("k"), line.alias("line")).alias("l"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n")
-    files = rows.groupBy("s", "y", "m").agg(body.alias("body"))
-    path = F.concat(F.lit("root/"), F.concat_ws("/", "s", F.when(F.col("m") == "11", "1999").otherwise(F.col("y")), "m"), F.lit("/"), F.concat_ws("-", "s", "y", "m", F.when(F.col("m") == "12", "w1").otherwise("d")), F.lit(".csv"))
+    files = rows.groupBy("r", "s", "y", "m").agg(body.alias("body"))
+    path = F.concat(F.lit("root-"), F.col("r").cast("string"), F.lit("/"), F.concat_ws("/", "s", F.when(F.col("m") == "11", "1999").otherwise(F.col("y")), "m"), F.lit("/"), F.concat_ws("-", "s", "y", "m", F.when(F.col("m") == "12", "w1").otherwise("d")), F.lit(".csv"))
     comment = F.concat(F.lit("# schema=raw-v1 source=x instrument="), F.col("s"), F.lit(" tf=d year="), F.when(F.col("m") == "10", "1900").otherwise(F.col("y")), F.lit(" month="), F.col("m"))
     header = F.when(F.col("m") == "09", "time,price").otherwise(raw.HEADER)
     return raw.parse_files(files.select(path.alias("path"), F.concat_ws("\n", comment, header, "body").cast("binary").alias("content")))
@@ -194,7 +200,7 @@ _K = "(l_orderkey * 7 + l_linenumber)"
 _FIT = lambda x: f"CASE WHEN ({x}) BETWEEN -9223372036854775808 AND {_MAX} THEN CAST(({x}) AS BIGINT) END"
 _N = "(l_orderkey * 8 + l_linenumber)"
 
-RECORDS = f"""base AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month, l_partkey % 7 AS file, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+RECORDS = f"""base AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month, l_suppkey AS file, l_orderkey, l_linenumber, l_partkey, l_suppkey,
   l_shipdate + to_hours({_N} % 24) + to_minutes(CASE WHEN {_N} % 29 = 0 THEN 30 ELSE 0 END) AS time, {_U('l_extendedprice', 2)} AS b, {_U('l_tax', 2)} + 1000 AS s, {_N} AS n, CAST(floor(l_quantity) AS BIGINT) AS volume FROM lineitem),
 records AS (SELECT year, month, file, row_number() OVER (PARTITION BY year, month, file ORDER BY l_orderkey * 31 % 101, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_no, time,
   b AS bid_o, b + CASE WHEN n % 31 = 0 THEN -5 ELSE 7000 END AS bid_h, b - 9000 AS bid_l, b + n % 1000 AS bid_c, b + s AS ask_o, b + s + 7001 AS ask_h, b + s - 9000 AS ask_l,
@@ -211,10 +217,10 @@ _RAW = f"""CASE {_K} % 11 WHEN 0 THEN {_PLAIN} || '000000001' WHEN 1 THEN {_PLAI
  WHEN 5 THEN '92233720' || {_PLAIN} WHEN 6 THEN '-0' WHEN 7 THEN '1.' ELSE {_PLAIN} END"""
 _ITEMS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 _TEXT = "regexp_replace(regexp_replace(CAST(CAST(exact AS DECIMAL(28, 8)) AS VARCHAR), '0+$', ''), '\\.$', '')"
-_RAW_FILES = f"""o AS (SELECT *, CASE o_orderstatus WHEN 'O' THEN 'EURUSD' WHEN 'F' THEN 'XAUUSD' ELSE 'GBPJPY' END AS s, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, o_orderkey AS k, {_U('o_totalprice', 2)} AS w FROM orders),
+_RAW_FILES = f"""o AS (SELECT *, CASE o_orderstatus WHEN 'O' THEN 'EURUSD' WHEN 'F' THEN 'XAUUSD' ELSE 'GBPJPY' END AS s, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(o_custkey // {_CUSTOMERS} AS VARCHAR) AS archive, o_orderkey AS k, {_U('o_totalprice', 2)} AS w FROM orders),
 t AS (SELECT *, regexp_replace(regexp_replace(CAST(w // 100000000 AS VARCHAR) || '.' || lpad(CAST((w % 100000000) // 1000000 AS VARCHAR), 2, '0'), '0+$', ''), '\\.$', '') AS p FROM o),
-l AS (SELECT *, row_number() OVER (PARTITION BY s, y, m ORDER BY k) + 2 AS line_no, replace({as_string('o_orderdate')}, ' ', 'T') || CASE WHEN k % 3 = 0 THEN '+00:00' ELSE 'Z' END || ',' || p || ',' || p || ',' || p || ',' || p || ',' || CASE WHEN k % 911 = 0 THEN 'x' ELSE p END || ',' || p || ',' || p || ',' || p || ',' || (k % 100) || ',' || CASE WHEN k % 5 = 0 THEN 'F' ELSE 'true' END AS line FROM t),
-files AS (SELECT s AS symbol, y AS year, m AS month, count(*) AS n, bool_or(k % 911 = 0) AS bad, string_agg(line, chr(10) ORDER BY k) AS body FROM l GROUP BY ALL),
+l AS (SELECT *, row_number() OVER (PARTITION BY archive, s, y, m ORDER BY k) + 2 AS line_no, replace({as_string('o_orderdate')}, ' ', 'T') || CASE WHEN k % 3 = 0 THEN '+00:00' ELSE 'Z' END || ',' || p || ',' || p || ',' || p || ',' || p || ',' || CASE WHEN k % 911 = 0 THEN 'x' ELSE p END || ',' || p || ',' || p || ',' || p || ',' || (k % 100) || ',' || CASE WHEN k % 5 = 0 THEN 'F' ELSE 'true' END AS line FROM t),
+files AS (SELECT archive, s AS symbol, y AS year, m AS month, count(*) AS n, bool_or(k % 911 = 0) AS bad, string_agg(line, chr(10) ORDER BY k) AS body FROM l GROUP BY ALL),
 status AS (SELECT *, CASE WHEN symbol = 'XAUUSD' THEN 'out_of_scope' WHEN month = 12 THEN 'unsupported_interval' WHEN month = 11 AND year <> 1999 THEN 'layout' WHEN month = 9 THEN 'header' WHEN month = 10 THEN 'comment' WHEN bad THEN 'row' END AS file_error FROM files)"""
 
 ORACLES = {
@@ -222,10 +228,10 @@ ORACLES = {
 x AS (SELECT *, lag(time) OVER (PARTITION BY year, month, file ORDER BY CAST(epoch(time) AS BIGINT) - CASE WHEN file = 3 THEN 2000000000 * (line_no % 2) ELSE 0 END) AS before FROM o),
 g AS (SELECT year, month, file FROM x GROUP BY ALL HAVING bool_or(time < before OR least(ask_o - bid_o, ask_h - bid_h, ask_l - bid_l, ask_c - bid_c) < 0 OR bid_h < bid_l OR bid_o < bid_l OR bid_c < bid_l OR bid_c > bid_h OR avg_spread > max_spread))
 SELECT year, month, file, {as_string('time')} AS time, bid_o AS open, bid_h AS high, bid_l AS low, bid_c AS close, avg_spread, max_spread, volume AS ticks FROM x ANTI JOIN g USING (year, month, file) WHERE complete""",
-    "raw_files": f"""WITH {_RAW_FILES} SELECT symbol, year, month, CASE WHEN file_error IS NULL THEN 'ok' WHEN file_error IN ('out_of_scope', 'unsupported_interval', 'layout') THEN 'skipped' ELSE 'malformed' END AS file_status, file_error,
+    "raw_files": f"""WITH {_RAW_FILES} SELECT archive, symbol, year, month, CASE WHEN file_error IS NULL THEN 'ok' WHEN file_error IN ('out_of_scope', 'unsupported_interval', 'layout') THEN 'skipped' ELSE 'malformed' END AS file_status, file_error,
   'sha256:' || sha256('# schema=raw-v1 source=x instrument=' || symbol || ' tf=d year=' || CASE WHEN month = 10 THEN '1900' ELSE CAST(year AS VARCHAR) END || ' month=' || lpad(CAST(month AS VARCHAR), 2, '0') || chr(10) || CASE WHEN month = 9 THEN 'time,price' ELSE '{raw.HEADER}' END || chr(10) || body) AS fingerprint,
   CAST(n AS INTEGER) AS lines FROM status""",
-    "raw_rows": f"""WITH {_RAW_FILES} SELECT s AS symbol, y AS year, m AS month, CAST(line_no AS INTEGER) AS line_no, {as_string('o_orderdate')} AS time, w AS bid_o, w AS ask_c, k % 100 AS volume, k % 5 <> 0 AS complete, CASE WHEN k % 911 = 0 THEN 'price' END AS row_error FROM l WHERE s <> 'XAUUSD' AND m <> 12 AND (m <> 11 OR y = 1999)""",
+    "raw_rows": f"""WITH {_RAW_FILES} SELECT archive, s AS symbol, y AS year, m AS month, CAST(line_no AS INTEGER) AS line_no, {as_string('o_orderdate')} AS time, w AS bid_o, w AS ask_c, k % 100 AS volume, k % 5 <> 0 AS complete, CASE WHEN k % 911 = 0 THEN 'price' END AS row_error FROM l WHERE s <> 'XAUUSD' AND m <> 12 AND (m <> 11 OR y = 1999)""",
     "exported_rows": f"""WITH ticks AS ({TICKS}) SELECT '{{"time":"' || {as_string('time')} || '","open":' || open || ',"high":' || high || ',"low":' || low || ',"close":' || close || ',"symbol":"' || symbol || '"}}' AS value FROM ({bars_sql('d1')})""",
     "decimal_ingest": f"""WITH r AS (SELECT {_ITEMS}, {_RAW} AS raw FROM (SELECT *, {_U('l_extendedprice', 2)} AS w FROM lineitem)),
 e AS (SELECT *, regexp_full_match(raw, '[+-]?[0-9]+(\\.[0-9]+)?') AS good, TRY_CAST(regexp_replace(raw, '(\\.[0-9]{{8}})[0-9]*$', '\\1') AS DECIMAL(38, 8)) AS exact FROM r),
