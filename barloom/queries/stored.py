@@ -14,7 +14,7 @@ from ..sources import raw, store
 from ..sources.shared import fresh_dir, settle
 from ..streaming import orders as stream_orders
 from ..streaming import records as stream_records
-from .common import BAR_COLUMNS, as_string, as_text, bars_sql, bucket_ticks, bucket_ticks_sql, day_at, resample_sql, session_date, table, units
+from .common import BAR_COLUMNS, TICKS, as_string, as_text, bars_sql, bucket_ticks, bucket_ticks_sql, day_at, resample_sql, session_date, table, ticks, units
 
 BUCKETS = 4
 BUILT = "2024-03-01 00:00:00"
@@ -146,6 +146,34 @@ def weekly_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_text(store.load(spark, root)[0].where("interval = 'w1'").select("symbol", "time", *BAR_COLUMNS.split(", ")), "time")
 
 
+#: Pairs that stand in for the types of events.
+PAIRS = {"click": "EURUSD", "error": "GBPUSD", "purchase": "USDJPY", "signup": "AUDUSD", "view": "USDCAD"}
+
+
+def _archived(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """(folder of raw daily files by pair and month, their bars): a file has a line a day, however many ticks there are."""
+    pair = F.coalesce(*[F.when(F.col("symbol") == k, F.lit(v)) for k, v in PAIRS.items()])
+    bars = settle(ops.from_ticks(ticks(spark, sf_dir).withColumn("symbol", pair), ["symbol"], "d1"))
+    side = lambda add: [dec.text_of(F.col(c) + add) for c in ("open", "high", "low", "close")]
+    line = F.concat_ws(",", F.concat(F.regexp_replace(F.col("time").cast("string"), " ", "T"), F.lit("Z")), *side(F.lit(0)), *side(F.col("avg_spread")), F.col("ticks").cast("string"), F.lit("true"))
+    rows = bars.select("symbol", F.date_format("time", "yyyy").alias("y"), F.date_format("time", "MM").alias("m"), F.struct("time", line.alias("line")).alias("l"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n")
+    name = F.concat_ws("/", "symbol", "y", "m", F.concat(F.concat_ws("-", "symbol", "y", "m", F.lit("d1")), F.lit(".csv")))
+    files = rows.groupBy("symbol", "y", "m").agg(body.alias("body")).select(name.alias("name"), F.concat_ws("\n", F.lit(raw.HEADER), "body").alias("text"))
+    root = fresh_dir(spark)
+    settle(store.write_texts(files, root))
+    return root, bars
+
+
+def update_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw daily files, planned, built, derived and planned again: what there was to do, and what is left of it (nothing)."""
+    archive, bars = _archived(spark, sf_dir)
+    requests = bars.groupBy(F.lit("oanda").alias("provider"), "symbol", F.lit("d1").alias("interval")).agg(F.min("time").alias("from_ts"), F.max(cal.bar_end(F.col("time"), "day")).alias("to_ts"))
+    done = update.run(spark, archive, fresh_dir(spark), settle(requests), _at(BUILT))
+    columns = ["symbol", "interval", "year", "month", "kind", "reason"]
+    return done.actions.select(F.lit("first").alias("plan"), *columns).unionByName(done.left.select(F.lit("second").alias("plan"), *columns))
+
+
 def streamed_fills_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as a finite stream of fills, of which each order's first to arrive counts."""
     path = f"{sf_dir}/lineitem.parque[t]"  # as a pattern: a stream takes a folder or a pattern, not a file
@@ -170,7 +198,7 @@ def streamed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "publish_errors": publish_errors, "stored_errors": stored_errors, "bar_set_errors": bar_set_errors, "money_arithmetic": money_arithmetic, "range_algebra": range_algebra, "week_states": week_states,
-    "raw_written": raw_written, "legacy_rows": legacy_rows, "weekly_derived": weekly_derived, "streamed_fills_once": streamed_fills_once, "streamed_refresh": streamed_refresh,
+    "raw_written": raw_written, "legacy_rows": legacy_rows, "weekly_derived": weekly_derived, "update_actions": update_actions, "streamed_fills_once": streamed_fills_once, "streamed_refresh": streamed_refresh,
 }
 
 _TICKS = f"ticks AS ({bucket_ticks_sql(BUCKETS)})"
@@ -203,6 +231,8 @@ days AS (SELECT symbol, time, {session_date('time')} AS d FROM fine), held AS (S
 whole AS (SELECT symbol, d - CAST(dayofweek(d) AS INTEGER) AS sunday FROM days GROUP BY ALL HAVING count(*) = 5),
 ready AS (SELECT symbol, {day_at('sunday')} AS time FROM whole w WHERE EXISTS (SELECT 1 FROM held h WHERE h.symbol = w.symbol AND h.m = date_trunc('month', {day_at('sunday')})) AND EXISTS (SELECT 1 FROM held h WHERE h.symbol = w.symbol AND h.m = date_trunc('month', {day_at('(sunday + 7)')} - INTERVAL 1 MICROSECOND)))
 SELECT w.symbol, {as_string('w.time')} AS time, {BAR_COLUMNS} FROM weekly w JOIN ready r ON r.symbol = w.symbol AND r.time = w.time""",
+    "update_actions": f"""WITH ticks AS ({TICKS}), b AS ({bars_sql('d1')}), p AS (SELECT CASE symbol {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in PAIRS.items())} END AS symbol, {_MONTH} FROM b)
+SELECT DISTINCT 'first' AS plan, symbol, 'd1' AS "interval", year, month, 'normalize_canonical' AS kind, 'missing' AS reason FROM p""",
     "streamed_fills_once": "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS broker_fill_id, CAST(1 AS BIGINT) AS times FROM lineitem",
     "streamed_refresh": f"""WITH {_TICKS}, o AS (SELECT symbol, date_trunc('second', ts) AS time, max(seq) AS seq, max(price) AS price FROM ticks GROUP BY ALL) SELECT symbol, {as_string('time')} AS time, seq, price + CASE WHEN seq % 5 < 2 THEN 7 ELSE 0 END AS price FROM o""",
 }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -104,6 +108,21 @@ def upsert_raw(fetched: DataFrame, root: str) -> None:
     write_raw(merged, root)
 
 
+def write_texts(files: DataFrame, root: str) -> DataFrame:
+    """Write each of ``files`` (name, text) under ``root`` by its name, from the tasks, and return the names. A task that runs again writes the same files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, own = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        for pdf in batches:
+            for name, text in zip(pdf["name"], pdf["text"], strict=True):
+                system.create_dir(f"{own}/{name.rpartition('/')[0]}", recursive=True)
+                with system.open_output_stream(f"{own}/{name}") as sink:
+                    sink.write(text.encode())
+            yield pdf[["name"]]
+
+    return files.select("name", "text").mapInPandas(run, "name string")
+
+
 def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
