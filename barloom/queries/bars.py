@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..operators import bars as ops
 from ..operators import coverage as cov
-from .common import BAR_COLUMNS, TICKS, bucket_ticks, bucket_ticks_sql, as_string, as_text, bar_start, bars_sql, day_at, local, resample_sql, session_date, table, ticks
+from .common import BAR_COLUMNS, TICKS, bucket_ticks, bucket_ticks_sql, as_string, as_text, bars_sql, day_at, local, resample_sql, session_date, table, ticks
 
 #: Buckets of users in the coverage queries.
 BUCKETS = 10

@@ -12,7 +12,7 @@ from ..operators import inventory, manifests, ranges
 from ..plans import planner
 from ..sources.shared import settle
 from .bars import HOLIDAYS, holidays, status_sql
-from .common import TICKS, as_string, as_text, bars_sql, day_at, session_date, table, text, ticks, units
+from .common import TICKS, as_string, as_text, bars_sql, day_at, session_date, table, ticks, units
 
 
 def month_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
