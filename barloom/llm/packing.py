@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache

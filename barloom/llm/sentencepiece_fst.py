@@ -19,7 +19,7 @@ from .common import text_or_empty
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
-NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 INFINITE = float("inf")
 #: Segments whose path is kept, per Python worker, in each of two generations; when the young one is full it becomes the old one.
 KEPT = 200_000
