@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import settle, shared_dir
 
-__all__ = ["number_within", "sample_by_hash", "settle", "shared_dir", "table", "text_or_empty"]
+__all__ = ["join_spread", "number_within", "sample_by_hash", "settle", "shared_dir", "table", "text_or_empty"]
+
+#: A key with more rows than this is dealt over several tasks of a join.
+HOT_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +32,17 @@ def sample_by_hash(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * n / total))
 
 
+def join_spread(rows: DataFrame, found: DataFrame, key: str, counts: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
+    """``rows`` with the one row of ``found`` that has their ``key``; ``counts`` (key, n) tells how many rows each key has.
+
+    Keys of more than ``hot`` rows are dealt over n / ``hot`` tasks. They are broadcast: at most one for ``hot`` rows.
+    """
+    parts = F.broadcast(counts.where(F.col("n") > hot).select(key, F.ceil(F.col("n") / hot).alias("_parts")))
+    dealt = rows.join(parts, key, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    each = found.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(each, [key, "_part"]).drop("_part")
+
+
 def number_within(df: DataFrame, key: str, key_count: int, order: list[str], out: str, rows_per_task: int = 50_000) -> DataFrame:
     """Add ``out``: gapless numbers from 0 within each value of ``key`` (an int from 0 to ``key_count`` - 1).
 

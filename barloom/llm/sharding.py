@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import number_within, settle, text_or_empty
+from .common import HOT_ROWS, join_spread, number_within, settle, text_or_empty
 from .differencing import combine, partition
 
 GROUPS_PER_BLOCK = 20_000
@@ -57,7 +57,7 @@ def assign_groups(groups: DataFrame, shards: int, per_block: int = GROUPS_PER_BL
     return placed.join(F.broadcast(final), ["node", "slot"]).select("key", "shard")
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, per_block: int = GROUPS_PER_BLOCK, fan_in: int = FAN_IN) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 16, per_block: int = GROUPS_PER_BLOCK, fan_in: int = FAN_IN, hot: int = HOT_ROWS) -> DataFrame:
     """Put every row of ``docs`` (doc_id, text) into a shard; equal texts stay together, bytes are near equal.
 
     Returns doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null). A null text has size 1 and
@@ -74,7 +74,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, per_block: int = GROUPS_PE
             F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"),
         )
     )
-    groups = settle(rows.groupBy("key").agg(F.sum("size").alias("weight")))
-    placed = rows.join(assign_groups(groups, shards, per_block, fan_in), "key").drop("key")
+    groups = settle(rows.groupBy("key").agg(F.sum("size").alias("weight"), F.count("*").alias("n")))
+    placed = join_spread(rows, assign_groups(groups.drop("n"), shards, per_block, fan_in), "key", groups.select("key", "n"), hot).drop("key")
     numbered = number_within(settle(placed), "shard", shards, ["doc_id", "text_crc32", "size"], "slot")
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

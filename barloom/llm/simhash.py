@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import HOT_ROWS, join_spread, settle
 from .components import components, join
 
 BITS = 64
@@ -261,7 +261,7 @@ def roots(words: DataFrame, radius: int = RADIUS, cap: int = NODE_CAP) -> DataFr
     return components(linked_fingerprints(words, radius, cap)).toDF("fp", "root")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3, cap: int = NODE_CAP) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3, cap: int = NODE_CAP, hot: int = HOT_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id (smallest doc_id reachable) of every row.
 
     Null and empty texts have fingerprint zero and are linked like any other. Repeated rows stay repeated. A null
@@ -269,12 +269,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3, cap:
     left out. An empty table gives no rows.
     """
     rows = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column("text", words).alias("fp")))
-    distinct = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     rooted = distinct.join(roots(distinct.select("fp"), radius, cap), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = settle(rooted)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return join_spread(rows, of, "fp", distinct.select("fp", "n"), hot).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _row_keys(docs: DataFrame) -> list[Column]:

@@ -452,6 +452,18 @@ def test_shards(spark, per_block, fan_in):
     assert sharding.shard_by_bytes(docs(spark, rows).limit(0), 4).count() == 0
 
 
+def test_hot_keys_are_spread_over_tasks(spark):
+    from barloom.llm.common import join_spread
+
+    rows = spark.createDataFrame([(i, 1 if i < 500 else i) for i in range(600)], "doc_id long, k long").repartition(3)
+    found = spark.createDataFrame([(k, k * 10) for k in (1, *range(500, 600))], "k long, v long")
+    got = join_spread(rows, found, "k", rows.groupBy("k").agg(F.count("*").alias("n")), hot=50).collect()
+    assert sorted((r.doc_id, r.v) for r in got) == [(i, 10 if i < 500 else i * 10) for i in range(600)]
+    texts = docs(spark, [(i, "same") for i in range(40)] + [(50, "other words")])
+    assert len({r.component_id for r in simhash.near_duplicates(texts, hot=5).collect()}) == 2
+    assert len({r.shard for r in sharding.shard_by_bytes(texts, 4, hot=5).where("size = 5").collect()}) == 1
+
+
 def test_numbers_are_gapless_over_parts(spark):
     from barloom.llm.common import number_within
 
