@@ -19,8 +19,8 @@ from .common import sample_by_hash, settle
 WORD = re.compile(r"\w+")
 #: Bounds of the fit: labelled documents (about; each class sampled by hash of the id, up to half of them or what the other class leaves), features, steps.
 FIT_DOCS, FIT_WORDS, STEPS = 6_000, 2_000, 300
-#: Documents whose features a task holds at a time.
-SLICE = 32
+#: Features that a task holds at a time, and those of one more document.
+HELD = 50_000
 LEAST_DOCS = 5
 #: A word's features: itself, and its beginnings of these lengths (as "achlich-"), which tell words of one stem.
 STEMS = range(3, 9)
@@ -116,11 +116,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_words:
     chosen = chosen.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))  # copies of a text count once
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["id", "toxic", "words", "counts"]
         for pdf in batches:
-            for at in range(0, len(pdf), SLICE):
-                part = pdf.iloc[at : at + SLICE]
-                counts = [Counter(f for w in WORD.findall((t or "").lower()) for f in features(w)) for t in part["text"]]
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "toxic": part["toxic"].to_numpy(), "words": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]})
+            rows, held = [], 0
+            for key, toxic, text in zip(pdf["id"], pdf["toxic"], pdf["text"], strict=True):
+                found = Counter(f for w in WORD.findall((text or "").lower()) for f in features(w))
+                rows.append((key, toxic, list(found), list(found.values())))
+                held += len(found)
+                if held >= HELD:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     bags = settle(chosen.select(F.md5("text").alias("id"), "toxic", "text").mapInPandas(words, "id string, toxic int, words array<string>, counts array<int>"))
     size = dict(bags.groupBy("toxic").count().collect())
