@@ -98,6 +98,11 @@ def parsed(text: Column | str, signed: bool = True) -> Column:
     return F.transform(F.transform(F.array(seen), judge), close)[0]
 
 
+def unsigned(read: Column) -> tuple[Column, Column]:
+    """(error, units) of what ``parsed`` has read, for kinds that can't be below zero."""
+    return F.coalesce(read["error"], F.when(read["units"] < 0, NEGATIVE)), F.when(read["units"] >= 0, read["units"])
+
+
 def parse_error(text: Column | str, signed: bool = True) -> Column:
     """Why a text is no decimal of this kind, or null."""
     return parsed(text, signed)["error"]

@@ -24,8 +24,9 @@ def decimal_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 11 == 4, F.concat(F.lit("+"), plain)).when(k % 11 == 5, F.concat(F.lit("92233720"), plain)).when(k % 11 == 6, F.lit("-0")).when(k % 11 == 7, F.lit("1.")).otherwise(plain)
     )
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", raw_text.alias("raw"))
-    read = rows.withColumns({"p": dec.parsed("raw", signed=False), "s": dec.parse("raw")})
-    return read.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p.units", "p.error", dec.text_of("s").alias("canonical"))
+    read = rows.withColumn("read", dec.parsed("raw"))
+    error, value = dec.unsigned(F.col("read"))
+    return read.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", value.alias("units"), error.alias("error"), dec.text_of("read.units").alias("canonical"))
 
 
 _ITEM = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
