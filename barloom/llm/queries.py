@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .url_filter import judge_sql
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,6 +77,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages")).drop("n_hits")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_dimension_scan": op1_ann,
     "op2_png_media": op2_media,
@@ -87,10 +94,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_karmarkar_karp_packing": op8_packing,
     "op9_warc_normaliser": op9_warc,
     "op10_site_style_tree": op10_html,
+    "op11_weighted_url_vocabulary": op11_urls,
 }
 
 #: DuckDB SQL where it can express the whole result: what the archives give back is what was put in.
 ORACLES: dict[str, str] = {
     "op9_warc_normaliser": """WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), f AS (SELECT payload, min(page_id) AS first FROM p WHERE strlen(payload) >= 100 GROUP BY payload)
 SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p LEFT JOIN f USING (payload)""",
+    "op11_weighted_url_vocabulary": judge_sql(),
 }
