@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import prefix_trie
 from .common import table
 from .url_filter import judge_sql
 
@@ -83,6 +84,12 @@ def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).drop("n_hits")
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import trie
+
+    return trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_dimension_scan": op1_ann,
     "op2_png_media": op2_media,
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_normaliser": op9_warc,
     "op10_site_style_tree": op10_html,
     "op11_weighted_url_vocabulary": op11_urls,
+    "op12_sequence_collapse_trie": op12_trie,
 }
 
 #: DuckDB SQL where it can express the whole result: what the archives give back is what was put in.
@@ -102,4 +110,5 @@ ORACLES: dict[str, str] = {
     "op9_warc_normaliser": """WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), f AS (SELECT payload, min(page_id) AS first FROM p WHERE strlen(payload) >= 100 GROUP BY payload)
 SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p LEFT JOIN f USING (payload)""",
     "op11_weighted_url_vocabulary": judge_sql(),
+    "op12_sequence_collapse_trie": prefix_trie.ORACLE,
 }
