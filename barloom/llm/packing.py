@@ -24,35 +24,45 @@ TAIL = (0.8, 0.6)
 SLACK = (4, 12)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """text -> ids of a ``tokenizers`` JSON file, without special tokens of the template: those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``.
+@lru_cache(maxsize=4)
+def encoder(path: str, plain_text: bool = False):
+    """text -> ids of a ``tokenizers`` JSON file, without special tokens of the template: those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``. ``plain_text``: strings of special tokens are ordinary text.
 
-    Where the file says that it is a plain byte-level BPE, tiktoken computes the same ids four times as fast and is used; any other file is left to ``tokenizers``.
+    Where the file says that it is a plain byte-level BPE, tiktoken computes the same ids four times as fast. It refuses some texts (very long runs of white space exceed its pattern's stack); these, whole, and all of any other file are left to
+    ``tokenizers``.
     """
     import json
 
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = plain_text
+    by_library = lambda text: own.encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     if not _plain_byte_level(spec):
-        from tokenizers import Tokenizer
-
-        own = Tokenizer.from_file(path)
-        return lambda text: own.encode(text, add_special_tokens=False).ids
+        return by_library
 
     import public_tokenizers
     import tiktoken
 
-    letters = _letters()
+    letters = byte_letters()
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(letters[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
     encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    if special:
-        return lambda text: encoding.encode(text, allowed_special="all")
-    return encoding.encode_ordinary
+
+    allowed = set() if plain_text else "all"
+
+    def encode(text: str) -> list[int]:
+        try:  # encode_ordinary would panic, which is no Exception
+            return encoding.encode(text, allowed_special=allowed, disallowed_special=())
+        except ValueError:
+            return by_library(text)
+
+    return encode
 
 
-def _letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in byte-level files: itself where it prints, else the next one from 256 on."""
     points = [*range(33, 127), *range(161, 173), *range(174, 256)]
     return {chr(b): b for b in points} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in points)}
@@ -70,7 +80,7 @@ def _plain_byte_level(spec: dict) -> bool:
     )
     if not plain:
         return False
-    vocab, letters = model["vocab"], _letters()
+    vocab, letters = model["vocab"], byte_letters()
     special = {t["content"] for t in spec["added_tokens"]}
     if not set("".join(p for p in vocab if p not in special)) <= set(letters):
         return False

@@ -90,6 +90,12 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_dimension_scan": op1_ann,
     "op2_png_media": op2_media,
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_site_style_tree": op10_html,
     "op11_weighted_url_vocabulary": op11_urls,
     "op12_sequence_collapse_trie": op12_trie,
+    "op13_identity_map_alignment": op13_alignment,
 }
 
 #: DuckDB SQL where it can express the whole result: what the archives give back is what was put in.
