@@ -168,9 +168,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, miss: float = MISS
     spark = vectors.sparkSession
     whole = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(whole)
+    # ids are made distinct first (copies of a row meet within tasks); then each vector keeps its k + 1 smallest ids
     least = Window.partitionBy("v").orderBy("vec_id")
-    few = valid.withColumn("n", F.row_number().over(least)).where(F.col("n") <= 2 * (k + 1))
-    reps = settle(few.groupBy("v").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids")).withColumn("rep", F.col("ids")[0]))
+    few = valid.distinct().withColumn("n", F.row_number().over(least)).where(F.col("n") <= k + 1)
+    reps = settle(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.col("ids")[0]))
     queries = settle(valid.where(F.col("vec_id") % every == 0).distinct().join(reps.select("v", "rep"), "v").select(F.col("vec_id").alias("query_id"), "rep"))
 
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))

@@ -22,8 +22,8 @@ FILL = 255
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Side of the grid that samples are averaged to, and of the low-frequency block that is hashed.
 GRID, LOW = 32, 8
-#: Images that would take more bytes than this are refused.
-MOST_BYTES = 1 << 30
+#: No byte of a deflated stream stands for more bytes than this: images whose header says more are refused before they are inflated.
+MOST_TIMES = 1032
 NONE, SUB, UP, AVERAGE, PAETH = range(5)
 
 
@@ -91,7 +91,7 @@ def decode_png(data: bytes) -> np.ndarray:
         raise MediaError("header or end")
     width, height, depth = head[0], head[1], 1 if head[3] == 0 else 3
     size = height * (width * depth + 1)
-    if not width or not height or size > MOST_BYTES:
+    if not width or not height or size > MOST_TIMES * sum(map(len, parts)):
         raise MediaError("size")
     try:
         inflater = zlib.decompressobj()

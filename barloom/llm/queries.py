@@ -26,7 +26,7 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import text_media
 
-    return text_media(table(spark, sf_dir, "documents")).drop("error")
+    return text_media(table(spark, sf_dir, "documents"))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,14 @@ def test_nearest_edge_rows(spark):
     assert ann.nearest(df.where("vec_id = 0")).count() == 0
 
 
+def test_repeated_rows_hide_no_other_id(spark):
+    """Copies of a row count once, however many they are, also beside another id with the same vector."""
+    v = [1.0, 2.0]
+    rows = [(1, v)] * 60 + [(2, v)] + [(20 + i, [float(i + 1), 1.0]) for i in range(11)]
+    got = [r.vec_id for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 20").orderBy("rank").collect()]
+    assert got == [i for _, i in brute_nearest(rows, 20, 20)[20]] and len(got) == 12 and 2 in got
+
+
 @pytest.mark.parametrize("clusters", [1, 8])
 def test_tests_abandon_most_candidates_early(clusters):
     """Also without structure, less than half of the pairs is left after a third of the dimensions, and those within the bound stay."""
@@ -781,6 +789,14 @@ def test_ids_are_the_tokenizers(tokenizer):
         assert list(encode(t)) == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "b"])
+def test_long_runs_are_packed(spark, tokenizer, run):
+    text = "a" + run * 3_000_000
+    got = packing.pack_tokens(docs(spark, [(1, text), (2, "b")]), P.path("byte_bpe_50k.json")).collect()
+    assert sum(r.length for r in got if r.doc_id == 1) == len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
+    assert sum(r.length for r in got if r.doc_id == 2) == 2
+
+
 def test_other_tokenizer_files_are_read_as_they_are():
     from tokenizers import Tokenizer
 

@@ -26,6 +26,7 @@ def folder(spark):
         rows.append((i, t, "en", "s", len(t)))
         if i < 120:
             labels.append((i, 1, int(i % 6 == 0)))
+    rows.append((290, "blank" + " " * 1_000_000 + "s", "en", "s", 1_000_006))
     rows += [(300 + k, rows[k][1], "en", "s", rows[k][4]) for k in range(1, 20, 3)] + [(400, None, None, None, None), (401, "", "en", "s", 0), (None, "no id " + " ".join(WORDS), "en", "s", 5), rows[1]]
     out = tempfile.mkdtemp(prefix="barloom-pipe-")
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(os.path.join(out, "documents.parquet"))
