@@ -114,3 +114,17 @@ def partition_status(months: DataFrame, manifests: DataFrame, raw: DataFrame, vi
     joined = months.select(*own).distinct().join(held, own, "left").join(bad, own, "left").join(raw.select(*own, "incomplete_rows"), own, "left")
     status = F.when(F.col("_held").isNull(), MISSING).when(F.col("_bad"), INVALID).when(F.col("stale"), STALE).otherwise(CURRENT)
     return joined.select(*own, status.alias("status"), F.coalesce("incomplete_rows", F.lit(0)).alias("incomplete_rows"))
+
+
+def derived_status(months: DataFrame, weekly: DataFrame, daily: DataFrame, violations: DataFrame, keys: list[str]) -> DataFrame:
+    """Status of weekly ``months`` (keys, year, month): missing, invalid, stale (their parents' revisions are others now), or current.
+
+    ``weekly`` manifests (keys, year, month, last_bar, span_end, parent_revision), ``daily`` those that can be trusted (keys, year, month, revision).
+    """
+    own = [*keys, "year", "month"]
+    crosses = F.coalesce(cal.week_end(F.col("last_bar")) > F.col("span_end"), F.lit(False))
+    held = derived_staleness(weekly.withColumn("crosses", crosses), daily, keys).select(*own, "stale", F.lit(True).alias("_held"))
+    bad = violations.select(*own).distinct().withColumn("_bad", F.lit(True))
+    joined = months.select(*own).distinct().join(held, own, "left").join(bad, own, "left")
+    status = F.when(F.col("_held").isNull(), MISSING).when(F.col("_bad"), INVALID).when(F.col("stale"), STALE).otherwise(CURRENT)
+    return joined.select(*own, status.alias("status"))

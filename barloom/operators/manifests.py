@@ -6,24 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..functions.canonical import canonical_json
 
 NO_RESAMPLER = "none"
-#: What a revision covers, in order; when it was built isn't part of it.
-REVISION_FIELDS = (
-    "provider", "instrument_id", "interval", "span_start", "span_end", "basis", "schema_version", "raw_fingerprint", "builder_version", "validator_version",
-    "resampler_version", "calendar_version", "bar_count", "first_bar", "last_bar", "parent_instrument", "parent_interval", "parent_revision",
-)
-REVISION_VERSION = "r1"
+# The tag of revisions, and the numbers by which they write units, price bases and an unset time.
+REVISION_TAG = "manifest-revision-v1"
+UNITS = {"m": 0, "h": 1, "d": 2, "w": 3}
+BASES = {"bid": 1, "mid": 2, "ask": 3}
+UNSET_TIME = -6795364578871345152
 
 
 def summary(bars: DataFrame, keys: list[str]) -> DataFrame:
     return bars.groupBy(*keys).agg(F.count("*").alias("bar_count"), F.min("time").alias("first_bar"), F.max("time").alias("last_bar"))
 
 
-def revision(fields: tuple[str, ...] = REVISION_FIELDS) -> Column:
-    """sha256 of the fields' texts, nulls as empty, after a version tag."""
-    parts = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
-    return F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", F.lit(REVISION_VERSION), *parts), 256))
+def _interval(c: str) -> tuple[Column, Column]:
+    """Number of the unit, and count, of an interval token."""
+    unit = F.substring(c, 1, 1)
+    return F.coalesce(*[F.when(unit == k, n) for k, n in UNITS.items()]), F.expr(f"try_cast(substring({c}, 2) AS int)")
+
+
+def _nanos(c: str) -> Column:
+    return F.coalesce((cal.seconds_between(F.col(c), F.lit("1970-01-01").cast("timestamp_ntz")) * 1_000_000_000).cast("bigint"), F.lit(UNSET_TIME))
+
+
+def revision() -> Column:
+    """sha256 (hex) of what makes a manifest, as JSON in a fixed order of fields; when it was built isn't part of it.
+
+    Being JSON, no text can be read as two fields, and a missing parent is no empty one. Texts that are null count as empty, an unknown basis as 0.
+    """
+    unit, count = _interval("interval")
+    of_parent = _interval("parent_interval")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    parent = F.struct(text("parent_instrument").alias("instrument"), of_parent[0].alias("interval_unit"), of_parent[1].alias("interval_count"), text("parent_revision").alias("revision"))
+    fields = F.struct(
+        F.lit(REVISION_TAG).alias("version"), text("provider").alias("provider"), text("instrument_id").alias("instrument"), unit.alias("interval_unit"), count.alias("interval_count"), _nanos("span_start").alias("span_start"),
+        _nanos("span_end").alias("span_end"), F.coalesce(*[F.when(F.col("basis") == k, n) for k, n in BASES.items()], F.lit(0)).alias("basis"), F.col("schema_version"), text("raw_fingerprint").alias("raw_fingerprint"),
+        text("builder_version").alias("builder_version"), text("validator_version").alias("validator_version"), text("resampler_version").alias("resampler_version"), text("calendar_version").alias("calendar_version"), F.col("bar_count"),
+        _nanos("first_bar").alias("first_bar"), _nanos("last_bar").alias("last_bar"), F.when(F.col("parent_revision").isNotNull(), parent).alias("parent"),
+    )
+    return F.sha2(canonical_json(fields), 256)
 
 
 def manifest_error() -> Column:

@@ -49,10 +49,10 @@ def raw_actions(months: DataFrame, keys: list[str], extend: DataFrame) -> DataFr
     return each.select(*keys, "year", "month", "a.kind", "a.reason")
 
 
-def derive_actions(weekly: DataFrame, daily: DataFrame, day_gaps: DataFrame, week_gaps: DataFrame, keys: list[str]) -> DataFrame:
+def derive_actions(weekly: DataFrame, daily: DataFrame, day_gaps: DataFrame, week_gaps: DataFrame, keys: list[str], whole_day_gaps: DataFrame | None = None) -> DataFrame:
     """Actions of weekly partitions: one not current is derived once its month's days are all current and without gaps; a current one, once a week that it lacks has become ready.
 
-    ``weekly`` and ``daily`` (keys, year, month, status); gaps (keys, year, month, gap_start, gap_end).
+    ``weekly`` and ``daily`` (keys, year, month, status); gaps (keys, year, month, gap_start, gap_end). ``whole_day_gaps``: gaps of all days that a week may need, where ``day_gaps`` are only those within the range asked for.
     """
     month = [*keys, "year", "month"]
     ready = daily.where(F.col("status") == cov.CURRENT).select(*month).join(day_gaps.select(*month).distinct(), month, "left_anti")
@@ -60,7 +60,7 @@ def derive_actions(weekly: DataFrame, daily: DataFrame, day_gaps: DataFrame, wee
     fresh = weekly.where(F.col("status") != cov.CURRENT).join(ready, month, "left_semi").select(*month, F.lit(DERIVE).alias("kind"), reason.alias("reason"))
     lacking = week_gaps.join(weekly.where(F.col("status") == cov.CURRENT).select(*month), month, "left_semi")
     spans = lacking.select(*keys, F.col("gap_start").alias("bar_start"), F.col("gap_end").alias("bar_end")).distinct()
-    able = cov.ready_weeks(spans, daily, day_gaps, keys).select(*keys, "bar_start")
+    able = cov.ready_weeks(spans, daily, day_gaps if whole_day_gaps is None else whole_day_gaps, keys).select(*keys, "bar_start")
     again = lacking.withColumn("bar_start", F.col("gap_start")).join(able, [*keys, "bar_start"], "left_semi").select(*month).distinct()
     return fresh.unionByName(again.select(*month, F.lit(DERIVE).alias("kind"), F.lit("gap: D1 input now available for a previously incomplete week").alias("reason")))
 

@@ -1,4 +1,4 @@
-"""Update: normalise what raw archives hold, publish it, derive weeks, and check that nothing is left to do."""
+"""Update by dependency: normalise what changed in raw archives, derive the weekly months that depend on it, until no action is left that can be run."""
 
 from __future__ import annotations
 
@@ -10,21 +10,30 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..operators import bars as ops
 from ..operators import coverage as cov
-from ..operators import inventory, manifests
+from ..operators import manifests
 from ..sources import raw, store
+from ..sources.shared import settle
 from . import planner
 
 VERSIONS = {"builder_version": "1", "validator_version": "1", "calendar_version": "1"}
 KEYS = ["provider", "symbol", "interval"]
+PAIR = ["provider", "symbol"]
+MONTH = ["year", "month"]
+WEEKLY, DAILY = "w1", "d1"
 
 
 @dataclass
 class Update:
-    """actions: what was found to do; blocked: partitions with bad rows; left: builds still open afterwards, apart from those that wait for raw files to grow (empty when all went well)."""
+    """actions: what was found to do at first; executed: what was run, with round (from 1); blocked: partitions with bad rows; read: paths of the raw files that had to be read to plan.
+
+    left: all that is still to do afterwards (empty when all went well), with runnable: whether this step could have run it; downloads and repairs it can't, nor rebuilds that wait for raw files to grow.
+    """
 
     actions: DataFrame
+    executed: DataFrame
     blocked: DataFrame
     left: DataFrame
+    read: DataFrame
 
 
 def with_manifest(bars: DataFrame, fingerprints: DataFrame, built_at: Column, resampler: str = manifests.NO_RESAMPLER) -> DataFrame:
@@ -44,71 +53,160 @@ def with_manifest(bars: DataFrame, fingerprints: DataFrame, built_at: Column, re
 
 
 def normalise_archive(spark: SparkSession, archive: str, canonical: str, now: Column, only: DataFrame | None = None) -> DataFrame:
-    """Normalise the raw files under ``archive`` (those of ``only``: keys, year, month) and publish their bars and manifests; returns blocked partitions with offenders.
+    """Normalise the raw files under ``archive`` (those of ``only``: keys, year, month, path, modified; no others are opened) and publish their bars and manifests; returns blocked partitions with offenders.
 
     One job for all files; a blocked file publishes nothing and does not hold up others.
     """
-    month = [*KEYS, "year", "month"]
-    files = raw.scan(spark, archive).where("file_status = 'ok'")
-    wanted = files if only is None else files.join(only.select(*month), month, "left_semi")
-    bars, gates, _ = ops.normalise(raw.records(wanted), month)
-    gates = store.settle(gates, f"{canonical}/plans")
-    good = wanted.join(gates.where("blocked"), month, "left_anti").select(*month, F.col("fingerprint").alias("raw_fingerprint"))
+    month = [*KEYS, *MONTH]
+    files = raw.scan(spark, archive) if only is None else raw.read_some(spark, archive, only)
+    files = files.where("file_status = 'ok'")
+    bars, gates, _ = ops.normalise(raw.records(files, checked=True), month)
+    gates = settle(gates)
+    good = files.join(gates.where("blocked"), month, "left_anti").select(*month, F.col("fingerprint").alias("raw_fingerprint"))
     store.publish(bars, with_manifest(bars, good, now), canonical)
     return gates.where("blocked")
 
 
-def derive_weeks(spark: SparkSession, canonical: str, now: Column) -> None:
-    """Derive weekly bars from daily ones wherever a week's days are all there, and publish them by the month in which the week starts."""
-    bars, held = store.load(spark, canonical)
-    daily, held = bars.where("interval = 'd1'"), held.where("interval = 'd1'")
-    keys = ["provider", "symbol"]
-    months = held.select(*keys, "year", "month", F.col("span_start").alias("start_ts"), F.col("span_end").alias("end_ts"))
-    weeks = cal.spine(months, keys, "week")
-    days = cal.spine(weeks.select(*keys, F.col("bar_start").alias("start_ts"), F.col("bar_end").alias("end_ts")), keys, "day")
-    states = cov.interval_states(cov.month_spans(days.groupBy(*keys).agg(F.min("bar_start").alias("start_ts"), F.max("bar_end").alias("end_ts")), keys), daily.select(*keys, "time"), keys, "d1", now)
-    day_gaps = cov.gaps(states, [*keys, "year", "month"])
-    current = held.select(*keys, "year", "month", F.lit(cov.CURRENT).alias("status"))
-    ready = cov.ready_weeks(weeks, current, day_gaps, keys).select(*keys, F.col("bar_start").alias("time"))
-    weekly = ops.resample(daily, keys, "w1").join(ready, [*keys, "time"], "left_semi")
-    weekly = weekly.withColumns({"interval": F.lit("w1"), "year": F.year("time"), "month": F.month("time")})
-    spill = F.add_months(F.make_date("year", "month", F.lit(1)), -1)
-    own = held.select(*keys, "year", "month", F.col("revision").alias("_own"))
-    after = held.select(*keys, F.year(spill).alias("year"), F.month(spill).alias("month"), F.col("revision").alias("_next"))
-    last = weekly.groupBy(*keys, "year", "month").agg(F.max(cal.week_end(F.col("time"))).alias("_end"))
-    joined = own.join(after, [*keys, "year", "month"], "left").join(last, [*keys, "year", "month"])
-    crosses = F.col("_end") > F.add_months(F.make_date("year", "month", F.lit(1)), 1).cast("timestamp_ntz")
-    parent = F.when(crosses & F.col("_next").isNotNull(), cov.composite_revision("_own", "_next")).otherwise(F.col("_own"))
+def _next_month(df: DataFrame, by: int = 1) -> DataFrame:
+    """``df`` with year and month moved on."""
+    moved = F.add_months(F.make_date("year", "month", F.lit(1)), by)
+    return df.withColumns({"year": F.year(moved), "month": F.month(moved)})
+
+
+def _day_months(months: DataFrame) -> DataFrame:
+    """The daily months that weeks which start in ``months`` (pair, year, month) may need: these, and the next ones."""
+    own = months.select(*PAIR, *MONTH)
+    return own.unionByName(_next_month(own)).distinct()
+
+
+def _weeks(months: DataFrame) -> DataFrame:
+    """Weeks that start in ``months`` (pair, year, month): pair, bar_start, bar_end."""
+    start = F.make_date("year", "month", F.lit(1))
+    spans = months.select(*PAIR, start.cast("timestamp_ntz").alias("start_ts"), F.add_months(start, 1).cast("timestamp_ntz").alias("end_ts"))
+    return cal.spine(spans, PAIR, "week")
+
+
+def _day_gaps(spans: DataFrame, daily: DataFrame, status: DataFrame, now: Column) -> DataFrame:
+    """Gaps of days within ``spans`` (pair, start_ts, end_ts), in months whose daily ``status`` is current: only these have a spine."""
+    months = cov.month_spans(spans, PAIR).join(status.where(F.col("status") == cov.CURRENT).select(*PAIR, *MONTH), [*PAIR, *MONTH], "left_semi")
+    return cov.gaps(cov.interval_states(months, daily.select(*PAIR, "time"), PAIR, DAILY, now), [*PAIR, *MONTH])
+
+
+def _gaps_of_weeks(weeks: DataFrame, daily: DataFrame, status: DataFrame, now: Column) -> DataFrame:
+    return _day_gaps(weeks.groupBy(*PAIR).agg(F.min("bar_start").alias("start_ts"), F.max("bar_end").alias("end_ts")), daily, status, now)
+
+
+def daily_status(spark: SparkSession, archive: str | None, canonical: str, months: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(status, bars, trusted manifests) of the daily ``months`` (pair, year, month): missing, invalid, stale against the archive (if one is given), or current."""
+    only = months.withColumn("interval", F.lit(DAILY))
+    held, errors = store.verify(spark, canonical, only)
+    errors = settle(errors)
+    known = _known(spark, archive, canonical, only)[0] if archive else spark.createDataFrame([], "provider string, symbol string, interval string, year int, month int, fingerprint string, status string, incomplete_rows bigint")
+    status = cov.partition_status(only, held, known, errors, KEYS).select(*PAIR, *MONTH, "status")
+    return settle(status), store.load(spark, canonical, only)[0], held.join(errors, store.PARTITION, "left_anti")
+
+
+def derive_weeks(spark: SparkSession, canonical: str, now: Column, only: DataFrame | None = None, archive: str | None = None) -> None:
+    """Derive weekly bars from daily ones wherever a week's days are all there, and publish them by the month in which the week starts: the months ``only`` (pair, year, month), or all that have daily bars.
+
+    A week is derived where the daily months that it touches are current and have no gap in it. Other weeks are left out; their month is published without them, if need be empty. Lineage names the month's daily revision and, where the last
+    week reaches over, the next one's.
+    """
+    if only is None:
+        only = store.load(spark, canonical)[1].where(F.col("interval") == DAILY)
+    only = settle(only.select(*PAIR, *MONTH).distinct())
+    status, daily, held = daily_status(spark, archive, canonical, _day_months(only))
+    weeks = _weeks(only)
+    gaps = _gaps_of_weeks(weeks, daily, status, now)
+    ready = cov.ready_weeks(weeks, status, gaps, PAIR).select(*PAIR, F.col("bar_start").alias("time"))
+    weekly = ops.resample(daily, PAIR, WEEKLY).join(ready, [*PAIR, "time"], "left_semi")
+    weekly = settle(weekly.withColumns({"interval": F.lit(WEEKLY), "year": F.year("time"), "month": F.month("time")}))
+    parents = held.select(*PAIR, *MONTH, "revision", "raw_fingerprint")
+    own = only.join(parents.select(*PAIR, *MONTH, F.struct("revision", "raw_fingerprint").alias("_own")), [*PAIR, *MONTH])
+    after = _next_month(parents.select(*PAIR, *MONTH, F.struct("revision", "raw_fingerprint").alias("_next")), -1)
+    last = weekly.groupBy(*PAIR, *MONTH).agg(F.max(cal.week_end(F.col("time"))).alias("_end"))
+    joined = own.join(after, [*PAIR, *MONTH], "left").join(last, [*PAIR, *MONTH], "left")
+    crosses = (F.col("_end") > F.add_months(F.make_date("year", "month", F.lit(1)), 1).cast("timestamp_ntz")) & F.col("_next").isNotNull()
+    of = lambda f: F.when(crosses, cov.composite_revision(f"_own.{f}", f"_next.{f}")).otherwise(F.col(f"_own.{f}"))
     pair = F.concat(F.lit("fx:"), F.substring("symbol", 1, 3), F.lit("/"), F.substring("symbol", 4, 3))
-    prints = joined.select(*keys, F.lit("w1").alias("interval"), "year", "month", parent.alias("raw_fingerprint"), parent.alias("parent_revision"), pair.alias("parent_instrument"), F.lit("d1").alias("parent_interval"))
+    prints = joined.select(*PAIR, F.lit(WEEKLY).alias("interval"), *MONTH, of("raw_fingerprint").alias("raw_fingerprint"), of("revision").alias("parent_revision"), pair.alias("parent_instrument"), F.lit(DAILY).alias("parent_interval"))
     store.publish(weekly, with_manifest(weekly, prints, now, resampler="1"), canonical)
 
 
-def find_actions(spark: SparkSession, archive: str, canonical: str, requests: DataFrame) -> DataFrame:
-    """Actions that ``requests`` (provider, symbol, interval, from_ts, to_ts) need, against the archive and what is published."""
-    month = [*KEYS, "year", "month"]
-    spans = requests.select(*KEYS, F.col("from_ts").alias("start_ts"), F.col("to_ts").alias("end_ts"))
-    months = cov.month_spans(spans, KEYS)
-    files = raw.scan(spark, archive)
-    stats = inventory.partitions(raw.records(files.where("file_status = 'ok'")), month)
-    known = files.select(*month, F.col("file_status").alias("raw_status"), "fingerprint").join(stats.select(*month, "incomplete_rows", "row_count", "last_time", "last_complete"), month, "left")
-    held, errors = store.verify(spark, canonical)
-    status = cov.partition_status(months, held, known.withColumn("status", F.col("raw_status")), errors, KEYS)
-    everything = status.join(known.select(*month, "raw_status"), month, "left")
+def _known(spark: SparkSession, archive: str, canonical: str, months: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what is known of the raw files of ``months``, paths read for it)."""
+    files, read = raw.known_files(spark, archive, f"{canonical}/inventory", months)
+    return files.withColumn("status", F.col("file_status")), read
+
+
+def _weekly_actions(spark: SparkSession, archive: str, canonical: str, requests: DataFrame, now: Column) -> DataFrame:
+    """Derivations that weekly ``requests`` (pair, from_ts, to_ts) need."""
+    asked = settle(cov.month_spans(requests.select(*PAIR, F.col("from_ts").alias("start_ts"), F.col("to_ts").alias("end_ts")), PAIR))
+    own = asked.select(*PAIR, *MONTH).distinct()
+    only = own.withColumn("interval", F.lit(WEEKLY))
+    held, errors = store.verify(spark, canonical, only)
+    days, daily, parents = daily_status(spark, archive, canonical, _day_months(own))
+    status = settle(cov.derived_status(own, held, parents.select(*PAIR, *MONTH, "revision"), errors, PAIR))
+    current = asked.join(status.where(F.col("status") == cov.CURRENT).select(*PAIR, *MONTH), [*PAIR, *MONTH], "left_semi")
+    weekly = store.load(spark, canonical, only)[0]
+    week_gaps = settle(cov.gaps(cov.week_states(current, weekly, PAIR, now), [*PAIR, *MONTH]))
+    day_gaps = _day_gaps(asked, daily, days, now)
+    whole = _gaps_of_weeks(_weeks(own), daily, days, now)
+    found = planner.derive_actions(status, days, day_gaps, week_gaps, PAIR, whole)
+    return found.select(*PAIR, F.lit(WEEKLY).alias("interval"), *MONTH, "kind", "reason")
+
+
+def find_actions(spark: SparkSession, archive: str, canonical: str, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(actions, read): what ``requests`` (provider, symbol, interval, from_ts, to_ts) need at ``now``, against the archive and what is published, and the paths of raw files that were read to tell. Only months asked for are looked at."""
+    month = [*KEYS, *MONTH]
+    built = requests.where(F.col("interval") != WEEKLY)
+    months = settle(cov.month_spans(built.select(*KEYS, F.col("from_ts").alias("start_ts"), F.col("to_ts").alias("end_ts")), KEYS))
+    known, read = _known(spark, archive, canonical, months)
+    known = settle(known)
+    held, errors = store.verify(spark, canonical, months)
+    status = cov.partition_status(months, held, known, errors, KEYS)
+    everything = status.join(known.select(*month, F.col("status").alias("raw_status")), month, "left")
     last = F.max_by(F.struct("year", "month"), F.struct("year", "month"))
-    newest = months.groupBy(*KEYS).agg(last.alias("m"), F.max("end_ts").alias("range_end")).select(*KEYS, "m.*", "range_end").join(known, month)
+    newest = months.groupBy(*KEYS).agg(last.alias("m"), F.max("end_ts").alias("range_end")).select(*KEYS, "m.*", "range_end").join(known.where("status = 'ok'"), month)
     extend = None
     for interval in ("m1", "h1", "h4", "d1"):
-        one = planner.extend_needed(newest.where(F.col("interval") == interval), KEYS, interval, F.col("range_end"))
+        one = planner.extend_needed(newest.where(F.col("interval") == interval), KEYS, interval, now)
         extend = one if extend is None else extend.unionByName(one)
-    return planner.raw_actions(everything, KEYS, extend)
+    found = planner.raw_actions(everything, KEYS, extend).select(*month, "kind", "reason")
+    return found.unionByName(_weekly_actions(spark, archive, canonical, requests.where(F.col("interval") == WEEKLY), now).select(*month, "kind", "reason")), read
+
+
+def runnable() -> Column:
+    """Whether this step can run an action: a rebuild that waits for a download would change nothing."""
+    return F.col("kind").isin(planner.NORMALIZE, planner.DERIVE) & ~F.startswith(F.col("reason"), F.lit("extend"))
 
 
 def run(spark: SparkSession, archive: str, canonical: str, requests: DataFrame, now: Column) -> Update:
-    """Plan, build, derive, plan again. Missing or broken raw files are reported, never fetched."""
-    actions = store.settle(find_actions(spark, archive, canonical, requests), f"{canonical}/plans")
-    todo = actions.where(F.col("kind") == planner.NORMALIZE)
-    blocked = normalise_archive(spark, archive, canonical, now, todo)
-    derive_weeks(spark, canonical, now)
-    after = find_actions(spark, archive, canonical, requests).where((F.col("kind") == planner.NORMALIZE) & ~F.col("reason").startswith("extend"))
-    return Update(planner.ordered(actions, KEYS), blocked, after)
+    """Plan, build, and plan again until nothing is left that can be run: months whose raw files changed are normalised, then the weekly months that depend on their revisions are derived. Missing or broken raw files are reported, never fetched.
+
+    What a run has tried once it doesn't try again, so months with bad rows end it as well. A run that finds nothing to do writes nothing to the store.
+    """
+    month, requests = [*KEYS, *MONTH], settle(requests)
+    tried = spark.createDataFrame([], "provider string, symbol string, interval string, year int, month int, kind string, reason string, round int")
+    first = blocked = read = None
+    while True:
+        actions, opened = find_actions(spark, archive, canonical, requests, now)
+        actions = settle(actions)
+        read = settle(opened) if read is None else read.unionByName(settle(opened))
+        first = actions if first is None else first
+        todo = settle(actions.where(runnable()).join(tried, [*month, "kind", "reason"], "left_anti"))
+        builds, weeks = todo.where(F.col("kind") == planner.NORMALIZE), todo.where(F.col("kind") == planner.DERIVE)
+        if builds.isEmpty() and weeks.isEmpty():
+            break
+        number = (tried.agg(F.max("round")).first()[0] or 0) + 1
+        if not builds.isEmpty():  # derivations are planned anew once their days are built
+            files = _known(spark, archive, canonical, builds)[0].where("status = 'ok'").join(builds.select(*month), month, "left_semi")
+            bad = normalise_archive(spark, archive, canonical, now, files)
+            blocked, ran = bad if blocked is None else blocked.unionByName(bad), builds
+        else:
+            derive_weeks(spark, canonical, now, weeks, archive)
+            ran = weeks
+        tried = settle(tried.unionByName(ran.withColumn("round", F.lit(number))))
+    if blocked is None:
+        blocked = ops.gate(spark.createDataFrame([], "provider string, symbol string, interval string, year int, month int, line_no int, reason string, outcome string"), month)
+    return Update(planner.ordered(first, KEYS), tried, blocked, actions.withColumn("runnable", runnable()), read.distinct())

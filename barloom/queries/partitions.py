@@ -257,8 +257,11 @@ SELECT r.o_custkey, {as_string('x[1]')} AS hole_start, {as_string('x[2]')} AS ho
   WHEN {_D} = 8 THEN 'fingerprint' WHEN builder_version = '' THEN 'version' WHEN {_D} = 12 THEN 'built_at' WHEN bar_count < 0 THEN 'bar_count'
   WHEN CASE WHEN bar_count = 1 THEN first_bar <> last_bar ELSE last_bar <= first_bar END THEN 'bar_range' WHEN {_D} IN (10, 11) THEN 'parent' END AS error,
   CASE WHEN bar_count <> n THEN 'count' WHEN first_bar <> lo THEN 'first' WHEN last_bar <> hi THEN 'last' END AS mismatch FROM manifests""",
-    "manifest_revision": f"""WITH {_MANIFESTS} SELECT symbol, CAST(day AS VARCHAR) AS day, 'sha256:' || sha256(concat_ws('|', 'r1', provider, instrument_id, "interval", {as_string('span_start')}, {as_string('span_end')}, basis, CAST(schema_version AS VARCHAR), raw_fingerprint, builder_version, '1', resampler_version, '1',
-  CAST(bar_count AS VARCHAR), {as_string('first_bar')}, {as_string('last_bar')}, coalesce(parent_instrument, ''), coalesce(parent_interval, ''), coalesce(parent_revision, ''))) AS revision FROM manifests""",
+    "manifest_revision": f"""WITH {_MANIFESTS}, t AS (SELECT *, CASE WHEN {_D} = 4 THEN 2 ELSE 1 END AS hours, CASE basis WHEN 'bid' THEN 1 ELSE 0 END AS base FROM manifests)
+SELECT symbol, CAST(day AS VARCHAR) AS day, sha256('{{"version":"manifest-revision-v1","provider":"' || provider || '","instrument":"' || instrument_id || '","interval_unit":1,"interval_count":' || hours || ',"span_start":' || epoch_ns(span_start)
+  || ',"span_end":' || epoch_ns(span_end) || ',"basis":' || base || ',"schema_version":' || schema_version || ',"raw_fingerprint":"' || raw_fingerprint || '","builder_version":"' || builder_version || '","validator_version":"1","resampler_version":"' || resampler_version
+  || '","calendar_version":"1","bar_count":' || bar_count || ',"first_bar":' || epoch_ns(first_bar) || ',"last_bar":' || epoch_ns(last_bar) || ',"parent":'
+  || CASE WHEN parent_revision IS NULL THEN 'null' ELSE '{{"instrument":"' || parent_instrument || '","interval_unit":2,"interval_count":1,"revision":"' || parent_revision || '"}}' END || '}}') AS revision FROM t""",
     "stale_partitions": f"WITH {_INPUTS} SELECT key, year, month, status, incomplete_rows FROM status",
     "plan_actions": f"WITH {_ACTIONS}, s AS (SELECT *, CASE kind WHEN 'normalize_canonical' THEN 1 ELSE 0 END AS stage FROM actions) SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY stage, year, month, kind) AS INTEGER) AS position FROM s",
     "skipped_actions": f"WITH {_ACTIONS} SELECT kind, reason, CASE kind WHEN 'repair_raw' THEN 'needs an explicit repair' ELSE 'no download in this step' END AS why, count(*) AS n FROM actions WHERE kind <> 'normalize_canonical' GROUP BY kind, reason",

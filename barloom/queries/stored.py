@@ -57,12 +57,12 @@ def stored_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = settle(_months(ops.from_ticks(bucket_ticks(spark, sf_dir, BUCKETS), ["symbol"], "h1"), "h1"))
     held = settle(_held(bars))
     root = fresh_dir(spark)
-    store.publish(bars, held, root)
-    store._write(held.where(_bucket() == "1").withColumn("revision", F.lit("sha256:00")), f"{root}/manifests")
+    generation = store.publish(bars, held, root)
+    store._write(held.where(_bucket() == "1").withColumns({"revision": F.lit("00"), "generation": F.lit(generation)}).select(*store._columns(store.MANIFESTS)), f"{root}/manifests")
     ends = held.select(*store.PARTITION, "first_bar")
     broken = bars.join(ends, store.PARTITION).where(_bucket().isin("2", "3")).where((_bucket() != "2") | (F.col("time") != F.col("first_bar")))
     broken = broken.withColumn("low", F.when((_bucket() == "3") & (F.col("time") == F.col("first_bar")), F.col("high") + 1).otherwise(F.col("low"))).drop("first_bar")
-    store._write(broken.select(*store._columns(store.BARS)), f"{root}/bars")
+    store.write_generation(broken.select(*store._columns(store.BARS)), generation, root)
     return store.verify(spark, root)[1].select("symbol", "year", "month", "error")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decimals as dec
+from ..operators import inventory
+from .shared import settle
 
 # The header and comment of a raw file, the pairs in scope, and how flags may be spelt.
 HEADER = "time,bid_o,bid_h,bid_l,bid_c,ask_o,ask_h,ask_l,ask_c,volume,complete"
@@ -29,14 +32,19 @@ def utc_time(text: Column) -> Column:
     return F.when(text.rlike(TIME), plain - offset)
 
 
-def file_fields(path: Column) -> dict[str, Column]:
-    """symbol, interval, year, month from a path's last four parts, and file_error: malformed, out_of_scope, unsupported_interval or layout."""
-    parts = F.split(path, "/")
-    name = F.element_at(parts, -1)
+def file_fields(path: Column, root: str | None = None) -> dict[str, Column]:
+    """symbol, interval, year, month from a path, and file_error: malformed, out_of_scope, unsupported_interval or layout.
+
+    A file lies at SYMBOL/YYYY/MM/name, just below ``root`` (as ``qualified`` spells it): what lies deeper or elsewhere is no part of the archive. Without ``root`` the last four parts count.
+    """
+    parts = F.split(F.when(F.startswith(path, F.lit(f"{root}/")), F.substr(path, F.lit(len(root) + 2))).otherwise("") if root else path, "/")
+    name = F.element_at(F.split(path, "/"), -1)
     shape = r"^([A-Z]{6})-(\d{4})-(\d{2})-([a-z0-9]+)\.csv$"
     part = lambda i: F.regexp_extract(name, shape, i)
     interval = F.when(part(4) == "d", "d1").otherwise(part(4))
     layout = (F.try_element_at(parts, F.lit(-4)) == part(1)) & (F.try_element_at(parts, F.lit(-3)) == part(2)) & (F.try_element_at(parts, F.lit(-2)) == part(3))
+    if root:
+        layout = layout & (F.size(parts) == 4)
     error = (
         F.when(~name.rlike(shape) | ~part(3).cast("string").rlike("^(0[1-9]|1[0-2])$"), "malformed").when(~part(1).isin(*PAIRS), "out_of_scope").when(~interval.isin("m1", "h1", "h4", "d1"), "unsupported_interval")
         .when(~F.coalesce(layout, F.lit(False)), "layout")
@@ -52,12 +60,12 @@ def comment_error(comment: Column) -> Column:
     return F.when((m["schema"] == SCHEMA_TAG) & ~F.coalesce(agrees, F.lit(False)), "comment")
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """``files`` (path, content) with name fields, fingerprint, file_status (ok, malformed or skipped), file_error and lines (line_no, line).
+def parse_files(files: DataFrame, root: str | None = None) -> DataFrame:
+    """``files`` (path, content) below ``root`` with name fields, fingerprint, file_status (ok, malformed or skipped), file_error and lines (line_no, line).
 
     Fingerprint and lines come from one read of the bytes. A file is malformed where its header or comment is wrong, or some row is.
     """
-    named = files.select("path", "content").withColumns(file_fields(F.col("path")))
+    named = files.select("path", "content").withColumns(file_fields(F.col("path"), root))
     text = F.col("content").cast("string")
     numbered = F.transform(F.split(text, "\r?\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
     kept = F.filter(numbered, lambda x: ~x["line"].rlike(r"^\s*(#.*)?$"))
@@ -88,17 +96,87 @@ def row_error(line: Column) -> Column:
     )
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as Spark spells the paths below it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def _load(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(list(paths))
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """All files under ``root``: one row per file (a month is a few MB), with its lines."""
-    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(root))
+    return parse_files(_load(spark, root), qualified(spark, root))
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """All files under ``root`` without reading them: path, length, modified, name fields and file_error."""
+    files = _load(spark, root).select("path", "length", F.col("modificationTime").alias("modified"))
+    return files.withColumns(file_fields(F.col("path"), qualified(spark, root)))
 
 
-def records(files: DataFrame) -> DataFrame:
-    """Rows of ``scan``'s files in file order; raw units, null where a field is bad, with row_error."""
+#: So many files are asked for by name; of more, all those are read that were modified since the oldest of them.
+MOST_PATHS = 1000
+
+
+def read_some(spark: SparkSession, root: str, wanted: DataFrame, most: int = MOST_PATHS) -> DataFrame:
+    """``scan`` of the files ``wanted`` (path, modified) only. No other file is opened where they are few, or newer than all others."""
+    wanted = wanted.select("path", "modified")
+    few = [r.path for r in wanted.limit(most + 1).collect()]
+    if not few:
+        return scan(spark, root).where(F.lit(False))
+    if len(few) <= most:
+        return parse_files(_load(spark, *few), qualified(spark, root))
+    since = wanted.agg(F.min("modified")).first()[0]
+    some = _load(spark, root).where(F.col("modificationTime") >= F.lit(since)).join(wanted.select("path"), "path", "left_semi")
+    return parse_files(some, qualified(spark, root))
+
+
+INDEX = (
+    "path string, length bigint, modified timestamp, fingerprint string, file_status string, file_error string, row_count bigint, incomplete_rows bigint, first_time timestamp_ntz, last_time timestamp_ntz, last_complete boolean"
+)
+
+
+def known_files(spark: SparkSession, root: str, index: str, months: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files, read): what is known of the archive's files (of ``months``: symbol, interval, year, month), and the paths that had to be read for it.
+
+    The archive is listed, and the listing met with the table ``index`` of what was seen before: only files that are new, or of another length or time of modification, are read, and then added to the index. ``files`` has the name fields, path,
+    length, modified, fingerprint, file_status, file_error, and of readable ones row_count, incomplete_rows, first_time, last_time and last_complete. Files outside the layout are left out. A file that changes within the same
+    millisecond, at the same length, isn't seen.
+    """
+    name = ["symbol", "interval", "year", "month"]
+    here = listing(spark, root).where("file_error IS NULL").drop("file_error")
+    if months is not None:
+        here = here.join(months.select(*name).distinct(), name, "left_semi")
+    here = settle(here)
+    same = ["path", "length", "modified"]
+    columns = [c.split()[0] for c in INDEX.split(", ")]
+    try:
+        seen = spark.read.schema(INDEX).parquet(index)
+        fresh = settle(here.join(seen, same, "left_anti").select(*same))
+    except AnalysisException:
+        fresh = here.select(*same)
+    if not fresh.isEmpty():
+        parsed = read_some(spark, root, fresh)
+        stats = inventory.partitions(records(parsed.where("file_status = 'ok'"), checked=True), ["path"])
+        told = parsed.select("path", "fingerprint", "file_status", "file_error").join(stats, "path", "left")
+        fresh.join(told, "path").select(*columns).write.mode("append").parquet(index)
+    elif here.isEmpty():
+        return here.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in INDEX.split(", ")[3:]}), fresh.select("path")
+    # a file that two scans met at once stands twice, with the same content
+    latest = spark.read.schema(INDEX).parquet(index).dropDuplicates(same)
+    return here.join(latest, same), fresh.select("path")
+
+
+def records(files: DataFrame, checked: bool = False) -> DataFrame:
+    """Rows of ``scan``'s files in file order; raw units, null where a field is bad, with row_error. ``checked``: all files are ok, so there is no error to look for."""
     each = files.select("provider", "symbol", "interval", "year", "month", "path", F.explode("lines").alias("l"))
     f = _fields(F.col("l.line"))
     columns = {"time": utc_time(F.get(f, 0))} | {p: dec.parse(F.get(f, i + 1), signed=False) for i, p in enumerate(PRICES)}
-    columns |= {"volume": F.get(f, 9).try_cast("bigint"), "complete": F.when(F.get(f, 10).isin(*TRUE), True).when(F.get(f, 10).isin(*FALSE), False), "row_error": row_error(F.col("l.line"))}
+    columns |= {"volume": F.get(f, 9).try_cast("bigint"), "complete": F.when(F.get(f, 10).isin(*TRUE), True).when(F.get(f, 10).isin(*FALSE), False)}
+    columns |= {"row_error": F.lit(None).cast("string") if checked else row_error(F.col("l.line"))}
     return each.withColumn("line_no", F.col("l.line_no")).withColumns(columns).drop("l")
 
 

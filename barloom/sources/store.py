@@ -1,7 +1,13 @@
-"""The published store: Parquet bars and manifests by provider, interval, year, month and symbol, replaced a partition at a time."""
+"""The published store: Parquet bars and manifests by provider, interval, year, month and symbol.
+
+Each publication of a month writes its bars as a generation of their own, beside those that are there; then its manifest row, which names the generation, replaces the one before. Readers meet bars only through manifests, so they never see bars of
+one publication with the manifest of another, a month published without bars has none, and a publication that stopped before its manifests changed nothing.
+"""
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,12 +25,20 @@ BARS = "time timestamp_ntz, open bigint, high bigint, low bigint, close bigint,
 MANIFESTS = (
     "instrument_id string, span_start timestamp_ntz, span_end timestamp_ntz, basis string, schema_version int, raw_fingerprint string, builder_version string, validator_version string, resampler_version string,"
     " calendar_version string, built_at timestamp_ntz, bar_count bigint, first_bar timestamp_ntz, last_bar timestamp_ntz, parent_instrument string, parent_interval string, parent_revision string, revision string,"
-    " provider string, interval string, year int, month int, symbol string"
+    " generation string, provider string, interval string, year int, month int, symbol string"
 )
+STORED_BARS = f"{BARS}, generation string"
 
 
 def _write(df: DataFrame, path: str) -> None:
-    df.repartition(*PARTITION).write.partitionBy(*PARTITION).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    """Replace the partitions (of a generation, where there is one in bars) that ``df`` has rows of."""
+    by = [*PARTITION, "generation"] if "generation" in df.columns and "open" in df.columns else PARTITION
+    df.repartition(*by).write.partitionBy(*by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def new_generation() -> str:
+    """Generations sort by the time at which their publication began."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
 
 
 def _columns(ddl: str) -> list[str]:
@@ -53,31 +67,65 @@ def publish_errors(bars: DataFrame, held: DataFrame) -> DataFrame:
     return of_manifest.unionByName(of_bars).unionByName(between).unionByName(alone).where("error IS NOT NULL").distinct()
 
 
-def publish(bars: DataFrame, held: DataFrame, root: str) -> None:
-    """Check, then replace the partitions that ``bars`` and manifests ``held`` name. Manifests are written last: they make a month count.
+def publish(bars: DataFrame, held: DataFrame, root: str) -> str:
+    """Check, then replace the months that manifests ``held`` name by ``bars``, and return the generation. A month without bars becomes empty.
 
-    Both are settled under ``root``/staged first, so that checking and writing don't compute them again.
+    Both are settled in the shared folder first, so that checking and writing don't compute them again.
     """
-    bars = settle(bars.select(*_columns(BARS)), f"{root}/staged")
-    held = settle(held.select(*_columns(MANIFESTS)), f"{root}/staged")
+    generation = new_generation()
+    bars, held = settle(bars.select(*_columns(BARS))), settle(held.select(*[c for c in _columns(MANIFESTS) if c != "generation"]))
     errors = publish_errors(bars, held).limit(20).collect()
     if errors:
         raise ValueError(f"not published: {errors}")
-    _write(bars, f"{root}/bars")
-    _write(held, f"{root}/manifests")
+    write_generation(bars, generation, root)
+    _write(held.withColumn("generation", F.lit(generation)), f"{root}/manifests")
+    return generation
+
 
+def write_generation(bars: DataFrame, generation: str, root: str) -> None:
+    """The first step of a publication, which no reader sees."""
+    _write(bars.withColumn("generation", F.lit(generation)), f"{root}/bars")
 
-def load(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    return read(spark, f"{root}/bars", BARS), read(spark, f"{root}/manifests", MANIFESTS)
 
+def load(spark: SparkSession, root: str, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(bars, manifests) as published: of each month the generation that its manifest names. ``only``: the months to read (PARTITION); others are pruned."""
+    held = read(spark, f"{root}/manifests", MANIFESTS)
+    if only is not None:
+        held = held.join(only.select(*PARTITION).distinct(), PARTITION, "left_semi")
+    bars = read(spark, f"{root}/bars", STORED_BARS).join(held.select(*PARTITION, "generation"), [*PARTITION, "generation"], "left_semi").drop("generation")
+    return bars, held
 
-def verify(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(manifests, errors): each stored month that ``publish_errors`` finds fault with, or whose revision isn't that of its fields (revision)."""
-    bars, held = load(spark, root)
+
+def verify(spark: SparkSession, root: str, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(manifests, errors): each stored month (of ``only``) that ``publish_errors`` finds fault with, or whose revision isn't that of its fields (revision)."""
+    bars, held = load(spark, root, only)
     wrong = held.where(~F.col("revision").eqNullSafe(manifests.revision())).select(*PARTITION, F.lit("revision").alias("error"))
     return held, publish_errors(bars, held).unionByName(wrong)
 
 
+def superseded(spark: SparkSession, root: str, before: str) -> DataFrame:
+    """Files of bars (path) whose generation began before ``before`` and is named by no manifest: older publications and those that stopped. Files are listed, not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{root}/bars").select("path")
+    parts = {c: F.regexp_extract("path", rf"/{c}=([^/]*)/", 1) for c in [*PARTITION, "generation"]}
+    kinds = {c: v.cast("int") if c in ("year", "month") else v for c, v in parts.items()}
+    named = read(spark, f"{root}/manifests", MANIFESTS).select(*PARTITION, "generation")
+    return found.withColumns(kinds).where(F.col("generation") < before).join(named, [*PARTITION, "generation"], "left_anti").select("path")
+
+
+def vacuum(spark: SparkSession, root: str, before: str) -> int:
+    """Delete what is superseded, in the tasks; the number of files. Leave out publications that may still be at work: ``before`` is a generation, or a time as one begins with."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path in pdf["path"]:
+                system, own = fs.FileSystem.from_uri(path if "://" in path else path.replace(":/", ":///", 1) if ":/" in path else f"file://{path}")
+                if system.get_file_info(own).type == fs.FileType.File:
+                    system.delete_file(own)
+            yield pdf[["path"]]
+
+    return settle(superseded(spark, root, before).mapInPandas(run, "path string")).count()
+
+
 def write_raw(records: DataFrame, root: str, must_not_exist: bool = False) -> None:
     """Write records (provider, interval, year, month, symbol, time, ...) by partition, each in order of time."""
     if must_not_exist:

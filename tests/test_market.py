@@ -1,6 +1,7 @@
 """Hand-typed cases: calendar, decimals, bars, records, archives, store, planning, orders, streams."""
 
 import datetime as dt
+import hashlib
 import json
 import random
 import tempfile
@@ -219,14 +220,21 @@ def test_update_builds_derives_and_leaves_nothing(spark):
     daily = [line(f"{d}T22:00:00Z", o=1.1 + i / 1000) for i, d in enumerate(days)]
     bad = [line("2024-01-08T00:00:00Z"), line("2024-01-08T00:00:00Z")]
     archive(tmp, {"EURUSD-2024-01-d1.csv": [raw.HEADER, *daily], "EURUSD-2024-01-h1.csv": [*HEAD, *[line(t) for t in hours("2024-01-08 00:00:00", 5)]], "EURGBP-2024-01-h1.csv": [raw.HEADER, *bad]})
-    rows = [("oanda", s, i, at("2024-01-08"), at("2024-01-12")) for s, i in (("EURUSD", "d1"), ("EURUSD", "h1"), ("EURGBP", "h1"), ("GBPUSD", "h1"))]
+    rows = [("oanda", s, i, at("2024-01-07"), at("2024-01-12 22:00:00")) for s, i in (("EURUSD", "d1"), ("EURUSD", "w1"), ("EURUSD", "h1"), ("EURGBP", "h1"), ("GBPUSD", "h1"))]
     requests = spark.createDataFrame(rows, "provider string, symbol string, interval string, from_ts timestamp_ntz, to_ts timestamp_ntz")
     now = F.lit("2024-03-01").cast("timestamp_ntz")
     done = update.run(spark, tmp, out, requests, now)
     found = {(r.symbol, r.interval, r.kind, r.reason) for r in done.actions.collect()}
     assert ("EURUSD", "d1", "normalize_canonical", "missing") in found and ("GBPUSD", "h1", "download_raw", "missing") in found
     assert [(r.symbol, r.offenders) for r in done.blocked.collect()] == [("EURGBP", "3:duplicate")]
-    assert {r.symbol for r in done.left.collect()} == {"EURGBP"}
+    assert {(r.symbol, r.interval, r.kind, r.reason, r.runnable) for r in done.left.collect()} == {
+        ("EURGBP", "h1", "normalize_canonical", "missing", True), ("EURGBP", "h1", "download_raw", "extend", False), ("EURUSD", "h1", "download_raw", "extend", False),
+        ("EURUSD", "h1", "normalize_canonical", "extend: rebuild once raw catches up", False), ("GBPUSD", "h1", "download_raw", "missing", False),
+    }
+    assert {(r.symbol, r.interval, r.kind, r.round) for r in done.executed.collect()} == {
+        ("EURUSD", "d1", "normalize_canonical", 1), ("EURUSD", "h1", "normalize_canonical", 1), ("EURGBP", "h1", "normalize_canonical", 1), ("EURUSD", "w1", "derive_canonical", 2),
+    }
+    assert done.read.count() == 3
     bars, held = store.load(spark, out)
     assert {(r.interval, r["count"]) for r in bars.groupBy("interval").count().collect()} == {("d1", 5), ("h1", 5), ("w1", 1)}
     week = bars.where("interval = 'w1'").first()
@@ -235,6 +243,66 @@ def test_update_builds_derives_and_leaves_nothing(spark):
     assert held.where("interval = 'w1'").first().parent_interval == "d1"
     with pytest.raises(ValueError):
         store.publish(bars.withColumn("high", F.col("low") - 1), held, out)
+    # again: nothing is read, nothing is run
+    done = update.run(spark, tmp, out, requests, now)
+    assert done.read.count() == 0 and {r.symbol for r in done.executed.collect()} == {"EURGBP"}
+    # a Wednesday goes: its month is built again and, since no week is whole, the weekly month is empty, under the new revision
+    archive(tmp, {"EURUSD-2024-01-d1.csv": [raw.HEADER, *daily[:2], *daily[3:]]})
+    done = update.run(spark, tmp, out, requests, now)
+    assert [r.path.rpartition("/")[2] for r in done.read.collect()] == ["EURUSD-2024-01-d1.csv"]
+    assert {(r.interval, r.reason) for r in done.executed.where("symbol = 'EURUSD'").collect()} == {("d1", "stale: raw fingerprint changed")}
+    update.derive_weeks(spark, out, now, archive=tmp)
+    bars, held = store.load(spark, out)
+    assert bars.where("interval = 'w1'").count() == 0 and store.verify(spark, out)[1].count() == 0
+    week, day = (held.where(f"interval = '{i}'").first() for i in ("w1", "d1"))
+    assert (week.bar_count, week.parent_revision, week.raw_fingerprint) == (0, day.revision, day.raw_fingerprint)
+
+
+def test_publications_are_generations(spark):
+    out = tempfile.mkdtemp(prefix="barloom-canon-")
+    start = at("2024-01-08")
+    bars = spark.createDataFrame([("oanda", "EURUSD", "h1", 2024, 1, start + dt.timedelta(hours=i), 5, 7, 3, 6, 1, 1, 1) for i in range(3)], "provider string, symbol string, interval string, year int, month int, time timestamp_ntz, open long, high long, low long, close long, avg_spread long, max_spread long, ticks long")
+    prints = spark.createDataFrame([("oanda", "EURUSD", "h1", 2024, 1, "sha256:01")], "provider string, symbol string, interval string, year int, month int, raw_fingerprint string")
+    now = F.lit("2024-03-01").cast("timestamp_ntz")
+    first = store.publish(bars, update.with_manifest(bars, prints, now), out)
+    # a publication that stopped before its manifest changes nothing
+    stopped = store.new_generation()
+    store.write_generation(bars.limit(1), stopped, out)
+    loaded, held = store.load(spark, out)
+    assert loaded.count() == 3 and held.first().generation == first and store.verify(spark, out)[1].count() == 0
+    # a month republished without bars is empty
+    none = bars.limit(0)
+    last = store.publish(none, update.with_manifest(none, prints, now), out)
+    loaded, held = store.load(spark, out)
+    assert loaded.count() == 0 and held.count() == 1 and held.first().bar_count == 0 and store.verify(spark, out)[1].count() == 0
+    assert first < stopped < last
+    assert store.superseded(spark, out, stopped).count() == 1
+    assert store.vacuum(spark, out, last) == 2 and store.superseded(spark, out, store.new_generation()).count() == 0
+    again = store.publish(bars, update.with_manifest(bars, prints, now), out)
+    assert store.vacuum(spark, out, store.new_generation()) == 0 and store.load(spark, out)[0].count() == 3 and again > last
+
+
+def test_only_changed_files_are_read(spark):
+    tmp, index = tempfile.mkdtemp(prefix="barloom-arch-"), tempfile.mkdtemp(prefix="barloom-index-") + "/i"
+    good = [line(t) for t in hours("2024-01-08 00:00:00", 3)]
+    archive(tmp, {f"EURUSD-2024-0{m}-h1.csv": [raw.HEADER, *[g.replace("2024-01", f"2024-0{m}") for g in good]] for m in (1, 2, 3)} | {"EURUSD-2024-04-h1.csv": [raw.HEADER, "x"], "XAUUSD-2024-01-h1.csv": [raw.HEADER]})
+    archive(tmp + "/deep/er", {"EURUSD-2024-01-h1.csv": [raw.HEADER, *good]})
+    assert {(r.path.removeprefix(f"file:{tmp}/"), r.file_error) for r in raw.scan(spark, tmp).where("file_status = 'skipped'").collect()} == {("deep/er/EURUSD/2024/01/EURUSD-2024-01-h1.csv", "layout"), ("XAUUSD/2024/01/XAUUSD-2024-01-h1.csv", "out_of_scope")}
+    names = lambda read: sorted(r.path.rpartition("/")[2][7:14] for r in read.collect())
+    months = spark.createDataFrame([("EURUSD", "h1", 2024, 1), ("EURUSD", "h1", 2024, 4)], "symbol string, interval string, year int, month int")
+    files, read = raw.known_files(spark, tmp, index, months)
+    assert names(read) == ["2024-01", "2024-04"]
+    assert {(r.month, r.file_status, r.row_count, r.last_complete) for r in files.collect()} == {(1, "ok", 3, True), (4, "malformed", None, None)}
+    files, read = raw.known_files(spark, tmp, index)
+    assert names(read) == ["2024-02", "2024-03"] and files.count() == 4
+    archive(tmp, {"EURUSD-2024-02-h1.csv": [raw.HEADER, *[g.replace("2024-01", "2024-02") for g in good[:2]]]})
+    files, read = raw.known_files(spark, tmp, index)
+    assert names(read) == ["2024-02"] and {(r.month, r.row_count) for r in files.collect()} == {(1, 3), (2, 2), (3, 3), (4, None)}
+    assert names(raw.known_files(spark, tmp, index)[1]) == []
+    # more files than are asked for by name give the same
+    listed = raw.listing(spark, tmp).where("file_error IS NULL")
+    some = raw.read_some(spark, tmp, listed.where("month = 2"), most=0)
+    assert [(r.month, len(r.lines)) for r in some.collect()] == [(2, 2)]
 
 
 def test_provider_json(spark):
@@ -353,11 +421,30 @@ def test_cycles_have_no_depth(spark):
     assert {(r.event_id, r.depth) for r in audit.depths(df.where("event_id IN ('a', 'b')"), rounds=4).collect()} == {("a", 0), ("b", 1)}
 
 
-def test_manifest_revision_ignores_build_time(spark):
-    fields = {f: "1" for f in manifests.REVISION_FIELDS}
-    df = spark.createDataFrame([(*fields.values(), "x"), (*fields.values(), "y")], [*fields, "built_at"])
-    a, b = [r[0] for r in df.select(manifests.revision()).collect()]
-    assert a == b and a.startswith("sha256:")
+REVISED = (
+    "provider string, instrument_id string, interval string, span_start timestamp_ntz, span_end timestamp_ntz, basis string, schema_version int, raw_fingerprint string, builder_version string, validator_version string, resampler_version string,"
+    " calendar_version string, bar_count long, first_bar timestamp_ntz, last_bar timestamp_ntz, parent_instrument string, parent_interval string, parent_revision string, built_at string"
+)
+
+
+def test_revisions_are_of_canonical_json(spark):
+    """Hashes of JSON written by hand, field by field; what was joined by bars before is told apart."""
+    jan, feb = at("2024-01-01"), at("2024-02-01")
+    plain = ("oanda", "fx:EUR/USD", "h1", jan, feb, "bid", 1, "sha256:ab", "1", "1", "none", "1", 2, at("2024-01-08"), at("2024-01-08 01:00:00"), None, None, None)
+    odd = ('a<b>&"c"\\d\n\x1f\x0b\u2028é', "fx:EUR/USD", "w1", jan, feb, "ask", 1, "sha256:ab", "1|1", "", "2", "1", 0, None, None, "fx:EUR/USD", "d1", "cd")
+    rows = [(*plain, "x"), (*plain, "y"), (*odd, "x"), (*odd[:8], "1", "1|", *odd[10:], "x")]
+    got = [r[0] for r in spark.createDataFrame(rows, REVISED).select(manifests.revision()).collect()]
+    by_hand = (
+        '{"version":"manifest-revision-v1","provider":"oanda","instrument":"fx:EUR/USD","interval_unit":1,"interval_count":1,"span_start":1704067200000000000,"span_end":1706745600000000000,"basis":1,"schema_version":1,"raw_fingerprint":"sha256:ab",'
+        '"builder_version":"1","validator_version":"1","resampler_version":"none","calendar_version":"1","bar_count":2,"first_bar":1704672000000000000,"last_bar":1704675600000000000,"parent":null}'
+    )
+    odd_by_hand = (
+        r'{"version":"manifest-revision-v1","provider":"a\u003cb\u003e\u0026\"c\"\\d\n\u001f\u000b\u2028é","instrument":"fx:EUR/USD","interval_unit":3,"interval_count":1,"span_start":1704067200000000000,"span_end":1706745600000000000,"basis":3,'
+        r'"schema_version":1,"raw_fingerprint":"sha256:ab","builder_version":"1|1","validator_version":"","resampler_version":"2","calendar_version":"1","bar_count":0,"first_bar":-6795364578871345152,"last_bar":-6795364578871345152,'
+        r'"parent":{"instrument":"fx:EUR/USD","interval_unit":2,"interval_count":1,"revision":"cd"}}'
+    )
+    assert got[0] == got[1] == hashlib.sha256(by_hand.encode()).hexdigest()
+    assert got[2] == hashlib.sha256(odd_by_hand.encode()).hexdigest() and got[3] != got[2]
 
 
 def drained(stream, name, mode="append"):
