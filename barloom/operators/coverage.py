@@ -20,31 +20,43 @@ def month_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     return clipped.where(F.col("start_ts") < F.col("end_ts"))
 
 
-def interval_states(months: DataFrame, bars: DataFrame, keys: list[str], interval: str, now: Column, holidays: DataFrame | None = None) -> DataFrame:
-    """State of every expected bar of ``months`` (keys, year, month, start_ts, end_ts) against stored ``bars`` (keys, time, and complete if there is such a column).
-
-    In this order: straddle (the calendar changes within the bar), closed or unexpected, in progress at ``now``, missing, incomplete, present.
-    """
+def expected_bars(months: DataFrame, keys: list[str], interval: str, holidays: DataFrame | None = None) -> DataFrame:
+    """Every bar that starts in ``months`` (keys, year, month, start_ts, end_ts): keys, year, month, bar_start, bar_end, open (the market is at its start), split (that changes within the bar). Without keys it is the calendar itself, for many keys to share."""
     unit, count = cal.INTERVALS[interval]
     expected = cal.spine(months, [*keys, "year", "month"], unit, count).withColumn("_last", F.col("bar_end") - F.expr("INTERVAL '0.000001' SECOND"))
     expected = cal.with_session(cal.with_session(expected, "bar_start", holidays, "s_"), "_last", holidays, "e_")
+    split = (F.col("s_status") != F.col("e_status")) | ((F.col("s_status") == cal.OPEN) & ((F.col("s_session_start") > F.col("bar_start")) | (F.col("s_session_end") < F.col("bar_end"))))
+    return expected.select(*keys, "year", "month", "bar_start", "bar_end", (F.col("s_status") == cal.OPEN).alias("open"), split.alias("split"))
+
+
+def clipped(months: DataFrame, keys: list[str], calendar: DataFrame) -> DataFrame:
+    """``months`` (keys, year, month, start_ts, end_ts) with the bars of a shared ``calendar`` (year, month, bar_start, ...) that start within each."""
+    own = months.select(*keys, "year", "month", "start_ts", "end_ts").join(calendar, ["year", "month"])
+    return own.where((F.col("bar_start") >= F.col("start_ts")) & (F.col("bar_start") < F.col("end_ts"))).drop("start_ts", "end_ts")
+
+
+def interval_states(months: DataFrame, bars: DataFrame, keys: list[str], interval: str, now: Column, holidays: DataFrame | None = None, calendar: DataFrame | None = None) -> DataFrame:
+    """State of every expected bar of ``months`` (keys, year, month, start_ts, end_ts) against stored ``bars`` (keys, time, and complete if there is such a column).
+
+    In this order: straddle (the calendar changes within the bar), closed or unexpected, in progress at ``now``, missing, incomplete, present. ``calendar``: ``expected_bars`` of all these months, without keys, if they are there already.
+    """
+    expected = expected_bars(months, keys, interval, holidays) if calendar is None else clipped(months, keys, calendar)
     complete = F.col("complete") if "complete" in bars.columns else F.lit(True)
     stored = bars.select(*keys, F.col("time").alias("bar_start"), F.struct(complete.alias("complete")).alias("_bar"))
-    split = (F.col("s_status") != F.col("e_status")) | ((F.col("s_status") == cal.OPEN) & ((F.col("s_session_start") > F.col("bar_start")) | (F.col("s_session_end") < F.col("bar_end"))))
     here = F.col("_bar").isNotNull()
     state = (
-        F.when(split, STRADDLE).when((F.col("s_status") != cal.OPEN) & here, UNEXPECTED).when(F.col("s_status") != cal.OPEN, CLOSED).when(F.col("bar_end") > now, IN_PROGRESS)
+        F.when(F.col("split"), STRADDLE).when(~F.col("open") & here, UNEXPECTED).when(~F.col("open"), CLOSED).when(F.col("bar_end") > now, IN_PROGRESS)
         .when(~here, MISSING).when(~F.col("_bar.complete"), INCOMPLETE).otherwise(PRESENT)
     )
     return expected.join(stored, [*keys, "bar_start"], "left").select(*keys, "year", "month", "bar_start", "bar_end", state.alias("state"))
 
 
-def week_states(months: DataFrame, bars: DataFrame, keys: list[str], now: Column) -> DataFrame:
+def week_states(months: DataFrame, bars: DataFrame, keys: list[str], now: Column, calendar: DataFrame | None = None) -> DataFrame:
     """State of every week that starts in ``months`` (keys, year, month, start_ts, end_ts) against stored weekly ``bars`` (keys, time): in progress at ``now``, present or missing.
 
-    A week always holds a weekend, so what the calendar says within it doesn't count.
+    A week always holds a weekend, so what the calendar says within it doesn't count. ``calendar``: weeks (year, month, bar_start, bar_end) of all these months, if they are there already.
     """
-    expected = cal.spine(months, [*keys, "year", "month"], "week")
+    expected = cal.spine(months, [*keys, "year", "month"], "week") if calendar is None else clipped(months, keys, calendar)
     stored = bars.select(*keys, F.col("time").alias("bar_start"), F.lit(True).alias("_here")).distinct()
     state = F.when(~cal.elapsed(F.col("bar_end"), now), IN_PROGRESS).when(F.col("_here"), PRESENT).otherwise(MISSING)
     return expected.join(stored, [*keys, "bar_start"], "left").select(*keys, "year", "month", "bar_start", "bar_end", state.alias("state"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import settle
+
 RESOLVED, UNKNOWN, AMBIGUOUS = "resolved", "unknown", "ambiguous"
 NEVER_TRADABLE = ("cont", "idx")
 
@@ -28,34 +33,68 @@ def _normal(c: Column) -> Column:
     return F.upper(F.trim(c))
 
 
-def names(listings: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Every name of each listing: its own and its aliases', with provider, venue and symbol in normal form."""
-    own = listings.select("instrument_id", _normal(F.col("provider")).alias("provider"), _normal(F.coalesce("venue", F.lit(""))).alias("venue"), _normal(F.col("symbol")).alias("symbol"))
-    to = [_normal(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("provider", "venue", "symbol")]
-    alias = aliases.select(*[_normal(F.coalesce(F.col(f"alias_{c}"), F.lit(""))).alias(f"alias_{c}") for c in ("provider", "venue", "symbol")], *to)
-    other = alias.join(own, ["provider", "venue", "symbol"]).select("instrument_id", F.col("alias_provider").alias("provider"), F.col("alias_venue").alias("venue"), F.col("alias_symbol").alias("symbol"))
-    return own.unionByName(other).distinct()
+def _named(df: DataFrame, prefix: str, out: str) -> list[Column]:
+    return [_normal(F.coalesce(F.col(f"{prefix}{c}"), F.lit(""))).alias(f"{out}{c[0]}") for c in ("provider", "venue", "symbol")]
+
+
+def register(listings: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(names, errors) after ``aliases`` (seq; alias_provider, alias_venue, alias_symbol; provider, venue or empty, symbol) were registered one after the other by seq.
+
+    An alias finds its listing among the names there are when its turn comes, aliases accepted before it included; it is then a name of that listing, at the listing's own venue. names: instrument_id, p, v, s in normal form, and seq (null for
+    listings themselves). errors: seq and why an alias was refused: invalid (no provider or symbol), unresolved, ambiguous, or duplicate (its name is taken at its venue). Refused ones take no part.
+
+    Each round decides, symbol by symbol and in order, all aliases for which every earlier claim to the name they refer to is decided: as many rounds as chains of aliases are long, each settled.
+    """
+    names = listings.select("instrument_id", *_named(listings, "", ""), F.lit(None).cast("long").alias("seq")).distinct()
+    undecided = settle(aliases.select(F.col("seq").cast("long").alias("seq"), *_named(aliases, "alias_", "a"), *_named(aliases, "", "r")))
+    names, errors = settle(names), undecided.select("seq", F.lit("").alias("error")).where(F.lit(False))
+    outcome = "seq long, ap string, as string, error string, instrument_id string, v string"
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, stopped = None, set(), False
+        for pdf in batches:
+            out = []
+            for seq, p, s, v, able, n, taken, instrument, venue, valid in zip(*(pdf[c].tolist() for c in ("seq", "ap", "as", "av", "able", "n", "taken", "instrument_id", "v", "valid")), strict=True):
+                if (p, s) != key:
+                    key, held, stopped = (p, s), set(), False
+                stopped = stopped or not able
+                if stopped:
+                    continue
+                error = "invalid" if not valid else "unresolved" if not n else AMBIGUOUS if n > 1 else "duplicate" if taken or v in held else ""
+                if not error:
+                    held.add(venue)
+                out.append((seq, p, s, error, None if error else instrument, None if error else venue))
+            yield pd.DataFrame(out, columns=["seq", "ap", "as", "error", "instrument_id", "v"])
+
+    while not undecided.isEmpty():
+        waits = undecided.groupBy(F.col("ap").alias("rp"), F.col("as").alias("rs")).agg(F.min("seq").alias("_open"))
+        able = undecided.join(waits, ["rp", "rs"], "left").withColumn("able", F.col("_open").isNull() | (F.col("seq") <= F.col("_open"))).drop("_open")
+        known = names.select(F.col("instrument_id").alias("_i"), F.col("p").alias("_p"), F.col("v").alias("_v"), F.col("s").alias("_s"), F.coalesce("seq", F.lit(-(1 << 62))).alias("_seq"))
+        sought = (F.col("rp") == F.col("_p")) & (F.col("rs") == F.col("_s")) & ((F.col("rv") == "") | (F.col("rv") == F.col("_v"))) & (F.col("_seq") < F.col("seq"))
+        found = undecided.join(known, sought).groupBy("seq").agg(F.count("*").alias("n"), F.min(F.struct("_i", "_v")).alias("_t"))
+        claimed = (F.col("ap") == F.col("_p")) & (F.col("as") == F.col("_s")) & (F.col("av") == F.col("_v")) & (F.col("_seq") < F.col("seq"))
+        taken = undecided.join(known, claimed, "left_semi").select("seq", F.lit(True).alias("taken"))
+        rows = able.join(found, "seq", "left").join(taken, "seq", "left")
+        valid = (F.col("rp") != "") & (F.col("rs") != "")
+        rows = rows.select("seq", "ap", "as", "av", "able", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("taken", F.lit(False)).alias("taken"), F.col("_t._i").alias("instrument_id"), F.col("_t._v").alias("v"), valid.alias("valid"))
+        decided = settle(rows.repartition("ap", "as").sortWithinPartitions("ap", "as", "seq").mapInPandas(decide, outcome))
+        new = decided.where("error = ''").select("instrument_id", F.col("ap").alias("p"), "v", F.col("as").alias("s"), "seq")
+        names, errors = names.unionByName(new), errors.unionByName(decided.where("error <> ''").select("seq", "error"))
+        undecided = settle(undecided.join(decided.select("seq"), "seq", "left_anti"))
+    return names, errors
 
 
 def alias_errors(listings: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Aliases that can't be registered: unresolved (no such listing), ambiguous, duplicate (of a listing's name or an earlier alias, by ``seq``)."""
-    key = ["provider", "venue", "symbol"]
-    own = listings.select(*[_normal(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in key], "instrument_id")
-    count = own.groupBy(*key).agg(F.count_distinct("instrument_id").alias("_n"))
-    taken = own.select(*[F.col(c).alias(f"alias_{c}") for c in key]).distinct().withColumn("_taken", F.lit(True))
-    normal = aliases.select("seq", *[_normal(F.coalesce(F.col(c), F.lit(""))).alias(c) for a in key for c in (a, f"alias_{a}")])
-    first = normal.groupBy(*[f"alias_{c}" for c in key]).agg(F.min("seq").alias("_first"))
-    joined = normal.join(count, key, "left").join(taken, [f"alias_{c}" for c in key], "left").join(first, [f"alias_{c}" for c in key])
-    error = F.when(F.col("_n").isNull(), "unresolved").when(F.col("_n") > 1, AMBIGUOUS).when(F.col("_taken") | (F.col("seq") > F.col("_first")), "duplicate")
-    return joined.select("seq", error.alias("error")).where("error IS NOT NULL")
+    """Aliases that can't be registered, and why (see ``register``)."""
+    return register(listings, aliases)[1]
 
 
 def resolve_symbols(requests: DataFrame, listings: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Each request (request_id, provider, venue or null, symbol) to exactly one instrument, or unknown or ambiguous. Reference data is left to the planner to broadcast by its size."""
-    known = names(listings, aliases).select(F.col("instrument_id").alias("_i"), F.col("provider").alias("_p"), F.col("venue").alias("_v"), F.col("symbol").alias("_s"))
+    """Each request (request_id, provider, venue or null, symbol) to exactly one instrument, or unknown or ambiguous. Only accepted aliases are names. Reference data is left to the planner to broadcast by its size."""
+    known = register(listings, aliases)[0].select(F.col("instrument_id").alias("_i"), F.col("p").alias("_p"), F.col("v").alias("_v"), F.col("s").alias("_s"))
     same = (_normal(F.col("provider")) == F.col("_p")) & (_normal(F.col("symbol")) == F.col("_s")) & (F.col("venue").isNull() | (_normal(F.col("venue")) == F.col("_v")))
-    found = requests.join(known, same, "left").groupBy("request_id").agg(F.count_distinct(F.struct("_i", "_v")).alias("_all"), F.count("_i").alias("_n"), F.min("_i").alias("_one"))
-    status = F.when(F.col("_n") == 0, UNKNOWN).when(F.col("_all") > 1, AMBIGUOUS).otherwise(RESOLVED)
+    found = requests.join(known, same, "left").groupBy("request_id").agg(F.count("_i").alias("_n"), F.min("_i").alias("_one"))
+    status = F.when(F.col("_n") == 0, UNKNOWN).when(F.col("_n") > 1, AMBIGUOUS).otherwise(RESOLVED)
     return found.select("request_id", status.alias("status"), F.when(status == RESOLVED, F.col("_one")).alias("instrument_id"))
 
 

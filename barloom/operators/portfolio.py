@@ -72,10 +72,14 @@ def exposure_totals(positions: DataFrame) -> DataFrame:
     return positions.groupBy("instrument_id", "side").agg(F.count("*").alias("contributors"), dec.in_range(F.sum(dec.wide("quantity"))).alias("quantity"))
 
 
+# The amounts that every snapshot has.
+MONEYS = ("equity", "buying_power", "margin_used", "margin_available", "realized_pnl", "unrealized_pnl", "fees", "financing")
+
+
 def snapshot_errors(snapshots: DataFrame, balances: DataFrame, positions: DataFrame, orders: DataFrame) -> DataFrame:
     """Rules that account snapshots break: account_id, rule, n.
 
-    ``snapshots`` (account_id, broker, currency, as_of, moneys: array of (name, amount, currency)); ``balances`` (account_id, currency, amount);
+    ``snapshots`` (account_id, broker, currency, as_of, moneys: array of (name, amount, currency), which must hold every one of ``MONEYS``); ``balances`` (account_id, currency, amount);
     ``positions`` and ``orders`` (account_id: of the snapshot; owner: their own account; provider, listing; orders also order_id, status).
     """
     plain = snapshots.select(
@@ -89,7 +93,10 @@ def snapshot_errors(snapshots: DataFrame, balances: DataFrame, positions: DataFr
             )
         ).alias("rule"),
     )
-    money = snapshots.select("account_id", "currency", F.explode("moneys").alias("m")).where(F.col("m.amount").isNull() | ~F.col("m.currency").eqNullSafe(F.col("currency"))).select("account_id", F.concat(F.lit("money_"), "m.name").alias("rule"))
+    given = snapshots.select("account_id", "currency", F.explode("moneys").alias("m")).where(F.col("m.amount").isNull() | ~F.col("m.currency").eqNullSafe(F.col("currency"))).select("account_id", F.col("m.name").alias("_m"))
+    named = F.coalesce(F.transform("moneys", lambda m: m["name"]), F.array().cast("array<string>"))
+    absent = snapshots.select("account_id", F.explode(F.array_except(F.array(*map(F.lit, MONEYS)), named)).alias("_m"))
+    money = given.unionByName(absent).select("account_id", F.concat(F.lit("money_"), "_m").alias("rule"))
     cash = balances.groupBy("account_id", "currency").count().where("count > 1").select("account_id", F.lit("cash_duplicate").alias("rule"))
     broker = snapshots.select("account_id", F.lower("broker").alias("_b"))
 

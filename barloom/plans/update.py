@@ -62,7 +62,8 @@ def normalise_archive(spark: SparkSession, archive: str, canonical: str, now: Co
     files = files.where("file_status = 'ok'")
     bars, gates, _ = ops.normalise(raw.records(files, checked=True), month)
     gates = settle(gates)
-    good = files.join(gates.where("blocked"), month, "left_anti").select(*month, F.col("fingerprint").alias("raw_fingerprint"))
+    bars = settle(bars)
+    good = settle(files.join(gates.where("blocked"), month, "left_anti").select(*month, F.col("fingerprint").alias("raw_fingerprint")))
     store.publish(bars, with_manifest(bars, good, now), canonical)
     return gates.where("blocked")
 
@@ -79,49 +80,104 @@ def _day_months(months: DataFrame) -> DataFrame:
     return own.unionByName(_next_month(own)).distinct()
 
 
-def _weeks(months: DataFrame) -> DataFrame:
+@dataclass
+class Calendar:
+    """What the calendar expects in the months that are looked at, worked out once and shared by all pairs: days (year, month, bar_start, bar_end, open, split) and weeks (year, month, bar_start, bar_end)."""
+
+    days: DataFrame
+    weeks: DataFrame
+
+    @staticmethod
+    def of(months: DataFrame) -> Calendar:
+        """The calendar of ``months`` (year, month) and the ones after them, settled."""
+        own = months.select(*MONTH).distinct()
+        start = F.make_date("year", "month", F.lit(1))
+        spans = own.unionByName(_next_month(own)).distinct().select(*MONTH, start.cast("timestamp_ntz").alias("start_ts"), F.add_months(start, 1).cast("timestamp_ntz").alias("end_ts"))
+        spans = settle(spans)
+        return Calendar(settle(cov.expected_bars(spans, [], DAILY)), settle(cal.spine(spans, MONTH, "week")))
+
+
+def _weeks(months: DataFrame, calendar: Calendar) -> DataFrame:
     """Weeks that start in ``months`` (pair, year, month): pair, bar_start, bar_end."""
-    start = F.make_date("year", "month", F.lit(1))
-    spans = months.select(*PAIR, start.cast("timestamp_ntz").alias("start_ts"), F.add_months(start, 1).cast("timestamp_ntz").alias("end_ts"))
-    return cal.spine(spans, PAIR, "week")
+    return months.select(*PAIR, *MONTH).join(calendar.weeks, MONTH).select(*PAIR, "bar_start", "bar_end")
 
 
-def _day_gaps(spans: DataFrame, daily: DataFrame, status: DataFrame, now: Column) -> DataFrame:
+def _day_gaps(spans: DataFrame, daily: DataFrame, status: DataFrame, now: Column, calendar: Calendar) -> DataFrame:
     """Gaps of days within ``spans`` (pair, start_ts, end_ts), in months whose daily ``status`` is current: only these have a spine."""
     months = cov.month_spans(spans, PAIR).join(status.where(F.col("status") == cov.CURRENT).select(*PAIR, *MONTH), [*PAIR, *MONTH], "left_semi")
-    return cov.gaps(cov.interval_states(months, daily.select(*PAIR, "time"), PAIR, DAILY, now), [*PAIR, *MONTH])
+    return settle(cov.gaps(cov.interval_states(months, daily.select(*PAIR, "time"), PAIR, DAILY, now, calendar=calendar.days), [*PAIR, *MONTH]))
+
+
+def _gaps_of_weeks(weeks: DataFrame, daily: DataFrame, status: DataFrame, now: Column, calendar: Calendar) -> DataFrame:
+    return _day_gaps(weeks.groupBy(*PAIR).agg(F.min("bar_start").alias("start_ts"), F.max("bar_end").alias("end_ts")), daily, status, now, calendar)
+
+
+@dataclass
+class Snapshot:
+    """What there is of some months, looked at once: held (manifests), errors (partition keys, error), known (of raw files; fingerprint, status, counts) and read (paths of raw files that had to be read), all settled."""
+
+    held: DataFrame
+    errors: DataFrame
+    known: DataFrame
+    read: DataFrame
+
+    @staticmethod
+    def of(spark: SparkSession, archive: str | None, canonical: str, months: DataFrame) -> Snapshot:
+        """Of ``months`` (keys, year, month). Without an archive nothing is known of raw files."""
+        months = settle(months.select(*KEYS, *MONTH).distinct())
+        held, errors = store.verify(spark, canonical, months)
+        if archive:
+            files, read = raw.known_files(spark, archive, f"{canonical}/inventory", months)
+            files = files.withColumn("status", F.col("file_status"))
+        else:
+            files = spark.createDataFrame([], "provider string, symbol string, interval string, year int, month int, path string, modified timestamp, fingerprint string, status string, row_count bigint, incomplete_rows bigint, last_time timestamp_ntz, last_complete boolean")
+            read = files.select("path")
+        return Snapshot(settle(held), settle(errors), settle(files), settle(read))
+
+    def daily(self, months: DataFrame) -> DataFrame:
+        """Status of the daily ``months`` (pair, year, month): missing, invalid, stale against the archive, or current."""
+        only = months.withColumn("interval", F.lit(DAILY))
+        return settle(cov.partition_status(only, self.held, self.known, self.errors, KEYS).select(*PAIR, *MONTH, "status"))
+
+    def parents(self) -> DataFrame:
+        """Daily manifests that can be trusted."""
+        return self.held.where(F.col("interval") == DAILY).join(self.errors, store.PARTITION, "left_anti").select(*PAIR, *MONTH, "revision", "raw_fingerprint")
 
 
-def _gaps_of_weeks(weeks: DataFrame, daily: DataFrame, status: DataFrame, now: Column) -> DataFrame:
-    return _day_gaps(weeks.groupBy(*PAIR).agg(F.min("bar_start").alias("start_ts"), F.max("bar_end").alias("end_ts")), daily, status, now)
+def _bars(spark: SparkSession, canonical: str, months: DataFrame, interval: str) -> DataFrame:
+    return store.load(spark, canonical, months.select(*PAIR, *MONTH).withColumn("interval", F.lit(interval)))[0]
 
 
-def daily_status(spark: SparkSession, archive: str | None, canonical: str, months: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(status, bars, trusted manifests) of the daily ``months`` (pair, year, month): missing, invalid, stale against the archive (if one is given), or current."""
-    only = months.withColumn("interval", F.lit(DAILY))
-    held, errors = store.verify(spark, canonical, only)
-    errors = settle(errors)
-    known = _known(spark, archive, canonical, only)[0] if archive else spark.createDataFrame([], "provider string, symbol string, interval string, year int, month int, fingerprint string, status string, incomplete_rows bigint")
-    status = cov.partition_status(only, held, known, errors, KEYS).select(*PAIR, *MONTH, "status")
-    return settle(status), store.load(spark, canonical, only)[0], held.join(errors, store.PARTITION, "left_anti")
+def _of_requests(requests: DataFrame) -> DataFrame:
+    """``requests`` by month: keys, year, month, start_ts, end_ts."""
+    return cov.month_spans(requests.select(*KEYS, F.col("from_ts").alias("start_ts"), F.col("to_ts").alias("end_ts")), KEYS)
 
 
-def derive_weeks(spark: SparkSession, canonical: str, now: Column, only: DataFrame | None = None, archive: str | None = None) -> None:
+def _looked_at(asked: DataFrame) -> DataFrame:
+    """The months that plans for ``asked`` (keys, year, month) need: these, and the daily ones below weekly ones."""
+    below = _day_months(asked.where(F.col("interval") == WEEKLY)).withColumn("interval", F.lit(DAILY))
+    return asked.select(*KEYS, *MONTH).unionByName(below.select(*KEYS, *MONTH))
+
+
+def derive_weeks(spark: SparkSession, canonical: str, now: Column, only: DataFrame | None = None, archive: str | None = None, calendar: Calendar | None = None, snapshot: Snapshot | None = None) -> None:
     """Derive weekly bars from daily ones wherever a week's days are all there, and publish them by the month in which the week starts: the months ``only`` (pair, year, month), or all that have daily bars.
 
-    A week is derived where the daily months that it touches are current and have no gap in it. Other weeks are left out; their month is published without them, if need be empty. Lineage names the month's daily revision and, where the last
-    week reaches over, the next one's.
+    A week is derived where the daily months that it touches are current (against ``archive``, if it is given) and have no gap in it. Other weeks are left out; their month is published without them, if need be empty. Lineage names the
+    month's daily revision and, where the last week reaches over, the next one's.
     """
     if only is None:
         only = store.load(spark, canonical)[1].where(F.col("interval") == DAILY)
     only = settle(only.select(*PAIR, *MONTH).distinct())
-    status, daily, held = daily_status(spark, archive, canonical, _day_months(only))
-    weeks = _weeks(only)
-    gaps = _gaps_of_weeks(weeks, daily, status, now)
+    calendar = calendar or Calendar.of(only)
+    below = _day_months(only)
+    snapshot = snapshot or Snapshot.of(spark, archive, canonical, below.withColumn("interval", F.lit(DAILY)))
+    status, daily = snapshot.daily(below), _bars(spark, canonical, below, DAILY)
+    weeks = _weeks(only, calendar)
+    gaps = _gaps_of_weeks(weeks, daily, status, now, calendar)
     ready = cov.ready_weeks(weeks, status, gaps, PAIR).select(*PAIR, F.col("bar_start").alias("time"))
     weekly = ops.resample(daily, PAIR, WEEKLY).join(ready, [*PAIR, "time"], "left_semi")
     weekly = settle(weekly.withColumns({"interval": F.lit(WEEKLY), "year": F.year("time"), "month": F.month("time")}))
-    parents = held.select(*PAIR, *MONTH, "revision", "raw_fingerprint")
+    parents = snapshot.parents()
     own = only.join(parents.select(*PAIR, *MONTH, F.struct("revision", "raw_fingerprint").alias("_own")), [*PAIR, *MONTH])
     after = _next_month(parents.select(*PAIR, *MONTH, F.struct("revision", "raw_fingerprint").alias("_next")), -1)
     last = weekly.groupBy(*PAIR, *MONTH).agg(F.max(cal.week_end(F.col("time"))).alias("_end"))
@@ -130,50 +186,37 @@ def derive_weeks(spark: SparkSession, canonical: str, now: Column, only: DataFra
     of = lambda f: F.when(crosses, cov.composite_revision(f"_own.{f}", f"_next.{f}")).otherwise(F.col(f"_own.{f}"))
     pair = F.concat(F.lit("fx:"), F.substring("symbol", 1, 3), F.lit("/"), F.substring("symbol", 4, 3))
     prints = joined.select(*PAIR, F.lit(WEEKLY).alias("interval"), *MONTH, of("raw_fingerprint").alias("raw_fingerprint"), of("revision").alias("parent_revision"), pair.alias("parent_instrument"), F.lit(DAILY).alias("parent_interval"))
-    store.publish(weekly, with_manifest(weekly, prints, now, resampler="1"), canonical)
-
+    store.publish(weekly, with_manifest(weekly, settle(prints), now, resampler="1"), canonical)
 
-def _known(spark: SparkSession, archive: str, canonical: str, months: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(what is known of the raw files of ``months``, paths read for it)."""
-    files, read = raw.known_files(spark, archive, f"{canonical}/inventory", months)
-    return files.withColumn("status", F.col("file_status")), read
 
-
-def _weekly_actions(spark: SparkSession, archive: str, canonical: str, requests: DataFrame, now: Column) -> DataFrame:
-    """Derivations that weekly ``requests`` (pair, from_ts, to_ts) need."""
-    asked = settle(cov.month_spans(requests.select(*PAIR, F.col("from_ts").alias("start_ts"), F.col("to_ts").alias("end_ts")), PAIR))
+def weekly_actions(spark: SparkSession, canonical: str, asked: DataFrame, now: Column, snapshot: Snapshot, calendar: Calendar) -> DataFrame:
+    """Derivations that the weekly ones of ``asked`` (keys, year, month, start_ts, end_ts) need. Days count as they are in the snapshot: stale ones aren't ready."""
+    asked = asked.where(F.col("interval") == WEEKLY).drop("interval")
     own = asked.select(*PAIR, *MONTH).distinct()
-    only = own.withColumn("interval", F.lit(WEEKLY))
-    held, errors = store.verify(spark, canonical, only)
-    days, daily, parents = daily_status(spark, archive, canonical, _day_months(own))
-    status = settle(cov.derived_status(own, held, parents.select(*PAIR, *MONTH, "revision"), errors, PAIR))
+    days, daily = snapshot.daily(_day_months(own)), _bars(spark, canonical, _day_months(own), DAILY)
+    weekly = F.col("interval") == WEEKLY
+    status = settle(cov.derived_status(own, snapshot.held.where(weekly), snapshot.parents(), snapshot.errors.where(weekly), PAIR))
     current = asked.join(status.where(F.col("status") == cov.CURRENT).select(*PAIR, *MONTH), [*PAIR, *MONTH], "left_semi")
-    weekly = store.load(spark, canonical, only)[0]
-    week_gaps = settle(cov.gaps(cov.week_states(current, weekly, PAIR, now), [*PAIR, *MONTH]))
-    day_gaps = _day_gaps(asked, daily, days, now)
-    whole = _gaps_of_weeks(_weeks(own), daily, days, now)
+    week_gaps = settle(cov.gaps(cov.week_states(current, _bars(spark, canonical, own, WEEKLY), PAIR, now, calendar.weeks), [*PAIR, *MONTH]))
+    day_gaps = _day_gaps(asked, daily, days, now, calendar)
+    whole = _gaps_of_weeks(_weeks(own, calendar), daily, days, now, calendar)
     found = planner.derive_actions(status, days, day_gaps, week_gaps, PAIR, whole)
-    return found.select(*PAIR, F.lit(WEEKLY).alias("interval"), *MONTH, "kind", "reason")
+    return settle(found.select(*PAIR, F.lit(WEEKLY).alias("interval"), *MONTH, "kind", "reason"))
 
 
-def find_actions(spark: SparkSession, archive: str, canonical: str, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(actions, read): what ``requests`` (provider, symbol, interval, from_ts, to_ts) need at ``now``, against the archive and what is published, and the paths of raw files that were read to tell. Only months asked for are looked at."""
+def raw_actions(asked: DataFrame, now: Column, snapshot: Snapshot) -> DataFrame:
+    """Actions that the raw-built ones of ``asked`` (keys, year, month, start_ts, end_ts) need."""
     month = [*KEYS, *MONTH]
-    built = requests.where(F.col("interval") != WEEKLY)
-    months = settle(cov.month_spans(built.select(*KEYS, F.col("from_ts").alias("start_ts"), F.col("to_ts").alias("end_ts")), KEYS))
-    known, read = _known(spark, archive, canonical, months)
-    known = settle(known)
-    held, errors = store.verify(spark, canonical, months)
-    status = cov.partition_status(months, held, known, errors, KEYS)
-    everything = status.join(known.select(*month, F.col("status").alias("raw_status")), month, "left")
+    months = asked.where(F.col("interval") != WEEKLY)
+    status = settle(cov.partition_status(months, snapshot.held, snapshot.known, snapshot.errors, KEYS))
+    everything = status.join(snapshot.known.select(*month, F.col("status").alias("raw_status")), month, "left")
     last = F.max_by(F.struct("year", "month"), F.struct("year", "month"))
-    newest = months.groupBy(*KEYS).agg(last.alias("m"), F.max("end_ts").alias("range_end")).select(*KEYS, "m.*", "range_end").join(known.where("status = 'ok'"), month)
-    extend = None
-    for interval in ("m1", "h1", "h4", "d1"):
-        one = planner.extend_needed(newest.where(F.col("interval") == interval), KEYS, interval, now)
-        extend = one if extend is None else extend.unionByName(one)
-    found = planner.raw_actions(everything, KEYS, extend).select(*month, "kind", "reason")
-    return found.unionByName(_weekly_actions(spark, archive, canonical, requests.where(F.col("interval") == WEEKLY), now).select(*month, "kind", "reason")), read
+    newest = months.groupBy(*KEYS).agg(last.alias("m"), F.max("end_ts").alias("range_end")).select(*KEYS, "m.*", "range_end").join(snapshot.known.where("status = 'ok'"), month)
+    newest = settle(newest.select(*month, "range_end", "row_count", "last_time", "last_complete"))
+    extend = newest.select(*KEYS).where(F.lit(False))
+    for (interval,) in newest.select("interval").distinct().collect():  # of four
+        extend = extend.unionByName(planner.extend_needed(newest.where(F.col("interval") == interval), KEYS, interval, now))
+    return settle(planner.raw_actions(everything, KEYS, settle(extend)).select(*month, "kind", "reason"))
 
 
 def runnable() -> Column:
@@ -186,27 +229,36 @@ def run(spark: SparkSession, archive: str, canonical: str, requests: DataFrame,
 
     What a run has tried once it doesn't try again, so months with bad rows end it as well. A run that finds nothing to do writes nothing to the store.
     """
-    month, requests = [*KEYS, *MONTH], settle(requests)
-    tried = spark.createDataFrame([], "provider string, symbol string, interval string, year int, month int, kind string, reason string, round int")
-    first = blocked = read = None
-    while True:
-        actions, opened = find_actions(spark, archive, canonical, requests, now)
-        actions = settle(actions)
-        read = settle(opened) if read is None else read.unionByName(settle(opened))
-        first = actions if first is None else first
-        todo = settle(actions.where(runnable()).join(tried, [*month, "kind", "reason"], "left_anti"))
-        builds, weeks = todo.where(F.col("kind") == planner.NORMALIZE), todo.where(F.col("kind") == planner.DERIVE)
-        if builds.isEmpty() and weeks.isEmpty():
+    month, asked = [*KEYS, *MONTH], settle(_of_requests(requests))
+    weekly = asked.where(F.col("interval") == WEEKLY)
+    with_weeks = not weekly.isEmpty()
+    calendar = Calendar.of(weekly) if with_weeks else None
+    none = spark.createDataFrame([], "provider string, symbol string, interval string, year int, month int, kind string, reason string")
+    look = lambda: Snapshot.of(spark, archive, canonical, _looked_at(asked))
+    plan_weeks = lambda seen: weekly_actions(spark, canonical, asked, now, seen, calendar) if with_weeks else none
+    seen = look()
+    builds, weeks, read = raw_actions(asked, now, seen), plan_weeks(seen), seen.read
+    first, rounds, blocked = builds.unionByName(weeks), [], None
+    todo = builds.where(runnable())
+    if not todo.isEmpty():
+        blocked = normalise_archive(spark, archive, canonical, now, seen.known.where("status = 'ok'").join(todo.select(*month), month, "left_semi"))
+        rounds.append(todo)
+        seen = look()
+        builds, weeks, read = raw_actions(asked, now, seen), plan_weeks(seen), read.unionByName(seen.read)
+    while with_weeks:
+        # what was derived once isn't tried again
+        todo = weeks
+        for done in rounds:
+            todo = todo.join(done, [*month, "kind", "reason"], "left_anti")
+        if (todo := settle(todo)).isEmpty():
             break
-        number = (tried.agg(F.max("round")).first()[0] or 0) + 1
-        if not builds.isEmpty():  # derivations are planned anew once their days are built
-            files = _known(spark, archive, canonical, builds)[0].where("status = 'ok'").join(builds.select(*month), month, "left_semi")
-            bad = normalise_archive(spark, archive, canonical, now, files)
-            blocked, ran = bad if blocked is None else blocked.unionByName(bad), builds
-        else:
-            derive_weeks(spark, canonical, now, weeks, archive)
-            ran = weeks
-        tried = settle(tried.unionByName(ran.withColumn("round", F.lit(number))))
+        derive_weeks(spark, canonical, now, todo, archive, calendar, seen)
+        rounds.append(todo)
+        seen = look()
+        weeks = plan_weeks(seen)
+    executed = none.withColumn("round", F.lit(0))
+    for number, done in enumerate(rounds, 1):
+        executed = executed.unionByName(done.withColumn("round", F.lit(number)))
     if blocked is None:
         blocked = ops.gate(spark.createDataFrame([], "provider string, symbol string, interval string, year int, month int, line_no int, reason string, outcome string"), month)
-    return Update(planner.ordered(first, KEYS), tried, blocked, actions.withColumn("runnable", runnable()), read.distinct())
+    return Update(planner.ordered(first, KEYS), executed, blocked, builds.unionByName(weeks).withColumn("runnable", runnable()), read.distinct())

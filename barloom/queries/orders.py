@@ -168,10 +168,6 @@ def causation_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def causation_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.depths(_chain(spark, sf_dir).where("correlation_id % 5 <> 0"))
-
-
-def causation_depths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depths over all conversations, those with missing causes included."""
     return audit.depths(_chain(spark, sf_dir))
 
@@ -184,7 +180,7 @@ def audited_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "fill_dedupe": fill_dedupe, "fill_running": fill_running, "order_fills": order_fills, "remaining_qty": remaining_qty, "fill_mismatches": fill_mismatches, "illegal_transitions": illegal_transitions, "terms_errors": terms_errors,
-    "fill_errors": fill_errors, "trade_errors": trade_errors, "command_errors": command_errors, "order_invariants": order_invariants, "order_lifecycle": order_lifecycle, "causation_chain": causation_chain, "causation_orphans": causation_orphans, "causation_depths": causation_depths, "causation_depths_all": causation_depths_all, "audited_partitions": audited_partitions,
+    "fill_errors": fill_errors, "trade_errors": trade_errors, "command_errors": command_errors, "order_invariants": order_invariants, "order_lifecycle": order_lifecycle, "causation_chain": causation_chain, "causation_orphans": causation_orphans, "causation_depths": causation_depths, "audited_partitions": audited_partitions,
 }
 
 _Q = "(CAST(floor(l_quantity + 0.5) AS BIGINT) * 100000000)"
@@ -226,7 +222,6 @@ SELECT CAST(k AS VARCHAR) AS order_id, CASE WHEN path = 'stale' THEN 'filled' EL
   CAST(CASE path WHEN 'expired' THEN fills * times + CASE WHEN k % 3 = 2 THEN 2 ELSE 0 END WHEN 'canceled' THEN fills * times - 2 WHEN 'stale' THEN fills * (times - 1) + 1 ELSE fills * (times - 1) + CASE WHEN k % 3 = 2 THEN 2 ELSE 0 END END + CASE WHEN k % 8 = 1 THEN 1 ELSE 0 END AS BIGINT) AS refused FROM p""",
     "causation_chain": f"WITH {_CHAIN} SELECT a.correlation_id, a.event_id, a.causation_id, b.ts AS cause_ts FROM chain a JOIN chain b ON b.correlation_id = a.correlation_id AND b.event_id = a.causation_id",
     "causation_orphans": f"WITH {_CHAIN} SELECT correlation_id, event_id, causation_id FROM chain a WHERE causation_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chain b WHERE b.correlation_id = a.correlation_id AND b.event_id = a.causation_id)",
-    "causation_depths": f"WITH RECURSIVE {_CHAIN}, d AS (SELECT correlation_id, event_id, 0 AS depth FROM chain WHERE causation_id IS NULL AND correlation_id % 5 <> 0 UNION ALL SELECT c.correlation_id, c.event_id, d.depth + 1 FROM chain c JOIN d ON c.correlation_id = d.correlation_id AND c.causation_id = d.event_id) SELECT * FROM d",
-    "causation_depths_all": f"WITH RECURSIVE {_CHAIN}, d AS (SELECT correlation_id, event_id, 0 AS depth FROM chain WHERE causation_id IS NULL UNION ALL SELECT c.correlation_id, c.event_id, d.depth + 1 FROM chain c JOIN d ON c.correlation_id = d.correlation_id AND c.causation_id = d.event_id) SELECT * FROM d",
+    "causation_depths": f"WITH RECURSIVE {_CHAIN}, d AS (SELECT correlation_id, event_id, 0 AS depth FROM chain WHERE causation_id IS NULL UNION ALL SELECT c.correlation_id, c.event_id, d.depth + 1 FROM chain c JOIN d ON c.correlation_id = d.correlation_id AND c.causation_id = d.event_id) SELECT * FROM d",
     "audited_partitions": "SELECT DISTINCT o_orderstatus, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month FROM orders ORDER BY 1, 2, 3 LIMIT 25",
 }

@@ -45,12 +45,15 @@ def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An alias for each fortieth part's listing; every third of them names a venue that has none."""
-    listings = _listings(spark, sf_dir).withColumn("seq", F.substring_index("instrument_id", "P", -1).cast("bigint")).where("seq % 40 = 0")
-    return listings.select(
-        "seq", F.col("provider").alias("alias_provider"), F.col("venue").alias("alias_venue"), F.concat(F.lit("al"), (F.col("seq") % 1000).cast("string")).alias("alias_symbol"), "provider",
-        F.when(F.col("seq") % 120 == 0, "nowhere").otherwise(F.col("venue")).alias("venue"), "symbol",
+    """Five registrations for each fortieth part: one that comes before the alias it refers to, an alias for the part's listing (every third names a venue that has none), a second claim to the same name, an alias of the alias, and one of that."""
+    k = F.col("k")
+    listings = _listings(spark, sf_dir).withColumn("k", F.substring_index("instrument_id", "P", -1).cast("bigint")).where("k % 40 = 0")
+    name = lambda a: F.concat(F.lit(a), (k if a != "al" else k % 1000).cast("string"))
+    one = lambda at, alias, venue, to: F.struct(F.lit(at).alias("at"), name(alias).alias("alias_symbol"), venue.alias("venue"), to.alias("symbol"))
+    each = F.array(
+        one(0, "dl", F.lit(""), name("al")), one(1, "al", F.when(k % 120 == 0, "nowhere").otherwise(F.col("venue")), F.col("symbol")), one(2, "al", F.lit(""), F.col("symbol")), one(3, "bl", F.lit(""), name("al")), one(4, "cl", F.col("venue"), name("bl")),
     )
+    return listings.select("k", "provider", F.col("venue").alias("alias_venue"), F.explode(each).alias("a")).select((k * 10 + F.col("a.at")).alias("seq"), F.col("provider").alias("alias_provider"), "alias_venue", "provider", "a.alias_symbol", "a.venue", "a.symbol")
 
 
 def listing_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,15 +74,14 @@ def resolve_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey") % 2500
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", k.alias("k"))
+    """Each order asks for a part's symbol, one in five for none that there is; some by alias, some without a venue."""
+    parts = F.broadcast(table(spark, sf_dir, "part").agg((F.count("*") + F.floor(F.count("*") / 4)).alias("n")))
+    orders = table(spark, sf_dir, "orders").join(parts).select("o_orderkey", (F.col("o_orderkey") % F.col("n")).alias("k"))
     part = _listings(spark, sf_dir).select(F.substring_index("instrument_id", "P", -1).cast("bigint").alias("k"), "provider", "venue", "symbol")
     asked = orders.join(part, "k", "left")
-    alias = (F.col("k") % 40 == 0) & (F.col("o_orderkey") % 3 == 0)
-    requests = asked.select(
-        F.col("o_orderkey").alias("request_id"), F.lower(F.coalesce("provider", F.lit("prov0"))).alias("provider"), F.when(F.col("o_orderkey") % 4 != 0, F.col("venue")).alias("venue"),
-        F.when(alias, F.concat(F.lit(" AL"), (F.col("k") % 1000).cast("string"))).otherwise(F.coalesce("symbol", F.lit("none"))).alias("symbol"),
-    )
+    of = lambda name, k: F.concat(F.lit(name), k.cast("string"))
+    symbol = F.when((F.col("k") % 40 == 0) & (F.col("o_orderkey") % 3 == 0), of(" AL", F.col("k") % 1000)).when((F.col("k") % 40 == 0) & (F.col("o_orderkey") % 3 == 1), of("Cl", F.col("k"))).otherwise(F.coalesce("symbol", F.lit("none")))
+    requests = asked.select(F.col("o_orderkey").alias("request_id"), F.lower(F.coalesce("provider", F.lit("prov0"))).alias("provider"), F.when(F.col("o_orderkey") % 4 != 0, F.col("venue")).alias("venue"), symbol.alias("symbol"))
     return ins.resolve_symbols(requests, _listings(spark, sf_dir), _aliases(spark, sf_dir))
 
 
@@ -156,7 +158,7 @@ def position_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions with defects by rule."""
     k = F.col("account_id") + F.col("instrument_id") * 3
     rows = _positions(spark, sf_dir).withColumns({"side": F.when(k % 13 == 0, "flat").when(k % 17 == 0, "both").otherwise(F.col("side")), "avg_price": F.when(k % 11 != 0, F.lit(1).cast("bigint")), "quantity": F.when(k % 19 == 0, 0).otherwise(F.col("quantity")).cast("bigint")})
-    return rows.withColumn("error", pf.position_error()).where("error IS NOT NULL").groupBy("error").agg(F.count("*").alias("n"))
+    return rows.withColumn("error", pf.position_error()).where("error IS NOT NULL").select("account_id", "instrument_id", "side", "quantity", "error")
 
 
 def snapshot_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,13 +166,15 @@ def snapshot_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     usd = F.lit("USD")
     money = lambda name, amount, currency: F.struct(F.lit(name).alias("name"), amount.alias("amount"), currency.alias("currency"))
-    moneys = F.array(money("equity", F.when(k % 29 != 0, units("c_acctbal", 2)), usd), money("fees", units("c_acctbal", 2), F.when(k % 31 == 0, F.lit("EUR")).otherwise(usd)))
+    amount = units("c_acctbal", 2)
+    special = {"equity": money("equity", F.when(k % 29 != 0, amount), usd), "fees": money("fees", amount, F.when(k % 31 == 0, F.lit("EUR")).otherwise(usd)), "financing": F.when(k % 53 != 0, money("financing", amount, usd))}
+    moneys = F.array_compact(F.array(*[special.get(name, money(name, amount, usd)) for name in pf.MONEYS]))
     snapshots = c.select(k.alias("account_id"), F.when(k % 37 == 0, "").otherwise("BrokerA").alias("broker"), F.when(k % 41 == 0, "us").otherwise("USD").alias("currency"), F.when(k % 43 != 0, F.lit("2001-08-01").cast("timestamp_ntz")).alias("as_of"), moneys.alias("moneys"))
     balances = c.select(k.alias("account_id"), F.explode(F.array(F.lit("USD"), F.when(k % 47 == 0, "USD").otherwise("EUR"))).alias("currency"), F.lit(0).cast("bigint").alias("amount"))
     o = table(spark, sf_dir, "orders")
     ok = F.col("o_orderkey")
-    orders = o.where(ok % 5 == 0).select(F.col("o_custkey").alias("account_id"), (F.col("o_custkey") + F.when(ok % 50 == 0, 1).otherwise(0)).alias("owner"), F.when(ok % 70 == 0, "other").otherwise("brokera").alias("provider"), F.lit("x").alias("listing"), (ok / 10).cast("bigint").alias("order_id"), F.when(F.col("o_orderstatus") == "F", "filled").otherwise("working").alias("status"))
-    positions = o.where(ok % 7 == 0).select(F.col("o_custkey").alias("account_id"), F.col("o_custkey").alias("owner"), F.lit("BROKERA").alias("provider"), (ok % 9).cast("string").alias("listing"))
+    orders = o.select(F.col("o_custkey").alias("account_id"), (F.col("o_custkey") + F.when(ok % 50 == 0, 1).otherwise(0)).alias("owner"), F.when(ok % 70 == 0, "other").otherwise("brokera").alias("provider"), F.lit("x").alias("listing"), (ok / 10).cast("bigint").alias("order_id"), F.when(F.col("o_orderstatus") == "F", "filled").otherwise("working").alias("status"))
+    positions = o.select(F.col("o_custkey").alias("account_id"), F.col("o_custkey").alias("owner"), F.lit("BROKERA").alias("provider"), (ok % 9).cast("string").alias("listing"))
     return pf.snapshot_errors(snapshots, balances, positions, orders)
 
 
@@ -184,12 +188,17 @@ _U = lambda c, p: f"(CAST(floor({c} * {10**p} + 0.5) AS BIGINT) * {10 ** (8 - p)
 _CODE = lambda c: f"translate(lpad(CAST({c} AS VARCHAR), 2, '0'), '0123456789', 'ABCDEFGHIJ')"
 _LISTINGS = """listings AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 9 = 0 THEN 'idx:P' ELSE 'eq:P' END || p_partkey AS instrument_id, 'prov' || (p_partkey % 10) AS provider, 'V' || (p_partkey % 3) AS venue, substr(p_type, 1, 2) || '.' || (p_partkey % 400) AS symbol,
   p_partkey % 7 <> 0 AS tradable, p_size FROM part),
-aliases AS (SELECT k AS seq, provider, venue AS alias_venue, 'al' || (k % 1000) AS alias_symbol, CASE WHEN k % 120 = 0 THEN 'nowhere' ELSE venue END AS venue, symbol FROM listings WHERE k % 40 = 0)"""
-_NAMES = f"""{_LISTINGS}, names AS (SELECT instrument_id, upper(provider) AS p, upper(venue) AS v, upper(symbol) AS s FROM listings
-UNION SELECT l.instrument_id, upper(a.provider), upper(a.alias_venue), upper(a.alias_symbol) FROM aliases a JOIN listings l ON upper(l.provider) = upper(a.provider) AND upper(l.venue) = upper(a.venue) AND upper(l.symbol) = upper(a.symbol)),
-requests AS (SELECT o_orderkey AS request_id, upper(coalesce(provider, 'prov0')) AS p, CASE WHEN o_orderkey % 4 <> 0 THEN upper(venue) END AS v, upper(trim(CASE WHEN (o_orderkey % 2500) % 40 = 0 AND o_orderkey % 3 = 0 THEN ' AL' || (o_orderkey % 2500 % 1000) ELSE coalesce(symbol, 'none') END)) AS s
-  FROM orders LEFT JOIN listings ON k = o_orderkey % 2500),
-found AS (SELECT request_id, count(n.instrument_id) AS hits, count(DISTINCT (n.instrument_id, n.v)) FILTER (n.instrument_id IS NOT NULL) AS kinds, min(n.instrument_id) AS one FROM requests r LEFT JOIN names n ON n.p = r.p AND n.s = r.s AND (r.v IS NULL OR r.v = n.v) GROUP BY request_id)"""
+a0 AS (SELECT k, upper(provider) AS p, upper(venue) AS v, unnest([{'at': 0, 's': 'DL' || k, 'rv': '', 'rs': 'AL' || (k % 1000)}, {'at': 1, 's': 'AL' || (k % 1000), 'rv': CASE WHEN k % 120 = 0 THEN 'NOWHERE' ELSE upper(venue) END, 'rs': upper(symbol)},
+  {'at': 2, 's': 'AL' || (k % 1000), 'rv': '', 'rs': upper(symbol)}, {'at': 3, 's': 'BL' || k, 'rv': '', 'rs': 'AL' || (k % 1000)}, {'at': 4, 's': 'CL' || k, 'rv': upper(venue), 'rs': 'BL' || k}]) AS a FROM listings WHERE k % 40 = 0),
+aliases AS (SELECT k * 10 + a.at AS seq, row_number() OVER (ORDER BY k * 10 + a.at) AS n, p, v, a.s AS s, a.rv AS rv, a.rs AS rs FROM a0)"""
+#: Registrations one after the other, each with the list of all names so far.
+_REGISTERED = f"""RECURSIVE {_LISTINGS}, r(n, seq, error, names) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), (SELECT list({{'i': i, 'p': p, 'v': v, 's': s}}) FROM (SELECT DISTINCT instrument_id AS i, upper(provider) AS p, upper(venue) AS v, upper(symbol) AS s FROM listings))
+UNION ALL SELECT n, seq, error, CASE WHEN error IS NULL THEN list_append(names, {{'i': hits[1].i, 'p': p, 'v': hits[1].v, 's': s}}) ELSE names END FROM (SELECT *, CASE WHEN len(hits) = 0 THEN 'unresolved' WHEN len(hits) > 1 THEN 'ambiguous' WHEN len(same) > 0 THEN 'duplicate' END AS error FROM (
+  SELECT a.n, a.seq, a.p, a.s, r.names, list_filter(r.names, lambda x: x.p = a.p AND x.s = a.rs AND (a.rv = '' OR x.v = a.rv)) AS hits, list_filter(r.names, lambda x: x.p = a.p AND x.s = a.s AND x.v = a.v) AS same FROM r JOIN aliases a ON a.n = r.n + 1)))"""
+_NAMES = f"""{_REGISTERED}, names AS (SELECT x.i AS instrument_id, x.p AS p, x.v AS v, x.s AS s FROM (SELECT unnest(names) AS x FROM r WHERE n = (SELECT max(n) FROM r))),
+requests AS (SELECT o_orderkey AS request_id, upper(coalesce(provider, 'prov0')) AS p, CASE WHEN o_orderkey % 4 <> 0 THEN upper(venue) END AS v, CASE WHEN q % 40 = 0 AND o_orderkey % 3 = 0 THEN 'AL' || (q % 1000) WHEN q % 40 = 0 AND o_orderkey % 3 = 1 THEN 'CL' || q ELSE upper(coalesce(symbol, 'none')) END AS s
+  FROM (SELECT o_orderkey, o_orderkey % (SELECT count(*) + count(*) // 4 FROM part) AS q FROM orders) LEFT JOIN listings ON k = q),
+found AS (SELECT request_id, count(n.instrument_id) AS hits, min(n.instrument_id) AS one FROM requests r LEFT JOIN names n ON n.p = r.p AND n.s = r.s AND (r.v IS NULL OR r.v = n.v) GROUP BY request_id)"""
 _PF = f"""accounts AS (SELECT 'R' || n_regionkey || '-' || (c_custkey % 40) AS portfolio_id, c_custkey AS account_id, 'N' || {_CODE('n_nationkey')} AS currency, {_U('c_acctbal', 2)} AS equity, as_of FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS as_of FROM orders GROUP BY 1) ON o_custkey = c_custkey),
 portfolios AS (SELECT portfolio_id, r, i, 'N' || {_CODE('b')} AS base FROM (SELECT DISTINCT 'R' || n_regionkey || '-' || (c_custkey % 40) AS portfolio_id, n_regionkey AS r, CAST(c_custkey % 40 AS BIGINT) AS i FROM customer JOIN nation ON c_nationkey = n_nationkey) JOIN (SELECT n_regionkey AS r, min(n_nationkey) AS b FROM nation GROUP BY 1) USING (r)),
 rates0 AS (SELECT portfolio_id, base, 'N' || {_CODE('n_nationkey')} AS cur, n_nationkey + i AS z, (n_nationkey + 1) * 12345678 + i AS rate FROM portfolios JOIN nation ON n_regionkey = r WHERE (n_nationkey + i) % 17 <> 0),
@@ -204,10 +213,9 @@ FROM (SELECT *, upper(replace(p_brand, '#', '-')) AS b FROM part)""",
     "fx_listings": f"""SELECT c_custkey, CASE WHEN good THEN 'fx:' || a || '/' || q END AS instrument_id, CASE WHEN good THEN a || q END AS symbol, CASE WHEN good THEN CAST(CASE WHEN q = 'JPY' THEN 100000 ELSE 1000 END AS BIGINT) END AS tick_size, CASE WHEN good THEN q END AS settlement_currency
 FROM (SELECT *, q <> 'EU1' AND a <> q AS good FROM (SELECT c_custkey, 'C' || {_CODE('c_nationkey')} AS a, CASE WHEN (c_custkey % 25) % 5 = 0 THEN 'JPY' WHEN (c_custkey % 25) % 7 = 0 THEN 'EU1' ELSE 'C' || {_CODE('(c_custkey % 25)')} END AS q FROM customer))""",
     "listing_errors": f"WITH {_LISTINGS} SELECT instrument_id, CASE WHEN p_size <= 0 THEN 'tick_size' WHEN k % 50 = 1 THEN 'quantity_increment' WHEN k % 60 = 2 THEN 'settlement_currency' END AS error FROM listings WHERE p_size <= 0 OR k % 50 = 1 OR k % 60 = 2",
-    "alias_errors": f"""WITH {_LISTINGS}, n AS (SELECT provider, venue, symbol, count(DISTINCT instrument_id) AS c FROM listings GROUP BY ALL), f AS (SELECT *, min(seq) OVER (PARTITION BY provider, alias_venue, alias_symbol) AS first FROM aliases),
-x AS (SELECT seq, CASE WHEN c IS NULL THEN 'unresolved' WHEN c > 1 THEN 'ambiguous' WHEN seq > first THEN 'duplicate' END AS error FROM f LEFT JOIN n USING (provider, venue, symbol)) SELECT * FROM x WHERE error IS NOT NULL""",
-    "resolve_symbol": f"WITH {_NAMES} SELECT request_id, one AS instrument_id FROM found WHERE hits > 0 AND kinds = 1",
-    "resolve_ambiguous": f"WITH {_NAMES} SELECT request_id, CASE WHEN hits = 0 THEN 'unknown' ELSE 'ambiguous' END AS status FROM found WHERE hits = 0 OR kinds > 1",
+    "alias_errors": f"WITH {_REGISTERED} SELECT seq, error FROM r WHERE error IS NOT NULL",
+    "resolve_symbol": f"WITH {_NAMES} SELECT request_id, one AS instrument_id FROM found WHERE hits = 1",
+    "resolve_ambiguous": f"WITH {_NAMES} SELECT request_id, CASE WHEN hits = 0 THEN 'unknown' ELSE 'ambiguous' END AS status FROM found WHERE hits <> 1",
     "resolve_instrument": f"""WITH {_LISTINGS}, r AS (SELECT k, k % 9 <> 0 AND tradable AND (k % 4 <> 0 OR k % 8 = k % 10) AS ok, provider, venue, symbol FROM listings)
 SELECT k AS request_id, CASE WHEN ok THEN 'resolved' ELSE 'unknown' END AS status, CASE WHEN ok THEN upper(provider) END AS provider, CASE WHEN ok THEN upper(venue) END AS venue, CASE WHEN ok THEN symbol END AS symbol FROM r""",
     "rate_errors": f"WITH {_PF} SELECT portfolio_id, cur AS from_currency, error FROM rates1 WHERE error IS NOT NULL",
@@ -217,14 +225,16 @@ SELECT k AS request_id, CASE WHEN ok THEN 'resolved' ELSE 'unknown' END AS statu
     "asof_range": f"WITH {_PF} SELECT portfolio_id, strftime(min(as_of), '%Y-%m-%d %H:%M:%S') AS oldest, strftime(max(as_of), '%Y-%m-%d %H:%M:%S') AS newest FROM accounts GROUP BY 1",
     "exposure": f"WITH {_POS} SELECT instrument_id, account_id, side, quantity, count(*) OVER (PARTITION BY instrument_id) AS contributors FROM positions",
     "exposure_totals": f"WITH {_POS} SELECT instrument_id, side, count(*) AS contributors, CAST(sum(quantity) AS BIGINT) AS quantity FROM positions GROUP BY 1, 2",
-    "position_errors": f"""WITH {_POS}, d AS (SELECT CASE WHEN z % 13 = 0 THEN 'flat' WHEN z % 17 = 0 THEN 'both' ELSE side END AS side, z % 11 <> 0 AS priced, CASE WHEN z % 19 = 0 THEN 0 ELSE quantity END AS quantity FROM (SELECT *, account_id + instrument_id * 3 AS z FROM positions)),
-e AS (SELECT CASE WHEN side = 'both' THEN 'side' WHEN side = 'flat' AND quantity <> 0 THEN 'flat_quantity' WHEN side = 'flat' AND priced THEN 'flat_price' WHEN side <> 'flat' AND quantity <= 0 THEN 'quantity' WHEN side <> 'flat' AND NOT priced THEN 'price' END AS error FROM d)
-SELECT error, count(*) AS n FROM e WHERE error IS NOT NULL GROUP BY error""",
+    "position_errors": f"""WITH {_POS}, d AS (SELECT account_id, instrument_id, CASE WHEN z % 13 = 0 THEN 'flat' WHEN z % 17 = 0 THEN 'both' ELSE side END AS side, z % 11 <> 0 AS priced, CASE WHEN z % 19 = 0 THEN 0 ELSE quantity END AS quantity FROM (SELECT *, account_id + instrument_id * 3 AS z FROM positions)),
+e AS (SELECT account_id, instrument_id, side, CAST(quantity AS BIGINT) AS quantity, CASE WHEN side = 'both' THEN 'side' WHEN side = 'flat' AND quantity <> 0 THEN 'flat_quantity' WHEN side = 'flat' AND priced THEN 'flat_price' WHEN side <> 'flat' AND quantity <= 0 THEN 'quantity' WHEN side <> 'flat' AND NOT priced THEN 'price' END AS error FROM d)
+SELECT * FROM e WHERE error IS NOT NULL""",
     "snapshot_violations": """WITH s AS (SELECT c_custkey AS account_id, CASE WHEN c_custkey % 37 = 0 THEN '' ELSE 'brokera' END AS broker FROM customer), o AS (SELECT o_custkey AS account_id, o_orderkey AS k, o_orderstatus AS st FROM orders),
 v AS (SELECT account_id, 'broker' AS rule FROM s WHERE broker = '' UNION ALL SELECT c_custkey, 'currency' FROM customer WHERE c_custkey % 41 = 0 UNION ALL SELECT c_custkey, 'as_of' FROM customer WHERE c_custkey % 43 = 0
-UNION ALL SELECT c_custkey, 'money_equity' FROM customer WHERE c_custkey % 29 = 0 OR c_custkey % 41 = 0 UNION ALL SELECT c_custkey, 'money_fees' FROM customer WHERE c_custkey % 31 = 0 OR c_custkey % 41 = 0 UNION ALL SELECT c_custkey, 'cash_duplicate' FROM customer WHERE c_custkey % 47 = 0
-UNION ALL SELECT account_id, 'order_account' FROM o WHERE k % 50 = 0 UNION ALL SELECT account_id, 'order_provider' FROM o JOIN s USING (account_id) WHERE k % 5 = 0 AND CASE WHEN k % 70 = 0 THEN 'other' ELSE 'brokera' END <> broker
-UNION ALL SELECT account_id, 'order_terminal' FROM o WHERE k % 5 = 0 AND st = 'F' UNION ALL SELECT account_id, 'order_duplicate' FROM o WHERE k % 5 = 0 GROUP BY account_id, k // 10 HAVING count(*) > 1
-UNION ALL SELECT account_id, 'position_provider' FROM o JOIN s USING (account_id) WHERE k % 7 = 0 AND broker <> 'brokera' UNION ALL SELECT account_id, 'position_duplicate' FROM o WHERE k % 7 = 0 GROUP BY account_id, k % 9 HAVING count(*) > 1)
+UNION ALL SELECT c_custkey, 'money_' || m FROM customer, (VALUES ('equity'), ('buying_power'), ('margin_used'), ('margin_available'), ('realized_pnl'), ('unrealized_pnl'), ('fees'), ('financing')) AS f(m)
+  WHERE c_custkey % 41 = 0 OR (m = 'equity' AND c_custkey % 29 = 0) OR (m = 'fees' AND c_custkey % 31 = 0) OR (m = 'financing' AND c_custkey % 53 = 0)
+UNION ALL SELECT c_custkey, 'cash_duplicate' FROM customer WHERE c_custkey % 47 = 0
+UNION ALL SELECT account_id, 'order_account' FROM o WHERE k % 50 = 0 UNION ALL SELECT account_id, 'order_provider' FROM o JOIN s USING (account_id) WHERE CASE WHEN k % 70 = 0 THEN 'other' ELSE 'brokera' END <> broker
+UNION ALL SELECT account_id, 'order_terminal' FROM o WHERE st = 'F' UNION ALL SELECT account_id, 'order_duplicate' FROM o GROUP BY account_id, k // 10 HAVING count(*) > 1
+UNION ALL SELECT account_id, 'position_provider' FROM o JOIN s USING (account_id) WHERE broker <> 'brokera' UNION ALL SELECT account_id, 'position_duplicate' FROM o GROUP BY account_id, k % 9 HAVING count(*) > 1)
 SELECT account_id, rule, count(*) AS n FROM v GROUP BY ALL""",
 }

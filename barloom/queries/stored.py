@@ -150,18 +150,22 @@ def weekly_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS = {"click": "EURUSD", "error": "GBPUSD", "purchase": "USDJPY", "signup": "AUDUSD", "view": "USDCAD"}
 
 
-def _archived(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """(folder of raw daily files by pair and month, their bars): a file has a line a day, however many ticks there are."""
-    pair = F.coalesce(*[F.when(F.col("symbol") == k, F.lit(v)) for k, v in PAIRS.items()])
-    bars = settle(ops.from_ticks(ticks(spark, sf_dir).withColumn("symbol", pair), ["symbol"], "d1"))
+def _raw_files(bars: DataFrame) -> DataFrame:
+    """(name, text) of the raw daily files that hold ``bars``, by pair and month: a file has a line a day, however many ticks there are."""
     side = lambda add: [dec.text_of(F.col(c) + add) for c in ("open", "high", "low", "close")]
     line = F.concat_ws(",", F.concat(F.regexp_replace(F.col("time").cast("string"), " ", "T"), F.lit("Z")), *side(F.lit(0)), *side(F.col("avg_spread")), F.col("ticks").cast("string"), F.lit("true"))
     rows = bars.select("symbol", F.date_format("time", "yyyy").alias("y"), F.date_format("time", "MM").alias("m"), F.struct("time", line.alias("line")).alias("l"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n")
     name = F.concat_ws("/", "symbol", "y", "m", F.concat(F.concat_ws("-", "symbol", "y", "m", F.lit("d1")), F.lit(".csv")))
-    files = rows.groupBy("symbol", "y", "m").agg(body.alias("body")).select(name.alias("name"), F.concat_ws("\n", F.lit(raw.HEADER), "body").alias("text"))
+    return rows.groupBy("symbol", "y", "m").agg(body.alias("body")).select(name.alias("name"), F.concat_ws("\n", F.lit(raw.HEADER), "body").alias("text"))
+
+
+def _archived(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """(folder of raw daily files by pair and month, their bars)."""
+    pair = F.coalesce(*[F.when(F.col("symbol") == k, F.lit(v)) for k, v in PAIRS.items()])
+    bars = settle(ops.from_ticks(ticks(spark, sf_dir).withColumn("symbol", pair), ["symbol"], "d1"))
     root = fresh_dir(spark)
-    settle(store.write_texts(files, root))
+    settle(store.write_texts(_raw_files(bars), root))
     return root, bars
 
 
@@ -171,7 +175,47 @@ def update_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = bars.groupBy(F.lit("oanda").alias("provider"), "symbol", F.lit("d1").alias("interval")).agg(F.min("time").alias("from_ts"), F.max(cal.bar_end(F.col("time"), "day")).alias("to_ts"))
     done = update.run(spark, archive, fresh_dir(spark), settle(requests), _at(BUILT))
     columns = ["symbol", "interval", "year", "month", "kind", "reason"]
-    return done.actions.select(F.lit("first").alias("plan"), *columns).unionByName(done.left.select(F.lit("second").alias("plan"), *columns))
+    left = done.left.where("runnable").select(F.lit("second").alias("plan"), *columns)
+    return done.actions.select(F.lit("first").alias("plan"), *columns).unionByName(left)
+
+
+#: The days of events are put so many times as far apart, which makes a month of them several.
+STRETCH = 4
+
+
+def _stretched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of two pairs over several months, without sessions of the weekend."""
+    base = _at("2024-01-01 00:00:00")
+    seconds = cal.seconds_between(F.col("ts"), base) * STRETCH
+    ticks_ = ticks(spark, sf_dir).withColumn("ts", cal.plus_seconds(base, seconds)).where(F.dayofweek(cal.session_date(F.col("ts"))) < 6)
+    pairs = F.explode(F.array(F.lit("EURUSD"), F.lit("USDJPY"))).alias("symbol")
+    return settle(ops.from_ticks(ticks_.drop("symbol").select("*", pairs), ["symbol"], "d1"))
+
+
+def update_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three updates of daily and weekly bars over raw files: at first, with nothing changed, and after the volume of one day changed: the first session of March, in one pair. Of each run what was executed, which months were written anew, and which
+    raw files were read to plan it."""
+    bars = _stretched(spark, sf_dir)
+    archive, out = fresh_dir(spark), fresh_dir(spark)
+    settle(store.write_texts(_raw_files(bars), archive))
+    span = bars.groupBy("symbol").agg(F.min("time").alias("from_ts"), F.max(cal.bar_end(F.col("time"), "day")).alias("to_ts"))
+    requests = settle(span.select(F.lit("oanda").alias("provider"), "symbol", F.explode(F.array(F.lit("d1"), F.lit("w1"))).alias("interval"), "from_ts", "to_ts"))
+    march = (F.col("symbol") == "EURUSD") & (F.year("time") == 2024) & (F.month("time") == 3)
+    first_day = bars.where(march).agg(F.min("time").alias("_first"))
+    changed = bars.where(march).join(F.broadcast(first_day)).withColumn("ticks", F.col("ticks") + F.when(F.col("time") == F.col("_first"), 1).otherwise(0)).drop("_first")
+    found, before, columns = None, None, ["symbol", "interval", "year", "month"]
+    for number in (1, 2, 3):
+        if number == 3:
+            settle(store.write_texts(_raw_files(changed), archive))
+        done = update.run(spark, archive, out, requests, _at("2024-06-01 00:00:00"))
+        held = settle(store.load(spark, out)[1].select(*columns, "generation"))
+        written = held if before is None else held.join(before, [*columns, "generation"], "left_anti")
+        read = done.read.withColumns(raw.file_fields(F.col("path"))).select(*columns, F.lit("read").alias("what"), F.lit("").alias("reason"))
+        ran = done.executed.select(*columns, F.col("kind").alias("what"), "reason")
+        one = ran.unionByName(written.select(*columns, F.lit("written").alias("what"), F.lit("").alias("reason"))).unionByName(read).withColumn("run", F.lit(number))
+        one = one.unionByName(done.left.where("runnable").select(*columns, F.lit("left").alias("what"), "reason").withColumn("run", F.lit(number)))
+        found, before = one if found is None else found.unionByName(one), held
+    return found.select("run", "what", *columns, "reason")
 
 
 def streamed_fills_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +242,7 @@ def streamed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "publish_errors": publish_errors, "stored_errors": stored_errors, "bar_set_errors": bar_set_errors, "money_arithmetic": money_arithmetic, "range_algebra": range_algebra, "week_states": week_states,
-    "raw_written": raw_written, "legacy_rows": legacy_rows, "weekly_derived": weekly_derived, "update_actions": update_actions, "streamed_fills_once": streamed_fills_once, "streamed_refresh": streamed_refresh,
+    "raw_written": raw_written, "legacy_rows": legacy_rows, "weekly_derived": weekly_derived, "update_actions": update_actions, "update_runs": update_runs, "streamed_fills_once": streamed_fills_once, "streamed_refresh": streamed_refresh,
 }
 
 _TICKS = f"ticks AS ({bucket_ticks_sql(BUCKETS)})"
@@ -233,6 +277,23 @@ ready AS (SELECT symbol, {day_at('sunday')} AS time FROM whole w WHERE EXISTS (S
 SELECT w.symbol, {as_string('w.time')} AS time, {BAR_COLUMNS} FROM weekly w JOIN ready r ON r.symbol = w.symbol AND r.time = w.time""",
     "update_actions": f"""WITH ticks AS ({TICKS}), b AS ({bars_sql('d1')}), p AS (SELECT CASE symbol {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in PAIRS.items())} END AS symbol, {_MONTH} FROM b)
 SELECT DISTINCT 'first' AS plan, symbol, 'd1' AS "interval", year, month, 'normalize_canonical' AS kind, 'missing' AS reason FROM p""",
+    "update_runs": f"""WITH s AS (SELECT TIMESTAMP '2024-01-01 00:00:00' + to_microseconds({STRETCH} * (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00'))) AS ts FROM events),
+d AS (SELECT DISTINCT {session_date('ts')} AS d FROM s WHERE dayofweek({session_date('ts')}) NOT IN (5, 6)), bars AS (SELECT d, {day_at('d')} AS t FROM d),
+b AS (SELECT min(t) AS lo, max(t) AS last, {day_at('(max(d) + 1)')} AS hi FROM bars), pairs(symbol) AS (VALUES ('EURUSD'), ('USDJPY')),
+days AS (SELECT CAST(unnest(generate_series(CAST(b.lo AS DATE) - 8, CAST(b.hi AS DATE) + 40, INTERVAL 1 DAY)) AS DATE) AS d FROM b),
+spine AS (SELECT {day_at('days.d')} AS t, {day_at('(days.d + 1)')} AS e, dayofweek(days.d) AS w, bars.d IS NOT NULL AS here FROM days LEFT JOIN bars USING (d)),
+files AS (SELECT DISTINCT date_trunc('month', t) AS m FROM bars), asked AS (SELECT unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi - INTERVAL 1 MICROSECOND), INTERVAL 1 MONTH)) AS m FROM b),
+whole AS (SELECT m FROM asked a WHERE m IN (SELECT m FROM files) AND NOT EXISTS (SELECT 1 FROM spine, b WHERE date_trunc('month', t) = a.m AND t >= lo AND t < hi AND w NOT IN (5, 6) AND NOT here)),
+weeks AS (SELECT {day_at('days.d')} AS t, {day_at('(days.d + 7)')} AS e FROM days WHERE dayofweek(days.d) = 0),
+ready AS (SELECT * FROM weeks k WHERE date_trunc('month', t) IN (SELECT m FROM files) AND date_trunc('month', e - INTERVAL 1 MICROSECOND) IN (SELECT m FROM files) AND NOT EXISTS (SELECT 1 FROM spine WHERE spine.t >= k.t AND spine.t < k.e AND w NOT IN (5, 6) AND NOT here)),
+held AS (SELECT a.m, max(r.e) AS e FROM whole a LEFT JOIN ready r ON date_trunc('month', r.t) = a.m GROUP BY a.m),
+touched AS (SELECT m FROM held WHERE m = TIMESTAMP '2024-03-01' OR (m = TIMESTAMP '2024-02-01' AND e > TIMESTAMP '2024-03-01')),
+third AS (SELECT TIMESTAMP '2024-03-01' AS m WHERE TIMESTAMP '2024-03-01' IN (SELECT m FROM files)),
+found AS (SELECT 1 AS run, 'normalize_canonical' AS what, symbol, 'd1' AS "interval", m, 'missing' AS reason FROM pairs, files UNION ALL SELECT 1, 'read', symbol, 'd1', m, '' FROM pairs, files UNION ALL SELECT 1, 'written', symbol, 'd1', m, '' FROM pairs, files
+  UNION ALL SELECT 1, 'derive_canonical', symbol, 'w1', m, 'missing' FROM pairs, whole UNION ALL SELECT 1, 'written', symbol, 'w1', m, '' FROM pairs, whole
+  UNION ALL SELECT 3, unnest(['normalize_canonical', 'read', 'written']), 'EURUSD', 'd1', m, unnest(['stale: raw fingerprint changed', '', '']) FROM third
+  UNION ALL SELECT 3, unnest(['derive_canonical', 'written']), 'EURUSD', 'w1', m, unnest(['stale: parent D1 revision changed', '']) FROM touched)
+SELECT CAST(run AS INTEGER) AS run, what, symbol, "interval", CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, reason FROM found""",
     "streamed_fills_once": "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS broker_fill_id, CAST(1 AS BIGINT) AS times FROM lineitem",
     "streamed_refresh": f"""WITH {_TICKS}, o AS (SELECT symbol, date_trunc('second', ts) AS time, max(seq) AS seq, max(price) AS price FROM ticks GROUP BY ALL) SELECT symbol, {as_string('time')} AS time, seq, price + CASE WHEN seq % 5 < 2 THEN 7 ELSE 0 END AS price FROM o""",
 }
