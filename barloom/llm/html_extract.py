@@ -6,19 +6,20 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import join_spread, settle
 
 # Element names and class words with a meaning of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-#: Never text of the page: scripts, styles, forms and their parts, embedded media.
-NO_TEXT = frozenset("head script style form noscript template iframe svg object canvas audio video map button select input textarea noembed noframes title".split())
+#: Never text of the page: scripts and what stands in their place, styles, forms, other documents.
+NO_TEXT = frozenset("head script style form noscript template iframe noembed noframes title".split())
 #: What a page itself declares as furniture, and words of class and id that tell of it outside an article.
 FURNITURE = frozenset("nav footer aside menu dialog".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -47,9 +48,9 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 #: Kinds of elements: plain, plain by a class or id of its own within an article, bare within an article, furniture by words, furniture as declared.
 PLAIN, CLASSED, BARE, WORDED, DECLARED = range(5)
 #: What is expected of each kind before a site speaks, as importance of so many pages, and the least share this keeps however many pages a site has.
-PRIOR = {PLAIN: 0.75, CLASSED: 1.0, WORDED: 0.0, DECLARED: 0.0}
+PRIOR = {PLAIN: 0.75, CLASSED: 1.0, BARE: 1.0, WORDED: 0.0, DECLARED: 0.0}
 PRIOR_PAGES = 10
-PRIOR_SHARE = {PLAIN: 0.0, CLASSED: 0.0, WORDED: 0.3, DECLARED: 0.5}
+PRIOR_SHARE = {PLAIN: 0.0, CLASSED: 0.0, BARE: 0.0, WORDED: 0.3, DECLARED: 0.5}
 #: Weight of a node's content against its own presentation, to the power of the number of presentations.
 GAMMA = 0.9
 #: Elements below this importance go.
@@ -58,8 +59,8 @@ LEAST_IMPORTANCE = 0.6
 SHORT = 30
 #: Plain elements from this importance on are not told page by page: they stay.
 SURE = 0.9
-#: Site trees are broadcast up to this size; beyond it, the join by host deals each host over so many tasks.
-BROADCAST_BYTES, SALTS = 32 << 20, 64
+#: Site trees are broadcast up to this size. Beyond it, pages are dealt by host, and a host with more pages than this over several tasks, each of which gets its tree once.
+BROADCAST_BYTES, TASK_PAGES = 32 << 20, 20_000
 
 
 class Page:
@@ -168,8 +169,7 @@ class Page:
         return CLASSED if above == CLASSED or named and tag not in MAIN else BARE
 
     def _no_text(self, tag: str, found: dict[str, str]) -> bool:
-        style = found.get("style", "").replace(" ", "").lower()
-        if tag in NO_TEXT or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style:
+        if tag in NO_TEXT:
             return True
         whole, words = _names(found)
         return tag not in ("html", "body") and bool(whole & COMMENTS if self._main else words & COMMENT_WORDS)
@@ -209,7 +209,7 @@ class Page:
 
         If nothing is left, what lies in an article or bears no name of furniture is.
         """
-        stays = [not gone and (kind == BARE or importance(kind, *tree.get(path, (0, 1.0))) >= least) for path, kind, gone in zip(self.paths, self.kinds, self.gone, strict=True)]
+        stays = [not gone and importance(kind, *tree.get(path, (0, 1.0))) >= least for path, kind, gone in zip(self.paths, self.kinds, self.gone, strict=True)]
         text = self._joined(stays)
         return text or self._joined([not gone and kind in (PLAIN, CLASSED, BARE) for kind, gone in zip(self.kinds, self.gone, strict=True)])
 
@@ -269,11 +269,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     with_path = each.select("host", F.explode(F.array_distinct(F.transform("e", lambda e: e["path"]))).alias("path"))
     own = with_path.groupBy(*key).agg(F.count("*").alias("m"))
-    held = settle(own.join(own.groupBy("path").agg(F.sum("m").alias("every")), "path"))
+    own = settle(own)
+    every = settle(own.groupBy("path").agg(F.sum("m").alias("every"), F.count("*").alias("n")))
+    held = settle(join_spread(own, every.drop("n"), "path", every))
     texts = settle(counted("content", "size"))
     # parts on one page only have no entropy: they aren't joined
-    repeated = texts.groupBy("content").agg(F.sum("k").alias("all")).where(F.col("all") > 1)
-    kinds = texts.join(repeated, "content").groupBy(*key, "k", "all").agg(F.sum(F.col("k") * F.col("size")).alias("n"))
+    repeated = settle(texts.groupBy("content").agg(F.sum("k").alias("all"), F.count("*").alias("n")).where(F.col("all") > 1))
+    kinds = join_spread(texts, repeated.drop("n"), "content", repeated).groupBy(*key, "k", "all").agg(F.sum(F.col("k") * F.col("size")).alias("n"))
     entropy = F.greatest(*[F.when(of > 1, F.log(count) / F.log(of)).otherwise(0.0) for count, of in ((F.col("k"), F.col("m")), (F.col("all"), F.col("every")))])
     shared = kinds.join(held, key).groupBy(*key).agg(F.sum(F.col("n") * entropy).alias("shared"))
     total = texts.groupBy(*key).agg(F.sum(F.col("k") * F.col("size")).alias("n"))
@@ -292,27 +294,63 @@ def extract_text(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame
     last tag and unclosed elements are kept; very long and deep pages take time in proportion. An empty table gives no rows.
     """
     # paths that aren't told count as never repeated: right for plain elements, and for named ones seen on few pages
-    told = style_tree(pages).where((F.col("importance") < SURE) | (F.col("pages") > PRIOR_PAGES / 2))
-    trees = settle(told.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "importance")).alias("tree")))
-    size = trees.agg(F.sum(24 * F.size("tree") + F.octet_length("host"))).first()[0] or 0
+    told = settle(style_tree(pages).where((F.col("importance") < SURE) | (F.col("pages") > PRIOR_PAGES / 2)))
+    size = told.agg(F.sum(24 + F.octet_length("host"))).first()[0] or 0
+    rows = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), _host().alias("host"))
+    found = _by_broadcast(rows, told, least) if size <= BROADCAST_BYTES else _by_host(rows, told, least)
+    return found.withColumn("page_id", F.col("page_id").cast("long"))
+
+
+TEXTS = "page_id string, url string, text string, n_chars long"
+
+
+def _by_broadcast(rows: DataFrame, told: DataFrame, least: float) -> DataFrame:
+    """Texts of ``rows`` (page_id, url, html, host) where they are, with all site trees as one broadcast table, ordered by host."""
+    table = told.select("host", "path", "pages", "importance").toPandas().sort_values("host", kind="stable")
+    hosts, first = np.unique(table["host"].to_numpy(dtype=str), return_index=True)
+    places = dict(zip(hosts.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(table)], strict=True), strict=True))
+    shared = rows.sparkSession.sparkContext.broadcast((places, *(table[c].to_numpy() for c in ("path", "pages", "importance"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of: dict[str, dict] = {}
+        places, path, of, seen = shared.value
+        trees: dict[str, dict] = {}
         for pdf in batches:
             texts = []
-            for host, source, tree in zip(pdf["host"], pdf["html"], pdf["tree"], strict=True):
-                if host not in of:
-                    if len(of) >= 256:
-                        of.clear()
-                    of[host] = {} if tree is None else {e["path"]: (e["pages"], e["importance"]) for e in tree}
-                texts.append(Page(source).main_text(of[host], least))
+            for host, source in zip(pdf["host"], pdf["html"], strict=True):
+                if host not in trees:
+                    if len(trees) >= 256:
+                        trees.clear()
+                    i, j = places.get(host, (0, 0))
+                    trees[host] = dict(zip(path[i:j].tolist(), zip(of[i:j].tolist(), seen[i:j].tolist(), strict=True), strict=True))
+                texts.append(Page(source).main_text(trees[host], least))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    rows = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), _host().alias("host"))
-    if size <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(trees), "host", "left")
-    else:  # a host with very many pages is dealt over SALTS tasks
-        salted = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    found = joined.select("page_id", "url", "html", "host", "tree").mapInPandas(run, "page_id string, url string, text string, n_chars long")
-    return found.withColumn("page_id", F.col("page_id").cast("long"))
+    return rows.mapInPandas(run, TEXTS)
+
+
+def _by_host(rows: DataFrame, told: DataFrame, least: float, task_pages: int = TASK_PAGES) -> DataFrame:
+    """The same with pages dealt by host, hot hosts over several tasks. In each task the rows of a host's tree come before its pages: a tree travels once for each task that has pages of the host."""
+    parts = rows.groupBy("host").count().where(F.col("count") > task_pages).select("host", F.ceil(F.col("count") / task_pages).cast("int").alias("parts"))
+    parts = F.broadcast(settle(parts))  # at most a host for each ``task_pages`` pages
+    nothing = lambda **kinds: [F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
+    dealt = rows.join(parts, "host", "left").select("host", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.lit(1).alias("is_page"), "page_id", "url", "html", *nothing(path="long", pages="long", importance="double"))
+    each = told.join(parts, "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    each = each.select("host", "part", F.lit(0).alias("is_page"), *nothing(page_id="string", url="string", html="string"), "path", "pages", "importance")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, tree = None, {}
+        for pdf in batches:
+            out = []
+            for host, part, is_page, page_id, url, source, path, of, seen in zip(*(pdf[c] for c in ("host", "part", "is_page", "page_id", "url", "html", "path", "pages", "importance")), strict=True):
+                if (host, part) != now:
+                    now, tree = (host, part), {}
+                if is_page:
+                    text = Page(source).main_text(tree, least)
+                    out.append((page_id, url, text, len(text)))
+                else:
+                    tree[int(path)] = (int(of), float(seen))
+            yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"])
+
+    both = dealt.unionByName(each)
+    # numbers with nulls among them would become floats in pandas, which hold no path
+    return both.withColumn("path", F.col("path").cast("string")).repartition("host", "part").sortWithinPartitions("host", "part", "is_page").mapInPandas(run, TEXTS)

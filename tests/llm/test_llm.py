@@ -947,7 +947,9 @@ def test_main_text():
     assert html_extract.Page("plain <b>te</b>xt &lt;x").main_text({}) == "plain text <x"
     assert html_extract.Page("<div>a<div>b</div></span>c<p>d<").main_text({}) == "a b c d<"
     assert html_extract.Page("<article><header><h1>h</h1></header>x<script>no").main_text({}) == "h x"
-    assert html_extract.Page("<body><p class='notice'>n</p><div hidden>h</div><table><tr><td>1<td>2</table>").main_text({}) == "1 2"
+    assert html_extract.Page("<body><p class='notice'>n</p><div hidden>h</div><table><tr><td>1<td>2</table>").main_text({}) == "h 1 2"
+    body = "<article><p aria-hidden='true'>seen</p><button>press</button><svg><text>drawn</text></svg><p style='display:none'>more</p><video>film</video><select><option>one</select><form><button>send</button></form></article>"
+    assert html_extract.Page(body).main_text({}) == "seen press drawn more film one"
 
 
 def test_what_a_site_shares_goes(spark):
@@ -1002,6 +1004,32 @@ def test_only_the_tree_tells_unnamed_blocks(spark):
     assert all(want[i] in off[i] and off[i] != want[i] for i in want)
 
 
+def test_bare_elements_of_an_article_ask_the_tree(spark):
+    """A box without any name that all articles of a site share falls; what differs stays."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i in range(60):
+        own = [text(rng, 30) for _ in range(3)]
+        rows.append((i, f"http://bare.example/{i}", f"<article><h1>{own[0]}</h1><p>{own[1]}</p><div><ul><li>Read more</li><li>Tell a friend</li></ul></div><p>{own[2]}</p></article>"))
+        want[i] = " ".join(own)
+    assert {r.page_id: r.text for r in html_extract.extract_text(pages(spark, rows)).collect()} == want
+
+
+def test_trees_travel_once(spark, monkeypatch):
+    """Trees as a broadcast table and dealt by host give the same texts; no page's row carries a tree."""
+    rng = random.Random(13)
+    rows = [(i, f"http://{'a' if i % 3 else f'h{i % 5}'}.example/{i}", f"<div class='t'>Same on all</div><div class='s'><p>{text(rng, 30)}</p></div>") for i in range(150)] + [(None, None, None), (7, "http://a.example/7", "")]
+    table = pages(spark, rows)
+    few = html_extract.extract_text(table)
+    want = sorted(map(str, few.collect()))
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(html_extract._by_host, "__defaults__", (7,))
+    many = html_extract.extract_text(table)
+    assert sorted(map(str, many.collect())) == want and "Same" not in "".join(r.text for r in few.where("url LIKE 'http://a.%'").collect())
+    for frame in (few, many):
+        assert "tree" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_importance_against_brute_force(spark):
     """Content entropy per host and path, told in plain Python for pages of one block."""
     rng = random.Random(9)
