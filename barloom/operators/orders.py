@@ -257,9 +257,9 @@ def events_of(pdf: pd.DataFrame) -> list[dict]:
     return [dict(zip(columns, row, strict=True)) for row in zip(*columns.values(), strict=True)]
 
 
-def sendable(events: DataFrame) -> DataFrame:
-    """Events for Python: 64-bit columns with nulls travel as text, since pandas would make floats of them."""
-    return events.select("order_id", *[F.col(c).cast("string").alias(c) if c in ("quantity", "limit_price", "stop_price") else F.col(c) for c in EVENT_COLUMNS])
+def sendable(events: DataFrame, *more: str) -> DataFrame:
+    """Events (and ``more`` columns) for Python: 64-bit columns with nulls travel as text, since pandas would make floats of them."""
+    return events.select("order_id", *[F.col(c).cast("string").alias(c) if c in ("quantity", "limit_price", "stop_price") else F.col(c) for c in EVENT_COLUMNS], *more)
 
 
 def result_rows(rows: list[tuple]) -> pd.DataFrame:

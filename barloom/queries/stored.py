@@ -9,11 +9,13 @@ from ..functions import calendar as cal
 from ..functions import decimals as dec
 from ..operators import bars as ops
 from ..operators import coverage as cov
+from ..operators.orders import STATE_SCHEMA
 from ..plans import update
 from ..sources import raw, store
 from ..sources.shared import fresh_dir, settle
 from ..streaming import orders as stream_orders
 from ..streaming import records as stream_records
+from . import orders as order_queries
 from .common import BAR_COLUMNS, TICKS, as_string, as_text, bars_sql, bucket_ticks, bucket_ticks_sql, day_at, resample_sql, session_date, table, ticks, units
 
 BUCKETS = 4
@@ -228,6 +230,21 @@ def streamed_fills_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("broker_fill_id string, ts timestamp").parquet(f"{out}/rows").groupBy("broker_fill_id").agg(F.count("*").alias("times"))
 
 
+def streamed_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders' events as a stream of several micro-batches, in the order of their numbers; of each order its last state."""
+    out = fresh_dir(spark)
+    events = order_queries._events(spark, sf_dir)
+    for low, high in ((0, 2), (2, 4), (4, 9), (9, 1 << 40)):  # a file source takes older files first
+        events.where((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode("append").parquet(f"{out}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/events")
+    states = stream_orders.order_states(stream)
+    keep = lambda df, number: df.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+    states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{STATE_SCHEMA}, batch int").option("basePath", f"{out}/rows").parquet(f"{out}/rows")
+    columns = ["status", "accepted_quantity", "filled_quantity", F.coalesce("pending_command", F.lit("")).alias("pending_command"), "applied", "refused"]
+    return rows.groupBy("order_id").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("order_id", "s.*")
+
+
 def streamed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks stored as raw partitions, some provisional; the same times fetched again as a stream, at another price, replace these."""
     ticks = bucket_ticks(spark, sf_dir, BUCKETS).select(F.lit("oanda").alias("provider"), F.lit("m1").alias("interval"), F.year("ts").alias("year"), F.month("ts").alias("month"), "symbol", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("time"), "seq", "price")
@@ -242,7 +259,7 @@ def streamed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "publish_errors": publish_errors, "stored_errors": stored_errors, "bar_set_errors": bar_set_errors, "money_arithmetic": money_arithmetic, "range_algebra": range_algebra, "week_states": week_states,
-    "raw_written": raw_written, "legacy_rows": legacy_rows, "weekly_derived": weekly_derived, "update_actions": update_actions, "update_runs": update_runs, "streamed_fills_once": streamed_fills_once, "streamed_refresh": streamed_refresh,
+    "raw_written": raw_written, "legacy_rows": legacy_rows, "weekly_derived": weekly_derived, "update_actions": update_actions, "update_runs": update_runs, "streamed_fills_once": streamed_fills_once, "streamed_refresh": streamed_refresh, "streamed_lifecycle": streamed_lifecycle,
 }
 
 _TICKS = f"ticks AS ({bucket_ticks_sql(BUCKETS)})"
@@ -295,5 +312,6 @@ found AS (SELECT 1 AS run, 'normalize_canonical' AS what, symbol, 'd1' AS "inter
   UNION ALL SELECT 3, unnest(['derive_canonical', 'written']), 'EURUSD', 'w1', m, unnest(['stale: parent D1 revision changed', '']) FROM touched)
 SELECT CAST(run AS INTEGER) AS run, what, symbol, "interval", CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, reason FROM found""",
     "streamed_fills_once": "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS broker_fill_id, CAST(1 AS BIGINT) AS times FROM lineitem",
+    "streamed_lifecycle": order_queries.ORACLES["order_lifecycle"],
     "streamed_refresh": f"""WITH {_TICKS}, o AS (SELECT symbol, date_trunc('second', ts) AS time, max(seq) AS seq, max(price) AS price FROM ticks GROUP BY ALL) SELECT symbol, {as_string('time')} AS time, seq, price + CASE WHEN seq % 5 < 2 THEN 7 ELSE 0 END AS price FROM o""",
 }

@@ -1,42 +1,92 @@
-"""Order events as a stream: the same fold as in batch, with its state kept by Spark."""
+"""Order events as a stream: the same fold as in batch, with its state kept by Spark: a value for the order, and maps of the fills that it has seen."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.orders import STATE_SCHEMA, OrderState, events_of, result_row, result_rows, sendable
 
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ENDED = ("filled", "canceled", "rejected", "expired")
+TERMS = ("quantity", "limit_price", "stop_price")
+#: The order without its fills: what its state variable holds.
+ORDER = (
+    "account_id string, instrument_id string, side string, status string, accepted long, filled long, limit_price long, stop_price long, pending string, broker_order_id string, proposed_quantity long, proposed_limit_price long,"
+    " proposed_stop_price long, applied long, refused long, last_refusal string, timed boolean"
+)
 
-def _dump(state: OrderState, counts: list) -> str:
-    return json.dumps({**vars(state), "fills": sorted(state.fills), "broker_fills": sorted(state.broker_fills), "counts": counts})
 
+class _Seen:
+    """A set of texts kept as a map state: each is looked up and put by itself, however many there are."""
 
-def _load(text: str) -> tuple[OrderState, list]:
-    held = json.loads(text)
-    counts = held.pop("counts")
-    return OrderState(**{**held, "fills": set(held["fills"]), "broker_fills": set(held["broker_fills"])}), counts
+    def __init__(self, held):
+        self.held = held
 
+    def __contains__(self, text: str) -> bool:
+        return self.held.containsKey((text or "",))
 
-def order_states(events: DataFrame) -> DataFrame:
-    """Stream of ``events`` (order_id and the columns of the batch fold, numbered by seq) to an updated row per order and micro-batch.
+    def add(self, text: str) -> None:
+        self.held.updateValue((text or "",), (True,))
 
-    Within a batch events are applied by seq. A terminal order's state is kept, since fills and results may be delivered again.
-    """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, counts = _load(held.get[0]) if held.exists else (OrderState(), [0, 0, None])
-        for e in events_of(pd.concat(list(batches)).sort_values("seq")):
+class OrderProcessor(StatefulProcessor):
+    """Folds an order's events by seq within each micro-batch. An order that has ended is dropped once the watermark is ``keep_ms`` beyond the event that ended it (never, without event time); what comes after that finds no order."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.order = handle.getValueState("order", ORDER)
+        self.fills = handle.getMapState("fills", "id string", "seen boolean")
+        self.broker_fills = handle.getMapState("broker_fills", "id string", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state, counts, timed = self._load()
+        batch = pd.concat(list(rows)).sort_values("seq")
+        for e in events_of(batch):
             why = state.apply(e)
             counts = [counts[0] + (not why), counts[1] + bool(why), why or counts[2]]
-        held.update((_dump(state, counts),))
+        if self.keep_ms is not None and state.status in ENDED and not timed:
+            self.handle.registerTimer(int(batch["ts"].max().timestamp() * 1000) + self.keep_ms)
+            timed = True
+        proposed = [state.proposed.get(c) for c in TERMS]
+        own = (state.account_id, state.instrument_id, state.side, state.status, state.accepted, state.filled, state.limit_price, state.stop_price, state.pending, state.broker_order_id)
+        self.order.update((*own, *proposed, *counts, timed))
         yield result_rows([result_row(key[0], state, counts)])
 
-    return sendable(events).groupBy("order_id").applyInPandasWithState(step, STATE_SCHEMA, "state string", "update", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for state in (self.order, self.fills, self.broker_fills):
+            state.clear()
+        return iter([])
+
+    def _load(self) -> tuple[OrderState, list, bool]:
+        seen = {"fills": _Seen(self.fills), "broker_fills": _Seen(self.broker_fills)}
+        held = self.order.get() if self.order.exists() else None
+        if held is None:
+            return OrderState(**seen), [0, 0, None], False
+        *own, quantity, limit_price, stop_price, applied, refused, last, timed = held
+        names = ("account_id", "instrument_id", "side", "status", "accepted", "filled", "limit_price", "stop_price", "pending", "broker_order_id")
+        proposed = {c: v for c, v in zip(TERMS, (quantity, limit_price, stop_price), strict=True) if v is not None}
+        return OrderState(**dict(zip(names, own, strict=True)), proposed=proposed, **seen), [applied, refused, last], timed
+
+
+def order_states(events: DataFrame, late: str = "1 day", keep_days: float = 30) -> DataFrame:
+    """Stream of ``events`` (order_id and the columns of the batch fold, numbered by seq, and ts if they have times) to an updated row per order and micro-batch.
+
+    Within a batch events are applied by seq. A fill looks its own ids up, so work for an event doesn't grow with the fills there were. With ts, a watermark ``late`` behind it drops an ended order ``keep_days`` after it ended: until then
+    fills and results may be delivered again. State variables need the RocksDB provider, which is set on the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    timed = "ts" in events.columns
+    own = events.where("order_id IS NOT NULL")
+    sent = sendable(own.withWatermark("ts", late), "ts") if timed else sendable(own)
+    processor = OrderProcessor(round(keep_days * 86_400_000) if timed else None)
+    return sent.groupBy("order_id").transformWithStateInPandas(processor, STATE_SCHEMA, "Update", "EventTime" if timed else "None")
 
 
 def once(fills: DataFrame, late: str = "1 day") -> DataFrame:

@@ -374,6 +374,26 @@ def test_stream_of_orders_agrees_with_batch(spark):
     assert last == batch and len(batch) == 12
 
 
+def test_ended_orders_are_dropped(spark):
+    """An order that has ended is kept for a while, then what comes for it finds no order."""
+    from barloom.streaming.orders import order_states
+
+    schema = ", ".join(["order_id string", "ts timestamp"] + [f"{c} {'long' if c in ('seq', 'quantity', 'limit_price', 'stop_price') else 'boolean' if c == 'rejected' else 'string'}" for c in od.EVENT_COLUMNS])
+    known = {"account_id": "a", "instrument_id": "i", "side": "buy", "rejected": False}
+    event = lambda order, day, seq, kind: (order, at(f"2024-01-{day:02d}"), *[{"seq": seq, "kind": kind, **known}.get(c) for c in od.EVENT_COLUMNS])
+    folder = tempfile.mkdtemp(prefix="barloom-ended-")
+    add = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    add(event("o", 1, 1, "submit"), event("o", 1, 2, "reject"))
+    query = order_states(spark.readStream.schema(schema).parquet(folder), keep_days=3).writeStream.outputMode("update").format("memory").queryName("ended_out").option("checkpointLocation", tempfile.mkdtemp()).start()
+    query.processAllAvailable()
+    for rows in ([event("o", 3, 3, "reject"), event("p", 3, 1, "submit")], [event("p", 9, 2, "reject")], [event("o", 9, 4, "reject")]):
+        add(*rows)
+        query.processAllAvailable()
+    query.stop()
+    got = [(r.status, r.applied, r.refused, r.last_refusal) for r in spark.table("ended_out").where("order_id = 'o'").collect()]
+    assert got == [("rejected", 2, 0, None), ("rejected", 2, 1, "illegal"), (None, 0, 1, "no_order")]
+
+
 def test_streamed_refresh_and_bars(spark):
     from barloom.streaming import records
 
