@@ -11,7 +11,7 @@ from ..operators import bars as ops
 from ..operators import coverage as cov
 from ..operators.orders import STATE_SCHEMA
 from ..plans import update
-from ..sources import raw, store
+from ..sources import canonical, raw, store
 from ..sources.shared import fresh_dir, settle
 from ..streaming import orders as stream_orders
 from ..streaming import records as stream_records
@@ -220,6 +220,33 @@ def update_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("run", "what", *columns, "reason")
 
 
+#: What is wrong with the canonical files of a month.
+DEFECTS = {2: "comment", 3: "manifest", 4: "revision", 5: "header", 6: "price", 7: "count", 8: "instrument"}
+
+
+def canonical_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of a year as canonical text files by pair and month, spoiled by month in one way each, read back with proof: of each file its error and the bars that were loaded."""
+    pair = F.coalesce(*[F.when(F.col("symbol") == k, F.lit(v)) for k, v in PAIRS.items()])
+    base = _at("2024-01-01 00:00:00")
+    spread = ticks(spark, sf_dir).withColumns({"symbol": pair, "ts": cal.plus_seconds(base, cal.seconds_between(F.col("ts"), base) * 11)})
+    bars = settle(_months(ops.from_ticks(spread, ["symbol"], "d1"), "d1"))
+    files = canonical.as_files(bars, _held(bars))
+    month, text = F.split("name", "/")[3].cast("int"), F.col("text")
+    spoiled = {
+        "comment": F.regexp_replace(text, " year=2024 ", " year=2023 "), "manifest": F.regexp_replace(text, '"built_at":"', '"built_at":"x'), "revision": F.regexp_replace(text, '"builder_version":"1"', '"builder_version":"2"'),
+        "header": F.replace(text, F.lit("max_spread,ticks"), F.lit("max_spread,volume")), "price": F.regexp_replace(text, r"(?s)^((?:[^\n]*\n){3}[^,]*),[^,]*,", "$1,1e5,"), "count": F.regexp_replace(text, r"[^\n]*\n$", ""),
+        "instrument": F.regexp_replace(text, '"instrument":"fx:...', '"instrument":"fx:XXX'),
+    }
+    changed = F.coalesce(*[F.when(month == m, spoiled[e]) for m, e in DEFECTS.items()], text)
+    root = fresh_dir(spark)
+    settle(store.write_texts(files.select("name", changed.alias("text")), root))
+    good, held, errors = canonical.load_folder(spark, root)
+    loaded = held.select(*store.PARTITION).join(good.groupBy(*store.PARTITION).agg(F.count("*").alias("bars"), F.sum("close").alias("closes")), store.PARTITION, "left").withColumn("error", F.lit(""))
+    zero = F.lit(0).cast("bigint")
+    found = loaded.unionByName(errors.select(*store.PARTITION, zero.alias("bars"), zero.alias("closes"), "error"))
+    return found.select("symbol", "year", "month", "bars", "closes", "error")
+
+
 def streamed_fills_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as a finite stream of fills, of which each order's first to arrive counts."""
     path = f"{sf_dir}/lineitem.parque[t]"  # as a pattern: a stream takes a folder or a pattern, not a file
@@ -259,7 +286,7 @@ def streamed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "publish_errors": publish_errors, "stored_errors": stored_errors, "bar_set_errors": bar_set_errors, "money_arithmetic": money_arithmetic, "range_algebra": range_algebra, "week_states": week_states,
-    "raw_written": raw_written, "legacy_rows": legacy_rows, "weekly_derived": weekly_derived, "update_actions": update_actions, "update_runs": update_runs, "streamed_fills_once": streamed_fills_once, "streamed_refresh": streamed_refresh, "streamed_lifecycle": streamed_lifecycle,
+    "raw_written": raw_written, "legacy_rows": legacy_rows, "weekly_derived": weekly_derived, "update_actions": update_actions, "update_runs": update_runs, "streamed_fills_once": streamed_fills_once, "streamed_refresh": streamed_refresh, "streamed_lifecycle": streamed_lifecycle, "canonical_files": canonical_files,
 }
 
 _TICKS = f"ticks AS ({bucket_ticks_sql(BUCKETS)})"
@@ -312,6 +339,9 @@ found AS (SELECT 1 AS run, 'normalize_canonical' AS what, symbol, 'd1' AS "inter
   UNION ALL SELECT 3, unnest(['derive_canonical', 'written']), 'EURUSD', 'w1', m, unnest(['stale: parent D1 revision changed', '']) FROM touched)
 SELECT CAST(run AS INTEGER) AS run, what, symbol, "interval", CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, reason FROM found""",
     "streamed_fills_once": "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS broker_fill_id, CAST(1 AS BIGINT) AS times FROM lineitem",
+    "canonical_files": f"""WITH ticks AS (SELECT CASE symbol {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in PAIRS.items())} END AS symbol, TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(11 * (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00'))) AS ts, seq, price, spread FROM ({TICKS})),
+b AS ({bars_sql('d1')}), f AS (SELECT symbol, {_MONTH}, count(*) AS n, CAST(sum(close) AS BIGINT) AS c FROM b GROUP BY ALL), e AS (SELECT *, CASE month {' '.join(f"WHEN {m} THEN '{e}'" for m, e in DEFECTS.items())} ELSE '' END AS error FROM f)
+SELECT symbol, year, month, CASE WHEN error = '' THEN n ELSE 0 END AS bars, CASE WHEN error = '' THEN c ELSE 0 END AS closes, error FROM e""",
     "streamed_lifecycle": order_queries.ORACLES["order_lifecycle"],
     "streamed_refresh": f"""WITH {_TICKS}, o AS (SELECT symbol, date_trunc('second', ts) AS time, max(seq) AS seq, max(price) AS price FROM ticks GROUP BY ALL) SELECT symbol, {as_string('time')} AS time, seq, price + CASE WHEN seq % 5 < 2 THEN 7 ELSE 0 END AS price FROM o""",
 }

@@ -47,8 +47,11 @@ def parse_files(files: DataFrame) -> DataFrame:
     layout, comment (it says another partition), manifest (no such JSON, or a time in it), instrument, interval, a rule that the manifest breaks, revision (it isn't that of the fields), header, or of the first bad line fields, time, price, ticks.
     """
     parts = F.split("path", "/")
-    named = files.select("path", "content").withColumns({k: v for k, v in raw.file_fields(F.col("path")).items() if k != "provider"})
-    named = named.withColumn("provider", F.coalesce(F.try_element_at(parts, F.lit(-5)), F.lit("")))
+    part = lambda i: F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit(""))
+    interval = F.regexp_extract(part(-1), r"-([a-z0-9]+)\.csv$", 1)
+    named = files.select("path", "content").withColumns({"provider": part(-5), "symbol": part(-4), "interval": interval, "year": part(-3).try_cast("int"), "month": part(-2).try_cast("int")})
+    placed = (F.concat_ws("-", part(-4), part(-3), part(-2), interval) == F.regexp_replace(part(-1), r"\.csv$", "")) & part(-3).rlike(r"^\d{4}$") & part(-2).rlike("^(0[1-9]|1[0-2])$") & (part(-5) != "")
+    named = named.withColumn("_placed", placed)
     numbered = F.transform(F.split(F.col("content").cast("string"), "\r?\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
     line = lambda i: F.coalesce(F.try_element_at("_lines", F.lit(i))["line"], F.lit(""))
     told = F.str_to_map(F.trim(F.regexp_replace(line(1), r"^\s*#\s*", "")), F.lit(" +"), F.lit("="))
@@ -68,14 +71,14 @@ def parse_files(files: DataFrame) -> DataFrame:
         bad_time = bad_time | (given & raw.utc_time(m[c]).isNull()) | (~given & F.lit(c not in ("first_bar", "last_bar")))
     out = out.withColumns(fields)
     rows = F.filter(F.slice("_lines", 4, 10**9), lambda x: F.trim(x["line"]) != "")
-    bad_row = F.element_at(F.filter(F.transform(rows, lambda x: row_error(x["line"])), lambda e: e.isNotNull()), 1)
+    bad_row = F.try_element_at(F.filter(F.transform(rows, lambda x: row_error(x["line"])), lambda e: e.isNotNull()), F.lit(1))
     out = out.withColumn("lines", rows)
     error = (
-        F.when(F.col("file_error").isNotNull() & (F.col("file_error") != "unsupported_interval"), "layout").when(~agrees, "comment").when(m.isNull() | m["provider"].isNull() | bad_time, "manifest")
+        F.when(~F.col("_placed"), "layout").when(~agrees, "comment").when(m.isNull() | m["provider"].isNull() | bad_time, "manifest")
         .when(manifests.instrument_mismatch() | F.coalesce(F.col("parent_instrument") != F.col("instrument_id"), F.lit(False)), "instrument").when(~F.coalesce(_token(m["interval_unit"], m["interval_count"]) == F.col("interval"), F.lit(False)), "interval")
     )
     checked = F.coalesce(error, manifests.manifest_error(), F.when(~F.col("revision").eqNullSafe(manifests.revision()), "revision"), F.when(F.col("_header") != HEADER, "header"), F.when(F.size("lines") > 0, bad_row))
-    return out.withColumn("error", checked).drop("_lines", "_told", "_m", "_header", "file_error")
+    return out.withColumn("error", checked).drop("_lines", "_told", "_m", "_header", "_placed")
 
 
 def bars_of(parsed: DataFrame) -> DataFrame:
