@@ -29,8 +29,8 @@ RIDGE = 1e-5
 LEAST_MARK = 6.0
 #: With few toxic documents, holding half of them and no other document is enough, from this mark on and with two documents at least.
 FLOOR_MARK = 4.0
-#: Toxic documents are graded 1 to this by the number of marking features; others have grade 0.
-GRADES = 3
+#: Toxic documents are graded 1 to this by what models fitted on the other folds of the sample make of them; others have grade 0.
+GRADES, FOLDS = 3, 3
 
 
 def features(word: str) -> list[str]:
@@ -95,14 +95,27 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: n
     return p[:size], p[size] + np.r_[0, np.cumsum(np.exp(p[size + 1 :]))]
 
 
+def cross_fitted(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, toxic: np.ndarray, size: int, weight: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """How toxic each row is to a model (of one threshold) fitted on the rows of the other folds: a log-odds that its own label had no part in. Where the others lack a class, all rows are fitted."""
+    out = np.zeros(len(toxic))
+    for k in np.unique(fold):
+        others = fold != k
+        if not toxic[others].any() or toxic[others].all():
+            others = np.ones(len(toxic), dtype=bool)
+        place, held = np.cumsum(others) - 1, others[rows]
+        w, theta = fit_ordinal(place[rows[held]], cols[held], values[held], toxic[others].astype(np.int64), size, levels=1, weight=weight[others])
+        score = np.bincount(rows, weights=values * w[cols], minlength=len(toxic)) - theta[0]
+        out[fold == k] = score[fold == k]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS) -> Ordinal:
     """Fit on about ``fit_docs`` labelled documents and ``fit_words`` features.
 
     Toxic and other documents are sampled each by their own bound, so rare toxic ones are all there; weights give each class its share of all labels back.
 
     ``labels`` (doc_id, toxic); a document with several labels is toxic if one says so; null labels don't count.
-    Grades: 0 where not toxic; toxic documents get 1 to ``GRADES`` by thirds of how often they hold features that mark toxic
-    documents. Equal texts in the sample count once. Features are counted in Spark; only the chosen ones' counts come to the driver.
+    Grades: 0 where not toxic; toxic documents get 1 to ``GRADES`` by thirds of their log-odds under models fitted on other documents (``cross_fitted``), so no grade is told from weights that its own label has shaped. Equal texts in the sample count once. Features are counted in Spark; only the chosen ones' counts come to the driver.
     Without toxic and other documents the model calls nothing toxic; so it does, with a warning, where no feature tells them apart.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
@@ -159,12 +172,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_words:
     counts = np.concatenate([np.asarray(x, dtype=np.int64) for x in sample["counts"]])
     toxic = sample["toxic"].to_numpy() > 0
     weight = np.where(toxic, share[1], share[0])
-    found = np.bincount(rows, weights=counts, minlength=len(sample))
-    some = found[toxic & (found > 0)]
-    edges = np.quantile(some, np.arange(1, GRADES) / GRADES) if len(some) else np.zeros(0)
-    grade = np.where(toxic, 1 + np.searchsorted(edges, found, side="left"), 0)
-    w, theta = fit_ordinal(rows, cols, 1 + 0.5 * np.log(counts), grade, len(place), weight=weight)
-    up = 1 / (1 + np.exp(np.clip(theta[0] - np.bincount(rows, weights=(1 + 0.5 * np.log(counts)) * w[cols], minlength=len(sample)), -50, 50)))
+    values = 1 + 0.5 * np.log(counts)
+    odds = cross_fitted(rows, cols, values, toxic, len(place), weight, np.array([int(i[:8], 16) % FOLDS for i in sample["id"]]))
+    grade = np.where(toxic, 1 + np.searchsorted(np.quantile(odds[toxic], np.arange(1, GRADES) / GRADES), odds, side="left"), 0)
+    w, theta = fit_ordinal(rows, cols, values, grade, len(place), weight=weight)
+    up = 1 / (1 + np.exp(np.clip(theta[0] - np.bincount(rows, weights=values * w[cols], minlength=len(sample)), -50, 50)))
     return Ordinal({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-3}, theta, best_cut(up, toxic, weight))
 
 

@@ -418,6 +418,37 @@ def test_severity_is_the_expected_grade(spark):
         assert got[i].severity == pytest.approx((chance * np.arange(4)).sum()) and got[i].grade == chance.argmax() and got[i].toxic == (up[0] >= 0.5)
 
 
+def test_severity_ranks_documents_outside_the_fit(spark):
+    """Documents with none to six insults, of which labels only say toxic or not: outside the fit, severity follows their number."""
+    rng = random.Random(17)
+    rows, labels, insults = [], [], {}
+    for i in range(1200):
+        n = rng.choice([0, 0, 0, 1, 2, 4, 6])
+        insults[i] = n
+        words = text(rng, rng.randint(30, 90)).split() + [rng.choice(["vile", "nasty", "brute", "wretch", "scum"]) for _ in range(n)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        if i % 2:
+            labels.append((i, int(n > 0 and rng.random() < 0.9)))
+    frame = docs(spark, rows)
+    model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(frame, model).collect() if r.doc_id % 2 == 0}
+    rank = lambda v: np.argsort(np.argsort(v))
+    outside = [i for i in got if insults[i]]
+    order = np.corrcoef(rank([got[i].severity for i in outside]), rank([insults[i] + 1e-6 * i for i in outside]))[0, 1]
+    means = [np.mean([got[i].severity for i in got if insults[i] == n]) for n in (0, 1, 2, 4, 6)]
+    assert order > 0.5 and means == sorted(means)
+    assert len({got[i].grade for i in outside}) >= 3
+
+
+def test_grades_come_from_other_folds():
+    """A label that no other document bears out leaves its document's odds low: its own fold has no say."""
+    rows, cols = np.array([*range(40), 40]), np.array([0] * 20 + [1] * 20 + [2])
+    toxic = np.array([True] * 20 + [False] * 20 + [True])
+    odds = toxicity.cross_fitted(rows, cols, np.ones(41), toxic, 3, np.ones(41), np.arange(41) % 3)
+    assert odds[:20].min() > odds[40] + 0.5 > odds[20:40].max() - 5 and odds[40] < odds[0]
+
+
 def test_no_labels_means_nothing_is_toxic(spark):
     rows, _ = labelled(n=20)
     none = spark.createDataFrame([], "doc_id long, toxic int")
