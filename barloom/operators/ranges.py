@@ -72,3 +72,9 @@ def bars_for(requests: DataFrame, bars: DataFrame, spans: DataFrame, request: st
     good = each.join(status.where("status = 'ok'").select(request), request, "left_semi")
     place = F.row_number().over(Window.partitionBy(request).orderBy("time"))
     return good.select(*own, "v.*", place.alias("position")), status
+
+
+def manifests_used(requests: DataFrame, manifests: DataFrame, status: DataFrame, request: str, keys: list[str]) -> DataFrame:
+    """What the answers of ``bars_for`` rest on: for each request that it calls ok the ``manifests`` (keys, year, month, ...) of the months that were read, neighbours included, with all their columns."""
+    answered = requests.join(status.where("status = 'ok'").select(request), request, "left_semi")
+    return months_of(answered, [request, *keys]).join(manifests, [*keys, "year", "month"])

@@ -219,6 +219,32 @@ def raw_actions(asked: DataFrame, now: Column, snapshot: Snapshot) -> DataFrame:
     return settle(planner.raw_actions(everything, KEYS, settle(extend)).select(*month, "kind", "reason"))
 
 
+def coverage(spark: SparkSession, archive: str | None, canonical: str, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(partitions, gaps) of ``requests`` (provider, symbol, interval, from_ts, to_ts) in one job.
+
+    partitions: each month touched (keys, year, month) with its status, which is settled first: missing, invalid, stale (against the archive, or against the revisions that it was derived from) or current, and incomplete_rows of its raw file.
+    gaps (keys, year, month, state, gap_start, gap_end, bars): of current months only; no other gets a spine.
+    """
+    asked = settle(_of_requests(requests))
+    seen = Snapshot.of(spark, archive, canonical, _looked_at(asked))
+    weekly = F.col("interval") == WEEKLY
+    built = cov.partition_status(asked.where(~weekly), seen.held, seen.known, seen.errors, KEYS)
+    derived = cov.derived_status(asked.where(weekly).select(*PAIR, *MONTH), seen.held.where(weekly), seen.parents(), seen.errors.where(weekly), PAIR)
+    derived = derived.select(*PAIR, F.lit(WEEKLY).alias("interval"), *MONTH, "status", F.lit(0).cast("bigint").alias("incomplete_rows"))
+    partitions = settle(built.unionByName(derived))
+    current = settle(asked.join(partitions.where(F.col("status") == cov.CURRENT).select(*KEYS, *MONTH), [*KEYS, *MONTH], "left_semi"))
+    found = None
+    for (interval,) in current.select("interval").distinct().collect():  # of five
+        months = current.where(F.col("interval") == interval).drop("interval")
+        bars = _bars(spark, canonical, months, interval)
+        states = cov.week_states(months, bars, PAIR, now) if interval == WEEKLY else cov.interval_states(months, bars.select(*PAIR, "time"), PAIR, interval, now)
+        one = cov.gaps(states, [*PAIR, *MONTH]).withColumn("interval", F.lit(interval))
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = spark.createDataFrame([], "provider string, symbol string, year int, month int, state string, gap_start timestamp_ntz, gap_end timestamp_ntz, bars bigint, interval string")
+    return partitions, found.select(*KEYS, *MONTH, "state", "gap_start", "gap_end", "bars")
+
+
 def runnable() -> Column:
     """Whether this step can run an action: a rebuild that waits for a download would change nothing."""
     return F.col("kind").isin(planner.NORMALIZE, planner.DERIVE) & ~F.startswith(F.col("reason"), F.lit("extend"))

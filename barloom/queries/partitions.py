@@ -42,14 +42,23 @@ def overlap_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bars_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range queries on hourly bars, one for each symbol and week that it has; stored spans leave out a day of two symbols, and those requests get no bars."""
-    return as_text(_requests(spark, sf_dir)[0], "time")
+    return as_text(ranges.bars_for(*_requests(spark, sf_dir))[0], "time")
 
 
 def bars_request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_text(_requests(spark, sf_dir)[1], "conflict_at", "hole_start").select("request", "status", "conflict_at", "hole_start")
+    return as_text(ranges.bars_for(*_requests(spark, sf_dir))[1], "conflict_at", "hole_start").select("request", "status", "conflict_at", "hole_start")
 
 
-def _requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def bars_request_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monthly manifests that each answered request rests on."""
+    requests, bars, spans, request, keys, values = _requests(spark, sf_dir)
+    held = manifests.summary(bars.dropDuplicates(["symbol", "time"]), ["symbol", "year", "month"])
+    status = ranges.bars_for(requests, bars, spans, request, keys, values)[1]
+    return as_text(ranges.manifests_used(requests, held, status, request, keys), "first_bar", "last_bar")
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> tuple:
+    """What ``ranges.bars_for`` takes."""
     bars = settle(ops.from_ticks(ticks(spark, sf_dir), ["symbol"], "h1").withColumns({"year": F.year("time"), "month": F.month("time")}))
     first = F.trunc(F.min("time"), "week")
     names = bars.groupBy("symbol").agg(first.cast("timestamp_ntz").alias("base"), F.max("time").alias("hi"))
@@ -63,7 +72,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     # a copy of the view bars with one hour changed: its request conflicts
     odd = F.col("time") == F.col("base") + F.expr("INTERVAL '2 5' DAY TO HOUR")
     copy = bars.where(F.col("symbol") == "view").join(names.select("symbol", "base"), "symbol").withColumn("close", F.col("close") + F.when(odd, 1).otherwise(0)).drop("base")
-    return ranges.bars_for(requests, bars.unionByName(copy), spans, "request", ["symbol"], ["open", "high", "low", "close"])
+    return requests, bars.unionByName(copy), spans, "request", ["symbol"], ["open", "high", "low", "close"]
 
 
 def _manifests(bars: DataFrame) -> DataFrame:
@@ -205,7 +214,7 @@ def fetch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "month_holes": month_holes, "span_union_gap": span_union_gap, "overlap_conflicts": overlap_conflicts, "bars_request": bars_request, "bars_request_status": bars_request_status, "manifest_check": manifest_check,
+    "month_holes": month_holes, "span_union_gap": span_union_gap, "overlap_conflicts": overlap_conflicts, "bars_request": bars_request, "bars_request_status": bars_request_status, "bars_request_manifests": bars_request_manifests, "manifest_check": manifest_check,
     "manifest_revision": manifest_revision, "stale_partitions": stale_partitions, "plan_actions": plan_actions, "skipped_actions": skipped_actions, "derived_staleness": derived_staleness, "extend_needed": extend_needed,
     "ready_weeks": ready_weeks, "week_spans": week_spans, "derive_actions": derive_actions, "fetch_windows": fetch_windows,
 }
@@ -253,6 +262,9 @@ SELECT r.o_custkey, {as_string('x[1]')} AS hole_start, {as_string('x[2]')} AS ho
     "overlap_conflicts": "SELECT o_orderkey, CAST(2 AS BIGINT) AS versions FROM orders WHERE o_orderkey % 14 = 0",
     "bars_request": f"WITH {_REQUESTS} SELECT request, symbol, {as_string('time')} AS time, open, high, low, close, CAST(row_number() OVER (PARTITION BY request ORDER BY time) AS INTEGER) AS position FROM bars JOIN final USING (symbol) WHERE status = 'ok' AND time >= f AND time < t",
     "bars_request_status": f"WITH {_REQUESTS} SELECT request, status, {as_string('conflict_at')} AS conflict_at, {as_string('hole_start')} AS hole_start FROM final",
+    "bars_request_manifests": f"""WITH {_REQUESTS}, held AS (SELECT symbol, date_trunc('month', time) AS m, count(*) AS bar_count, min(time) AS lo, max(time) AS hi FROM bars GROUP BY ALL)
+SELECT request, symbol, CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, bar_count, {as_string('lo')} AS first_bar, {as_string('hi')} AS last_bar FROM final JOIN held USING (symbol)
+WHERE status = 'ok' AND m >= date_trunc('month', f) - INTERVAL 1 MONTH AND m <= date_trunc('month', t - INTERVAL 1 MICROSECOND) + INTERVAL 1 MONTH""",
     "manifest_check": f"""WITH {_MANIFESTS} SELECT symbol, CAST(day AS VARCHAR) AS day, CASE WHEN provider = '' THEN 'provider' WHEN "interval" = 'h2' THEN 'interval' WHEN span_end <= span_start THEN 'span' WHEN basis = 'last' THEN 'basis' WHEN schema_version <= 0 THEN 'schema_version'
   WHEN {_D} = 8 THEN 'fingerprint' WHEN builder_version = '' THEN 'version' WHEN {_D} = 12 THEN 'built_at' WHEN bar_count < 0 THEN 'bar_count'
   WHEN CASE WHEN bar_count = 1 THEN first_bar <> last_bar ELSE last_bar <= first_bar END THEN 'bar_range' WHEN {_D} IN (10, 11) THEN 'parent' END AS error,

@@ -10,7 +10,7 @@ from ..functions import decimals as dec
 from ..operators import bars as ops
 from ..operators import coverage as cov
 from ..operators.orders import STATE_SCHEMA
-from ..plans import update
+from ..plans import planner, update
 from ..sources import canonical, raw, store
 from ..sources.shared import fresh_dir, settle
 from ..streaming import orders as stream_orders
@@ -152,10 +152,10 @@ def weekly_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS = {"click": "EURUSD", "error": "GBPUSD", "purchase": "USDJPY", "signup": "AUDUSD", "view": "USDCAD"}
 
 
-def _raw_files(bars: DataFrame) -> DataFrame:
+def _raw_files(bars: DataFrame, complete: Column | None = None) -> DataFrame:
     """(name, text) of the raw daily files that hold ``bars``, by pair and month: a file has a line a day, however many ticks there are."""
     side = lambda add: [dec.text_of(F.col(c) + add) for c in ("open", "high", "low", "close")]
-    line = F.concat_ws(",", F.concat(F.regexp_replace(F.col("time").cast("string"), " ", "T"), F.lit("Z")), *side(F.lit(0)), *side(F.col("avg_spread")), F.col("ticks").cast("string"), F.lit("true"))
+    line = F.concat_ws(",", F.concat(F.regexp_replace(F.col("time").cast("string"), " ", "T"), F.lit("Z")), *side(F.lit(0)), *side(F.col("avg_spread")), F.col("ticks").cast("string"), F.lit("true") if complete is None else complete.cast("string"))
     rows = bars.select("symbol", F.date_format("time", "yyyy").alias("y"), F.date_format("time", "MM").alias("m"), F.struct("time", line.alias("line")).alias("l"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n")
     name = F.concat_ws("/", "symbol", "y", "m", F.concat(F.concat_ws("-", "symbol", "y", "m", F.lit("d1")), F.lit(".csv")))
@@ -181,6 +181,17 @@ def update_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.actions.select(F.lit("first").alias("plan"), *columns).unionByName(left)
 
 
+def exported_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What raw daily files need that were never built, as texts of JSON, written and read back."""
+    archive, bars = _archived(spark, sf_dir)
+    asked = bars.groupBy(F.lit("oanda").alias("provider"), "symbol", F.lit("d1").alias("interval")).agg(F.min("time").alias("from_ts"), F.max(cal.bar_end(F.col("time"), "day")).alias("to_ts"))
+    out = fresh_dir(spark)
+    months = settle(update._of_requests(asked))
+    seen = update.Snapshot.of(spark, archive, f"{out}/store", months)
+    store.export_json(planner.staged(update.raw_actions(months, _at(BUILT), seen)), f"{out}/plan")
+    return spark.read.text(f"{out}/plan")
+
+
 #: The days of events are put so many times as far apart, which makes a month of them several.
 STRETCH = 4
 
@@ -220,6 +231,31 @@ def update_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("run", "what", *columns, "reason")
 
 
+def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of daily and weekly bars built from raw files that lack the 15th, and in one pair end each month with a provisional row. Then one file changes (March), another does and is built again (April), and one manifest is spoiled (January
+    of the other pair): status of each month asked for, and the gaps of those that are current."""
+    bars = _stretched(spark, sf_dir).where(F.dayofmonth(cal.session_date(F.col("time"))) != 15)
+    last = bars.groupBy("symbol", F.year("time").alias("year"), F.month("time").alias("month")).agg(F.max("time").alias("_last"))
+    marked = settle(bars.withColumns({"year": F.year("time"), "month": F.month("time")}).join(last, ["symbol", "year", "month"]))
+    complete = (F.col("symbol") != "USDJPY") | (F.col("time") < F.col("_last"))
+    archive, out, now = fresh_dir(spark), fresh_dir(spark), _at("2024-06-01 00:00:00")
+    settle(store.write_texts(_raw_files(marked, complete), archive))
+    update.normalise_archive(spark, archive, out, now)
+    update.derive_weeks(spark, out, now, archive=archive)
+    changed = marked.where("symbol = 'EURUSD' AND year = 2024 AND month IN (3, 4)").withColumn("ticks", F.col("ticks") + 1)
+    settle(store.write_texts(_raw_files(changed, complete), archive))
+    april = raw.listing(spark, archive).where("symbol = 'EURUSD' AND year = 2024 AND month = 4")
+    update.normalise_archive(spark, archive, out, now, april)
+    spoiled = store.load(spark, out)[1].where("symbol = 'USDJPY' AND interval = 'd1' AND year = 2024 AND month = 1").withColumn("revision", F.lit("00"))
+    store._write(settle(spoiled), f"{out}/manifests")
+    span = bars.groupBy("symbol").agg(F.min("time").alias("from_ts"), (F.max(cal.bar_end(F.col("time"), "day")) + F.expr("INTERVAL 40 DAYS")).alias("to_ts"))
+    requests = span.select(F.lit("oanda").alias("provider"), "symbol", F.explode(F.array(F.lit("d1"), F.lit("w1"))).alias("interval"), "from_ts", "to_ts")
+    partitions, gaps = update.coverage(spark, archive, out, requests, now)
+    zero = F.lit(0).cast("bigint")
+    status = partitions.select("symbol", "interval", "year", "month", "status", "incomplete_rows", F.lit("").alias("gap_start"), F.lit("").alias("gap_end"), zero.alias("bars"))
+    return status.unionByName(as_text(gaps.select("symbol", "interval", "year", "month", F.col("state").alias("status"), zero.alias("incomplete_rows"), "gap_start", "gap_end", "bars"), "gap_start", "gap_end"))
+
+
 #: What is wrong with the canonical files of a month.
 DEFECTS = {2: "comment", 3: "manifest", 4: "revision", 5: "header", 6: "price", 7: "count", 8: "instrument"}
 
@@ -286,7 +322,7 @@ def streamed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "publish_errors": publish_errors, "stored_errors": stored_errors, "bar_set_errors": bar_set_errors, "money_arithmetic": money_arithmetic, "range_algebra": range_algebra, "week_states": week_states,
-    "raw_written": raw_written, "legacy_rows": legacy_rows, "weekly_derived": weekly_derived, "update_actions": update_actions, "update_runs": update_runs, "streamed_fills_once": streamed_fills_once, "streamed_refresh": streamed_refresh, "streamed_lifecycle": streamed_lifecycle, "canonical_files": canonical_files,
+    "raw_written": raw_written, "legacy_rows": legacy_rows, "weekly_derived": weekly_derived, "update_actions": update_actions, "update_runs": update_runs, "streamed_fills_once": streamed_fills_once, "streamed_refresh": streamed_refresh, "streamed_lifecycle": streamed_lifecycle, "canonical_files": canonical_files, "coverage_report": coverage_report, "exported_plan": exported_plan,
 }
 
 _TICKS = f"ticks AS ({bucket_ticks_sql(BUCKETS)})"
@@ -339,6 +375,28 @@ found AS (SELECT 1 AS run, 'normalize_canonical' AS what, symbol, 'd1' AS "inter
   UNION ALL SELECT 3, unnest(['derive_canonical', 'written']), 'EURUSD', 'w1', m, unnest(['stale: parent D1 revision changed', '']) FROM touched)
 SELECT CAST(run AS INTEGER) AS run, what, symbol, "interval", CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, reason FROM found""",
     "streamed_fills_once": "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS broker_fill_id, CAST(1 AS BIGINT) AS times FROM lineitem",
+    "exported_plan": f"""WITH ticks AS ({TICKS}), b AS ({bars_sql('d1')}), p AS (SELECT DISTINCT CASE symbol {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in PAIRS.items())} END AS symbol, {_MONTH} FROM b)
+SELECT '{{"provider":"oanda","symbol":"' || symbol || '","interval":"d1","year":' || year || ',"month":' || month || ',"kind":"normalize_canonical","reason":"missing","stage":1}}' AS value FROM p""",
+    "coverage_report": f"""WITH s AS (SELECT TIMESTAMP '2024-01-01 00:00:00' + to_microseconds({STRETCH} * (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00'))) AS ts FROM events),
+d AS (SELECT DISTINCT {session_date('ts')} AS d FROM s WHERE dayofweek({session_date('ts')}) NOT IN (5, 6) AND day({session_date('ts')}) <> 15), raws AS (SELECT d, {day_at('d')} AS t, date_trunc('month', {day_at('d')}) AS m FROM d),
+pairs(symbol) AS (VALUES ('EURUSD'), ('USDJPY')), b AS (SELECT min(t) AS lo, {day_at('(max(d) + 1)')} + INTERVAL 40 DAY AS hi, TIMESTAMP '2024-06-01 00:00:00' AS now FROM raws), files AS (SELECT m, max(t) AS last FROM raws GROUP BY m),
+bars AS (SELECT symbol, d, t FROM raws JOIN files USING (m), pairs WHERE symbol = 'EURUSD' OR t < last),
+days AS (SELECT CAST(unnest(generate_series(CAST(lo AS DATE) - 8, CAST(hi AS DATE) + 1, INTERVAL 1 DAY)) AS DATE) AS d FROM b),
+spine AS (SELECT symbol, days.d, {day_at('days.d')} AS t, {day_at('(days.d + 1)')} AS e, dayofweek(days.d) IN (5, 6) AS closed, bars.t IS NOT NULL AS here FROM days CROSS JOIN pairs LEFT JOIN bars USING (symbol, d)),
+weeks AS (SELECT symbol, {day_at('d')} AS t, {day_at('(d + 7)')} AS e FROM days, pairs WHERE dayofweek(d) = 0),
+ready AS (SELECT * FROM weeks k WHERE date_trunc('month', t) IN (SELECT m FROM files) AND date_trunc('month', e - INTERVAL 1 MICROSECOND) IN (SELECT m FROM files) AND NOT EXISTS (SELECT 1 FROM spine p WHERE p.symbol = k.symbol AND p.t >= k.t AND p.t < k.e AND NOT closed AND NOT here)),
+asked AS (SELECT symbol, i AS "interval", unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi - INTERVAL 1 MICROSECOND), INTERVAL 1 MONTH)) AS m FROM b, pairs, (VALUES ('d1'), ('w1')) AS x(i)),
+ends AS (SELECT symbol, date_trunc('month', t) AS m, max(e) AS e FROM ready GROUP BY ALL),
+status AS (SELECT a.symbol, "interval", a.m, CASE WHEN a.m NOT IN (SELECT m FROM files) THEN 'missing' WHEN "interval" = 'd1' AND a.symbol = 'USDJPY' AND a.m = TIMESTAMP '2024-01-01' THEN 'invalid' WHEN "interval" = 'd1' AND a.symbol = 'EURUSD' AND a.m = TIMESTAMP '2024-03-01' THEN 'stale'
+  WHEN "interval" = 'w1' AND a.symbol = 'EURUSD' AND TIMESTAMP '2024-04-01' IN (SELECT m FROM files) AND (a.m = TIMESTAMP '2024-04-01' OR (a.m = TIMESTAMP '2024-03-01' AND coalesce(ends.e > TIMESTAMP '2024-04-01', false))) THEN 'stale' ELSE 'current' END AS status
+  FROM asked a LEFT JOIN ends ON ends.symbol = a.symbol AND ends.m = a.m),
+states AS (SELECT symbol, 'd1' AS "interval", date_trunc('month', t) AS m, t, e, CASE WHEN closed THEN 'closed' WHEN e > now THEN 'in_progress' WHEN here THEN 'present' ELSE 'missing' END AS state FROM spine, b WHERE t >= lo AND t < hi
+  UNION ALL SELECT w.symbol, 'w1', date_trunc('month', w.t), w.t, w.e, CASE WHEN w.e > now THEN 'in_progress' WHEN r.t IS NOT NULL THEN 'present' ELSE 'missing' END FROM b, weeks w LEFT JOIN ready r ON r.symbol = w.symbol AND r.t = w.t WHERE w.t >= lo AND w.t < hi),
+lagged AS (SELECT *, CASE WHEN lag(state) OVER o = state AND lag(e) OVER o = t THEN 0 ELSE 1 END AS fresh FROM states JOIN status USING (symbol, "interval", m) WHERE status = 'current' WINDOW o AS (PARTITION BY symbol, "interval", m ORDER BY t)),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol, "interval", m ORDER BY t) AS island FROM lagged),
+found AS (SELECT symbol, "interval", m, status, CASE WHEN "interval" = 'd1' AND symbol = 'USDJPY' AND m IN (SELECT m FROM files) THEN 1 ELSE 0 END AS incomplete_rows, '' AS gap_start, '' AS gap_end, 0 AS bars FROM status
+  UNION ALL SELECT symbol, "interval", m, state, 0, {as_string('min(t)')}, {as_string('max(e)')}, count(*) FROM islands WHERE state NOT IN ('present', 'closed') GROUP BY symbol, "interval", m, state, island)
+SELECT symbol, "interval", CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, status, CAST(incomplete_rows AS BIGINT) AS incomplete_rows, gap_start, gap_end, CAST(bars AS BIGINT) AS bars FROM found""",
     "canonical_files": f"""WITH ticks AS (SELECT CASE symbol {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in PAIRS.items())} END AS symbol, TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(11 * (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00'))) AS ts, seq, price, spread FROM ({TICKS})),
 b AS ({bars_sql('d1')}), f AS (SELECT symbol, {_MONTH}, count(*) AS n, CAST(sum(close) AS BIGINT) AS c FROM b GROUP BY ALL), e AS (SELECT *, CASE month {' '.join(f"WHEN {m} THEN '{e}'" for m, e in DEFECTS.items())} ELSE '' END AS error FROM f)
 SELECT symbol, year, month, CASE WHEN error = '' THEN n ELSE 0 END AS bars, CASE WHEN error = '' THEN c ELSE 0 END AS closes, error FROM e""",
