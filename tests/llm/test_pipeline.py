@@ -3,11 +3,17 @@
 import itertools
 import os
 import random
+import re
 import tempfile
+import zlib
 
+import numpy as np
 import pytest
 
-from tests.llm.test_llm import WORDS, brute_components, brute_fingerprint, text
+from tests.llm.test_llm import WORDS, brute_components, brute_fingerprint, brute_similar, text
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+Tokenizer = pytest.importorskip("tokenizers").Tokenizer
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -57,5 +63,31 @@ def test_stages(spark, folder):
 
 
 def test_run(spark, folder):
-    rows = corpus_pipeline.run(spark, folder[0]).collect()
-    assert rows and set(rows[0].asDict()) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+    """The rows of a whole run against the four stages told plainly: words that are toxic, Jaccard similarity, patterns, and the library's ids."""
+    path, rows = folder
+    got = corpus_pipeline.run(spark, path).collect()
+    assert set(got[0].asDict()) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+    civil = [(r[0], r[1]) for r in rows if not ("vilest" in (r[1] or "") or "nasty" in (r[1] or ""))]
+    named = dict(r for r in civil if r[0] is not None)
+    kept = {i: named[i] for i in brute_similar(list(named.items()))[1]} | {r[0]: r[1] for r in civil if r[0] is None}
+    redacted = {i: re.sub(r"10\.0\.0\.\d+", "[IP]", re.sub(r"x\d+@y\.org", "[EMAIL]", t or "")) for i, t in kept.items()}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in redacted.items()}
+    by_doc, by_sequence = {}, {}
+    for r in got:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    assert set(by_doc) == set(want)
+    for i, pieces in by_doc.items():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(want[i])
+            assert p.ids_crc32 == zlib.crc32(np.array(want[i][at : at + p.length], dtype="<u4").tobytes())
+            at += p.length
+        assert at == len(want[i])
+    for pieces in by_sequence.values():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 2048
