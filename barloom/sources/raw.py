@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import decimals as dec
@@ -172,7 +176,10 @@ def known_files(spark: SparkSession, root: str, index: str, months: DataFrame |
 
 def records(files: DataFrame, checked: bool = False) -> DataFrame:
     """Rows of ``scan``'s files in file order; raw units, null where a field is bad, with row_error. ``checked``: all files are ok, so there is no error to look for."""
-    each = files.select("provider", "symbol", "interval", "year", "month", "path", F.explode("lines").alias("l"))
+    return _fields_of(files.select("provider", "symbol", "interval", "year", "month", "path", F.explode("lines").alias("l")), checked)
+
+
+def _fields_of(each: DataFrame, checked: bool = False) -> DataFrame:
     f = _fields(F.col("l.line"))
     columns = {"time": utc_time(F.get(f, 0))} | {p: dec.parse(F.get(f, i + 1), signed=False) for i, p in enumerate(PRICES)}
     columns |= {"volume": F.get(f, 9).try_cast("bigint"), "complete": F.when(F.get(f, 10).isin(*TRUE), True).when(F.get(f, 10).isin(*FALSE), False)}
@@ -180,6 +187,71 @@ def records(files: DataFrame, checked: bool = False) -> DataFrame:
     return each.withColumn("line_no", F.col("l.line_no")).withColumns(columns).drop("l")
 
 
+def numbered_lines(spark: SparkSession, root: str) -> DataFrame:
+    """path, length, line_no (from 1) and line (bytes, without the line feed) of all files under ``root``, which are cut into splits like any text, however long they are.
+
+    Rows of a split follow each other in their task, so the number of a line is its place in its block and the lines of the blocks before it: lines are counted per block, and only these counts are summed up by file.
+    """
+    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root)
+    each = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), F.col("value").cast("binary").alias("line"))
+    blocks = each.groupBy("path", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_start")) - F.col("_n")
+    return each.join(settle(blocks.withColumn("_before", before).drop("_n")), ["path", "_start"]).select("path", "length", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line")
+
+
+def fingerprints(lines: DataFrame) -> DataFrame:
+    """path and fingerprint of ``numbered_lines``: the hash of each file's bytes, line after line in the task that has the file; nothing but the running hash is held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, digest, seen, size = None, None, 0, 0
+
+        def end() -> tuple[str, str]:
+            if seen < size:  # the last line ends with a line feed, too
+                digest.update(b"\n")
+            return path, f"sha256:{digest.hexdigest()}"
+
+        for pdf in batches:
+            done = []
+            for own, length, line in zip(pdf["path"], pdf["length"], pdf["line"], strict=True):
+                if own != path:
+                    if path is not None:
+                        done.append(end())
+                    path, digest, seen, size = own, hashlib.sha256(line), len(line), length
+                else:
+                    digest.update(b"\n")
+                    digest.update(line)
+                    seen += len(line) + 1
+            yield pd.DataFrame(done, columns=["path", "fingerprint"])
+        if path is not None:
+            yield pd.DataFrame([end()], columns=["path", "fingerprint"])
+
+    return lines.repartition("path").sortWithinPartitions("path", "line_no").select("path", "length", "line").mapInPandas(run, "path string, fingerprint string")
+
+
+def scan_long(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(files, rows) of an archive with files of any length: what ``scan`` and ``records`` say of them, with no file held as a whole. Empty files have no line and aren't seen. Lines are settled once."""
+    lines = settle(numbered_lines(spark, root))
+    top = qualified(spark, root)
+    spelled = F.when(F.startswith("path", F.lit("file:///")), F.concat(F.lit("file:"), F.substr("path", F.lit(8)))).otherwise(F.col("path"))
+    text = F.regexp_replace(F.col("line").cast("string"), "\r$", "")
+    told = lines.withColumn("path", F.url_decode(F.replace(spelled, F.lit("+"), F.lit("%2B")))).select("path", "line_no", text.alias("line")).withColumns(file_fields(F.col("path"), top)).withColumnRenamed("file_error", "_name_error")
+    told = told.withColumn("_kept", ~F.col("line").rlike(r"^\s*(#.*)?$"))
+    first = told.where("_kept").groupBy("path").agg(F.min("line_no").alias("_header"))
+    told = told.join(first, "path", "left")
+    row = F.col("_kept") & (F.col("line_no") > F.col("_header"))
+    keys = ["provider", "symbol", "interval", "year", "month"]
+    found = told.groupBy("path", *keys, "_name_error").agg(
+        F.bool_or(F.col("_kept") & (F.col("line_no") == F.col("_header")) & (F.col("line") == HEADER)).alias("_has"), F.bool_or(F.when(F.startswith("line", F.lit("#")), comment_error(F.col("line")).isNotNull())).alias("_comment"),
+        F.bool_or(F.when(row, row_error(F.col("line")).isNotNull())).alias("_row"),
+    )
+    error = F.coalesce("_name_error", F.when(~F.coalesce("_has", F.lit(False)), "header"), F.when(F.coalesce("_comment", F.lit(False)), "comment"), F.when(F.coalesce("_row", F.lit(False)), "row"))
+    status = F.when(F.col("_name_error").isNotNull(), "skipped").when(error.isNotNull(), "malformed").otherwise("ok")
+    prints = fingerprints(lines.withColumn("path", F.url_decode(F.replace(spelled, F.lit("+"), F.lit("%2B")))))
+    files = found.select("path", *keys, status.alias("file_status"), error.alias("file_error")).join(prints, "path")
+    each = told.where(row).select(*keys, "path", F.struct("line_no", "line").alias("l"))
+    return files, _fields_of(each)
+
+
 _SIDE = "struct<o:string,h:string,l:string,c:string>"
 CANDLES = f"candles array<struct<complete:boolean,time:string,volume:bigint,bid:{_SIDE},ask:{_SIDE}>>"
 

@@ -209,6 +209,33 @@ def test_archive_scan_and_errors(spark):
     assert [(r.line_no, r.time, r.bid_o, r.complete) for r in rows] == [(4 + i, at("2024-01-08") + dt.timedelta(hours=i), 110000000, True) for i in range(3)]
 
 
+def test_files_of_any_length(spark):
+    """Files cut into many splits give the rows, numbers, errors and fingerprints that they give as a whole."""
+    import os
+
+    tmp = tempfile.mkdtemp(prefix="barloom-long-")
+    good = [line(t) for t in hours("2024-01-08 00:00:00", 60)]
+    bad = [*good[:30], good[30].replace("true", "maybe"), *good[31:]]
+    archive(tmp, {"EURUSD-2024-01-h1.csv": [*HEAD, "", *good], "EURUSD-2024-02-h1.csv": [raw.HEADER, *bad], "EURUSD-2024-03-h1.csv": ["nope", *good], "EURUSD-2024-06-h1.csv": [*HEAD, *good], "XAUUSD-2024-01-h1.csv": [raw.HEADER, *good[:2]]})
+    for month, body in (("04", "\r\n".join([raw.HEADER, *good])), ("05", "\n".join([raw.HEADER, *good, "", ""]) + "\n\n")):
+        os.makedirs(f"{tmp}/EURUSD/2024/{month}")
+        with open(f"{tmp}/EURUSD/2024/{month}/EURUSD-2024-{month}-h1.csv", "w", newline="") as f:
+            f.write(body)
+    whole = raw.scan(spark, tmp)
+    columns = ["path", "symbol", "interval", "year", "month", "file_status", "file_error", "fingerprint"]
+    want = sorted(map(str, whole.select(*columns).collect()))
+    rows = sorted(map(str, raw.records(whole).collect()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        assert spark.read.text(f"{tmp}/EURUSD/2024/01").rdd.getNumPartitions() > 3
+        files, records = raw.scan_long(spark, tmp)
+        assert sorted(map(str, files.select(*columns).collect())) == want
+        assert sorted(map(str, records.select(*raw.records(whole).columns).collect())) == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_offsets_and_fractions_of_time(spark):
     df = spark.createDataFrame([("2024-01-08T01:30:00+01:30",), ("2024-01-08T00:00:00.123456789Z",), ("2024-01-08T00:00:00",)], "t string")
     assert [r[0] for r in df.select(raw.utc_time(F.col("t"))).collect()] == [at("2024-01-08"), at("2024-01-08 00:00:00.123456"), None]
