@@ -39,8 +39,19 @@ def divide_half_even(value: Column, by: Column) -> Column:
 
 
 def multiply(a: Column | str | int, rate: Column | str | int) -> Column:
-    """Units times a rate in units."""
-    return in_range(divide_half_even(wide(a) * wide(rate), F.lit(SCALE).cast("decimal(10,0)")))
+    """Units times a rate in units, half to even; null beyond 64 bits.
+
+    Both are split at the scale, so that 64-bit integers do: whole x rate + part x whole + part x part / scale. All terms have the sign of the product, so none is beyond 64 bits unless it is.
+    """
+    a, rate = _col(a).cast("bigint"), _col(rate).cast("bigint")
+    of = lambda x: (F.call_function("div", x, F.lit(SCALE)), x % SCALE)
+    (whole, part), (rate_whole, rate_part) = of(a), of(rate)
+    small = part * rate_part
+    quotient, rest = of(small)
+    cut = F.try_add(F.try_add(F.try_multiply(whole, rate), part * rate_whole), quotient)
+    twice = 2 * F.abs(rest)
+    up = (twice > SCALE) | ((twice == SCALE) & (cut % 2 != 0))
+    return F.when(up, F.try_add(cut, F.signum(small).cast("bigint"))).otherwise(cut)
 
 
 def divide(a: Column | str | int, b: Column | str | int) -> Column:
