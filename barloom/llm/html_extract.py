@@ -308,7 +308,8 @@ def _by_broadcast(rows: DataFrame, told: DataFrame, least: float) -> DataFrame:
     """Texts of ``rows`` (page_id, url, html, host) where they are, with all site trees as one broadcast table, ordered by host."""
     table = told.select("host", "path", "pages", "importance").toPandas().sort_values("host", kind="stable")
     hosts, first = np.unique(table["host"].to_numpy(dtype=str), return_index=True)
-    places = dict(zip(hosts.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(table)], strict=True), strict=True))
+    ends = [*first[1:].tolist(), len(table)][: len(first)]  # none, where nothing is told
+    places = dict(zip(hosts.tolist(), zip(first.tolist(), ends, strict=True), strict=True))
     shared = rows.sparkSession.sparkContext.broadcast((places, *(table[c].to_numpy() for c in ("path", "pages", "importance"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
