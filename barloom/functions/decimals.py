@@ -1,6 +1,7 @@
 """Exact fixed-point arithmetic on columns of raw units (BIGINT, 1 unit = 1e-8).
 
 Every result that a signed 64-bit integer can't hold is null, so a job can keep good rows and set the others aside.
+Sums, differences and signs take wider operands (integral decimals), too: only what comes out must fit.
 Products and quotients go through DECIMAL(38,0) and are rounded half to even.
 """
 
@@ -60,21 +61,21 @@ def divide(a: Column | str | int, b: Column | str | int) -> Column:
 
 
 def add(a: Column | str, b: Column | str) -> Column:
-    return F.try_add(_col(a), _col(b))
+    return F.try_add(_col(a), _col(b)).try_cast("bigint")
 
 
 def subtract(a: Column | str, b: Column | str, signed: bool = True) -> Column:
     """Difference; unless ``signed``, null where it is below zero."""
-    difference = F.try_subtract(_col(a), _col(b))
+    difference = F.try_subtract(_col(a), _col(b)).try_cast("bigint")
     return difference if signed else F.when(difference >= 0, difference)
 
 
 def negate(a: Column | str) -> Column:
-    return F.when(_col(a) != LEAST, -_col(a))
+    return subtract(F.lit(0), a)
 
 
 def absolute(a: Column | str) -> Column:
-    return F.when(_col(a) != LEAST, F.abs(_col(a)))
+    return F.when(_col(a) < 0, negate(a)).otherwise(_col(a).try_cast("bigint"))
 
 
 def sign(a: Column | str) -> Column:
@@ -140,7 +141,7 @@ def money(amount: Column | str, currency: Column | str) -> Column:
 
 def money_add(a: Column, b: Column, sign_of_b: int = 1) -> Column:
     """Sum (or difference) of two amounts of one currency; null otherwise."""
-    total = F.try_add(a["amount"], b["amount"]) if sign_of_b > 0 else F.try_subtract(a["amount"], b["amount"])
+    total = add(a["amount"], b["amount"]) if sign_of_b > 0 else subtract(a["amount"], b["amount"])
     return F.when((a["currency"] == b["currency"]) & total.isNotNull(), F.struct(total.alias("amount"), a["currency"].alias("currency")))
 
 
@@ -164,4 +165,4 @@ def money_absolute(a: Column) -> Column:
 
 def money_error(a: Column, b: Column) -> Column:
     """Why two amounts can't be put together: a missing currency or amount, two currencies, or a sum beyond 64 bits; or null."""
-    return F.when(a.isNull() | b.isNull(), "missing").when(a["currency"] != b["currency"], "mismatch").when(F.try_add(a["amount"], b["amount"]).isNull(), RANGE)
+    return F.when(a.isNull() | b.isNull(), "missing").when(a["currency"] != b["currency"], "mismatch").when(add(a["amount"], b["amount"]).isNull(), RANGE)

@@ -27,6 +27,11 @@ def units(c: str, places: int) -> Column:
     return F.floor(F.col(c) * 10**places + 0.5).cast("bigint") * 10 ** (8 - places)
 
 
+def wide_units(c: str, places: int) -> Column:
+    """``units`` for sums and products that 64 bits may not hold."""
+    return units(c, places).cast("decimal(38,0)")
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"), units("value", 4).alias("price"), (k * 1000).alias("spread"))

@@ -11,7 +11,7 @@ from ..functions import identifiers as ids
 from ..operators import bars as ops
 from ..operators import inventory
 from ..sources import raw, store
-from .common import TICKS, as_string, as_text, bars_sql, half_even, table, text, ticks, units
+from .common import TICKS, as_string, as_text, bars_sql, half_even, table, text, ticks, units, wide_units
 
 
 def decimal_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +45,8 @@ def div_half_even(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checked_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums, differences, absolutes and signs with checks, on order totals near the limits."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", (units("o_totalprice", 2) * F.when(F.col("o_orderkey") % 3 == 0, 90_000).otherwise(1)).alias("a"), (F.col("o_custkey") * dec.SCALE * 50_000_000).alias("b"))
+    """Sums, differences, absolutes and signs with checks, on order totals near the limits, and customers' numbers that go beyond them."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (wide_units("o_totalprice", 2) * F.when(F.col("o_orderkey") % 3 == 0, 90_000).otherwise(1)).alias("a"), (F.col("o_custkey").cast("decimal(38,0)") * dec.SCALE * 50_000_000).alias("b"))
     return rows.select("o_orderkey", dec.add("a", "b").alias("total"), dec.subtract("a", "b").alias("difference"), dec.subtract("a", "b", signed=False).alias("unsigned"), dec.absolute(dec.subtract("a", "b")).alias("distance"), dec.sign(dec.subtract("a", "b")).alias("sign"))
 
 
