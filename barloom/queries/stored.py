@@ -16,7 +16,7 @@ from ..sources.shared import fresh_dir, settle
 from ..streaming import orders as stream_orders
 from ..streaming import records as stream_records
 from . import orders as order_queries
-from .common import BAR_COLUMNS, TICKS, as_string, as_text, bars_sql, bucket_ticks, bucket_ticks_sql, day_at, resample_sql, session_date, table, ticks, units
+from .common import BAR_COLUMNS, TICKS, as_string, as_text, bars_sql, bucket_ticks, bucket_ticks_sql, day_at, resample_sql, session_date, table, ticks, units, wide_units
 
 BUCKETS = 4
 BUILT = "2024-03-01 00:00:00"
@@ -78,10 +78,10 @@ def bar_set_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def money_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums, differences and comparisons of amounts in the same, in two, and in no currency."""
+    """Sums, differences and comparisons of amounts in the same, in two, and in no currency. Customers' amounts go beyond 64 bits: such a size is null."""
     k = F.col("o_orderkey")
-    a = dec.money((units("o_totalprice", 2) * F.when(k % 3 == 0, 90_000).otherwise(1)), F.when(k % 11 == 0, "eur").otherwise("EUR"))
-    b = dec.money(F.col("o_custkey") * dec.SCALE * 50_000_000, F.when(k % 4 == 0, "USD").otherwise("EUR"))
+    a = dec.money((wide_units("o_totalprice", 2) * F.when(k % 3 == 0, 90_000).otherwise(1)), F.when(k % 11 == 0, "eur").otherwise("EUR"))
+    b = dec.money(F.col("o_custkey").cast("decimal(38,0)") * dec.SCALE * 50_000_000, F.when(k % 4 == 0, "USD").otherwise("EUR"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", a.alias("a"), b.alias("b"))
     a, b = F.col("a"), F.col("b")
     return rows.select(

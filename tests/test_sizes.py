@@ -34,3 +34,16 @@ def test_operands_beyond_64_bits_are_no_error(spark, tmp_path):
     ours, theirs = against_sql(spark, "checked_arithmetic", tmp_path)
     assert ours == theirs
     assert any(r[0] is not None for r in ours) and any(r[0] is None for r in ours)
+
+
+def test_amounts_beyond_64_bits_are_no_error(spark, tmp_path):
+    orders(spark, tmp_path, BEYOND)
+    fits = lambda x: x if -(2**63) <= x < 2**63 else None
+    got = {r.o_orderkey: r for r in all_queries()["money_arithmetic"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(BEYOND)
+    for k, c, p in BEYOND:  # the SQL casts each size and stops at the first that is too large
+        a, b, r = int(p * 100) * 10**6 * (90_000 if k % 3 == 0 else 1), c * 10**8 * 50_000_000, got[k]
+        there, both = k % 11 != 0, k % 11 != 0 and k % 4 != 0
+        assert (r.total, r.difference, r.compared) == ((fits(a + b), fits(a - b), (a > b) - (a < b)) if both else (None, None, None))
+        assert (r.negated, r["size"]) == (-a if there else None, fits(b))
+        assert r.error == ("missing" if not there else "mismatch" if not both else "range" if fits(a + b) is None else None)
