@@ -135,7 +135,11 @@ def write_raw(records: DataFrame, root: str, must_not_exist: bool = False) -> No
             there = None
         if there is not None and not records.select(*PARTITION).distinct().join(there, PARTITION).isEmpty():
             raise FileExistsError(f"partitions exist under {root}")
-    records.repartition(*PARTITION).sortWithinPartitions(*PARTITION, "time").write.partitionBy(*PARTITION).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(root)
+    # Spark sorts by the partition columns again, and so drops the order of time, where it can't see that rows lie by them: where one is a constant or a text that may be null. A struct hides constants, and '' is the folder of null
+    texts = [c for c, kind in records.dtypes if kind == "string" and c in PARTITION]
+    keyed = records.select(F.struct(*[F.coalesce(c, F.lit("")).alias(c) if c in texts else F.col(c) for c in PARTITION]).alias("_p"), *[c for c in records.columns if c not in PARTITION])
+    dealt = keyed.repartition("_p").select("_p.*", *keyed.columns[1:])
+    dealt.sortWithinPartitions(*PARTITION, "time").write.partitionBy(*PARTITION).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(root)
 
 
 def in_file(file: str, row: str) -> WindowSpec:

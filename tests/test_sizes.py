@@ -3,8 +3,10 @@
 import datetime
 
 import duckdb
+from pyspark.sql import functions as F
 
 from barloom.queries import all_oracles, all_queries
+from barloom.sources import store
 
 
 def against_sql(spark, name, sf_dir):
@@ -47,3 +49,15 @@ def test_amounts_beyond_64_bits_are_no_error(spark, tmp_path):
         assert (r.total, r.difference, r.compared) == ((fits(a + b), fits(a - b), (a > b) - (a < b)) if both else (None, None, None))
         assert (r.negated, r["size"]) == (-a if there else None, fits(b))
         assert r.error == ("missing" if not there else "mismatch" if not both else "range" if fits(a + b) is None else None)
+
+
+def test_raw_partitions_lie_in_order_of_time(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(("EURUSD", "GBPUSD", None)[i % 3], start + datetime.timedelta(seconds=(i * 7919) % 3000), i) for i in range(3000)]
+    ticks = spark.createDataFrame(rows, "symbol string, time timestamp_ntz, seq long").select("symbol", F.lit("oanda").alias("provider"), F.lit("m1").alias("interval"), F.year("time").alias("year"), F.month("time").alias("month"), "time", "seq")
+    root = f"{tmp_path}/raw"
+    store.write_raw(ticks, root)
+    read = spark.read.schema(ticks.schema).parquet(root).select("symbol", "time", "seq", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).orderBy("file", "at").collect()
+    assert sorted((r.symbol or "", r.time, r.seq) for r in read) == sorted((s or "", t, n) for s, t, n in rows)
+    assert len({r.file for r in read}) == 3
+    assert all(a.time <= b.time for a, b in zip(read, read[1:]) if a.file == b.file)
