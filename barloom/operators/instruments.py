@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle
@@ -37,6 +37,17 @@ def _named(df: DataFrame, prefix: str, out: str) -> list[Column]:
     return [_normal(F.coalesce(F.col(f"{prefix}{c}"), F.lit(""))).alias(f"{out}{c[0]}") for c in ("provider", "venue", "symbol")]
 
 
+def _findable(names: DataFrame) -> DataFrame:
+    """``names`` (_i, _p, _v, _s, _seq) as they are found: those at a venue (_w) and those at any (_any), of each only the first two by _seq. That tells none, one and several as of any _seq, and however many share a name, who asks meets two."""
+
+    def first_two(df: DataFrame, *by: str) -> DataFrame:
+        return df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("_seq", "_i", "_v"))).where("_k <= 2").drop("_k")
+
+    at_venue = first_two(names, "_p", "_s", "_v")
+    anywhere = first_two(at_venue, "_p", "_s")
+    return at_venue.withColumns({"_any": F.lit(False), "_w": F.col("_v")}).unionByName(anywhere.withColumns({"_any": F.lit(True), "_w": F.lit("")}))
+
+
 def register(listings: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(names, errors) after ``aliases`` (seq; alias_provider, alias_venue, alias_symbol; provider, venue or empty, symbol) were registered one after the other by seq.
 
@@ -70,10 +81,11 @@ def register(listings: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFr
         waits = undecided.groupBy(F.col("ap").alias("rp"), F.col("as").alias("rs")).agg(F.min("seq").alias("_open"))
         able = undecided.join(waits, ["rp", "rs"], "left").withColumn("able", F.col("_open").isNull() | (F.col("seq") <= F.col("_open"))).drop("_open")
         known = names.select(F.col("instrument_id").alias("_i"), F.col("p").alias("_p"), F.col("v").alias("_v"), F.col("s").alias("_s"), F.coalesce("seq", F.lit(-(1 << 62))).alias("_seq"))
-        sought = (F.col("rp") == F.col("_p")) & (F.col("rs") == F.col("_s")) & ((F.col("rv") == "") | (F.col("rv") == F.col("_v"))) & (F.col("_seq") < F.col("seq"))
+        known = settle(_findable(known))
+        sought = (F.col("rp") == F.col("_p")) & (F.col("rs") == F.col("_s")) & ((F.col("rv") == "") == F.col("_any")) & (F.col("rv") == F.col("_w")) & (F.col("_seq") < F.col("seq"))
         found = undecided.join(known, sought).groupBy("seq").agg(F.count("*").alias("n"), F.min(F.struct("_i", "_v")).alias("_t"))
         claimed = (F.col("ap") == F.col("_p")) & (F.col("as") == F.col("_s")) & (F.col("av") == F.col("_v")) & (F.col("_seq") < F.col("seq"))
-        taken = undecided.join(known, claimed, "left_semi").select("seq", F.lit(True).alias("taken"))
+        taken = undecided.join(known.where("NOT _any"), claimed, "left_semi").select("seq", F.lit(True).alias("taken"))
         rows = able.join(found, "seq", "left").join(taken, "seq", "left")
         valid = (F.col("rp") != "") & (F.col("rs") != "")
         rows = rows.select("seq", "ap", "as", "av", "able", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("taken", F.lit(False)).alias("taken"), F.col("_t._i").alias("instrument_id"), F.col("_t._v").alias("v"), valid.alias("valid"))
@@ -90,9 +102,9 @@ def alias_errors(listings: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def resolve_symbols(requests: DataFrame, listings: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Each request (request_id, provider, venue or null, symbol) to exactly one instrument, or unknown or ambiguous. Only accepted aliases are names. Reference data is left to the planner to broadcast by its size."""
-    known = register(listings, aliases)[0].select(F.col("instrument_id").alias("_i"), F.col("p").alias("_p"), F.col("v").alias("_v"), F.col("s").alias("_s"))
-    same = (_normal(F.col("provider")) == F.col("_p")) & (_normal(F.col("symbol")) == F.col("_s")) & (F.col("venue").isNull() | (_normal(F.col("venue")) == F.col("_v")))
+    """Each request (request_id, provider, venue or null, symbol) to exactly one instrument, or unknown or ambiguous. Only accepted aliases are names; a request meets two at most. Reference data is left to the planner to broadcast by its size."""
+    known = _findable(register(listings, aliases)[0].select(F.col("instrument_id").alias("_i"), F.col("p").alias("_p"), F.col("v").alias("_v"), F.col("s").alias("_s"), F.lit(0).alias("_seq"))).drop("_v", "_seq")
+    same = (_normal(F.col("provider")) == F.col("_p")) & (_normal(F.col("symbol")) == F.col("_s")) & (F.col("venue").isNull() == F.col("_any")) & (F.coalesce(_normal(F.col("venue")), F.lit("")) == F.col("_w"))
     found = requests.join(known, same, "left").groupBy("request_id").agg(F.count("_i").alias("_n"), F.min("_i").alias("_one"))
     status = F.when(F.col("_n") == 0, UNKNOWN).when(F.col("_n") > 1, AMBIGUOUS).otherwise(RESOLVED)
     return found.select("request_id", status.alias("status"), F.when(status == RESOLVED, F.col("_one")).alias("instrument_id"))

@@ -5,6 +5,7 @@ import datetime
 import duckdb
 from pyspark.sql import functions as F
 
+from barloom.operators import instruments
 from barloom.queries import all_oracles, all_queries
 from barloom.sources import store
 
@@ -61,3 +62,18 @@ def test_raw_partitions_lie_in_order_of_time(spark, tmp_path):
     assert sorted((r.symbol or "", r.time, r.seq) for r in read) == sorted((s or "", t, n) for s, t, n in rows)
     assert len({r.file for r in read}) == 3
     assert all(a.time <= b.time for a, b in zip(read, read[1:]) if a.file == b.file)
+
+
+def test_a_request_meets_two_names_however_many_share_one(spark):
+    listings = spark.range(2000).select(F.concat(F.lit("eq:"), "id").alias("instrument_id"), F.lit("p").alias("provider"), F.concat(F.lit("v"), F.col("id") % 2).alias("venue"), F.lit("X").alias("symbol"))
+    listings = listings.unionByName(spark.createDataFrame([("eq:own", "p", "v9", "X"), ("eq:y", "p", "", "Y")], listings.schema))
+    alias = "seq long, alias_provider string, alias_venue string, alias_symbol string, provider string, venue string, symbol string"
+    aliases = spark.createDataFrame([(1, "p", "", "A", "p", "v9", "X"), (2, "p", "", "B", "p", "", "X"), (3, "p", "", "C", "p", "", "A"), (4, "p", "", "D", "p", "", "Y"), (5, "p", "v9", "A", "p", "", "Y")], alias)
+    asked = spark.range(2000).select(F.col("id").alias("request_id"), F.lit("P").alias("provider"), F.element_at(F.array(F.lit(None).cast("string"), F.lit("v0"), F.lit("v9"), F.lit("")), (F.col("id") % 4 + 1).cast("int")).alias("venue"), F.element_at(F.array(*map(F.lit, "XACYB")), (F.col("id") % 5 + 1).cast("int")).alias("symbol"))
+    got = {r.request_id: (r.status, r.instrument_id) for r in instruments.resolve_symbols(asked, listings, aliases).collect()}
+    own, y, several, none = ("resolved", "eq:own"), ("resolved", "eq:y"), ("ambiguous", None), ("unknown", None)
+    want = {"X": (several, several, own, none), "A": (own, none, own, none), "C": (own, none, own, none), "Y": (y, none, none, y), "B": (none,) * 4}
+    assert got == {i: want["XACYB"[i % 5]][i % 4] for i in range(2000)}
+    assert [tuple(r) for r in instruments.alias_errors(listings, aliases).orderBy("seq").collect()] == [(2, "ambiguous"), (5, "duplicate")]
+    names = listings.select(*[F.col(c).alias(a) for c, a in (("instrument_id", "_i"), ("provider", "_p"), ("venue", "_v"), ("symbol", "_s"))], F.lit(0).alias("_seq"))
+    assert names.count() == 2002 and instruments._findable(names).groupBy("_p", "_s", "_any", "_w").count().agg(F.max("count")).first()[0] == 2
