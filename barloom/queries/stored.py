@@ -296,13 +296,17 @@ def streamed_fills_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders' events as a stream of several micro-batches, in the order of their numbers; of each order its last state."""
     out = fresh_dir(spark)
-    events = order_queries._events(spark, sf_dir)
-    for low, high in ((0, 2), (2, 4), (4, 9), (9, 1 << 40)):  # a file source takes older files first
-        events.where((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode("append").parquet(f"{out}/events")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/events")
-    states = stream_orders.order_states(stream)
+    events = settle(order_queries._events(spark, sf_dir))
     keep = lambda df, number: df.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
-    states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(partitions), 2 * spark.sparkContext.defaultParallelism))  # each opens its state anew in every micro-batch
+    try:
+        for low, high in ((0, 2), (2, 4), (4, 9), (9, 1 << 40)):  # the stream is stopped after each and goes on from its checkpoint
+            events.where((F.col("seq") >= low) & (F.col("seq") < high)).write.mode("append").parquet(f"{out}/events")
+            states = stream_orders.order_states(spark.readStream.schema(events.schema).parquet(f"{out}/events"))
+            states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     rows = spark.read.schema(f"{STATE_SCHEMA}, batch int").option("basePath", f"{out}/rows").parquet(f"{out}/rows")
     columns = ["status", "accepted_quantity", "filled_quantity", F.coalesce("pending_command", F.lit("")).alias("pending_command"), "applied", "refused"]
     return rows.groupBy("order_id").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("order_id", "s.*")

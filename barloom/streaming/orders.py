@@ -1,92 +1,117 @@
-"""Order events as a stream: the same fold as in batch, with its state kept by Spark: a value for the order, and maps of the fills that it has seen."""
+"""Order events as a stream: the same fold as in batch, with its state kept by Spark: maps of orders, and of the fills of those that have very many."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.orders import STATE_SCHEMA, OrderState, events_of, result_row, result_rows, sendable
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ENDED = ("filled", "canceled", "rejected", "expired")
-TERMS = ("quantity", "limit_price", "stop_price")
-#: The order without its fills: what its state variable holds.
-ORDER = (
-    "account_id string, instrument_id string, side string, status string, accepted long, filled long, limit_price long, stop_price long, pending string, broker_order_id string, proposed_quantity long, proposed_limit_price long,"
-    " proposed_stop_price long, applied long, refused long, last_refusal string, timed boolean"
-)
+#: Orders share this many keys of state, so that a call of Python handles what many orders got; each order is a value of its own in its key's map.
+BUCKETS = 1024
+#: An order's value holds so many ids of its fills; more lie in a map, each by itself.
+PACKED = 256
+OWN = ("account_id", "instrument_id", "side", "status", "accepted", "filled", "limit_price", "stop_price", "pending", "broker_order_id", "proposed")
 
 
 class _Seen:
-    """A set of texts kept as a map state: each is looked up and put by itself, however many there are."""
+    """The ids of an order's fills: packed with the order as long as they are few, then each looked up and put by itself, however many there are."""
 
-    def __init__(self, held):
-        self.held = held
+    def __init__(self, held, order_id: str, kind: str, packed: list, spilled: bool):
+        self.held, self.own, self.packed, self.spilled = held, (order_id, kind), set(packed), spilled
 
     def __contains__(self, text: str) -> bool:
-        return self.held.containsKey((text or "",))
+        return (text or "") in self.packed or self.spilled and self.held.containsKey((*self.own, text or ""))
 
     def add(self, text: str) -> None:
-        self.held.updateValue((text or "",), (True,))
+        self.packed.add(text or "")
+
+    def pack(self) -> tuple[list, bool]:
+        if len(self.packed) > PACKED:
+            for text in self.packed:
+                self.held.updateValue((*self.own, text), (True,))
+            self.packed, self.spilled = set(), True
+        return sorted(self.packed), self.spilled
 
 
 class OrderProcessor(StatefulProcessor):
-    """Folds an order's events by seq within each micro-batch. An order that has ended is dropped once the watermark is ``keep_ms`` beyond the event that ended it (never, without event time); what comes after that finds no order."""
+    """Folds the events of a bucket's orders by seq within each micro-batch. An order that has ended is dropped once the watermark is ``keep_ms`` beyond the event that ended it (never, without event time); what comes after that finds no order."""
 
     def __init__(self, keep_ms: int | None):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.order = handle.getValueState("order", ORDER)
-        self.fills = handle.getMapState("fills", "id string", "seen boolean")
-        self.broker_fills = handle.getMapState("broker_fills", "id string", "seen boolean")
+        self.orders = handle.getMapState("orders", "order_id string", "state string")
+        self.fills = handle.getMapState("fills", "order_id string, kind string, id string", "seen boolean")
+        self.due = handle.getMapState("due", "at long", "order_ids string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state, counts, timed = self._load()
-        batch = pd.concat(list(rows)).sort_values("seq")
-        for e in events_of(batch):
-            why = state.apply(e)
-            counts = [counts[0] + (not why), counts[1] + bool(why), why or counts[2]]
-        if self.keep_ms is not None and state.status in ENDED and not timed:
-            self.handle.registerTimer(int(batch["ts"].max().timestamp() * 1000) + self.keep_ms)
-            timed = True
-        proposed = [state.proposed.get(c) for c in TERMS]
-        own = (state.account_id, state.instrument_id, state.side, state.status, state.accepted, state.filled, state.limit_price, state.stop_price, state.pending, state.broker_order_id)
-        self.order.update((*own, *proposed, *counts, timed))
-        yield result_rows([result_row(key[0], state, counts)])
+        batch = pd.concat(list(rows)).sort_values(["order_id", "seq"], kind="stable")
+        order_ids, events, done, due = batch["order_id"].tolist(), events_of(batch), [], {}
+        times = batch["ts"].tolist() if self.keep_ms is not None else None
+        start = 0
+        for end in range(1, len(order_ids) + 1):
+            if end < len(order_ids) and order_ids[end] == order_ids[start]:
+                continue
+            order_id = order_ids[start]
+            state, counts, timed = self._load(order_id)
+            for e in events[start:end]:
+                why = state.apply(e)
+                counts = [counts[0] + (not why), counts[1] + bool(why), why or counts[2]]
+            if self.keep_ms is not None and state.status in ENDED and not timed:
+                due.setdefault(int(max(times[start:end]).timestamp() * 1000) + self.keep_ms, []).append(order_id)
+                timed = True
+            self.orders.updateValue((order_id,), (json.dumps([[getattr(state, c) for c in OWN], counts, timed, state.fills.pack(), state.broker_fills.pack()]),))
+            done.append(result_row(order_id, state, counts))
+            start = end
+        for at, ids in due.items():
+            known = json.loads(self.due.getValue((at,))[0]) if self.due.containsKey((at,)) else []
+            self.due.updateValue((at,), (json.dumps(known + ids),))
+            self.handle.registerTimer(at)
+        yield result_rows(done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for state in (self.order, self.fills, self.broker_fills):
-            state.clear()
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        ended = set(json.loads(self.due.getValue((at,))[0])) if self.due.containsKey((at,)) else set()
+        spilled = set()
+        for order_id in ended:
+            held = self.orders.getValue((order_id,))
+            if held and any(json.loads(held[0])[i][1] for i in (3, 4)):
+                spilled.add(order_id)
+            self.orders.removeKey((order_id,))
+        if spilled:
+            for own in [k for k in self.fills.keys() if k[0] in spilled]:
+                self.fills.removeKey(tuple(own))
+        self.due.removeKey((at,))
         return iter([])
 
-    def _load(self) -> tuple[OrderState, list, bool]:
-        seen = {"fills": _Seen(self.fills), "broker_fills": _Seen(self.broker_fills)}
-        held = self.order.get() if self.order.exists() else None
-        if held is None:
-            return OrderState(**seen), [0, 0, None], False
-        *own, quantity, limit_price, stop_price, applied, refused, last, timed = held
-        names = ("account_id", "instrument_id", "side", "status", "accepted", "filled", "limit_price", "stop_price", "pending", "broker_order_id")
-        proposed = {c: v for c, v in zip(TERMS, (quantity, limit_price, stop_price), strict=True) if v is not None}
-        return OrderState(**dict(zip(names, own, strict=True)), proposed=proposed, **seen), [applied, refused, last], timed
+    def _load(self, order_id: str) -> tuple[OrderState, list, bool]:
+        held = self.orders.getValue((order_id,))
+        own, counts, timed, fills, broker_fills = json.loads(held[0]) if held else (None, [0, 0, None], False, ([], False), ([], False))
+        seen = {"fills": _Seen(self.fills, order_id, "fill", *fills), "broker_fills": _Seen(self.fills, order_id, "broker", *broker_fills)}
+        return OrderState(**dict(zip(OWN, own, strict=True)) if own else {}, **seen), counts, timed
 
 
 def order_states(events: DataFrame, late: str = "1 day", keep_days: float = 30) -> DataFrame:
     """Stream of ``events`` (order_id and the columns of the batch fold, numbered by seq, and ts if they have times) to an updated row per order and micro-batch.
 
-    Within a batch events are applied by seq. A fill looks its own ids up, so work for an event doesn't grow with the fills there were. With ts, a watermark ``late`` behind it drops an ended order ``keep_days`` after it ended: until then
-    fills and results may be delivered again. State variables need the RocksDB provider, which is set on the session.
+    Within a batch events are applied by seq. Only orders that the batch has events of are read and written, each with its last ``PACKED`` fills at most; of more, a fill looks its own ids up. With ts, a watermark ``late`` behind it drops an
+    ended order ``keep_days`` after it ended: until then fills and results may be delivered again. State variables need the RocksDB provider, which is set on the session.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     timed = "ts" in events.columns
     own = events.where("order_id IS NOT NULL")
     sent = sendable(own.withWatermark("ts", late), "ts") if timed else sendable(own)
     processor = OrderProcessor(round(keep_days * 86_400_000) if timed else None)
-    return sent.groupBy("order_id").transformWithStateInPandas(processor, STATE_SCHEMA, "Update", "EventTime" if timed else "None")
+    return sent.withColumn("_bucket", F.pmod(F.xxhash64("order_id"), F.lit(BUCKETS))).groupBy("_bucket").transformWithStateInPandas(processor, STATE_SCHEMA, "Update", "EventTime" if timed else "None")
 
 
 def once(fills: DataFrame, late: str = "1 day") -> DataFrame:

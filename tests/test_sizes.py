@@ -1,6 +1,7 @@
 """Queries on values and tables as they come in larger data."""
 
 import datetime
+import types
 
 import duckdb
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from barloom.operators import instruments
 from barloom.queries import all_oracles, all_queries
 from barloom.sources import store
+from barloom.streaming import orders as stream_orders
 
 
 def against_sql(spark, name, sf_dir):
@@ -77,3 +79,17 @@ def test_a_request_meets_two_names_however_many_share_one(spark):
     assert [tuple(r) for r in instruments.alias_errors(listings, aliases).orderBy("seq").collect()] == [(2, "ambiguous"), (5, "duplicate")]
     names = listings.select(*[F.col(c).alias(a) for c, a in (("instrument_id", "_i"), ("provider", "_p"), ("venue", "_v"), ("symbol", "_s"))], F.lit(0).alias("_seq"))
     assert names.count() == 2002 and instruments._findable(names).groupBy("_p", "_s", "_any", "_w").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_fills_of_an_order_are_packed_until_they_are_many():
+    held = {}
+    state = types.SimpleNamespace(containsKey=lambda k: k in held, updateValue=lambda k, v: held.update({k: v}))
+    few = stream_orders._Seen(state, "o", "fill", ["a"], False)
+    few.add("b")
+    assert few.pack() == (["a", "b"], False) and not held and "a" in few and "c" not in few
+    many = stream_orders._Seen(state, "o", "fill", *few.pack())
+    for i in range(stream_orders.PACKED):
+        many.add(str(i))
+    assert many.pack() == ([], True) and len(held) == stream_orders.PACKED + 2
+    again = stream_orders._Seen(state, "o", "fill", *many.pack())
+    assert "a" in again and "7" in again and "c" not in again and "a" not in stream_orders._Seen(state, "p", "fill", [], True)
