@@ -24,6 +24,9 @@ TRUE, FALSE = ("1", "t", "T", "TRUE", "true", "True"), ("0", "f", "F", "FALSE",
 
 PROVIDER = "oanda"
 PRICES = ("bid_o", "bid_h", "bid_l", "bid_c", "ask_o", "ask_h", "ask_l", "ask_c")
+#: Rows without an error that are spelt the usual way: a day that is in the calendar, UTC, up to ten digits before a point and eight after it, a volume of up to 18 digits. Others may be as good, but need a closer look.
+_DAY = r"(?:(?:0[1-9]|1[0-2])-(?:0[1-9]|1\d|2[0-8])|(?:0[13-9]|1[0-2])-(?:29|30)|(?:0[13578]|1[02])-31)"
+PLAIN = rf"^[12]\d{{3}}-{_DAY}T(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:Z|[+-]00:00)(?:,\d{{1,10}}(?:\.\d{{1,8}})?){{8}},\d{{1,18}},(?:{'|'.join((*TRUE, *FALSE))})\z"
 TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 
 
@@ -89,7 +92,11 @@ def _fields(line: Column) -> Column:
 
 
 def row_error(line: Column) -> Column:
-    """What is wrong with a row, or null: fields, time, price, volume, flag."""
+    """What is wrong with a row, or null: fields, time, price, volume, flag. Only rows that aren't plain are looked at field by field."""
+    return F.when(~line.rlike(PLAIN), _error_in(line))
+
+
+def _error_in(line: Column) -> Column:
     f = _fields(line)
     prices = F.lit(False)
     for i in range(1, 9):
@@ -180,11 +187,14 @@ def records(files: DataFrame, checked: bool = False) -> DataFrame:
 
 
 def _fields_of(each: DataFrame, checked: bool = False) -> DataFrame:
-    f = _fields(F.col("l.line"))
-    columns = {"time": utc_time(F.get(f, 0))} | {p: dec.parse(F.get(f, i + 1), signed=False) for i, p in enumerate(PRICES)}
+    each = each.withColumns({"_plain": F.col("l.line").rlike(PLAIN), "_fields": _fields(F.col("l.line"))})
+    f, plain = F.col("_fields"), F.col("_plain")
+    # of plain rows a cast says it all
+    price = lambda t: F.when(plain, (t.try_cast("decimal(18,8)") * F.lit(dec.SCALE)).try_cast("bigint")).otherwise(dec.parse(t, signed=False))
+    columns = {"time": F.when(plain, F.left(F.get(f, 0), F.lit(19)).try_cast("timestamp_ntz")).otherwise(utc_time(F.get(f, 0)))} | {p: price(F.get(f, i + 1)) for i, p in enumerate(PRICES)}
     columns |= {"volume": F.get(f, 9).try_cast("bigint"), "complete": F.when(F.get(f, 10).isin(*TRUE), True).when(F.get(f, 10).isin(*FALSE), False)}
-    columns |= {"row_error": F.lit(None).cast("string") if checked else row_error(F.col("l.line"))}
-    return each.withColumn("line_no", F.col("l.line_no")).withColumns(columns).drop("l")
+    columns |= {"row_error": F.lit(None).cast("string") if checked else F.when(~plain, _error_in(F.col("l.line")))}
+    return each.withColumn("line_no", F.col("l.line_no")).withColumns(columns).drop("l", "_plain", "_fields")
 
 
 def numbered_lines(spark: SparkSession, root: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import instruments
 from barloom.queries import all_oracles, all_queries
-from barloom.sources import store
+from barloom.sources import raw, store
 from barloom.streaming import orders as stream_orders
 
 
@@ -93,3 +93,20 @@ def test_fills_of_an_order_are_packed_until_they_are_many():
     assert many.pack() == ([], True) and len(held) == stream_orders.PACKED + 2
     again = stream_orders._Seen(state, "o", "fill", *many.pack())
     assert "a" in again and "7" in again and "c" not in again and "a" not in stream_orders._Seen(state, "p", "fill", [], True)
+
+
+def test_plain_rows_are_judged_at_one_look(spark, monkeypatch):
+    line = lambda time="2024-01-31T23:59:59Z", price="1.5", volume="7", flag="true", n=8: ",".join([time, *["1"] * (n - 1), price, volume, flag])
+    plain = [line(), line("2024-02-28T00:00:00+00:00"), line(price="0"), line(price="9999999999.99999999"), line(volume="9" * 18), line(flag="F"), line("1999-12-31T00:00:00-00:00", "007.10", "00", "False")]
+    closer = [line("2024-02-29T00:00:00Z"), line("2023-02-29T00:00:00Z"), line("2024-04-31T00:00:00Z"), line("2024-01-01T24:00:00Z"), line("2024-01-01T00:00:00.25Z"), line("2024-01-01T00:00:00+01:30"), line("2024-01-01 00:00:00Z"), line(price="+1"), line(price="-1"), line(price="1."), line(price="1e3"), line(price="92233720368.54775808"), line(price="1.000000000"), line(price="1.000000001"), line(price=""), line(volume="-3"), line(volume="9" * 19), line(volume="x"), line(flag="TRue"), line(flag="true\r"), line(flag="true "), line(n=7), line(n=9), "", ","]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(plain + closer)], "i int, line string")
+    each = rows.select(F.lit("p").alias("path"), F.struct(F.col("i").alias("line_no"), "line").alias("l"))
+    found = [tuple(r) for r in raw._fields_of(each).orderBy("line_no").collect()]
+    alone = [r.e for r in rows.select("i", raw.row_error(F.col("line")).alias("e")).orderBy("i").collect()]
+    assert all(e is None for e in alone[: len(plain)]) and len(set(alone)) == 6 and alone == [r[-1] for r in found]
+    with monkeypatch.context() as m:
+        m.setattr(raw, "_error_in", lambda line: F.raise_error(F.lit("looked at field by field")).cast("string"))
+        assert rows.where(F.col("i") < len(plain)).select(raw.row_error(F.col("line")).alias("e")).where("e IS NULL").count() == len(plain)
+    monkeypatch.setattr(raw, "PLAIN", r"^\b\B$")  # nothing is plain
+    assert found == [tuple(r) for r in raw._fields_of(each).orderBy("line_no").collect()]
+    assert alone == [r.e for r in rows.select("i", raw.row_error(F.col("line")).alias("e")).orderBy("i").collect()]
