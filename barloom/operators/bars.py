@@ -79,8 +79,11 @@ def set_violations(bars: DataFrame, keys: list[str], position: str = "pos") -> D
 def spreads(prefix_bid: str = "bid_", prefix_ask: str = "ask_") -> dict[str, Column]:
     """Of a bid/ask record: avg_spread (a quarter of the sum of the four corners' spreads, half to even), max_spread and crossed (some corner below zero)."""
     corners = [dec.subtract(f"{prefix_ask}{c}", f"{prefix_bid}{c}") for c in "ohlc"]
-    total = sum((dec.wide(c) for c in corners[1:]), dec.wide(corners[0]))
-    quarter = dec.in_range(dec.divide_half_even(total, F.lit(4).cast("decimal(10,0)")))
+    # quarters and rests of the corners are summed apart, which 64 bits always hold
+    rests = sum((c.bitwiseAND(F.lit(3)) for c in corners[1:]), corners[0].bitwiseAND(F.lit(3)))
+    cut = sum((F.shiftright(c, 2) for c in corners[1:]), F.shiftright(corners[0], 2)) + F.shiftright(rests, 2)
+    rest = rests.bitwiseAND(F.lit(3))
+    quarter = cut + F.when((rest > 2) | ((rest == 2) & (cut.bitwiseAND(F.lit(1)) == 1)), 1).otherwise(0)
     return {"avg_spread": quarter, "max_spread": F.greatest(*corners), "crossed": F.least(*corners) < 0}
 
 
@@ -116,8 +119,9 @@ def normalise(records: DataFrame, file_keys: list[str], interval: str | None = N
     """(bars, gates, quarantine) of many files in one job: a file with a suspicious or rejected row gives no bars; incomplete rows are left out."""
     classified = classify_records(records, file_keys, interval)
     gates = gate(classified, file_keys)
-    passed = gates.where(~F.col("blocked")).select(*file_keys)
-    bars = classified.where(F.col("outcome") == ACCEPTED).join(passed, file_keys, "left_semi")
+    # a file's rows are together already, so whether it is blocked is told there: they are neither classified again nor joined
+    blocked = F.bool_or(F.col("outcome").isin(SUSPICIOUS, REJECTED)).over(Window.partitionBy(*file_keys))
+    bars = classified.withColumn("_blocked", blocked).where((F.col("outcome") == ACCEPTED) & ~F.col("_blocked"))
     return bars.select(*file_keys, "time", "open", "high", "low", "close", "avg_spread", "max_spread", "ticks"), gates, classified.where(F.col("outcome").isin(SUSPICIOUS, REJECTED))
 
 

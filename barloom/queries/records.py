@@ -93,8 +93,8 @@ def partition_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalised_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of the files that no suspicious or rejected record blocks; defects are thinned out so that some files pass."""
     rows = _records(spark, sf_dir)
-    first = rows.groupBy(*_FILE, "time").agg(F.min("line_no").alias("line_no"))
-    once = rows.join(first, [*_FILE, "time", "line_no"]).where((F.col("ask_c") > F.col("bid_c")) & (F.col("bid_h") > F.col("bid_o")) & (F.minute("time") == 0))
+    first = F.row_number().over(Window.partitionBy(*_FILE, "time").orderBy("line_no"))
+    once = rows.withColumn("_n", first).where("_n = 1").drop("_n").where((F.col("ask_c") > F.col("bid_c")) & (F.col("bid_h") > F.col("bid_o")) & (F.minute("time") == 0))
     in_order = once.withColumn("line_no", cal.seconds_between(F.col("time"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("bigint") + F.when(F.col("file") == 3, -2 * (F.col("line_no") % 2) * 10**9).otherwise(0))
     bars, _, _ = ops.normalise(in_order, _FILE, "h1")
     return as_text(bars, "time")

@@ -6,7 +6,7 @@ import types
 import duckdb
 from pyspark.sql import functions as F
 
-from barloom.operators import instruments
+from barloom.operators import bars, instruments
 from barloom.queries import all_oracles, all_queries
 from barloom.sources import raw, store
 from barloom.streaming import orders as stream_orders
@@ -110,3 +110,22 @@ def test_plain_rows_are_judged_at_one_look(spark, monkeypatch):
     monkeypatch.setattr(raw, "PLAIN", r"^\b\B$")  # nothing is plain
     assert found == [tuple(r) for r in raw._fields_of(each).orderBy("line_no").collect()]
     assert alone == [r.e for r in rows.select("i", raw.row_error(F.col("line")).alias("e")).orderBy("i").collect()]
+
+
+def test_a_quarter_of_four_spreads_in_64_bits(spark):
+    most = 2**63 - 1
+    cases = [(most,) * 4, (-most - 1,) * 4, (most, most, most, most - 1), (-most - 1, -most - 1, -most - 1, -most), (most, -most, 1, 1), (1, 1, 1, 3), (1, 1, 1, 1), (0, 0, 1, 1), (0, 0, 3, 3), (0, 0, -1, -1), (0, 0, -3, -3), (-1, 0, 0, 0), (-3, 0, 0, 0), (7, -2, 5, 0), (None, 1, 1, 1)]
+    rows = spark.createDataFrame([(i, *c, 0, 0, 0, 0) for i, c in enumerate(cases)], "i int, " + ", ".join(f"{s}_{c} long" for s in ("ask", "bid") for c in "ohlc"))
+    got = [r.q for r in rows.select("i", bars.spreads()["avg_spread"].alias("q")).orderBy("i").collect()]
+    half_even = lambda t: t // 4 + (t % 4 > 2 or (t % 4 == 2 and t // 4 % 2 == 1))
+    assert got == [None if None in c else half_even(sum(c)) for c in cases]
+
+
+def test_records_of_a_file_are_shuffled_once(spark, tmp_path):
+    start = datetime.datetime(1996, 1, 2)
+    items = [(i // 4, i % 7, i % 5, i % 3, float(i % 50 + 1), 900.0 + i, 0.01 * (i % 9), start + datetime.timedelta(days=i % 40)) for i in range(2000)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_tax double, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    ours, theirs = against_sql(spark, "normalised_bars", tmp_path)
+    assert ours == theirs and ours
+    plan = all_queries()["normalised_bars"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
