@@ -361,12 +361,45 @@ def links_within(own: np.ndarray, share: np.ndarray, sets: list[np.ndarray], lea
     return links
 
 
+def met_first(own: np.ndarray, share: np.ndarray, bands: np.ndarray, band: int, step: int = 64) -> np.ndarray:
+    """Places of a bucket of ``band`` that some pair needs there: both have ``LEAST_SHARE`` of the minima in common, are of different ``own``, and agree on no band before this one, whose bucket has them as well."""
+    used = np.zeros(len(own), dtype=bool)
+    if (own == own[:1]).all():
+        return np.flatnonzero(used)
+    for at in range(0, len(own), step):
+        apart = own[at : at + step, None] != own[None, at:]
+        i, j = np.nonzero(apart & ((share[at : at + step, None, :] == share[None, at:, :]).mean(axis=2) >= LEAST_SHARE))
+        i, j = i[j > i] + at, j[j > i] + at
+        for first in range(0, len(i), 1 << 16):
+            a, b = i[first : first + (1 << 16)], j[first : first + (1 << 16)]
+            new = ~(bands[a, :band] == bands[b, :band]).any(axis=1)
+            used[a[new]] = used[b[new]] = True
+    return np.flatnonzero(used)
+
+
+def _needed(members: DataFrame, texts: DataFrame, cap: int) -> DataFrame:
+    """Of ``members`` (band, value, same, root) those that ``met_first`` says. Only minima and bands travel for that, a few hundred bytes a row, so that the sets of shingles needn't travel once for each bucket."""
+    columns = ["band", "value", "i", "j"]
+    dealt = settle(_dealt(members, "same", columns[:2], F.count("*") / cap))
+
+    def pick(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        root, band = pdf["root"].to_numpy(), pdf["band"].to_numpy()
+        share = np.frombuffer(b"".join(pdf["share"]), dtype=np.uint8).reshape(len(pdf), -1)
+        bands = np.stack(pdf["bands"].to_list())
+        found = [first + met_first(root[first:end], share[first:end], bands[first:end], int(band[first])) for first, end in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)], strict=True)]
+        return pdf.iloc[np.concatenate(found)][["band", "value", "same", "root"]]
+
+    tasks = max(1, -(-dealt.count() // TASK_ROWS))
+    whole = dealt.join(texts.select("same", "share", "bands"), "same").repartition(tasks, *columns).sortWithinPartitions(*columns)
+    return settle(whole.mapInPandas(lambda batches: _grouped(batches, columns, pick), "band int, value long, same long, root long").distinct())
+
+
 def _linked_in_buckets(held: DataFrame, texts: DataFrame, sets: DataFrame, linked: DataFrame, least: float, cap: int) -> DataFrame:
     """Similar pairs (a, b) within buckets ``held`` (band, value, same) that hold several components of ``linked`` (same, root)."""
     bucket = ["band", "value"]
     placed = settle(held.join(linked, "same", "left").withColumn("root", F.coalesce("root", "same")))
     mixed = placed.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*bucket)
-    members = settle(placed.join(mixed, bucket))
+    members = _needed(placed.join(mixed, bucket).select(*bucket, "same", "root"), texts, cap)
     light = members.join(sets.select("same", (F.size("s") * 8 + 200).alias("bytes")), "same")
     dealt = settle(_dealt(light, "same", bucket, F.greatest(F.count("*") / cap, F.sum("bytes") / BUCKET_BYTES)))
     columns = [*bucket, "i", "j"]
