@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -139,7 +140,7 @@ EVENT_COLUMNS = ("seq", "kind", "event_id", "causation_id", "status", "account_i
 STATE_SCHEMA = "order_id string, status string, accepted_quantity long, filled_quantity long, limit_price long, stop_price long, pending_command string, broker_order_id string, applied long, refused long, last_refusal string"
 
 
-@dataclass
+@dataclass(slots=True)
 class OrderState:
     """State of one order: ``apply`` takes an event and says why it was refused, or ''. A refused event changes nothing."""
 
@@ -165,7 +166,8 @@ class OrderState:
             return ""
         if not self.status:
             return "no_order"
-        return getattr(self, f"_{e['kind']}", lambda _: "unknown_kind")(e)
+        handler = HANDLERS.get(e["kind"])
+        return handler(self, e) if handler else "unknown_kind"
 
     def _accept(self, e: dict) -> str:
         if self.status != "pending_submit" or not e["quantity"] or e["quantity"] <= 0:
@@ -228,27 +230,32 @@ class OrderState:
         return refusal
 
     def _fill(self, e: dict) -> str:
-        if (e["account_id"], e["instrument_id"], e["side"]) != (self.account_id, self.instrument_id, self.side):
+        if e["account_id"] != self.account_id or e["instrument_id"] != self.instrument_id or e["side"] != self.side:
             return "mismatch"
-        if self.broker_order_id and e["broker_order_id"] and e["broker_order_id"] != self.broker_order_id:
+        if self.broker_order_id and (broker_order_id := e["broker_order_id"]) and broker_order_id != self.broker_order_id:
             return "mismatch"
-        if self.status not in LIVE:
+        status, own, broker = self.status, e["fill_id"], e["broker_fill_id"]
+        if status not in LIVE:
             return "illegal"
-        if e["broker_fill_id"] and e["broker_fill_id"] in self.broker_fills or e["fill_id"] in self.fills:
+        if broker and broker in self.broker_fills or own in self.fills:
             return "duplicate"
         total = self.filled + e["quantity"]
         if self.accepted is None or total > self.accepted:
             return "overfill"
         self.filled = total
-        self.status = "filled" if total == self.accepted else self.status if self.status.startswith("pending") else "partially_filled"
-        if not self.status.startswith("pending"):
-            self.pending = ""
-        self.fills.add(e["fill_id"])
-        if e["broker_fill_id"]:
-            self.broker_fills.add(e["broker_fill_id"])
+        if total == self.accepted:
+            self.status, self.pending = "filled", ""
+        elif status == "working" or status == "partially_filled":
+            self.status, self.pending = "partially_filled", ""
+        self.fills.add(own)
+        if broker:
+            self.broker_fills.add(broker)
         return ""
 
 
+HANDLERS = {kind: getattr(OrderState, f"_{kind}") for kind in ("accept", "reject", "expire", "cancel_request", "replace_request", "cancel_result", "replace_result", "fill")}
+
+
 def events_of(pdf: pd.DataFrame) -> list[dict]:
     """Rows as dictionaries with None for nulls and plain ints, in their order."""
     columns = {c: pdf[c].tolist() for c in EVENT_COLUMNS}
@@ -271,27 +278,59 @@ def result_row(order_id: str, state: OrderState, counts: list) -> tuple:
     return (order_id, state.status or None, state.accepted, state.filled, state.limit_price, state.stop_price, state.pending or None, state.broker_order_id or None, *counts)
 
 
+def _values(column: pa.Array) -> list:
+    """A column's values, with None for nulls; 64-bit numbers beside nulls stay as they are."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    if not column.null_count or not pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    there = column.is_valid().to_numpy(zero_copy_only=False).tolist()
+    return [v if here else None for v, here in zip(column.fill_null(0).to_numpy(zero_copy_only=False).tolist(), there, strict=True)]
+
+
+class _Event:
+    """The event at a place of a batch, by column: no dictionary is made of each."""
+
+    __slots__ = ("at", "columns")
+
+    def __init__(self, columns: dict[str, list]):
+        self.columns = columns
+
+    def __getitem__(self, name: str):
+        return self.columns[name][self.at]
+
+
 def fold(events: DataFrame) -> DataFrame:
     """The state of each order after all its ``events`` (order_id, ``EVENT_COLUMNS``) by seq, and how many were applied and refused (with the last refusal's reason).
 
     Events are dealt by order and sorted; a task goes through them once and holds one order's state, however many events it has.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        order_id, state, counts, done = None, OrderState(), [0, 0, None], []
-        for pdf in batches:
-            for own, e in zip(pdf["order_id"].tolist(), events_of(pdf), strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order_id, state, applied, refused, last, done = None, OrderState(), 0, 0, None, []
+        for batch in batches:
+            event = _Event({c: _values(batch.column(c)) for c in EVENT_COLUMNS})
+            for at, own in enumerate(_values(batch.column("order_id"))):
+                event.at = at
                 if own != order_id:
                     if order_id is not None:
-                        done.append(result_row(order_id, state, counts))
-                    order_id, state, counts = own, OrderState(), [0, 0, None]
-                why = state.apply(e)
-                counts = [counts[0] + (not why), counts[1] + bool(why), why or counts[2]]
+                        done.append(result_row(order_id, state, [applied, refused, last]))
+                    order_id, state, applied, refused, last = own, OrderState(), 0, 0, None
+                if why := state.apply(event):
+                    refused, last = refused + 1, why
+                else:
+                    applied += 1
             if done:
-                yield result_rows(done)
+                yield _batch(done)
                 done = []
         if order_id is not None:
-            yield result_rows([result_row(order_id, state, counts)])
+            yield _batch([result_row(order_id, state, [applied, refused, last])])
+
+    own = events.where(F.col("order_id").isNotNull()).select("order_id", *EVENT_COLUMNS)
+    return own.repartition("order_id").sortWithinPartitions("order_id", "seq").mapInArrow(run, STATE_SCHEMA)
+
 
-    ordered = sendable(events.where(F.col("order_id").isNotNull())).repartition("order_id").sortWithinPartitions("order_id", "seq")
-    return ordered.mapInPandas(run, STATE_SCHEMA)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of ``STATE_SCHEMA``."""
+    fields = [pa.field(name, pa.int64() if kind == "long" else pa.string()) for name, kind in (c.split() for c in STATE_SCHEMA.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array(values, f.type) for values, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))

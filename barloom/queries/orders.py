@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import decimals as dec
@@ -13,13 +13,24 @@ from .common import table, units
 UNIT = dec.SCALE
 
 
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as fills, numbered (n) within their order."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("order_id"), "l_orderkey", units("l_quantity", 0).alias("quantity"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("x"))
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("x", "quantity")).cast("bigint")).drop("x")
+
+
+def _ids(seq: Column) -> dict[str, Column]:
+    """fill_id and broker_fill_id of a fill by its place; a second delivery (the place after a fill's own, which is a multiple of 10) has another fill_id."""
+    n = F.floor(seq / 10).cast("bigint")
+    return {"fill_id": F.concat(F.concat_ws("-", F.lit("f"), "order_id", n), F.when(seq % 10 == 1, "r").otherwise("")), "broker_fill_id": F.concat_ws("-", F.lit("b"), "order_id", n)}
+
+
 def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as fills, numbered within their order; every fifth order's are delivered twice, the second time under another fill_id."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("order_id"), "l_orderkey", units("l_quantity", 0).alias("quantity"), F.col("l_shipdate").alias("ts"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("x"))
-    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("x", "quantity")).cast("bigint")
-    once = rows.withColumn("n", n).drop("x").withColumns({"fill_id": F.concat_ws("-", F.lit("f"), "order_id", "n"), "broker_fill_id": F.concat_ws("-", F.lit("b"), "order_id", "n"), "seq": F.col("n") * 10})
-    again = once.where("l_orderkey % 5 = 0").withColumns({"fill_id": F.concat("fill_id", F.lit("r")), "seq": F.col("seq") + 1})
-    return once.unionByName(again).withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("seq").cast("decimal(18,6)")))
+    own = F.col("n") * 10
+    seq = F.explode(F.when(F.col("l_orderkey") % 5 == 0, F.array(own, own + 1)).otherwise(F.array(own))).alias("seq")
+    fills = _numbered(spark, sf_dir).select("order_id", "l_orderkey", "quantity", "n", seq).withColumns(_ids(F.col("seq")))
+    return fills.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("seq").cast("decimal(18,6)")))
 
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,26 +135,22 @@ def order_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event logs of orders with line items: submitted, accepted, filled; where the key leaves 2 by three, cancelled after the second fill."""
-    text, big = (lambda v: F.lit(v).cast("string")), (lambda v: F.lit(v).cast("bigint"))
-    total = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(units("l_quantity", 0)).alias("total"))
-    base = {"event_id": text(""), "causation_id": text(""), "status": text(None), "account_id": text("a"), "instrument_id": text("i"), "side": text("buy"), "quantity": big(None), "limit_price": big(None), "stop_price": big(None), "fill_id": text(None), "broker_fill_id": text(None), "broker_order_id": text("B"), "rejected": F.lit(False)}
-    order = F.col("l_orderkey").cast("string").alias("order_id")
-
-    def event(rows: DataFrame, kind: str, seq, **more) -> DataFrame:
-        return rows.select(order, (seq if not isinstance(seq, int) else big(seq)).alias("seq"), F.lit(kind).alias("kind"), *[more.get(k, v).alias(k) for k, v in base.items()])
-
-    accepted = F.col("total") + F.when(F.col("l_orderkey") % 3 == 1, UNIT).otherwise(0)
-    cancelled = total.where("l_orderkey % 3 = 2")
-    every = event(total, "submit", 0)
-    parts = [
-        event(total, "accept", 1, quantity=accepted), event(_fills(spark, sf_dir), "fill", F.col("seq"), quantity=F.col("quantity"), fill_id=F.col("fill_id"), broker_fill_id=F.col("broker_fill_id")),
-        event(cancelled, "cancel_request", 25, event_id=text("c1")), event(cancelled, "cancel_result", 26, causation_id=F.when(F.col("l_orderkey") % 9 == 2, "c0").otherwise("c1"), status=text("canceled")),
-        event(total.where("l_orderkey % 7 = 0"), "expire", 5, status=text("expired")), event(total.where("l_orderkey % 8 = 1"), "accept", 8, quantity=accepted),
-    ]
-    for p in parts:
-        every = every.unionByName(p)
-    return every
+    """Event logs of orders with line items: submitted, accepted, filled; where the key leaves 2 by three, cancelled after the second fill. Line items are read and dealt once: the events that an order has beside its fills come with its first."""
+    k, n, seq, kind = F.col("l_orderkey"), F.col("n"), F.col("e.seq"), F.col("e.kind")
+    event = lambda at, name: F.struct((F.lit(at) if isinstance(at, int) else at).cast("bigint").alias("seq"), F.lit(name).alias("kind"))
+    some = lambda wanted, *events: F.when(wanted, F.array(*events)).otherwise(F.array().cast("array<struct<seq:bigint,kind:string>>"))
+    once = F.concat(
+        F.array(event(0, "submit"), event(1, "accept")), some(k % 3 == 2, event(25, "cancel_request"), event(26, "cancel_result")), some(k % 7 == 0, event(5, "expire")), some(k % 8 == 1, event(8, "accept")),
+    )
+    each = F.explode(F.concat(F.when(n == 1, once).otherwise(F.array().cast("array<struct<seq:bigint,kind:string>>")), F.array(event(n * 10, "fill")), some(k % 5 == 0, event(n * 10 + 1, "fill")))).alias("e")
+    rows = _numbered(spark, sf_dir).withColumn("total", F.sum("quantity").over(Window.partitionBy("l_orderkey"))).select("order_id", "l_orderkey", "quantity", "total", each)
+    accepted, fill = F.col("total") + F.when(k % 3 == 1, UNIT).otherwise(0), kind == "fill"
+    columns = {
+        "seq": seq, "kind": kind, "event_id": F.when(kind == "cancel_request", "c1").otherwise(""), "causation_id": F.when(kind == "cancel_result", F.when(k % 9 == 2, "c0").otherwise("c1")).otherwise(""),
+        "status": F.when(kind == "cancel_result", "canceled").when(kind == "expire", "expired"), "account_id": F.lit("a"), "instrument_id": F.lit("i"), "side": F.lit("buy"), "quantity": F.when(fill, F.col("quantity")).when(kind == "accept", accepted),
+        "limit_price": F.lit(None).cast("bigint"), "stop_price": F.lit(None).cast("bigint"), **{c: F.when(fill, v) for c, v in _ids(seq).items()}, "broker_order_id": F.lit("B"), "rejected": F.lit(False),
+    }
+    return rows.select("order_id", *[v.alias(c) for c, v in columns.items()])
 
 
 def order_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:

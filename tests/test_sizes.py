@@ -7,7 +7,9 @@ import duckdb
 from pyspark.sql import functions as F
 
 from barloom.operators import bars, instruments
+from barloom.operators.orders import fold
 from barloom.queries import all_oracles, all_queries
+from barloom.queries import orders as order_queries
 from barloom.sources import raw, store
 from barloom.streaming import orders as stream_orders
 
@@ -129,3 +131,17 @@ def test_records_of_a_file_are_shuffled_once(spark, tmp_path):
     assert ours == theirs and ours
     plan = all_queries()["normalised_bars"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_line_items_are_read_once_for_the_events_of_orders(spark):
+    plan = order_queries._events(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
+
+
+def test_an_unknown_kind_of_event_is_refused(spark):
+    schema = "order_id string, seq long, kind string, event_id string, causation_id string, status string, account_id string, instrument_id string, side string, quantity long, limit_price long, stop_price long, fill_id string, broker_fill_id string, broker_order_id string, rejected boolean"
+    event = lambda seq, kind, quantity=None, fill_id=None, rejected=None: ("o", seq, kind, "", "", None, "a", "i", "buy", quantity, None, None, fill_id, None, "B", rejected)
+    big = 2**60 + 1
+    rows = [event(0, "submit"), event(1, "accept", big), event(2, "request"), event(3, None), event(4, "fill", big - 1, "f", False), event(5, "result")]
+    (got,) = fold(spark.createDataFrame(rows, schema)).collect()
+    assert (got.status, got.accepted_quantity, got.filled_quantity, got.applied, got.refused, got.last_refusal) == ("partially_filled", big, big - 1, 3, 3, "unknown_kind")
