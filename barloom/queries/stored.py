@@ -201,8 +201,9 @@ def _stretched(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _at("2024-01-01 00:00:00")
     seconds = cal.seconds_between(F.col("ts"), base) * STRETCH
     ticks_ = ticks(spark, sf_dir).withColumn("ts", cal.plus_seconds(base, seconds)).where(F.dayofweek(cal.session_date(F.col("ts"))) < 6)
-    pairs = F.explode(F.array(F.lit("EURUSD"), F.lit("USDJPY"))).alias("symbol")
-    return settle(ops.from_ticks(ticks_.drop("symbol").select("*", pairs), ["symbol"], "d1"))
+    bars = ops.from_ticks(ticks_.drop("symbol"), [], "d1")
+    # both pairs have the same bars
+    return settle(bars.select(F.explode(F.array(F.lit("EURUSD"), F.lit("USDJPY"))).alias("symbol"), *bars.columns))
 
 
 def update_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from barloom.operators import bars, instruments
 from barloom.operators.orders import fold
 from barloom.queries import all_oracles, all_queries
 from barloom.queries import orders as order_queries
+from barloom.queries import stored
 from barloom.sources import raw, store
 from barloom.streaming import orders as stream_orders
 
@@ -145,3 +146,11 @@ def test_an_unknown_kind_of_event_is_refused(spark):
     rows = [event(0, "submit"), event(1, "accept", big), event(2, "request"), event(3, None), event(4, "fill", big - 1, "f", False), event(5, "result")]
     (got,) = fold(spark.createDataFrame(rows, schema)).collect()
     assert (got.status, got.accepted_quantity, got.filled_quantity, got.applied, got.refused, got.last_refusal) == ("partially_filled", big, big - 1, 3, 3, "unknown_kind")
+
+
+def test_ticks_are_put_into_bars_once_for_all_pairs(spark, monkeypatch):
+    seen, real = [], stored.ops.from_ticks
+    monkeypatch.setattr(stored.ops, "from_ticks", lambda ticks, *more: (seen.append(ticks), real(ticks, *more))[1])
+    bars = stored._stretched(spark, "/root/testdata/sf0.001").collect()
+    assert [t.count() for t in seen] == [sum(b.ticks for b in bars if b.symbol == "USDJPY")]
+    assert {tuple(b)[1:] for b in bars if b.symbol == "EURUSD"} == {tuple(b)[1:] for b in bars if b.symbol == "USDJPY"}
