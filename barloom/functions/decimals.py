@@ -128,10 +128,13 @@ def parse(text: Column | str, signed: bool = True) -> Column:
 def text_of(units: Column | str) -> Column:
     """Canonical text: no trailing zeros, and zero without a sign."""
     u = _col(units)
-    digits = F.translate(u.cast("string"), "-", "")
+    digits = F.ltrim(u.cast("string"), F.lit("-"))
     padded = F.when(F.length(digits) < 9, F.lpad(digits, 9, "0")).otherwise(digits)
-    tail = F.rtrim(F.right(padded, F.lit(8)), F.lit("0"))
-    return F.concat(F.when(u < 0, "-").otherwise(""), F.substr(padded, F.lit(1), F.length(padded) - 8), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""))
+    places, whole = F.when(u % SCALE == 0, 0), F.length(padded) - 8
+    for i in range(1, 8):
+        places = places.when(u % 10 ** (8 - i) == 0, i)
+    places = places.otherwise(8)
+    return F.concat(F.when(u < 0, "-").otherwise(""), F.substr(padded, F.lit(1), whole), F.when(places > 0, F.concat(F.lit("."), F.substr(padded, whole + 1, places))).otherwise(""))
 
 
 def money(amount: Column | str, currency: Column | str) -> Column:

@@ -74,6 +74,8 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FILE = ["year", "month", "file"]
 #: Customers whose orders share an archive.
 _CUSTOMERS = 500
+#: Symbols of orders that are open, finished, and neither.
+_SYMBOLS = ("EURUSD", "XAUUSD", "GBPJPY")
 
 
 def _archive() -> Column:
@@ -102,7 +104,7 @@ def normalised_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw CSV files made of orders, read back: status, fingerprint, and what was parsed."""
-    return _raw(spark, sf_dir).select(_archive(), "symbol", "year", "month", "file_status", "file_error", "fingerprint", F.size("lines").alias("lines"))
+    return _raw(spark, sf_dir).select(_archive(), "symbol", "year", "month", "file_status", "file_error", "fingerprint", F.col("line_count").alias("lines"))
 
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,14 +117,15 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     price = dec.text_of(units("o_totalprice", 2))
-    stamp = F.concat(F.regexp_replace(text("o_orderdate"), " ", "T"), F.when(k % 3 == 0, "+00:00").otherwise("Z"))
+    stamp = F.concat(F.replace(text("o_orderdate"), F.lit(" "), F.lit("T")), F.when(k % 3 == 0, "+00:00").otherwise("Z"))
     bad = F.when(k % 911 == 0, F.lit("x")).otherwise(price)
     line = F.concat_ws(",", stamp, price, price, price, price, bad, price, price, price, (k % 100).cast("string"), F.when(k % 5 == 0, "F").otherwise("true"))
-    symbol = F.when(F.col("o_orderstatus") == "O", "EURUSD").when(F.col("o_orderstatus") == "F", "XAUUSD").otherwise("GBPJPY")
-    month = F.date_format(F.trunc(F.col("o_orderdate"), "month"), "MM")
-    rows = o.select(F.floor(F.col("o_custkey") / _CUSTOMERS).alias("r"), symbol.alias("s"), F.year("o_orderdate").cast("string").alias("y"), month.alias("m"), F.struct(k.alias("k"), line.alias("line")).alias("l"))
+    symbol = F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "F", 2).otherwise(3)
+    rows = o.select(F.floor(F.col("o_custkey") / _CUSTOMERS).alias("r"), symbol.alias("s"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.struct(k.alias("k"), line.alias("line")).alias("l"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n")
-    files = rows.groupBy("r", "s", "y", "m").agg(body.alias("body"))
+    # rows are sorted by these keys, so none is a text
+    files = rows.groupBy("r", "y", "m", "s").agg(body.alias("body"))
+    files = files.withColumns({"s": F.element_at(F.array(*map(F.lit, _SYMBOLS)), F.col("s")), "y": F.col("y").cast("string"), "m": F.lpad(F.col("m").cast("string"), 2, "0")})
     path = F.concat(F.lit("root-"), F.col("r").cast("string"), F.lit("/"), F.concat_ws("/", "s", F.when(F.col("m") == "11", "1999").otherwise(F.col("y")), "m"), F.lit("/"), F.concat_ws("-", "s", "y", "m", F.when(F.col("m") == "12", "w1").otherwise("d")), F.lit(".csv"))
     comment = F.concat(F.lit("# schema=raw-v1 source=x instrument="), F.col("s"), F.lit(" tf=d year="), F.when(F.col("m") == "10", "1900").otherwise(F.col("y")), F.lit(" month="), F.col("m"))
     header = F.when(F.col("m") == "09", "time,price").otherwise(raw.HEADER)

@@ -26,7 +26,10 @@ PROVIDER = "oanda"
 PRICES = ("bid_o", "bid_h", "bid_l", "bid_c", "ask_o", "ask_h", "ask_l", "ask_c")
 #: Rows without an error that are spelt the usual way: a day that is in the calendar, UTC, up to ten digits before a point and eight after it, a volume of up to 18 digits. Others may be as good, but need a closer look.
 _DAY = r"(?:(?:0[1-9]|1[0-2])-(?:0[1-9]|1\d|2[0-8])|(?:0[13-9]|1[0-2])-(?:29|30)|(?:0[13578]|1[02])-31)"
-PLAIN = rf"^[12]\d{{3}}-{_DAY}T(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:Z|[+-]00:00)(?:,\d{{1,10}}(?:\.\d{{1,8}})?){{8}},\d{{1,18}},(?:{'|'.join((*TRUE, *FALSE))})\z"
+_ROW = rf"[12]\d{{3}}-{_DAY}T(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:Z|[+-]00:00)(?:,\d{{1,10}}+(?:\.\d{{1,8}}+)?+){{8}}+,\d{{1,18}}+,(?:{'|'.join((*TRUE, *FALSE))})"
+PLAIN = rf"^{_ROW}\z"
+#: Two plain rows or more that follow each other in a file. Its loops are possessive, so a file of any length is met without recursion.
+RUN = rf"(?<![^\n])({_ROW}(?=\r?\n|\z))(?:\r?\n{_ROW}(?=\r?\n|\z))++"
 TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 
 
@@ -61,30 +64,40 @@ def file_fields(path: Column, root: str | None = None) -> dict[str, Column]:
 
 def comment_error(comment: Column) -> Column:
     """'comment' where a ``# schema=raw-v1 ...`` line disagrees with the file's name; other comments don't count."""
-    m = F.str_to_map(F.trim(F.regexp_replace(comment, r"^#\s*", "")), F.lit(" +"), F.lit("="))
-    interval = F.when(m["tf"] == "d", "d1").otherwise(m["tf"])
-    agrees = (m["instrument"] == F.col("symbol")) & (interval == F.col("interval")) & (m["year"].try_cast("int") == F.col("year")) & (m["month"].try_cast("int") == F.col("month"))
-    return F.when((m["schema"] == SCHEMA_TAG) & ~F.coalesce(agrees, F.lit(False)), "comment")
+    said = F.str_to_map(F.trim(F.regexp_replace(comment, r"^#\s*", "")), F.lit(" +"), F.lit("="))
+
+    def judge(m: Column) -> Column:
+        interval = F.when(m["tf"] == "d", "d1").otherwise(m["tf"])
+        agrees = (m["instrument"] == F.col("symbol")) & (interval == F.col("interval")) & (m["year"].try_cast("int") == F.col("year")) & (m["month"].try_cast("int") == F.col("month"))
+        return F.when((m["schema"] == SCHEMA_TAG) & ~F.coalesce(agrees, F.lit(False)), "comment")
+
+    return F.transform(F.array(said), judge)[0]
+
+
+def _is_row(line: Column) -> Column:
+    """Neither blank nor a comment."""
+    return ~line.rlike(r"^\s*(#.*)?$")
 
 
 def parse_files(files: DataFrame, root: str | None = None) -> DataFrame:
-    """``files`` (path, content) below ``root`` with name fields, fingerprint, file_status (ok, malformed or skipped), file_error and lines (line_no, line).
+    """``files`` (path, content) below ``root`` with name fields, fingerprint, file_status (ok, malformed or skipped), file_error, lines (line_no, line) and their number, line_count.
 
-    Fingerprint and lines come from one read of the bytes. A file is malformed where its header or comment is wrong, or some row is.
+    Fingerprint and lines come from one read of the bytes. A file is malformed where its header or comment is wrong, or some row is. A run of plain rows has no error that its first row hasn't, so errors are looked for, and rows counted, in
+    the file with its runs cut down to one row each; the lines that are gone are added.
     """
     named = files.select("path", "content").withColumns(file_fields(F.col("path"), root))
-    text = F.col("content").cast("string")
-    numbered = F.transform(F.split(text, "\r?\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
-    kept = F.filter(numbered, lambda x: ~x["line"].rlike(r"^\s*(#.*)?$"))
-    comments = F.filter(numbered, lambda x: x["line"].startswith("#"))
-    out = named.withColumns({"fingerprint": F.concat(F.lit("sha256:"), F.sha2("content", 256)), "_lines": kept, "_comments": comments})
-    wrong = F.exists("_comments", lambda c: comment_error(c["line"]).isNotNull())
-    header = F.coalesce(F.try_element_at("_lines", F.lit(1))["line"] != HEADER, F.lit(True))
-    lines = F.when(F.size("_lines") > 0, F.slice("_lines", 2, 10**9)).otherwise(F.col("_lines"))
-    bad_row = F.exists(lines, lambda x: row_error(x["line"]).isNotNull())
-    error = F.coalesce("file_error", F.when(header, "header"), F.when(wrong, "comment"), F.when(bad_row, "row"))
-    status = F.when(F.col("file_error").isNotNull(), "skipped").when(error.isNotNull(), "malformed").otherwise("ok")
-    return out.withColumns({"file_status": status, "file_error": error, "lines": lines}).drop("content", "_lines", "_comments")
+    text, split = F.col("content").cast("string"), lambda t: F.split(t, "\r?\n")
+    numbered = F.transform(split(text), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+    lines = F.slice(F.filter(numbered, lambda x: _is_row(x["line"])), 2, 10**9)
+    out = named.withColumns({"fingerprint": F.concat(F.lit("sha256:"), F.sha2("content", 256)), "lines": lines, "_text": text, "_split": split(F.when(F.col("file_error").isNull(), F.regexp_replace(text, RUN, "$1")).otherwise(text))})
+    out = out.withColumns({"_lines": F.filter("_split", _is_row), "_comments": F.filter("_split", lambda x: x.startswith("#"))})
+    wrong = F.exists("_comments", lambda c: comment_error(c).isNotNull())
+    header = F.coalesce(F.try_element_at("_lines", F.lit(1)) != HEADER, F.lit(True))
+    bad_row = F.exists(F.slice("_lines", 2, 10**9), lambda x: row_error(x).isNotNull())
+    count = F.size("_lines") + F.size(F.split("_text", "\n")) - F.size("_split")
+    out = out.withColumns({"_error": F.coalesce("file_error", F.when(header, "header"), F.when(wrong, "comment"), F.when(bad_row, "row")), "line_count": F.when(count > 0, count - 1).otherwise(count)})
+    status = F.when(F.col("file_error").isNotNull(), "skipped").when(F.col("_error").isNotNull(), "malformed").otherwise("ok")
+    return out.withColumns({"file_status": status, "file_error": F.col("_error")}).drop("content", "_text", "_split", "_lines", "_comments", "_error")
 
 
 def _fields(line: Column) -> Column:

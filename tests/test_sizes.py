@@ -115,6 +115,31 @@ def test_plain_rows_are_judged_at_one_look(spark, monkeypatch):
     assert alone == [r.e for r in rows.select("i", raw.row_error(F.col("line")).alias("e")).orderBy("i").collect()]
 
 
+def test_runs_of_plain_rows_are_judged_by_their_first(spark, monkeypatch):
+    row = lambda i: f"2024-01-31T{i // 3600 % 24:02}:{i // 60 % 60:02}:{i % 60:02}Z,{i}.5,1,1,1,1,1,1,1,{i},true"
+    some, bad, head, said = [row(i) for i in range(5)], row(1).replace("true", "maybe"), raw.HEADER, "# schema=raw-v1 source=x instrument=EURUSD tf=d year=2024 month=01"
+    odd = {
+        "many": [said, head, *map(row, range(20_000))], "blank": [head, "", *some, " ", "", *some, ""], "between": [said, head, *some[:3], "# x", *some, "#"], "wrong": [said.replace("2024", "2023"), head, *some], "late": [*some, head], "none": some,
+        "bad_first": [head, bad, *some], "bad_middle": [head, *some, bad, *some], "bad_last": [head, *some, bad], "odd": [head, *some, row(7).replace(",1,", ",+1,", 1), *some], "lone": [head, *some, row(7) + "\r" + row(8), *some], "return": [head, *some, row(7) + "\r"], "once": [head, some[0]],
+        "blank_before": [head, " " + some[0], *some], "far": [head, *some, "\u2028" + some[0]], "head": [head], "empty": [], "comments": [said, "#"],
+    }
+    texts = [(f"{n}{i}", end.join(lines) + tail) for n, lines in odd.items() for i, (end, tail) in enumerate((e, t) for e in ("\n", "\r\n") for t in ("", e, e + e))]
+    texts.append(("bytes", "\n".join([head, *some, "\udcff", *some])))
+    path = lambda n, symbol="EURUSD": f"{n}/{symbol}/2024/01/{symbol}-2024-01-d.csv"
+    files = spark.createDataFrame([(path(n, s), bytearray(t.encode("utf-8", "surrogateescape"))) for s in ("EURUSD", "XAUUSD") for n, t in texts if s == "EURUSD" or n[:4] != "many"], "path string, content binary")
+    found = {r.path: r for r in raw.parse_files(files).collect()}
+    assert all(r.line_count == len(r.lines) for r in found.values())
+    says = {n: found[path(f"{n}0")].file_error for n in odd}
+    want = {"wrong": "comment"} | dict.fromkeys(("late", "none", "empty", "comments"), "header") | dict.fromkeys(("bad_first", "bad_middle", "bad_last", "lone", "return", "blank_before", "far"), "row")
+    assert says == {n: want.get(n) for n in odd} and found[path("many0")].line_count == 20_000
+    with monkeypatch.context() as m:  # of all plain rows only the first of a run is looked at
+        m.setattr(raw, "row_error", lambda line: F.when(line == row(1), F.raise_error(F.lit("looked at every row")).cast("string")))
+        assert raw.parse_files(files.where(F.col("path").isin(path("many0"), path("blank0"), path("between1")))).where("file_status = 'ok'").count() == 3
+    monkeypatch.setattr(raw, "RUN", r"^\b\B$")  # there are no runs
+    each = {r.path: r for r in raw.parse_files(files).collect()}
+    assert each == found and len(found) == 2 * len(texts) - 6
+
+
 def test_a_quarter_of_four_spreads_in_64_bits(spark):
     most = 2**63 - 1
     cases = [(most,) * 4, (-most - 1,) * 4, (most, most, most, most - 1), (-most - 1, -most - 1, -most - 1, -most), (most, -most, 1, 1), (1, 1, 1, 3), (1, 1, 1, 1), (0, 0, 1, 1), (0, 0, 3, 3), (0, 0, -1, -1), (0, 0, -3, -3), (-1, 0, 0, 0), (-3, 0, 0, 0), (7, -2, 5, 0), (None, 1, 1, 1)]
