@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,12 +20,17 @@ ROUNDS = 10
 BLOCK, TESTS = 4, (0.3, 0.5, 0.7, 0.85, 1.0)
 #: A test abandons a candidate that would see so low a partial product with this chance, were it at the bound: about 2 %.
 QUANTILE = 2.05
-#: The bound is the level above which this many times k of all vectors are expected.
-BOUND_TIMES = 2.0
+#: The bound is the level above which this many times k of all vectors are expected. Tails of real products are lighter than the normal ones that this is told by, the more so the
+#: farther out they are; queries that find fewer than k ask again for the second number, and then without a bound.
+BOUND_TIMES = (4.0, 32.0)
 #: Share of a query's neighbours that unprobed lists may be expected to hold.
-MISS = 0.02
-#: Rows of a list, and queries of a list, that meet in one task.
-CHUNK_ROWS, CHUNK_QUERIES = 4096, 2048
+MISS = 0.005
+#: Rows, and queries, that meet in one task; smaller tables are cut into ``CHUNKS`` chunks, of 1,024 rows at least.
+CHUNK_ROWS, CHUNK_QUERIES, CHUNKS = 8192, 8192, 32
+#: Rows, and queries, of a task that are scanned at a time.
+TILE_ROWS, TILE_QUERIES = 2048, 1024
+#: Once so small a share of a tile's pairs is left, those are gone on with one by one.
+FEW_LEFT = 0.06
 
 
 def matrix(vectors: pd.Series, dim: int) -> np.ndarray:
@@ -44,6 +49,41 @@ def _tail(z: np.ndarray) -> np.ndarray:
     return np.where(z >= 0, erfc / 2, 1 - erfc / 2)
 
 
+def _norms(x: np.ndarray) -> np.ndarray:
+    """Lengths of the rows, also where squares would fall below or go beyond doubles; 1 for zero rows."""
+    most = np.abs(x).max(axis=1, initial=0)
+    most = np.where(most > 0, most, 1.0)
+    length = most * np.linalg.norm(x / most[:, None], axis=1)
+    return np.where(length > 0, length, 1.0)
+
+
+class Asking:
+    """Queries made ready for scans: of length 1, rotated, with the order of their column blocks, and the variance of the product over the blocks up to each test.
+
+    Neither depends on the list that is scanned, so this is worked out once for all lists of a task.
+    """
+
+    def __init__(self, index: Index, q: np.ndarray, bound: np.ndarray):
+        self.length = _norms(q) * index.unit
+        u = index.blocks(q @ index.rotation / _norms(q)[:, None])
+        vary = (u**2 * index.vary).reshape(len(q), -1, BLOCK).sum(axis=2)
+        self.order = np.argsort(-vary, axis=1, kind="stable")
+        self.place = np.argsort(self.order, axis=1)
+        self.upto_vary = np.cumsum(np.take_along_axis(vary, self.order, axis=1), axis=1)[:, index.upto - 1]
+        self.columns = (self.order[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(len(q), -1)
+        self.exact, self.u = u, u.astype(np.float32)
+        self.ordered = np.take_along_axis(self.u, self.columns, axis=1)
+        self.tighten(bound)
+
+    def tighten(self, bound: np.ndarray) -> None:
+        self.bound = bound / self.length
+
+    def some(self, at: np.ndarray) -> Asking:
+        own = object.__new__(Asking)
+        own.__dict__ = {name: values[at] for name, values in self.__dict__.items()}
+        return own
+
+
 class Index:
     """What is fitted: norm bound, list centres with their sample counts and spreads, and the rotation to the main axes of what differs from the centres.
 
@@ -70,6 +110,12 @@ class Index:
         self.spread = np.sqrt((np.bincount(own, weights=each, minlength=len(centres)) + overall) / (self.count + 1) / self.dim) + 1e-12
         scale, axes = np.linalg.eigh(apart.T @ apart / max(1, len(apart)))
         self.rotation, self.scale = np.ascontiguousarray(axes[:, ::-1]), np.maximum(scale[::-1], 0) + 1e-12
+        # scans take vectors divided by the largest norm (and queries by their own), in single precision: rounding errors of a whole product lie below the slack
+        self.unit, self.slack = largest or 1.0, 6e-8 * (self.dim + 4)
+        self.vary, self.turned = self.blocks(self.scale[None] / self.unit**2), self.blocks(centres[:, : self.dim] @ self.rotation / self.unit)
+        n = self.vary.shape[1] // BLOCK
+        #: Column blocks that each test has behind it.
+        self.upto = np.array([n if share == 1 else max(1, round(share * n)) for share in TESTS])
         #: Pairs that scans have begun with, and that were left after each test.
         self.left = np.zeros(len(TESTS) + 1, dtype=np.int64)
 
@@ -81,71 +127,120 @@ class Index:
     def lift(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(self.largest**2 - (x**2).sum(axis=1), 0))[:, None]])
 
-    def probes(self, q: np.ndarray, k: float, miss: float) -> tuple[list[np.ndarray], np.ndarray]:
-        """The lists to probe for each query, and the level of inner products above which ``BOUND_TIMES`` k of all vectors are expected (``k`` as a share of all).
+    @staticmethod
+    def blocks(x: np.ndarray) -> np.ndarray:
+        """``x`` with columns of zeros up to whole blocks."""
+        return np.pad(x, ((0, 0), (0, -x.shape[1] % BLOCK)))
 
-        Inner products with a list's members are taken as normal around that with its centre. Levels are found by bisection; lists are
-        probed by their expected number of the k nearest, until the rest holds less than ``miss`` of them.
-        """
+    def turn(self, x: np.ndarray) -> np.ndarray:
+        return self.blocks(x @ self.rotation / self.unit).astype(np.float32)
+
+    def hits(self, q: np.ndarray, level: np.ndarray, lists: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Per query and list the share of all vectors that lie in this list and above ``level``. Inner products with a list's members are taken as normal around that with its centre."""
+        middle, scale = q @ self.centres[lists, : self.dim].T, np.linalg.norm(q, axis=1)[:, None] * self.spread[lists]
+        return _tail((level[:, None] - middle) / scale) * (self.count[lists] / max(1, self.count.sum()))
+
+    def level(self, q: np.ndarray, of: float) -> np.ndarray:
+        """The level of inner products above which a share ``of`` of all vectors is expected, found by bisection."""
         middle = q @ self.centres[:, : self.dim].T
         scale = np.linalg.norm(q, axis=1)[:, None] * self.spread
         share = self.count / max(1, self.count.sum())
+        low, high = (middle - 9 * scale).min(axis=1), (middle + 9 * scale).max(axis=1)
+        for _ in range(40):
+            at = (low + high) / 2
+            more = (_tail((at[:, None] - middle) / scale) * share).sum(axis=1) > of
+            low, high = np.where(more, at, low), np.where(more, high, at)
+        return low
 
-        def level(of: float) -> np.ndarray:
-            low, high = (middle - 9 * scale).min(axis=1), (middle + 9 * scale).max(axis=1)
-            for _ in range(40):
-                at = (low + high) / 2
-                more = (_tail((at[:, None] - middle) / scale) * share).sum(axis=1) > of
-                low, high = np.where(more, at, low), np.where(more, high, at)
-            return low
+    def probes(self, q: np.ndarray, k: float, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The lists to probe for each query (a table of queries by lists), which are those whose hits above a level reach ``cut``; the level and the cut.
 
-        hits = _tail((level(min(0.5, k))[:, None] - middle) / scale) * share
-        order = np.argsort(-hits, axis=1, kind="stable")
-        held = np.cumsum(np.take_along_axis(hits, order, axis=1), axis=1)
-        n = (held < (1 - miss) * held[:, -1:]).sum(axis=1) + 1
-        return [o[:m] for o, m in zip(order, n, strict=True)], level(min(0.75, BOUND_TIMES * k))
+        ``k`` is a share of all vectors. Lists are probed by their expected number of the k nearest, until the rest holds less than ``miss`` of them.
+        """
+        level = self.level(q, min(0.5, k))
+        hits = self.hits(q, level)
+        down = -np.sort(-hits, axis=1)
+        held = np.cumsum(down, axis=1)
+        last = np.minimum((held < (1 - miss) * held[:, -1:]).sum(axis=1), down.shape[1] - 1)
+        cut = np.take_along_axis(down, last[:, None], axis=1)[:, 0] * (1 - 1e-9)
+        return hits >= cut[:, None], level, cut
 
     def scan(self, q: np.ndarray, x: np.ndarray, bound: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, candidate) that no test abandons, for the members ``x`` of list ``own`` and bounds on the inner product.
+        """Pairs (query, candidate) that no test abandons, for the members ``x`` of list ``own`` and bounds on the inner product."""
+        return self.meet(Asking(self, q, bound), self.turn(x), own)
+
+    def meet(self, asking: Asking, y: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """``scan``, of what is made ready.
 
         Each query goes through the column blocks from the one that its products vary with most. With P the whole product, of mean m and variance V over the list's members, the part
         P_d over the blocks so far (m_d, V_d) is normal given P: around m_d + (P - m) w, with variance V_d (1 - w), w = V_d / V. A test rejects that P is at the bound.
+        While many pairs are left, a block is added for all candidates of those queries that it comes next for; then each pair that is left takes its query's next columns.
         """
-        y, u = x @ self.rotation, q @ self.rotation
-        blocks = [slice(i, i + BLOCK) for i in range(0, self.dim, BLOCK)]
-        starts = np.arange(0, self.dim, BLOCK)
-        vary = np.add.reduceat(u**2 * self.scale, starts, axis=1)
-        mean = np.add.reduceat(u * (self.centres[own, : self.dim] @ self.rotation), starts, axis=1)
-        order = np.argsort(-vary, axis=1, kind="stable")
-        place = np.argsort(order, axis=1)
-        vary, mean = (np.cumsum(np.take_along_axis(v, order, axis=1), axis=1) for v in (vary, mean))
-        slack = 1e-6 * np.linalg.norm(q, axis=1) * self.largest
-        rows = cols = partial = None
+        u, place, n = asking.u, asking.place, len(y)
+        mean = (asking.exact * self.turned[own]).reshape(len(u), -1, BLOCK).sum(axis=2)
+        mean = np.cumsum(np.take_along_axis(mean, asking.order, axis=1), axis=1)[:, self.upto - 1]
+        across = np.ascontiguousarray(y.T)
+        grid = np.zeros((len(u), n), dtype=np.float32)
+        alive = rows = cols = partial = None
         begun = 0
-        self.left[0] += len(q) * len(x)
-        for k, share in enumerate(TESTS):
-            upto = len(blocks) if share == 1 else max(1, round(share * len(blocks)))
-            part, grown = vary[:, upto - 1], mean[:, upto - 1]
-            w = part / vary[:, -1]
-            least = bound - slack if upto == len(blocks) else grown + (bound - mean[:, -1]) * w - QUANTILE * np.sqrt(part * np.maximum(1 - w, 0))
-            due = (place >= begun) & (place < upto)  # blocks that come now, by query
+        self.left[0] += grid.size
+        for k, upto in enumerate(self.upto):
+            part = asking.upto_vary[:, k]
+            w = part / asking.upto_vary[:, -1]
+            least = (asking.bound - self.slack if upto == self.upto[-1] else mean[:, k] + (asking.bound - mean[:, -1]) * w - QUANTILE * np.sqrt(part * np.maximum(1 - w, 0)) - self.slack).astype(np.float32)
             if rows is None:
-                grid = np.zeros((len(q), len(x)))
-                for b, block in enumerate(blocks):
-                    asking = np.flatnonzero(due[:, b])
-                    grid[asking] += u[asking, block] @ y[:, block].T
-                rows, cols = np.nonzero(grid >= least[:, None])
-                partial = grid[rows, cols]
+                due = (place >= begun) & (place < upto)  # blocks that come now, by query
+                for b in range(place.shape[1]):
+                    if len(at := np.flatnonzero(due[:, b])):
+                        block = slice(b * BLOCK, (b + 1) * BLOCK)
+                        grid[at] += u[at, block] @ across[block]
+                now = grid >= least[:, None]
+                alive = now if alive is None else np.logical_and(alive, now, out=alive)
+                left = np.count_nonzero(alive)
+                if left <= FEW_LEFT * alive.size or upto == self.upto[-1]:
+                    flat = np.flatnonzero(alive)
+                    (rows, cols), partial = np.divmod(flat, max(1, n)), grid.ravel()[flat]
             else:
-                for b, block in enumerate(blocks):
-                    at = np.flatnonzero(due[rows, b])
-                    partial[at] += np.einsum("ij,ij->i", u[rows[at], block], y[cols[at], block])
+                some = slice(begun * BLOCK, upto * BLOCK)
+                for i in range(0, len(rows), 65536):
+                    r, c = rows[i : i + 65536], cols[i : i + 65536]
+                    partial[i : i + 65536] += np.einsum("ij,ij->i", asking.ordered[r, some], y[c[:, None], asking.columns[r, some]])
                 stay = partial >= least[rows]
                 rows, cols, partial = rows[stay], cols[stay], partial[stay]
-            self.left[k + 1] += len(rows)
+                left = len(rows)
+            self.left[k + 1] += left
             begun = upto
         return rows, cols
 
+    def search(self, q: np.ndarray, x: np.ndarray, lists: np.ndarray, bound: np.ndarray, level: np.ndarray, cut: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ``k`` best found of each query (query, candidate, inner product in double precision) among candidates ``x`` of ``lists`` (in order), from the lists that it probes.
+
+        What a query has found so far raises its bound.
+        """
+        asking, y, bound = Asking(self, q, bound), self.turn(x), bound.copy()
+        rows, cols, score = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        starts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+        probed = self.hits(q, level, lists[starts]) >= cut[:, None]
+        for i, (start, end) in enumerate(zip(starts, [*starts[1:], len(lists)], strict=True)):
+            due = np.flatnonzero(probed[:, i])
+            for a in range(0, len(due), TILE_QUERIES):
+                tile = due[a : a + TILE_QUERIES]
+                for b in range(start, end, TILE_ROWS):
+                    r, c = self.meet(asking.some(tile), y[b : min(end, b + TILE_ROWS)], lists[start])
+                    r, c = tile[r], c + b
+                    each = [np.einsum("ij,ij->i", q[r[j : j + 65536]], x[c[j : j + 65536]]) for j in range(0, len(r), 65536)]
+                    rows, cols, score = np.concatenate([rows, r]), np.concatenate([cols, c]), np.concatenate([score, *each])
+                    if len(rows) > 4 * k * len(q):
+                        best = _top(rows, score, ids[cols], k)
+                        rows, cols, score = rows[best], cols[best], score[best]
+                        full = np.bincount(rows, minlength=len(q)) == k
+                        worst = np.full(len(q), np.inf)
+                        np.minimum.at(worst, rows, score)
+                        bound = np.where(full, np.maximum(bound, worst), bound)
+                        asking.tighten(bound)
+        best = _top(rows, score, ids[cols], k)
+        return rows[best], cols[best], score[best]
+
 
 def _top(rows: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best of each row: score down, then id up."""
@@ -163,7 +258,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, miss: float = MISS
     largest first, ties to the smaller vec_id; never the query's own vec_id. Equal vectors are searched once and keep their k + 1 smallest ids,
     which is all that ranks can reach. Rows without vec_id, or whose vector is null, zero or has null or non-finite
     components, take no part; repeated rows count once; vectors shorter than others count as ending in zeros; other columns are left out. Empty tables give no rows.
-    Queries that bounds and probes leave with fewer than k start again over all lists without a bound.
+    Queries that bounds and probes leave with fewer than k start again over all lists, with a lower bound and then without.
     """
     spark = vectors.sparkSession
     whole = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
@@ -189,52 +284,65 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, miss: float = MISS
             if len(pdf):
                 yield pdf.assign(list=own.nearest_centre(own.lift(matrix(pdf["v"], dim)), own.centres))
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                q = matrix(part["v"], dim)
-                # the query itself is among the vectors, so one more than k
-                lists, bound = own.probes(q, (k + 1) / n, miss)
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "v": part["v"].to_numpy(), "bound": bound, "list": lists}).explode("list").astype({"list": "int64"})
-
     members = settle(reps.select("rep", "v").mapInPandas(assign, f"rep long, v {vector}, list long"))
-    # one row a list, and there are at most MOST_LISTS
-    sizes = F.broadcast(members.groupBy("list").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks")))
+    # one row a list, and there are at most MOST_LISTS; lists lie one after the other in chunks of ``chunk_rows``, a long one in several
+    sizes = sorted(members.groupBy("list").count().collect())
+    ends = np.cumsum([size for _, size in sizes])
+    chunk_rows = min(chunk_rows, max(1024, -(-n // CHUNKS)))
+    chunks = -(-n // chunk_rows)
+    spans = [(own, int(end - size), size) for (own, size), end in zip(sizes, ends, strict=True)]
+    starts = F.broadcast(spark.createDataFrame(spans, "list long, start long, size long"))
+    chunk = F.floor((F.col("start") + F.pmod(F.xxhash64("rep"), "size")) / chunk_rows).cast("int").alias("chunk")
+    # chunks that hold rows of a list
+    held_in = {own: range(start // chunk_rows, (start + size - 1) // chunk_rows + 1) for own, start, size in spans}
+
+    def probe(times: float | None, within: float | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        """Queries with a bound (``times``) or without, the chunks they go to, and what tells which lists they probe there (all, without ``within``)."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = shared.value
+            for pdf in batches:
+                for at in range(0, len(pdf), 256):
+                    part = pdf.iloc[at : at + 256]
+                    q = matrix(part["v"], dim)
+                    # the query itself is among the vectors, so one more than k
+                    bound = own.level(q, min(0.75, times * (k + 1) / n)) if times else np.full(len(q), -np.inf)
+                    if within is None:
+                        level, cut, to = np.zeros(len(q)), np.full(len(q), -1.0), [range(chunks)] * len(q)
+                    else:
+                        probed, level, cut = own.probes(q, (k + 1) / n, within)
+                        to = [{c for i in np.flatnonzero(row) for c in held_in.get(i, ())} for row in probed]
+                    yield pd.DataFrame({"rep": part["rep"].to_numpy(), "v": part["v"].to_numpy(), "bound": bound, "level": level, "cut": cut, "chunks": [sorted(c) for c in to]})
+
+        return run
 
     def search(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        own, out = shared.value, []
-        if len(held) and len(asking):
-            x, ids = matrix(held["v"], dim), held["rep"].to_numpy()
-            for at in range(0, len(asking), 256):
-                part = asking.iloc[at : at + 256]
-                q = matrix(part["v"], dim)
-                rows, cols = own.scan(q, x, part["bound"].to_numpy(), int(part["list"].iloc[0]))
-                score = np.concatenate([np.einsum("ij,ij->i", q[rows[i : i + 65536]], x[cols[i : i + 65536]]) for i in range(0, len(rows), 65536)] or [np.zeros(0)])
-                best = _top(rows, score, ids[cols], k + 1)
-                out.append(pd.DataFrame({"asked": part["rep"].to_numpy()[rows[best]], "rep": ids[cols[best]], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"asked": [], "rep": [], "score": []})
-
-    def scan(asked: DataFrame) -> DataFrame:
-        """Meet ``asked`` (rep, v, bound, list) with the members of each list, both dealt into chunks of bounded size."""
-        loads = F.broadcast(asked.groupBy("list").agg(F.ceil(F.count("*") / chunk_queries).cast("int").alias("parts")))
-        deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-        each = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
-        left = asked.join(sizes, "list").join(loads, "list").withColumn("part", deal("parts")).select("list", "part", each("chunks", "chunk"), "rep", "v", "bound")
-        right = members.join(sizes, "list").join(loads, "list").withColumn("chunk", deal("chunks")).select("list", "chunk", each("parts", "part"), "rep", "v")
-        keys = ["list", "chunk", "part"]
+        if not len(held) or not len(asking):
+            return pd.DataFrame({"asked": [], "rep": [], "score": []})
+        held = held.sort_values("list", kind="stable")
+        ids = held["rep"].to_numpy()
+        rows, cols, score = shared.value.search(matrix(asking["v"], dim), matrix(held["v"], dim), held["list"].to_numpy(), *[asking[c].to_numpy() for c in ("bound", "level", "cut")], ids, k + 1)
+        return pd.DataFrame({"asked": asking["rep"].to_numpy()[rows], "rep": ids[cols], "score": score})
+
+    def scan(asked: DataFrame, how: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+        """Meet queries ``asked`` (rep, v) with the chunks that hold lists which they probe: a task has at most about ``chunk_rows`` rows and ``chunk_queries`` queries, whose vectors travel once for all lists of a chunk."""
+        blocks = max(1, -(-asked.count() // chunk_queries))
+        ready = asked.mapInPandas(how, f"rep long, v {vector}, bound double, level double, cut double, chunks array<int>")
+        left = ready.select(F.explode("chunks").alias("chunk"), F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"), "rep", "v", "bound", "level", "cut")
+        right = members.join(starts, "list").select(chunk, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "list", "rep", "v")
+        keys = ["chunk", "block"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "asked long, rep long, score double")
 
-    searched = reps.join(queries.select("rep").distinct(), "rep", "left_semi").select("rep", "v")
-    found = settle(scan(settle(searched.mapInPandas(probe, f"rep long, v {vector}, bound double, list long"))))
-    # what bound and probes left with too few starts again over all lists, without a bound
-    enough = found.groupBy("asked").count().where(F.col("count") >= min(k + 1, n)).select(F.col("asked").alias("rep"))
-    short = settle(searched.join(enough, "rep", "left_anti"))
-    if not short.isEmpty():
-        lists = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(index.centres) - 1).cast("long")))
-        again = short.select("rep", "v", F.lit(float("-inf")).alias("bound"), lists.alias("list"))
-        found = found.join(short.select(F.col("rep").alias("asked")), "asked", "left_anti").unionByName(scan(again))
+    searched = settle(reps.join(queries.select("rep").distinct(), "rep", "left_semi").select("rep", "v"))
+    first, second = BOUND_TIMES
+    found = settle(scan(searched, probe(first, miss)))
+    # what bound and probes left with too few starts again over all lists, from a lower bound, and at last without one
+    for times in (second, None):
+        enough = found.groupBy("asked").count().where(F.col("count") >= min(k + 1, n)).select(F.col("asked").alias("rep"))
+        short = settle(searched.join(enough, "rep", "left_anti"))
+        if short.isEmpty():
+            break
+        found = settle(found.join(short.select(F.col("rep").alias("asked")), "asked", "left_anti").unionByName(scan(short, probe(times, None))))
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "rep")
     ranked = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
     spelled = ranked.join(reps.select("rep", "ids"), "rep").select("asked", F.explode("ids").alias("vec_id"), "score")

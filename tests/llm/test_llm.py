@@ -129,6 +129,44 @@ def test_queries_left_with_too_few_start_again(spark):
     assert sum(len(set(got[q]) & {i for _, i in want[q]}) for q in want) >= 0.9 * 20 * len(want)
 
 
+def test_few_queries_start_again_and_vectors_travel_once(spark, monkeypatch):
+    """Where products have lighter tails than normal ones, bounds still leave nearly all queries enough; a query's vector is not repeated for each list."""
+    x = np.random.default_rng(1).standard_normal((6000, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    settled, real = [], ann.settle
+    monkeypatch.setattr(ann, "settle", lambda df: (settled.append(real(df)), settled[-1])[1])
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=2).collect()
+    holding = [(t.columns, t.count()) for t in settled if "v" in t.columns]
+    assert max(rows for _, rows in holding) == 6000
+    asked, *again = [rows for columns, rows in holding if columns == ["rep", "v"]]
+    assert asked == 3000 and again and again[0] < 0.1 * asked
+    assert len(got) == 20 * 3000
+
+
+def test_what_is_found_raises_the_bound():
+    x = np.random.default_rng(2).standard_normal((3000, 16))
+    index = ann.Index(x, float(np.linalg.norm(x, axis=1).max()), 30)
+    own = index.nearest_centre(index.lift(x), index.centres)
+    at = np.argsort(own, kind="stable")
+    q, ids = x[:50], np.arange(3000)[at]
+    rows, cols, score = index.search(q, x[at], own[at], np.full(50, -np.inf), np.zeros(50), np.full(50, -1.0), ids, 21)
+    assert index.left[0] == 50 * 3000 and index.left[-1] < 0.3 * index.left[0]
+    best = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :21]
+    hits = [len(set(ids[cols[rows == i]]) & set(best[i])) for i in range(50)]
+    assert np.bincount(rows).tolist() == [21] * 50 and sum(hits) >= 0.95 * 21 * 50
+    assert score == pytest.approx((q[rows] * x[ids[cols]]).sum(axis=1), abs=1e-12)
+
+
+def test_very_short_and_very_long_vectors_meet_in_single_precision(spark):
+    x = np.random.default_rng(3).standard_normal((600, 4)) * 10.0 ** np.random.default_rng(4).integers(-120, 120, 600)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want, got = brute_nearest(rows, 20, 20), {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(v) for q, v in got.items()} == {q: 20 for q in want}
+    assert sum(len(set(got[q]) & {i for _, i in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
 # 2
 
 
