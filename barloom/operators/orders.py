@@ -256,12 +256,12 @@ class OrderState:
 HANDLERS = {kind: getattr(OrderState, f"_{kind}") for kind in ("accept", "reject", "expire", "cancel_request", "replace_request", "cancel_result", "replace_result", "fill")}
 
 
-def events_of(pdf: pd.DataFrame) -> list[dict]:
-    """Rows as dictionaries with None for nulls and plain ints, in their order."""
+def columns_of(pdf: pd.DataFrame) -> dict[str, list]:
+    """Columns of ``sendable`` events with None for nulls and plain ints, in the order of the rows."""
     columns = {c: pdf[c].tolist() for c in EVENT_COLUMNS}
     for c in ("quantity", "limit_price", "stop_price"):
         columns[c] = [int(v) if isinstance(v, str) else None for v in columns[c]]
-    return [dict(zip(columns, row, strict=True)) for row in zip(*columns.values(), strict=True)]
+    return columns
 
 
 def sendable(events: DataFrame, *more: str) -> DataFrame:
@@ -278,7 +278,7 @@ def result_row(order_id: str, state: OrderState, counts: list) -> tuple:
     return (order_id, state.status or None, state.accepted, state.filled, state.limit_price, state.stop_price, state.pending or None, state.broker_order_id or None, *counts)
 
 
-def _values(column: pa.Array) -> list:
+def values_of(column: pa.Array) -> list:
     """A column's values, with None for nulls; 64-bit numbers beside nulls stay as they are."""
     if column.null_count == len(column):
         return [None] * len(column)
@@ -288,7 +288,7 @@ def _values(column: pa.Array) -> list:
     return [v if here else None for v, here in zip(column.fill_null(0).to_numpy(zero_copy_only=False).tolist(), there, strict=True)]
 
 
-class _Event:
+class Event:
     """The event at a place of a batch, by column: no dictionary is made of each."""
 
     __slots__ = ("at", "columns")
@@ -309,8 +309,8 @@ def fold(events: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order_id, state, applied, refused, last, done = None, OrderState(), 0, 0, None, []
         for batch in batches:
-            event = _Event({c: _values(batch.column(c)) for c in EVENT_COLUMNS})
-            for at, own in enumerate(_values(batch.column("order_id"))):
+            event = Event({c: values_of(batch.column(c)) for c in EVENT_COLUMNS})
+            for at, own in enumerate(values_of(batch.column("order_id"))):
                 event.at = at
                 if own != order_id:
                     if order_id is not None:

@@ -297,14 +297,17 @@ def streamed_fills_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders' events as a stream of several micro-batches, in the order of their numbers; of each order its last state."""
     out = fresh_dir(spark)
-    events = settle(order_queries._events(spark, sf_dir))
+    # events are written once, those of each micro-batch into a folder of its own; the first is there even if there are no events
+    events = order_queries._events(spark, sf_dir)
+    arrival = F.when(F.col("seq") < 2, 0).when(F.col("seq") < 4, 1).when(F.col("seq") < 9, 2).otherwise(3).alias("arrival")
+    events.where(F.lit(False)).write.parquet(f"{out}/events/arrival=0")
+    events.select("*", arrival).write.mode("append").partitionBy("arrival").parquet(f"{out}/events")
     keep = lambda df, number: df.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", min(int(partitions), 2 * spark.sparkContext.defaultParallelism))  # each opens its state anew in every micro-batch
     try:
-        for low, high in ((0, 2), (2, 4), (4, 9), (9, 1 << 40)):  # the stream is stopped after each and goes on from its checkpoint
-            events.where((F.col("seq") >= low) & (F.col("seq") < high)).write.mode("append").parquet(f"{out}/events")
-            states = stream_orders.order_states(spark.readStream.schema(events.schema).parquet(f"{out}/events"))
+        for last in range(4):  # the stream is stopped after each and goes on from its checkpoint
+            states = stream_orders.order_states(spark.readStream.schema(events.schema).parquet(f"{out}/events/arrival=[0-{last}]"))
             states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)

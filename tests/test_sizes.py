@@ -1,9 +1,12 @@
 """Queries on values and tables as they come in larger data."""
 
 import datetime
+import pickle
 import types
 
 import duckdb
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from barloom.operators import bars, instruments
@@ -98,6 +101,77 @@ def test_fills_of_an_order_are_packed_until_they_are_many():
     assert "a" in again and "7" in again and "c" not in again and "a" not in stream_orders._Seen(state, "p", "fill", [], True)
 
 
+class Held(dict):
+    """State as a processor sees it, in memory, with a count of messages."""
+
+    calls = 0
+
+    def get(self):
+        return self.getValue("own")
+
+    def update(self, value):
+        self.updateValue("own", value)
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return dict.get(self, key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls += 1
+        self.pop(key, None)
+
+    def containsKey(self, key):  # noqa: N802
+        self.calls += 1
+        return key in self
+
+
+def test_orders_of_a_bucket_are_read_and_written_by_pages():
+    held = {}
+    handle = types.SimpleNamespace(getValueState=lambda name, *_: held.setdefault(name, Held()), getMapState=lambda name, *_: held.setdefault(name, Held()))
+    processor = stream_orders.OrderProcessor(None)
+    processor.init(handle)
+    null = dict.fromkeys(stream_orders.EVENT_COLUMNS)
+    named = {"account_id": "a", "instrument_id": "i", "side": "buy", "broker_order_id": "B", "event_id": ""}
+    kinds = ("submit", "accept", "fill", "fill", "cancel_request", "reject")
+    event = lambda o, n: {"_bucket": 0, "order_id": f"o{o}", **null, **named, "seq": n, "kind": kinds[n], "quantity": 2**60 + 1 if n == 1 else o + 1 if n in (2, 3) else None, "fill_id": f"f{n}", "rejected": False, "event_id": "c" if n == 4 else ""}
+    kind = lambda c: pa.int64() if c in ("_bucket", "seq", "quantity", "limit_price", "stop_price") else pa.bool_() if c == "rejected" else pa.string()
+    schema = pa.schema([(c, kind(c)) for c in ("_bucket", "order_id", *stream_orders.EVENT_COLUMNS)])
+    orders, got, last = 3000, {}, None
+    for upto in (600, orders):
+        for which in ((1, 0), (3, 2), (5, 4)):
+            events = pa.RecordBatch.from_pylist([event(o, n) for n in which for o in range(upto) if upto == 600 or o >= 600 or n == 5], schema=schema)
+            packs = pa.Table.from_batches(stream_orders._packed(iter([events, events.slice(0, 0)]))).to_pandas()
+            assert packs["_bucket"].tolist() == [0]
+            before = sum(h.calls for h in held.values())
+            rows = pd.concat(processor.handleInputRows((0,), iter([packs]), None))
+            last = sum(h.calls for h in held.values()) - before
+            got |= {r[0]: r for r in rows.itertuples(index=False)}
+    assert len(got) == orders and last <= 2 * held["size"]["own"][0] + 2 < orders / 10
+    assert held["size"]["own"][1] == orders and len(held["pages"]) == held["size"]["own"][0]
+    for o in range(orders):
+        refused = 2 if o < 600 else 1
+        assert tuple(got[f"o{o}"]) == (f"o{o}", "pending_cancel", 2**60 + 1, 2 * (o + 1), got[f"o{o}"].limit_price, got[f"o{o}"].stop_price, "c", "B", 5, refused, "illegal")
+    assert sum(len(pickle.loads(v[0])) for v in held["pages"].values()) == orders
+
+
+def test_when_pages_double_orders_stay_or_go_to_one_new_page():
+    for o in map(str, range(1000)):
+        assert stream_orders.page_of(o, 1) == 0 and stream_orders.page_of(o, 16) in (stream_orders.page_of(o, 8), stream_orders.page_of(o, 8) + 8)
+
+
+def test_events_travel_packed_by_bucket(spark):
+    events = order_queries._events(spark, "/root/testdata/sf0.001").withColumn("_bucket", F.pmod(F.xxhash64("order_id"), F.lit(8)))
+    packs = events.coalesce(1).mapInArrow(stream_orders._packed, "_bucket long, packed binary").toPandas()
+    assert packs["_bucket"].tolist() == list(range(8))
+    order_ids, columns, _ = stream_orders._sorted([packs])
+    keys = list(zip(order_ids, columns["seq"], strict=True))
+    assert keys == sorted(keys) and keys == sorted((r.order_id, r.seq) for r in events.select("order_id", "seq").collect())
+
+
 def test_plain_rows_are_judged_at_one_look(spark, monkeypatch):
     line = lambda time="2024-01-31T23:59:59Z", price="1.5", volume="7", flag="true", n=8: ",".join([time, *["1"] * (n - 1), price, volume, flag])
     plain = [line(), line("2024-02-28T00:00:00+00:00"), line(price="0"), line(price="9999999999.99999999"), line(volume="9" * 18), line(flag="F"), line("1999-12-31T00:00:00-00:00", "007.10", "00", "False")]
